@@ -1,7 +1,13 @@
 """The queries of this subpackage, by name, and their SQL where SQL can express them."""
 
+from orderweave.llm.mixing import op7
+from orderweave.llm.near_dedup import op8
 from orderweave.llm.substring_dedup import op4
 
-QUERIES = {"op4_substring_dedup": op4}
+QUERIES = {
+    "op4_substring_dedup": op4,
+    "op7_source_mixing": op7,
+    "op8_near_dedup": op8,
+}
 
 SQL: dict[str, str] = {}
