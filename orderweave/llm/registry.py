@@ -1,13 +1,20 @@
 """The queries of this subpackage, by name, and their SQL where SQL can express them."""
 
+from orderweave.llm import exact_search
+from orderweave.llm.byte_bpe import op5
+from orderweave.llm.collision_search import op10
+from orderweave.llm.exact_search import op1
 from orderweave.llm.mixing import op7
 from orderweave.llm.near_dedup import op8
 from orderweave.llm.substring_dedup import op4
 
 QUERIES = {
+    "op1_exact_top_k": op1,
     "op4_substring_dedup": op4,
+    "op5_byte_bpe": op5,
     "op7_source_mixing": op7,
     "op8_near_dedup": op8,
+    "op10_collision_search": op10,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_exact_top_k": exact_search.SQL}
