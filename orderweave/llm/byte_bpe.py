@@ -24,6 +24,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orderweave.llm import textnp
 from orderweave.llm.shared import width
@@ -137,7 +138,7 @@ def decode(encoded: DataFrame, ids_col: str = "ids", ranks: str = RANKS, pattern
                 out = [decode_ids(np.frombuffer(x or b"", "<u4"), tokens, offsets) for x in part[ids_col].to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*names, "decoded"])
 
-    schema = encoded.schema.add("decoded", "binary")
+    schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
     return encoded.mapInArrow(run, schema)
 
 
