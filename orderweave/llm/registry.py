@@ -4,14 +4,18 @@ from orderweave.llm import exact_search
 from orderweave.llm.byte_bpe import op5
 from orderweave.llm.collision_search import op10
 from orderweave.llm.exact_search import op1
+from orderweave.llm.line_quality import op2
 from orderweave.llm.mixing import op7
 from orderweave.llm.near_dedup import op8
 from orderweave.llm.substring_dedup import op4
+from orderweave.llm.toxicity import op6
 
 QUERIES = {
     "op1_exact_top_k": op1,
+    "op2_line_quality": op2,
     "op4_substring_dedup": op4,
     "op5_byte_bpe": op5,
+    "op6_toxicity": op6,
     "op7_source_mixing": op7,
     "op8_near_dedup": op8,
     "op10_collision_search": op10,
