@@ -8,6 +8,7 @@ from orderweave.llm.line_quality import op2
 from orderweave.llm.mixing import op7
 from orderweave.llm.near_dedup import op8
 from orderweave.llm.substring_dedup import op4
+from orderweave.llm.suffix_dedup import op9
 from orderweave.llm.toxicity import op6
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_toxicity": op6,
     "op7_source_mixing": op7,
     "op8_near_dedup": op8,
+    "op9_suffix_dedup": op9,
     "op10_collision_search": op10,
 }
 
