@@ -31,9 +31,20 @@ def _state(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+def _distinct(links: DataFrame) -> DataFrame:
+    return kept(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+
+
+def merged_once(links: DataFrame) -> DataFrame:
+    """As `components`, after one round: nodes with one label are connected, connected nodes may still have several labels."""
+    links = _star(_star(_distinct(links), True), False)
+    own = links.groupBy("u").agg(F.min("v").alias("component"))
+    return kept(own.withColumnRenamed("u", "node"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """links: columns u, v, in any direction. Returns node, component (its smallest node) for every node with a link to another."""
-    links = kept(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    links = _distinct(links)
     state = _state(links)
     while True:
         links = kept(_star(_star(links, True), False))
