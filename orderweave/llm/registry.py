@@ -1,9 +1,10 @@
 """The queries of this subpackage, by name, and their SQL where SQL can express them."""
 
-from orderweave.llm import exact_search
+from orderweave.llm import exact_search, licenses
 from orderweave.llm.byte_bpe import op5
 from orderweave.llm.collision_search import op10
 from orderweave.llm.exact_search import op1
+from orderweave.llm.licenses import op3
 from orderweave.llm.line_quality import op2
 from orderweave.llm.mixing import op7
 from orderweave.llm.near_dedup import op8
@@ -14,6 +15,7 @@ from orderweave.llm.toxicity import op6
 QUERIES = {
     "op1_exact_top_k": op1,
     "op2_line_quality": op2,
+    "op3_license_scan": op3,
     "op4_substring_dedup": op4,
     "op5_byte_bpe": op5,
     "op6_toxicity": op6,
@@ -23,4 +25,4 @@ QUERIES = {
     "op10_collision_search": op10,
 }
 
-SQL: dict[str, str] = {"op1_exact_top_k": exact_search.SQL}
+SQL: dict[str, str] = {"op1_exact_top_k": exact_search.SQL, "op3_license_scan": licenses.SQL}

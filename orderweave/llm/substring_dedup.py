@@ -60,8 +60,8 @@ def kept_texts(data, offsets, starts, ends, first, gone) -> list[bytes]:
     return [text[lo:hi][mask[lo:hi]].tobytes().rstrip(b" ") for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Columns id_col, n_words, n_removed, kept_text and those of carry, a row for each row of docs."""
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, carry: tuple[str, ...] = (), original: bool = False) -> DataFrame:
+    """Columns id_col, n_words, n_removed, kept_text and those of carry, a row for each row of docs. original: with the text as it was, as original_text."""
     _, size = text_bytes(docs, text_col)
     blocks, slices = pieces(size, BLOCK), sketch.n_slices(size // 5 + 1)
     rows = docs.select(
@@ -88,15 +88,15 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return pa.table({
             "id": table["id"], "n_words": pa.array(np.diff(first), pa.int64()), "n_removed": pa.array(np.diff(sums[first]), pa.int64()),
             "kept_text": pa.array(kept_texts(data, offsets, starts, ends, first, gone), pa.binary()).cast(pa.string()), "other": table["other"],
-        })
+        } | ({"original_text": table["text"]} if original else {}))
 
-    out = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("other", carried)])
+    out = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("other", carried), *([T.StructField("original_text", T.StringType())] if original else [])])
     dealt = rows.groupBy("block")
     replies = dealt.applyInArrow(sketched, sketch.CELL_SCHEMA).groupBy("part").applyInArrow(sketch.merged, sketch.REPLY_SCHEMA)
     offers = dealt.cogroup(replies.groupBy("block")).applyInArrow(offered, sketch.OWNER_SCHEMA)
     owners = offers.groupBy("part").applyInArrow(sketch.least, sketch.LEAST_SCHEMA)
     done = dealt.cogroup(owners.groupBy("block")).applyInArrow(removed, out)
-    return done.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_text", *(F.col("other")[c].alias(c) for c in carry))
+    return done.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_text", *(["original_text"] if original else []), *(F.col("other")[c].alias(c) for c in carry))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
