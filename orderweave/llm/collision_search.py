@@ -29,7 +29,9 @@ from pyspark.sql import Window as W
 from orderweave.llm import vectors as V
 from orderweave.llm.exact_search import _matrix
 
-PROJECTIONS = 128
+PROJECTIONS = 64
+#: Vectors of a shard: in a larger one the k-th neighbour is nearer, so that windows stay smaller; and queries of a block.
+SHARD, QUERIES = 8192, 256
 WIDEN = 1.2
 RATIO = 1.3
 #: Queries that are counted together; their counts take this many rows of a shard.
@@ -113,7 +115,7 @@ def _found(k: int):
 def nearest(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, every: int = 100) -> DataFrame:
     """Columns query_id, rank, vec_id, score (Euclidean distance): the k nearest found of each query."""
     v = V.vectors(rows, id_col, vec_col).where(F.exists("v", lambda x: x != 0))
-    rows, queries, shards, blocks = V.dealt(v, every)
+    rows, queries, shards, blocks = V.dealt(v, every, SHARD, QUERIES)
     queries = queries.drop("q_shard").withColumn("q_shard", V.each(shards))
     rows = rows.withColumn("block", V.each(blocks))
     found = rows.groupBy("dim", "shard", "block").cogroup(queries.groupBy("q_dim", "q_shard", "q_block")).applyInArrow(_found(k), "query_id long, vec_id long, score double")

@@ -1,7 +1,7 @@
 """Vectors for search: which take part, shards of bounded size, and blocks of queries.
 
-A shard holds about `SHARD` vectors of one dimension, dealt by a hash. A block holds about
-`QUERIES` queries. Each task searches one block in one shard; the stated query set is
+A shard holds about `shard` vectors of one dimension, dealt by a hash. A block holds about
+`together` queries. Each task searches one block in one shard; the stated query set is
 held against all rows in such blocks. Rows that are equal in every part count once.
 """
 
@@ -26,10 +26,10 @@ def vectors(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return v.where(finite(F.col("v"))).distinct().withColumn("dim", F.size("v"))
 
 
-def dealt(v: DataFrame, every: int) -> tuple[DataFrame, DataFrame, int, int]:
+def dealt(v: DataFrame, every: int, shard: int = SHARD, together: int = QUERIES) -> tuple[DataFrame, DataFrame, int, int]:
     """All with their shard, the queries (ids divisible by every) with a block and the shard that has them, the number of shards and of blocks."""
     n, q = v.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("vec_id") % every == 0).cast("long")), F.lit(0))).first()
-    shards, blocks = pieces(n, SHARD), pieces(q, QUERIES)
+    shards, blocks = pieces(n, shard), pieces(q, together)
     rows = v.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)))
     queries = rows.where(F.col("vec_id") % every == 0)
     queries = queries.select(F.col("vec_id").alias("q_id"), F.col("v").alias("q"), F.col("dim").alias("q_dim"), F.col("shard").alias("q_shard"), F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).alias("q_block"))
