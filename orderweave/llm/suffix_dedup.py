@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -287,7 +288,8 @@ def _gone(block, replies: pa.Table, length: int) -> np.ndarray:
     data, _, start, count, _, h, ids = block
     change = np.zeros(len(data) + 1, np.int64)
     if len(h):
-        told = pa.table({"hashes": replies["runs"].filter(pa.compute.is_valid(replies["runs"])), "ids": replies["ids"].filter(pa.compute.is_valid(replies["runs"]))})
+        said = replies.filter(pc.greater(pc.binary_length(replies["runs"]), 0))
+        told = pa.table({"hashes": said["runs"], "ids": said["ids"]})
         hit = sketch.least_of(h, ids, told) < ids
         np.add.at(change, start[hit], 1)
         np.add.at(change, (start + count + length - 1)[hit], -1)
@@ -330,7 +332,7 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def stretched(key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table) -> pa.Table:
         found = _contested(_block(table, length), replies, length)
-        cells = replies.filter(pa.compute.is_valid(replies["cells"]))
+        cells = replies.filter(pc.is_valid(replies["cells"]))
         return _stretches(key[0].as_py(), found, sketch.repeated(found[5], cells, slices), slices, length)
 
     def removed(key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table) -> pa.Table:
