@@ -48,11 +48,15 @@ def cells_of(hashes: np.ndarray, slices: int) -> np.ndarray:
     return ((hashes >> np.uint64(8)) % np.uint64(slices << SLICE_BITS)).astype(np.int64)
 
 
+def ranges(part: np.ndarray) -> list[tuple[int, int, int]]:
+    """part is sorted: each part with its range."""
+    at = np.flatnonzero(np.diff(part, prepend=-1))
+    return [(int(part[a]), int(a), int(b)) for a, b in zip(at, np.append(at[1:], len(part)), strict=False)]
+
+
 def _cut(cells: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """Sorted cells by slice."""
-    parts = cells >> SLICE_BITS
-    at = np.flatnonzero(np.diff(parts, prepend=-1))
-    return [(int(parts[a]), cells[a:b] & ((1 << SLICE_BITS) - 1)) for a, b in zip(at, [*at[1:], len(cells)], strict=True)]
+    return [(p, cells[a:b] & ((1 << SLICE_BITS) - 1)) for p, a, b in ranges(cells >> SLICE_BITS)]
 
 
 def sketch(block: int, hashes: np.ndarray, slices: int) -> pa.Table:
@@ -108,9 +112,8 @@ def offers(block: int, hashes: np.ndarray, ids: np.ndarray, slices: int) -> pa.T
     part = cells_of(h, slices) >> SLICE_BITS
     order = np.argsort(part, kind="stable")
     part, h, d = part[order], h[order], d[order]
-    at = np.flatnonzero(np.diff(part, prepend=-1))
-    ends = [*at[1:], len(part)]
-    return pa.table({"part": pa.array(part[at], pa.int64()), "block": pa.array([block] * len(at), pa.int64()), "hashes": pa.array([h[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary()), "ids": pa.array([d[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary())})
+    rows = ranges(part)
+    return pa.table({"part": pa.array([p for p, _, _ in rows], pa.int64()), "block": pa.array([block] * len(rows), pa.int64()), "hashes": pa.array([h[a:b].tobytes() for _, a, b in rows], pa.binary()), "ids": pa.array([d[a:b].tobytes() for _, a, b in rows], pa.binary())})
 
 
 def least(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:

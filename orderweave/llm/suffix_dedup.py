@@ -126,12 +126,6 @@ def _block(table: pa.Table, length: int):
     return data, offsets, start, count, anchor, h, ids[np.searchsorted(offsets, start, "right") - 1]
 
 
-def _cut_rows(part: np.ndarray) -> list[tuple[int, int, int]]:
-    """part is sorted: each part with its range."""
-    at = np.flatnonzero(np.diff(part, prepend=-1))
-    return [(int(part[a]), int(a), int(b)) for a, b in zip(at, [*at[1:], len(part)], strict=True)]
-
-
 def _slice_of(anchors: np.ndarray, slices: int) -> np.ndarray:
     return sketch.cells_of(anchors, slices) >> sketch.SLICE_BITS
 
@@ -144,7 +138,7 @@ def _offered(block: int, anchor, h, ids, slices: int) -> pa.Table:
     order = order[new]
     order = order[np.argsort(_slice_of(anchor[order], slices), kind="stable")]
     anchor, h, ids = anchor[order], h[order], ids[order]
-    rows = _cut_rows(_slice_of(anchor, slices))
+    rows = sketch.ranges(_slice_of(anchor, slices))
     return pa.table({"part": pa.array([p for p, _, _ in rows], pa.int64()), "block": pa.array([block] * len(rows), pa.int64())} | {c: pa.array([v[a:b].tobytes() for _, a, b in rows], pa.binary()) for c, v in (("anchors", anchor), ("runs", h), ("ids", ids))})
 
 
@@ -200,7 +194,7 @@ def _stretches(block: int, contested, maybe: np.ndarray, slices: int, length: in
     run, offset, sizes = which[a], place[a], b - a + length - 1
     order = np.argsort(_slice_of(anchor[run], slices), kind="stable")
     run, offset, sizes = run[order], offset[order], sizes[order]
-    rows, out = _cut_rows(_slice_of(anchor[run], slices)), []
+    rows, out = sketch.ranges(_slice_of(anchor[run], slices)), []
     for p, lo, hi in rows:
         s = sizes[lo:hi]
         begin = at[run[lo:hi]] + offset[lo:hi]
