@@ -18,8 +18,9 @@ from orderweave.llm.substring_dedup import dedup_substrings
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line classifier doesn't reject."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rows = docs.select("text", F.struct("*").alias("row"))
-    return score(rows, model, carry=("row",)).where("predicted = 1").select("row.*")
+    rows = docs.select("text", F.struct(*docs.drop("text").columns).alias("row"))
+    kept = score(rows, model, carry=("row",), original=True).where("predicted = 1")
+    return kept.select("row.*", F.col("original_text").alias("text")).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,6 +23,8 @@ from orderweave.llm import line_features as lf
 
 SAMPLE = 4000
 SAMPLE_BYTES = 1 << 16
+#: Bytes of text looked at together.
+PIECE = 1 << 19
 GOOD = 0.3
 
 
@@ -42,7 +44,7 @@ def _featured(batches):
     for batch in batches:
         data, offsets = textnp.column(batch["text"])
         rows = []
-        for lo, hi in textnp.slices(offsets):
+        for lo, hi in textnp.slices(offsets, PIECE):
             part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
             starts, ends, first = lf.lines(part, at)
             x, size = lf.raw(part, starts, ends, first), (ends - starts).astype(np.float32)
@@ -60,13 +62,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return crf.fit(lf.design(x[:, :-1], first), x[:, -1].astype(float), first, np.array([r[1] for r in rows], int))
 
 
-def score(docs: DataFrame, model: crf.Model, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), good: float = GOOD) -> DataFrame:
-    """The columns of carry, score, predicted, and the lines: start and length in bytes, chance of good. A row for each row of docs."""
+def score(docs: DataFrame, model: crf.Model, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), good: float = GOOD, original: bool = False) -> DataFrame:
+    """The columns of carry, score, predicted, and the lines: start and length in bytes, chance of good; original: with the text, as original_text. A row for each row of docs."""
+
+    names = ["_other", "score", "predicted", "lines", *(["original_text"] if original else [])]
 
     def run(batches):
         for batch in batches:
             data, offsets = textnp.column(batch["_text"])
-            for lo, hi in textnp.slices(offsets):
+            for lo, hi in textnp.slices(offsets, PIECE):
                 part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 starts, ends, first = lf.lines(part, at)
                 size = (ends - starts).astype(float)
@@ -74,14 +78,14 @@ def score(docs: DataFrame, model: crf.Model, text_col: str = "text", carry: tupl
                 begin = starts - np.repeat(at[:-1], np.diff(first))
                 found = pa.StructArray.from_arrays([pa.array(begin, pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(p, pa.float64())], ["start", "bytes", "good"])
                 spans = pa.ListArray.from_arrays(pa.array(first, pa.int32()), found)
-                other = batch.slice(lo, hi - lo)["_other"]
-                yield pa.RecordBatch.from_arrays([other, pa.array(s, pa.float64()), pa.array((s >= good).astype(np.int32)), spans], ["_other", "score", "predicted", "lines"])
+                own = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([own["_other"], pa.array(s, pa.float64()), pa.array((s >= good).astype(np.int32)), spans, *([own["_text"]] if original else [])], names)
 
     rows = docs.select(F.col(text_col).cast("string").alias("_text"), F.struct(F.lit(0).alias("_"), *(F.col(c) for c in carry)).alias("_other"))
     line = T.StructType([T.StructField("start", T.LongType()), T.StructField("bytes", T.LongType()), T.StructField("good", T.DoubleType())])
-    out = T.StructType([rows.schema["_other"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("lines", T.ArrayType(line))])
+    out = T.StructType([rows.schema["_other"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("lines", T.ArrayType(line)), *([T.StructField("original_text", T.StringType())] if original else [])])
     scored = rows.mapInArrow(run, out)
-    return scored.select(*(F.col("_other")[c].alias(c) for c in carry), "score", "predicted", "lines")
+    return scored.select(*(F.col("_other")[c].alias(c) for c in carry), "score", "predicted", "lines", *(["original_text"] if original else []))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

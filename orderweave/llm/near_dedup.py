@@ -33,6 +33,8 @@ from orderweave.llm.shared import kept
 ROWS = 6
 #: Members of one side of a block, and of a hub that are held against it in one task.
 BLOCK = 512
+#: Texts whose sets are held together.
+SETS = 500
 _A = np.random.RandomState(8).randint(1, 2**62, 1024, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _B = np.random.RandomState(9).randint(1, 2**62, 1024, dtype=np.int64).astype(np.uint64)
 
@@ -67,7 +69,7 @@ def _digest(s: np.ndarray) -> int:
 
 def _signatures(shingle: int, bands: int):
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(lo, SETS) for b in batches for lo in range(0, b.num_rows, SETS)):
             sets = list(textnp.shingle_sets(batch["text"], shingle))
             full = [i for i, s in enumerate(sets) if len(s)]
             nodes: list = [None] * len(sets)
@@ -92,7 +94,7 @@ def _signatures(shingle: int, bands: int):
 
 def _sets(shingle: int):
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(lo, SETS) for b in batches for lo in range(0, b.num_rows, SETS)):
             sets = list(textnp.shingle_sets(batch["text"], shingle))
             yield pa.RecordBatch.from_arrays([pa.array([_digest(s) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "members"])
 
