@@ -48,11 +48,11 @@ def vocabulary(path: str, pattern: str):
 
 
 def chunk_spans(text: str, chunk: int = CHUNK) -> list[tuple[int, int]]:
-    """Where the chunks begin, and where they end after the overlap: at the first certain boundary from the next one's start."""
+    """Where the chunks begin, and where they end after the overlap: at the first boundary that is certain to the next one too, which doesn't see what stands before its start."""
     starts = range(0, len(text), chunk)
     ends = []
     for start in starts:
-        m = _CERTAIN.search(text, start + chunk) if start + chunk < len(text) else None
+        m = _CERTAIN.search(text, start + chunk + 1) if start + chunk < len(text) else None
         ends.append(m.start() if m else len(text))
     return list(zip(starts, ends, strict=True))
 
