@@ -1,6 +1,6 @@
 """License scans by sentence rules, with DataFrame functions only.
 
-A text is cut into sentences: at blank lines, and after . ! ? : before white space. A line
+A text is cut into sentences: at blank lines, and after . ! ? before white space. A line
 alone counts as a sentence too, as notices often stand on lines of their own. Normalised
 (lower case, runs of anything but letters, digits, + - and inner full stops as one space), a
 sentence that is in `SENTENCES` becomes its identifier; others vanish. The identifiers of a
@@ -91,7 +91,7 @@ RULES: list[tuple[str, list[str], list[str]]] = [
 HINTS = ("licen", "permi", "distrib", "warrant", "copyright", "software", "advertising")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: For both dialects of regular expressions.
-_END = r"([.!?:])[ \t\r\n]+|\n[ \t\r]*\n"
+_END = r"([.!?])[ \t\r\n]+|\n[ \t\r]*\n"
 _OTHER = r"[^a-z0-9.+/-]+|[.]+([^a-z0-9]|$)"
 _EDGES = r"^[ ./+-]+|[ ./+-]+$"
 
