@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderweave.llm import textnp
-from orderweave.llm.components import components, merged_once
+from orderweave.llm.components import components, near_labels
 from orderweave.llm.shared import kept
 
 ROWS = 6
@@ -208,11 +208,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     best = stars.where("close").groupBy("node").agg(F.max(F.struct("share", "hub")).alias("b")).select("node", F.col("b.hub").alias("hub"))
     links = kept(_confirmed(best, full, percent))
-    found = merged_once(links)
+    found = near_labels(links)
     # The other hubs of a node matter only where they may join components.
     rest = _labelled(_labelled(stars.where("close").select("hub", "node").join(best, ["hub", "node"], "left_anti"), found, "node", "a"), found, "hub", "b").where("a <> b").select("node", "hub")
     links = kept(links.union(_confirmed(rest, full, percent)))
-    found = merged_once(links)
+    found = near_labels(links)
 
     # What is open: members of one hub that may lie in different components.
     star = _labelled(stars.select("hub", "node").union(stars.select("hub", F.col("hub")).distinct()), found, "node", "component")

@@ -13,12 +13,15 @@ def kept(df: DataFrame) -> DataFrame:
     """The rows of df written to the folder that the cluster names in spark.checkpoint.dir.
 
     Lost executors don't lose them. Only where that setting is missing, as in
-    tests, a folder of our own is set.
+    tests, a folder of our own is set. What led to the rows isn't needed any more, and Spark
+    deletes shuffle files once the driver has collected its garbage; so that is asked for.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="orderweave-"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def text_bytes(docs: DataFrame, text_col: str) -> tuple[int, int]:

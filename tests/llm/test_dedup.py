@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from orderweave.llm import near_dedup as near
 from orderweave.llm import sketch
-from orderweave.llm.components import components, merged_once
+from orderweave.llm.components import components, near_labels
 from orderweave.llm.near_dedup import near_dedup
 from orderweave.llm.substring_dedup import dedup_substrings
 from orderweave.llm.suffix_dedup import dedup_suffixes
@@ -123,5 +123,4 @@ def test_components(spark):
     df = spark.createDataFrame(links, "u long, v long")
     got = {r.node: r.component for r in components(df).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 9: 1, 10: 10, 11: 10} | {k: 100 for k in range(100, 141)}
-    once = merged_once(df).collect()
-    assert all(got[r.node] == got[r.component] for r in once)
+    assert all(got[r.node] == got[r.component] for r in near_labels(df).collect())
