@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name, and their SQL where SQL can express them."""
 
-from orderweave.llm import exact_search, licenses
+from orderweave.llm import exact_search, licenses, near_dedup, substring_dedup, suffix_dedup
 from orderweave.llm.byte_bpe import op5
 from orderweave.llm.collision_search import op10
 from orderweave.llm.exact_search import op1
@@ -25,4 +25,10 @@ QUERIES = {
     "op10_collision_search": op10,
 }
 
-SQL: dict[str, str] = {"op1_exact_top_k": exact_search.SQL, "op3_license_scan": licenses.SQL}
+SQL: dict[str, str] = {
+    "op1_exact_top_k": exact_search.SQL,
+    "op3_license_scan": licenses.SQL,
+    "op4_substring_dedup": substring_dedup.SQL,
+    "op8_near_dedup": near_dedup.SQL,
+    "op9_suffix_dedup": suffix_dedup.SQL,
+}

@@ -361,3 +361,17 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def op9(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return dedup_suffixes(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT *, CAST(length(h) // 2 AS BIGINT) AS n FROM d),
+win AS (SELECT rid, doc_id, p, substr(h, 2 * p + 1, 100) AS k FROM (SELECT rid, doc_id, h, unnest(range(0, n - 49)) AS p FROM s)),
+least AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k HAVING count(DISTINCT doc_id) > 1),
+hit AS (SELECT rid, p, CASE WHEN p <= lag(p) OVER (PARTITION BY rid ORDER BY p) + 50 THEN 0 ELSE 1 END AS fresh FROM win JOIN least USING (k) WHERE m < doc_id),
+spans AS (SELECT rid, min(p) AS a, max(p) + 50 AS e FROM (SELECT rid, p, sum(fresh) OVER (PARTITION BY rid ORDER BY p) AS g FROM hit) GROUP BY rid, g),
+cut AS (SELECT rid, sum(e - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY rid),
+stay AS (SELECT rid, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY a), 0) AS a, a AS e FROM spans UNION ALL SELECT s.rid, coalesce(max(e), 0), max(n) FROM s LEFT JOIN spans ON s.rid = spans.rid GROUP BY s.rid),
+kept AS (SELECT rid, string_agg(substr(h, 2 * a + 1, 2 * (e - a)), '' ORDER BY a, e) AS t FROM stay JOIN s USING (rid) GROUP BY rid)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(t)) AS kept_sha256 FROM s JOIN kept USING (rid) LEFT JOIN cut USING (rid)
+"""
