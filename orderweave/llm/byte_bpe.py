@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orderweave.llm import textnp
-from orderweave.llm.shared import width
+from orderweave.llm.shared import modest_batches, width
 
 CHUNK = 1 << 16
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -102,6 +102,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
             ids = [_ids(encoder, stitched(t, k == 0)) for k, t in zip(batch["k"].to_pylist(), batch["text"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch["id"], batch["digest"], batch["copies"], batch["k"], pa.array(ids, pa.binary())], ["id", "digest", "copies", "k", "ids"])
 
+    modest_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     is_long = F.coalesce(F.length("text"), F.lit(0)) > chunk
     short = rows.where(~is_long).mapInArrow(whole, "id long, ids binary")
@@ -128,6 +129,7 @@ def decode_ids(ids: np.ndarray, tokens: np.ndarray, offsets: np.ndarray) -> byte
 
 def decode(encoded: DataFrame, ids_col: str = "ids", ranks: str = RANKS, pattern: str = PATTERN) -> DataFrame:
     """encoded with a column decoded: the bytes that its ids stand for."""
+    modest_batches(encoded.sparkSession)
     names = encoded.columns
 
     def run(batches):

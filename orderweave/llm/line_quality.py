@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from orderweave.llm import crf, textnp
 from orderweave.llm import line_features as lf
+from orderweave.llm.shared import modest_batches
 
 SAMPLE = 4000
 SAMPLE_BYTES = 1 << 16
@@ -54,6 +55,7 @@ def _featured(batches):
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = SAMPLE) -> crf.Model:
     """labels: id_col and label_col, 0 or 1. Only the labels given are learnt from."""
+    modest_batches(docs.sparkSession)
     got = labelled_sample(docs, labels, id_col, text_col, label_col, most).mapInArrow(_featured, "id string, label int, lines binary").toArrow()
     rows = sorted(zip(*(got[c].to_pylist() for c in ("id", "label", "lines")), strict=True))
     x = [np.frombuffer(r[2], np.float32).reshape(-1, lf.RAW + 1) for r in rows]
@@ -65,6 +67,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, model: crf.Model, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), good: float = GOOD, original: bool = False) -> DataFrame:
     """The columns of carry, score, predicted, and the lines: start and length in bytes, chance of good; original: with the text, as original_text. A row for each row of docs."""
 
+    modest_batches(docs.sparkSession)
     names = ["_other", "score", "predicted", "lines", *(["original_text"] if original else [])]
 
     def run(batches):

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from orderweave.llm import textnp
 from orderweave.llm.components import components, near_labels
-from orderweave.llm.shared import kept
+from orderweave.llm.shared import kept, modest_batches
 
 ROWS = 6
 #: Members of one side of a block, and of a hub that are held against it in one task.
@@ -182,6 +182,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Two documents are linked if 100 * common shingles >= percent * shingles of either.
     """
+    modest_batches(docs.sparkSession)
     bands = bands_for(percent)
     t = percent / 100
     doubt = t - 5 * math.sqrt(t * (1 - t) / (bands * ROWS)) - 0.01

@@ -24,6 +24,17 @@ def kept(df: DataFrame) -> DataFrame:
     return out
 
 
+#: Rows of an Arrow batch of texts, at most.
+BATCH = 1000
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Texts may be long, and the JVM and Python both hold a batch of them, so batches are kept short for this session."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH:
+        spark.conf.set(key, BATCH)
+
+
 def text_bytes(docs: DataFrame, text_col: str) -> tuple[int, int]:
     """Number of rows and of UTF-8 bytes of the texts."""
     n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0))).first()

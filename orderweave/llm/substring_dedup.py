@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orderweave.llm import sketch, textnp
-from orderweave.llm.shared import pieces, text_bytes
+from orderweave.llm.shared import modest_batches, pieces, text_bytes
 
 BLOCK = 2_000_000
 _LAST = np.iinfo(np.int64).max
@@ -62,6 +62,7 @@ def kept_texts(data, offsets, starts, ends, first, gone) -> list[bytes]:
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, carry: tuple[str, ...] = (), original: bool = False) -> DataFrame:
     """Columns id_col, n_words, n_removed, kept_text and those of carry, a row for each row of docs. original: with the text as it was, as original_text."""
+    modest_batches(docs.sparkSession)
     _, size = text_bytes(docs, text_col)
     blocks, slices = pieces(size, BLOCK), sketch.n_slices(size // 5 + 1)
     rows = docs.select(

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from orderweave.llm import sketch, textnp
 from orderweave.llm.lyndon import suffix_arrays
-from orderweave.llm.shared import pieces, text_bytes
+from orderweave.llm.shared import modest_batches, pieces, text_bytes
 
 BLOCK = 2_000_000
 #: Bytes of an anchor's gram.
@@ -302,6 +302,7 @@ def _gone(block, replies: pa.Table, length: int) -> np.ndarray:
 
 def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, carry: tuple[str, ...] = ()) -> DataFrame:
     """Columns id_col, n_bytes, n_removed, n_spans, kept (binary) and those of carry, a row for each row of docs. length: at least GRAM."""
+    modest_batches(docs.sparkSession)
     _, size = text_bytes(docs, text_col)
     blocks, slices = pieces(size, BLOCK), sketch.n_slices(size // 12 + 1)
     rows = docs.select(

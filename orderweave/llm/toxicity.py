@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from orderweave.llm import textnp
 from orderweave.llm.line_quality import remainder
+from orderweave.llm.shared import modest_batches
 
 POSITIVES = 2000
 UNLABELLED = 5000
@@ -149,6 +150,7 @@ def train(p: np.ndarray, u: np.ndarray, prior: float, rounds: int = 300, decay:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
     """docs: what may be trained on. labels: id_col and label_col, 1 for toxic; their share is the prior."""
+    modest_batches(docs.sparkSession)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("label"))
     share = known.agg(F.avg((F.col("label") == 1).cast("double"))).first()[0]
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
@@ -170,6 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), toxic: float = TOXIC) -> DataFrame:
     """The columns of carry, score, predicted and n_marks (how many chosen features a text has). A row for each row of docs."""
+    modest_batches(docs.sparkSession)
     maybe = np.zeros(1 << 16, bool)
     maybe[model.keys & np.uint32(0xFFFF)] = True
 
