@@ -1,7 +1,9 @@
 """License scans by sentence rules, with DataFrame functions only.
 
-A text is cut into sentences: at blank lines, and after . ! ? before white space. A line
-alone counts as a sentence too, as notices often stand on lines of their own. Normalised
+A text is cut into sentences: at blank lines, and after . ! ? before white space; marks of
+comments at the start of lines don't count. What isn't known as a whole is cut further, step
+by step, until it is: around copyright lines, titles, addresses and list numbers, then after
+colons, then into lines, as notices often stand on lines of their own. Normalised
 (lower case, runs of anything but letters, digits, + - and inner full stops as one space), a
 sentence that is in `SENTENCES` becomes its identifier; others vanish. The identifiers of a
 text, in order, are matched against `RULES`: a rule names a license, the identifiers that
@@ -17,6 +19,9 @@ identifiers but no matching rule has the license `unknown`; rows may repeat.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,6 +99,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _END = r"([.!?])[ \t\r\n]+|\n[ \t\r]*\n"
 _OTHER = r"[^a-z0-9.+/-]+|[.]+([^a-z0-9]|$)"
 _EDGES = r"^[ ./+-]+|[ ./+-]+$"
+#: For Spark only: marks of comments, the stop of "v. 2.0" (no end of a sentence), and where unknown sentences are cut further.
+_COMMENT = r"(?m)^[ \t]*(?:/\*+|\*+/|\*+|//+|#+|--+|;+)[ \t]*"
+_VERSION = r"(?i)\bv\.[ \t\r\n]*(?=[0-9])"
+_ALONE = r"(?:copyright[ \t]+(?:\(c\)|\u00a9|[0-9]{4}|[<\[])|\(c\)|\u00a9|all rights reserved|spdx-license-identifier)[^\n]*"
+_TITLE = r"[a-z0-9 .,\"-]{0,60}licen[cs]e[ \t]*(?:(?:version[ \t]+|v)?[0-9.]+)?[ \t]*(?:\([^)\n]*\))?[ \t\r]*"
+_NUMBER = r"[ \t]*\(?(?:[0-9]{1,2}[.)]|[a-z]\))(?=[ \t\r\n]|$)"
+_PIECE = rf"(?i)(?<=\n|^)[ \t]*{_ALONE}\n|\n(?=[ \t]*{_ALONE})|^{_TITLE}\n|\n(?={_NUMBER})|\s+(?=<?https?://)|<?https?://\S+\s+"
+_PART = r"(?i)(?<!identifier):[ \t\r\n]+"
 
 
 def _normal(sentence: Column) -> Column:
@@ -111,16 +124,21 @@ def _may_not(names: list[str]) -> str:
 
 def identifiers(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
     """Array of the identifiers of a text's known sentences, in order."""
-    known = F.create_map(*(F.lit(x) for pair in sentences.items() for x in pair))
+    known = F.create_map(*(x for k, v in sentences.items() for x in (F.lit(re.sub(_VERSION, "v ", k)), F.array(F.lit(v)))))
     hint = "(?i)" + "|".join(HINTS)
-    units = F.split(F.regexp_replace(text, _END, "$1\u0001"), "\u0001")
-    # A sentence over several lines is looked up whole and, if unknown, line by line.
-    def looked_up(s: Column) -> Column:
-        return F.try_element_at(known, _normal(s))
-
-    hinted = F.filter(units, lambda s: s.rlike(hint))
-    found = F.flatten(F.transform(hinted, lambda s: F.when(looked_up(s).isNotNull() | ~F.contains(s, F.lit("\n")), F.array(looked_up(s))).otherwise(F.transform(F.filter(F.split(s, "\n"), lambda x: x.rlike(hint)), looked_up))))
-    return F.coalesce(F.array_compact(found), F.array().cast("array<string>"))
+    units = F.split(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, _COMMENT, ""), _VERSION, "v "), _END, "$1\u0001"), "\u0001")
+
+    # A sentence is looked up whole and, if unknown, in ever smaller divisions.
+    def looked_up(s: Column, *cuts: Callable[[Column], Column]) -> Column:
+        found = F.try_element_at(known, _normal(F.regexp_replace(s, rf"(?i)^\s*{_NUMBER}", "")))
+        return F.coalesce(found, over(cuts[0](s), *cuts[1:]) if cuts else F.array().cast("array<string>"))
+
+    def over(divided: Column, *cuts: Callable[[Column], Column]) -> Column:
+        return F.flatten(F.transform(F.filter(divided, lambda s: s.rlike(hint)), lambda s: looked_up(s, *cuts)))
+
+    pieces = lambda s: F.split(F.regexp_replace(s, _PIECE, "$0\u0001"), "\u0001")
+    found = over(units, pieces, lambda s: F.split(s, _PART), lambda s: F.split(s, "\n"))
+    return F.coalesce(found, F.array().cast("array<string>"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] = SENTENCES, rules: list = RULES) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import textwrap
 
 import numpy as np
 import pytest
@@ -181,3 +182,45 @@ def test_pipeline(spark, tmp_path):
     tokens = spark.read.parquet(str(tmp_path / "tokens"))
     _, ids = brute.encoded("", byte_bpe.RANKS, byte_bpe.PATTERN)
     assert sorted((r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in tokens.collect()) == sorted((i, ids(t)) for i, t in read("mixture"))
+
+
+MIT_TEXT = ["MIT License", "Copyright (c) 2020 Somebody", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM."]
+BSD_TEXT = ["Copyright (c) 2020, Somebody", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."]
+BSD_ENDORSE = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+BSD_ADVERT = "3. All advertising materials mentioning features or use of this software must display the following acknowledgement:\nThis product includes software developed by Somebody."
+APACHE_TEXT = ["Copyright 2020 Somebody", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at", "    http://www.apache.org/licenses/LICENSE-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS."]
+GPL = "This program is free software{} you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+GPL_WARRANTY = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+NOTICES = [
+    (MIT_TEXT, "MITgrant,MITnotice,MITwarranty", "MIT"),
+    (["Copyright (c) 2020 Somebody", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."], "ISCgrant", "ISC"),
+    (BSD_TEXT, "BSDgrant,BSDsource,BSDbinary", "BSD-2-Clause"),
+    ([*BSD_TEXT, BSD_ENDORSE], "BSDgrant,BSDsource,BSDbinary,BSDendorse", "BSD-3-Clause"),
+    ([*BSD_TEXT, BSD_ADVERT, BSD_ENDORSE.replace("3.", "4.")], "BSDgrant,BSDsource,BSDbinary,BSDadvert,BSDendorse", "BSD-4-Clause"),
+    ([x.replace("1. ", "(1) ").replace("2. ", "b) ") if x[1:3] == ". " else x for x in BSD_TEXT], "BSDgrant,BSDsource,BSDbinary", "BSD-2-Clause"),
+    (APACHE_TEXT, "Apache2head,Apache2copy", "Apache-2.0"),
+    (["Copyright (C) 2020 Somebody", GPL.format(";", 2), GPL_WARRANTY], "GPL2plus,GPLwarranty", "GPL-2.0-or-later"),
+    (["Copyright (C) <year>  <name of author>", GPL.format(":", 3), GPL_WARRANTY], "GPL3plus,GPLwarranty", "GPL-3.0-or-later"),
+    (["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."], "MPL2ref", "MPL-2.0"),
+    (["This is free and unencumbered software released into the public domain.", "Anyone is free to copy it."], "Unlicense", "Unlicense"),
+    *(([f"This work is licensed under the GNU General Public License, version {v}."], f"GPL{v}ref", f"GPL-{v}.0-only") for v in (2, 3)),
+    *(([f"Licensed under {x}."], y, z) for x, y, z in (("CC BY 4.0", "CCBY4ref", "CC-BY-4.0"), ("CC BY-SA 4.0", "CCBYSA4ref", "CC-BY-SA-4.0"), ("CC BY-NC 4.0", "CCBYNC4ref", "CC-BY-NC-4.0"), ("CC BY-ND 4.0", "CCBYND4ref", "CC-BY-ND-4.0"), ("CC0 1.0", "CC0ref", "CC0-1.0"), ("the Apache License, Version 2.0", "Apache2ref", "Apache-2.0"), ("the MIT License", "MITref", "MIT"))),
+    *(([f"SPDX-License-Identifier: {x}", "int main() {}"], y, z) for x, y, z in (("MIT", "MITref", "MIT"), ("BSD-2-Clause", "BSD2ref", "BSD-2-Clause"), ("BSD-3-Clause", "BSD3ref", "BSD-3-Clause"), ("Apache-2.0", "Apache2ref", "Apache-2.0"), ("GPL-2.0-only", "GPL2ref", "GPL-2.0-only"), ("GPL-3.0-only", "GPL3ref", "GPL-3.0-only"), ("MPL-2.0", "MPL2ref", "MPL-2.0"))),
+    (["All rights reserved under copyright law."], "Reserved", "all-rights-reserved"),
+]
+
+
+def test_published_notices(spark):
+    """Each, wrapped at some widths or not at all, with and without blank lines, plain and commented."""
+    rows, want = [], {}
+    for paragraphs, found, license in NOTICES:
+        for width in (40, 60, 72, 79, 10000):
+            for blank in (True, False):
+                lines = [line for p in paragraphs for line in [*(x for part in p.split("\n") for x in textwrap.wrap(part, width, break_on_hyphens=False, break_long_words=False)), *([""] if blank else [])]]
+                for first, mark, last in (("", "", ""), ("/*", " * ", " */"), ("#", "# ", "#"), ("", "//", ""), ("--", "-- ", "--"), ("", ";; ", "")):
+                    want[len(rows)] = (found, license)
+                    rows.append((len(rows), "\n".join([first, *((mark + x).rstrip() for x in lines), last])))
+    assert {y for _, found, _ in NOTICES for y in found.split(",")} == set(licenses.SENTENCES.values())
+    got = {r.doc_id: (r.identifiers, r.license) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    wrong = [(rows[k][1], got[k], want[k]) for k in want if got[k] != want[k]]
+    assert not wrong, (len(wrong), len(rows), wrong[:3])
