@@ -69,6 +69,12 @@ def aligned_iou(a: Column, b: Column) -> Column:
     return both / (a["w"] * a["h"] + b["w"] * b["h"] - both + F.lit(1e-9))
 
 
+def in_reach(a: Column, b: Column) -> Column:
+    """Whether the circles around two boxes meet; boxes whose circles don't share nothing, however they are turned."""
+    reach = lambda k: F.sqrt(F.pow(k["w"], 2) + F.pow(k["h"], 2)) / 2
+    return F.sqrt(F.pow(a["cx"] - b["cx"], 2) + F.pow(a["cy"] - b["cy"], 2)) < reach(a) + reach(b)
+
+
 def covariance(b: Column) -> tuple[Column, Column, Column]:
     """Of the Gaussian that a box stands for: var x, var y, cov."""
     p, q = b["w"] * b["w"] / 12, b["h"] * b["h"] / 12

@@ -107,7 +107,7 @@ def aabb_iou(t: Tables) -> DataFrame:
 @query("rotated_iou")
 def rotated_iou(t: Tables) -> DataFrame:
     """Overlap of turned boxes: SQL has no polygon clipping, so tests hold it against a sampled area."""
-    rows = _pairs(t).where(F.sqrt(F.pow(F.col("box.cx") - F.col("other_box.cx"), 2) + F.pow(F.col("box.cy") - F.col("other_box.cy"), 2)) < F.sqrt(F.pow(F.col("box.w"), 2) + F.pow(F.col("box.h"), 2)) / 2 + F.sqrt(F.pow(F.col("other_box.w"), 2) + F.pow(F.col("other_box.h"), 2)) / 2)
+    rows = _pairs(t).where(G.in_reach(F.col("box"), F.col("other_box")))
     rows = rows.select("det", "other", G.quad_iou(G.corners(F.col("box")), G.corners(F.col("other_box"))).alias("iou"))
     return rows.where("iou > 0").select("det", "other", F.round("iou", 6).alias("iou"))
 
@@ -156,7 +156,7 @@ def items_in_tray(t: Tables) -> DataFrame:
 p AS (SELECT a.det, greatest(least(a.cx + a.w * 0.45, b.cx + b.w * 0.45) - greatest(a.cx - a.w * 0.45, b.cx - b.w * 0.45), 0) * greatest(least(a.cy + a.h * 0.45, b.cy + b.h * 0.45) - greatest(a.cy - a.h * 0.45, b.cy - b.h * 0.45), 0) AS i, 0.81 * (a.w * a.h + b.w * b.h) AS s FROM v a JOIN o b ON a.tray = b.tray AND a.day = b.day)
 SELECT det FROM v WHERE det NOT IN (SELECT det FROM p WHERE i / (s - i + 1e-9) > 0.1)""")
 def new_trays(t: Tables) -> DataFrame:
-    """Detections that overlap no known tray of the frame, both shrunk by a tenth."""
+    """Detections that overlap no known tray of the frame, both shrunk by a tenth; the angle is ignored, as in the SQL (new_turned_trays takes it)."""
     small = F.struct(F.col("box.cx").alias("cx"), F.col("box.cy").alias("cy"), (F.col("box.w") * 0.9).alias("w"), (F.col("box.h") * 0.9).alias("h"), F.col("box.r").alias("r"))
     d = t.detections.withColumn("small", small)
     known = d.where("cls = 'signup'").select(F.col("tray").alias("k_tray"), F.col("day").alias("k_day"), F.col("small").alias("k_small"))
@@ -164,6 +164,17 @@ def new_trays(t: Tables) -> DataFrame:
     return d.where("cls = 'view'").join(known, over, "left_anti").select("det")
 
 
+@query("new_turned_trays")
+def new_turned_trays(t: Tables) -> DataFrame:
+    """As new_trays, which ignores the angle as its SQL does, by the overlap of the turned boxes; tests hold it against a plain version."""
+    d = t.detections.select("tray", "day", "det", "cls", "box")
+    known = d.where("cls = 'signup'").select("tray", "day", F.col("box").alias("known_box"))
+    views = d.where("cls = 'view'")
+    pairs = views.join(known, ["tray", "day"]).where(G.in_reach(F.col("box"), F.col("known_box")))
+    over = pairs.select("det", G.quad_iou(*(G.shrink(G.corners(F.col(b)), 0.1) for b in ("box", "known_box"))).alias("iou")).where("iou > 0.1")
+    return views.select("det").join(over, "det", "left_anti")
+
+
 @query("shrink_box", f"WITH {DETS} SELECT det, round(cx + 0.9 * (w / 2 * cos(r) - h / 2 * sin(r)), 6) AS x1, round(cy + 0.9 * (w / 2 * sin(r) + h / 2 * cos(r)), 6) AS y1 FROM boxes")
 def shrink_box(t: Tables) -> DataFrame:
     p = t.detections.select("det", G.shrink(G.corners(F.col("box")), 0.1).alias("p"))
@@ -323,7 +334,8 @@ def greedy_assignment(t: Tables) -> DataFrame:
     """
     d = t.detections.select("tray", "day", "det", "cls", "box")
     known = d.where("cls = 'view'").select("tray", "day", F.col("det").alias("holder"), F.col("box").alias("holder_box"))
-    pairs = known.join(d.where("cls <> 'view'"), ["tray", "day"]).withColumn("iou", G.aligned_iou(F.col("holder_box"), F.col("box"))).where("iou >= 0.3")
+    pairs = known.join(d.where("cls <> 'view'"), ["tray", "day"]).where(G.in_reach(F.col("holder_box"), F.col("box")))
+    pairs = pairs.withColumn("iou", G.quad_iou(G.corners(F.col("holder_box")), G.corners(F.col("box")))).where("iou >= 0.3")
     offers = pairs.groupBy("tray", "day", "holder").agg(F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("less"), "det"))).alias("offers"))
     start = F.array().cast("array<struct<holder:bigint,det:bigint>>")
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import csv
 import json
+import math
 import random
 from pathlib import Path
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from orderweave.functions import geometry
 from orderweave.operators import bags, detections, matching, runs, verification
+from orderweave.plans import catalogue
 from orderweave.sources import sinks, tables
 from orderweave.streaming import order_state, runner
 
@@ -141,3 +143,54 @@ def test_records(spark, tmp_path):
     rows = [r for f in files for r in csv.DictReader(f.open())]
     assert len(rows) == 2 and rows[0]["expected_item"].replace("\\", "") .count("x") == 1 and rows[0]["start_time"] == "2024-01-02T03:04:05" and not rows[0]["checked_item"] and not rows[0]["order_number"] and "extra" not in rows[0]
     assert sinks.event_messages(spark.sql("select 1 a, 'b' c"), "r", "t").first() == ("r/t", '{"a":1,"c":"b"}')
+
+
+def corners_of(cx, cy, w, h, r):
+    c, s = math.cos(r), math.sin(r)
+    return [(cx + x * w / 2 * c - y * h / 2 * s, cy + x * w / 2 * s + y * h / 2 * c) for x, y in ((1, 1), (-1, 1), (-1, -1), (1, -1))]
+
+
+def area_of(p):
+    return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(p, p[1:] + p[:1], strict=True))) / 2
+
+
+def overlap(a, b):
+    """Shared area over joint area, by cutting one box along each edge of the other."""
+    p, q, left = corners_of(*a), corners_of(*b), corners_of(*a)
+    for (ax, ay), (bx, by) in zip(q, q[1:] + q[:1], strict=True):
+        side = [(bx - ax) * (y - ay) - (by - ay) * (x - ax) for x, y in left]
+        cut = []
+        for k, (x, y) in enumerate(left):
+            n, (u, v) = side[k - 1], left[k - 1]
+            if side[k] * n < 0:
+                cut.append((u + (x - u) * n / (n - side[k]), v + (y - v) * n / (n - side[k])))
+            cut += [(x, y)] if side[k] >= 0 else []
+        left = cut
+    both = area_of(left) if len(left) > 2 else 0.0
+    return both / (area_of(p) + area_of(q) - both + 1e-9)
+
+
+def test_turned_trays(spark, tmp_path):
+    """Assignment and new trays against plain loops over turned boxes; the angle changes both."""
+    rng = random.Random(6)
+    rows = [(k, rng.randint(1, 12), rng.choice(["view", "signup", "click", "view"]), rng.uniform(1, 400), json.dumps({"k": rng.choice([1, 2, 11, 12])})) for k in range(400)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string").selectExpr("*", "timestamp_ntz'2024-01-02 03:04:05' + make_dt_interval(0, 0, 0, event_id) ts").write.parquet(str(tmp_path / "events.parquet"))
+    boxes = [(k, tray, cls, (json.loads(p)["k"] % 10 * 10, json.loads(p)["k"] // 10 * 10, v % 20 + 5, k % 15 + 5, k % 8 * math.pi / 16)) for k, tray, cls, v, p in rows]
+
+    def plain(turn):
+        links, new = set(), set()
+        for frame in sorted({b[1] for b in boxes}):
+            own = [(k, cls, (*b[:4], b[4] * turn)) for k, tray, cls, b in boxes if tray == frame]
+            small = {k: (b[0], b[1], b[2] * 0.9, b[3] * 0.9, b[4]) for k, _, b in own}
+            new |= {k for k, cls, _ in own if cls == "view" and not any(c == "signup" and overlap(small[k], small[j]) > 0.1 for j, c, _ in own)}
+            taken = set()
+            for k, cls, b in own:
+                best = max(((overlap(b, a), -j) for j, c, a in own if cls == "view" and c != "view" and j not in taken), default=(0, 0))
+                if best[0] >= 0.3:
+                    taken.add(-best[1])
+                    links.add((k, -best[1]))
+        return links, new
+
+    got = {tuple(r) for r in catalogue.QUERIES["greedy_assignment"](spark, str(tmp_path)).collect()}, {r.det for r in catalogue.QUERIES["new_turned_trays"](spark, str(tmp_path)).collect()}
+    assert got == plain(1)
+    assert all(x != y for x, y in zip(plain(0), plain(1), strict=True)) and all(got)
