@@ -43,5 +43,20 @@ def difference_bits(values: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(1), F.size(values) - 1), lambda i: F.when(F.get(values, i) > F.get(values, i - 1), "1").otherwise("0")), "")
 
 
+def difference_words(values: Column) -> Column:
+    """The same bits, one for each pair of neighbours, as an array of longs of 64 bits; the last may hold fewer."""
+    last = F.size(values) - 1
+    bit = lambda i: F.when(F.get(values, i) > F.get(values, i - 1), F.call_function("shiftleft", F.lit(1).cast("long"), ((i - 1) % 64).cast("int"))).otherwise(F.lit(0).cast("long"))
+    word = lambda w: F.aggregate(F.sequence(64 * w + 1, F.least(64 * w + 64, last)), F.lit(0).cast("long"), lambda s, i: s.bitwiseOR(bit(i)))
+    words = F.transform(F.sequence(F.lit(0), ((last - 1) / 64).cast("int")), word)
+    return F.when(last > 0, words).when(values.isNotNull(), F.array().cast("array<bigint>"))
+
+
+def hamming_words(a: Column, b: Column) -> Column:
+    """Differing bits of two arrays of longs; what the shorter one lacks counts as 0."""
+    none = F.lit(0).cast("long")
+    return F.aggregate(F.zip_with(a, b, lambda x, y: hamming(F.coalesce(x, none), F.coalesce(y, none))), F.lit(0), lambda s, n: s + n)
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))

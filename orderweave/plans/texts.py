@@ -127,7 +127,16 @@ def dhash_bits(t: Tables) -> DataFrame:
 
 @query("hamming_pairs", f"WITH {TOKENS}, b AS (SELECT crop, CAST(list_sum(list_transform(range(1, 32), lambda i: CASE WHEN v[i + 1] > v[i] THEN 1::BIGINT << (i - 1) ELSE 0::BIGINT END)) AS BIGINT) AS h FROM toks) SELECT a.crop, b.crop AS next, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM b a JOIN b ON b.crop = a.crop + 1")
 def hamming_pairs(t: Tables) -> DataFrame:
-    """Differences between the hashes of crops that follow each other."""
+    """Differences between the first 31 bits of the hashes of crops that follow each other, as in the SQL; hamming_whole takes all bits."""
     bit = lambda i: F.when(F.get("v", i) > F.get("v", i - 1), F.call_function("shiftleft", F.lit(1).cast("long"), (i - 1).cast("int"))).otherwise(F.lit(0).cast("long"))
     h = t.tokens.select("crop", F.aggregate(F.sequence(F.lit(1), F.lit(31)), F.lit(0).cast("long"), lambda s, i: s + bit(i)).alias("h"))
     return h.join(h.select((F.col("crop") - 1).alias("crop"), F.col("crop").alias("next"), F.col("h").alias("g")), "crop").select("crop", "next", C.hamming(F.col("h"), F.col("g")).alias("distance"))
+
+
+@query("hamming_whole", f"""WITH {TOKENS} SELECT a.crop, b.crop AS next,
+  CASE WHEN a.v IS NOT NULL AND b.v IS NOT NULL THEN CAST(coalesce(list_sum(list_transform(range(1, greatest(len(a.v), len(b.v))), lambda i: CASE WHEN coalesce(a.v[i + 1] > a.v[i], false) <> coalesce(b.v[i + 1] > b.v[i], false) THEN 1 ELSE 0 END)), 0) AS INTEGER) END AS distance
+FROM toks a JOIN toks b ON b.crop = a.crop + 1""")
+def hamming_whole(t: Tables) -> DataFrame:
+    """Differences between the whole hashes, a bit for each pair of neighbours, of crops that follow each other."""
+    h = t.tokens.select("crop", C.difference_words(F.col("v")).alias("h"))
+    return h.join(h.select((F.col("crop") - 1).alias("crop"), F.col("crop").alias("next"), F.col("h").alias("g")), "crop").select("crop", "next", C.hamming_words(F.col("h"), F.col("g")).alias("distance"))

@@ -97,3 +97,19 @@ def test_decode(spark):
     loose, strict = decode.collapsed(F.col("t"), remap=remap, strict=False), decode.collapsed(F.col("t"), remap=remap)
     got = r.select(decode.decoded(k, alphabet), decode.confidence(k, F.col("b")), decode.decoded(loose, alphabet), decode.decoded(strict, alphabet), decode.argmax(F.array(F.lit(1), F.lit(3), F.lit(3))), decode.difference_bits(F.array(F.lit(1), F.lit(2), F.lit(2))), decode.hamming(F.lit(5), F.lit(6)), decode.confidence(decode.collapsed(F.array(F.lit(0))), F.col("b"))).first()
     assert list(got) == ["aacb", 0.75, "aaaab", "aaab", 1, "10", 2, 0.0]
+
+
+def test_whole_hashes(spark):
+    """Every neighbour counts, past 31 and past 64 bits too."""
+    rng = random.Random(7)
+    vectors = [[float(rng.randint(0, 3)) for _ in range(n)] for n in (0, 1, 2, 32, 33, 64, 65, 66, 130, 193)] + [None]
+    flip = [None if v is None else [*v[:-1], v[-2] + (1 if v[-1] <= v[-2] else -1)] if len(v) > 1 else v for v in vectors]
+    other = [None if v is None else [float(rng.randint(0, 3)) for _ in v] for v in vectors]
+    rows = [(k, *r) for k, r in enumerate(zip(vectors, flip, other, strict=True))]
+    w = [decode.difference_words(F.col(c)) for c in "vfo"]
+    got = spark.createDataFrame(rows, "k int, v array<double>, f array<double>, o array<double>").select("k", decode.hamming_words(w[0], w[1]).alias("one"), decode.hamming_words(w[0], w[2]).alias("many")).collect()
+    bits = lambda v: [b > a for a, b in zip(v, v[1:], strict=False)]
+    for r in got:
+        v, o = vectors[r.k], other[r.k]
+        assert r.one == (None if v is None else int(len(v) > 1))
+        assert r.many == (None if v is None else sum(a != b for a, b in zip(bits(v), bits(o), strict=True)))
