@@ -1,4 +1,4 @@
-"""The course of orders as a stream: state is kept for each order, tickets come before stickers."""
+"""The course of orders as a stream: state is kept for each order."""
 
 from __future__ import annotations
 
@@ -8,33 +8,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from orderweave.operators.verification import Course, advance
+
 EVENTS = "order long, frame long, status string, item string"
-STATE = "items array<string>, need array<int>, seen array<int>, gone array<int>, ready boolean, done boolean"
+STATE = "items array<string>, ordered array<int>, there array<int>, held array<int>, ready boolean, done boolean, reading boolean"
 
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Rows of one order: state holds, for each item, how often it was ordered, seen and taken away."""
-    items, need, seen, gone, ready, done = state.get if state.exists else ([], [], [], [], False, False)
-    at = {x: (a, b, c) for x, a, b, c in zip(items, need, seen, gone, strict=True)}
-    out = []
-    for frame, kind, item in pd.concat(list(batches)).sort_values("frame")[["frame", "kind", "item"]].itertuples(index=False):
-        if done:
-            break
-        a, b, c = at.get(item, (0, 0, 0))
-        if kind == "ticket":
-            at[item] = (a + 1, b, c)
-            if not ready:
-                out.append((frame, "TICKET_READY", None))
-            ready = True
-        elif kind == "sticker":
-            at[item] = (a, b + 1, c)
-            out.append((frame, "ITEM_CHECKED" if b < a else "WRONG_ITEM_DETECTED", item))
-        else:
-            at[item] = (a, b, c + (c < b - a))
-        if ready and kind != "ticket" and all(b >= a and c == max(b - a, 0) for a, b, c in at.values()):
-            out.append((frame, "TRAY_COMPLETED", None))
-            done = True
-    state.update((list(at), [v[0] for v in at.values()], [v[1] for v in at.values()], [v[2] for v in at.values()], ready, done))
+    """Rows of one order: state holds its course."""
+    items, *counts, ready, done, reading = state.get if state.exists else ([], [], [], [], False, False, False)
+    course = Course({x: [int(n) for n in v] for x, *v in zip(items, *counts, strict=True)}, ready, done, reading)
+    rows = pd.concat(list(batches)).sort_values("frame")[["frame", "kind", "item"]]
+    out = [e for row in rows.itertuples(index=False) for e in advance(course, *row)]
+    state.update((list(course.items), *([v[k] for v in course.items.values()] for k in range(3)), course.ready, course.done, course.reading))
     yield pd.DataFrame({"order": [key[0]] * len(out), "frame": [x[0] for x in out], "status": [x[1] for x in out], "item": [x[2] for x in out]})
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import csv
 import json
 import math
+import os
 import random
 from pathlib import Path
 
@@ -194,3 +195,33 @@ def test_turned_trays(spark, tmp_path):
     got = {tuple(r) for r in catalogue.QUERIES["greedy_assignment"](spark, str(tmp_path)).collect()}, {r.det for r in catalogue.QUERIES["new_turned_trays"](spark, str(tmp_path)).collect()}
     assert got == plain(1)
     assert all(x != y for x, y in zip(plain(0), plain(1), strict=True)) and all(got)
+
+
+def test_late_tickets(spark, tmp_path):
+    """A ticket opens a completed order again, in batch and as a stream over one file and over a file for each row."""
+    steps = {
+        1: ["ticket a", "sticker a", "ticket b", "sticker b"],
+        2: ["ticket a", "sticker a", "sticker b", "sticker x", "gone x", "ticket b", "sticker c", "gone c"],
+        3: ["ticket a", "sticker b", "gone b", "ticket b", "sticker a", "sticker b", "sticker z"],
+        4: ["ticket a", "gone x", "sticker x", "gone x", "sticker a"],
+    }
+    rows = [(o, f, *s.split()) for o, own in steps.items() for f, s in enumerate(own)]
+    ready, done = "TICKET_READY", "TRAY_COMPLETED"
+    want = {
+        (1, 0, ready, None), (1, 1, "ITEM_CHECKED", "a"), (1, 1, done, None), (1, 2, ready, None), (1, 3, "ITEM_CHECKED", "b"), (1, 3, done, None),
+        (2, 0, ready, None), (2, 1, "ITEM_CHECKED", "a"), (2, 1, done, None), (2, 5, ready, None), (2, 5, "ITEM_CHECKED", "b"), (2, 6, "WRONG_ITEM_DETECTED", "c"), (2, 7, done, None),
+        (3, 0, ready, None), (3, 1, "WRONG_ITEM_DETECTED", "b"), (3, 3, ready, None), (3, 4, "ITEM_CHECKED", "a"), (3, 5, "ITEM_CHECKED", "b"), (3, 5, done, None),
+        (4, 0, ready, None), (4, 2, "WRONG_ITEM_DETECTED", "x"), (4, 4, "ITEM_CHECKED", "a"), (4, 4, done, None),
+    }
+    schema = "order long, frame long, kind string, item string"
+    got = verification.status_events(spark.createDataFrame(rows, schema)).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    for parts in (1, 8):
+        folder = tmp_path / str(parts)
+        folder.mkdir()
+        for k in range(parts):
+            own = [r for r in rows if r[1] % parts == k or parts == 1]
+            (folder / f"{k}.json").write_text("\n".join(json.dumps(dict(zip(("order", "frame", "kind", "item"), r, strict=True))) for r in own))
+            os.utime(folder / f"{k}.json", (10**9 + k, 10**9 + k))  # files come by their time
+        got = runner.finished(order_state.status_events(tables.replay(spark, str(folder), schema))).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
