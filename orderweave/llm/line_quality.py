@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from orderweave.llm import crf, textnp
 from orderweave.llm import line_features as lf
-from orderweave.llm.shared import modest_batches
+from orderweave.llm.shared import modest_batches, one_text
 
 SAMPLE = 4000
 SAMPLE_BYTES = 1 << 16
@@ -34,11 +34,11 @@ def remainder(id_col: str, mod: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int, longest: int = SAMPLE_BYTES) -> DataFrame:
-    """Columns text, label of at most `most` labelled ids."""
+    """Columns text, label of at most `most` labelled ids, a text for each."""
     some = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("label"))
     some = some.orderBy(F.xxhash64("_id"), "_id").limit(most)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") <= longest)
-    return texts.join(F.broadcast(some), "_id").select("_id", "text", "label")
+    return one_text(texts.join(F.broadcast(some), "_id")).select("_id", "text", "label")
 
 
 def _featured(batches):

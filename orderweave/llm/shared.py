@@ -47,3 +47,9 @@ def pieces(total: int, each: int) -> int:
 
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def one_text(rows: DataFrame) -> DataFrame:
+    """Of the rows of an _id one, that with the smallest hash of the text; combined before the shuffle."""
+    others = [c for c in rows.columns if c not in ("_id", "text")]
+    return rows.groupBy("_id", *others).agg(F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text"))

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from orderweave.llm import textnp
 from orderweave.llm.line_quality import remainder
-from orderweave.llm.shared import modest_batches
+from orderweave.llm.shared import modest_batches, one_text
 
 POSITIVES = 2000
 UNLABELLED = 5000
@@ -155,12 +155,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     share = known.agg(F.avg((F.col("label") == 1).cast("double"))).first()[0]
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
     toxic = known.where("label = 1").orderBy(F.xxhash64("_id"), "_id").limit(positives).select("_id")
-    p = _collected(texts.join(F.broadcast(toxic), "_id").select(F.col("_id").cast("string").alias("id"), "text"))
+    p = _collected(one_text(texts.join(F.broadcast(toxic), "_id")).select(F.col("_id").cast("string").alias("id"), "text"))
     none = Model(np.zeros(0, np.uint32), np.zeros(0), float(np.log(max(share or 0, 1e-6) / (1 - min(share or 0, 1 - 1e-6)))))
     if not p:
         return none
-    some = texts.select("_id").orderBy(F.xxhash64(F.lit(6), "_id"), "_id").limit(unlabelled).distinct()
-    u = _collected(texts.join(F.broadcast(some), "_id").select(F.col("_id").cast("string").alias("id"), "text"))
+    some = texts.where("_id is not null").select("_id").distinct().orderBy(F.xxhash64(F.lit(6), "_id"), "_id").limit(unlabelled)
+    u = _collected(one_text(texts.join(F.broadcast(some), "_id")).select(F.col("_id").cast("string").alias("id"), "text"))
     prior = float(np.clip(share, 0.01, 0.5))
     keys = chosen(p, u, prior)
     if not len(keys):

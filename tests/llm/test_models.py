@@ -109,3 +109,16 @@ def test_without_labels(spark):
     assert {r.predicted for r in toxicity.score(docs, toxicity.fit(docs, none)).collect()} == {0}
     empty = docs.where("false")
     assert line_quality.score(empty, line_quality.fit(empty, labels)).count() == toxicity.score(empty, toxicity.fit(empty, labels)).count() == 0
+
+
+def test_samples_of_repeated_ids(spark, monkeypatch):
+    """Repeats of an id and null ids take no places of the samples, and an id brings one text."""
+    rows = [(1, f"repeat {k}") for k in range(300)] + [(None, f"null {k}") for k in range(50)] + [(k, f"text {k}") for k in range(2, 22)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(1, 11)], "doc_id long, quality int, toxic int")
+    got = line_quality.labelled_sample(docs, labels, "doc_id", "text", "quality", 100).collect()
+    assert sorted(r._id for r in got) == list(range(1, 11)) and all(r.label == r._id % 2 for r in got)
+    taken = []
+    monkeypatch.setattr(toxicity, "_collected", lambda texts: taken.append([tuple(r) for r in texts.collect()]) or [np.arange(3, dtype=np.uint32)] * 3)
+    toxicity.fit(docs, labels, unlabelled=21)
+    assert [sorted(int(i) for i, _ in part) for part in taken] == [[1, 3, 5, 7, 9], list(range(1, 22))]
