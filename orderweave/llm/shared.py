@@ -3,25 +3,26 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """The rows of df written to the folder that the cluster names in spark.checkpoint.dir.
+    """The rows of df written to the folder that the cluster names in spark.checkpoint.dir, so that lost executors don't lose them.
 
-    Lost executors don't lose them. Only where that setting is missing, as in
-    tests, a folder of our own is set. What led to the rows isn't needed any more, and Spark
-    deletes shuffle files once the driver has collected its garbage; so that is asked for.
+    Where that setting is missing, a folder of our own is set: in the warehouse, which executors share, or a temporary
+    one if driver and executors are one process, as in tests.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="orderweave-"))
-    out = df.checkpoint(eager=True)
-    spark.sparkContext._jvm.System.gc()
-    return out
+        one = re.match(r"local(\[|$)", spark.sparkContext.master)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="orderweave-") if one else f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
+    return df.checkpoint(eager=True)
 
 
 #: Rows of an Arrow batch of texts, at most.
@@ -35,6 +36,21 @@ def modest_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH)
 
 
+def sparing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """run over batches, after which Arrow gives back the memory that it holds free: workers live on from stage to stage."""
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return mapped
+
+
+def block_of(ident: Column, text: Column, blocks: int) -> Column:
+    """The block of a row, by a hash of its id, its text and its input partition, so that rows that are equal don't all meet in one."""
+    return F.pmod(F.xxhash64(ident, text, F.spark_partition_id()), F.lit(blocks))
+
+
 def text_bytes(docs: DataFrame, text_col: str) -> tuple[int, int]:
     """Number of rows and of UTF-8 bytes of the texts."""
     n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0))).first()

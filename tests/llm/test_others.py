@@ -125,29 +125,6 @@ def test_licenses(spark):
     assert {n for _, must, never in licenses.RULES for n in must + never} <= set(licenses.SENTENCES.values())
 
 
-TEXTS = [None, "", "hello  world", "tail space ", "é日本語 ✓ x y", "a" * 3000, " \n\n\t " * 400, "don't I'LL we've" * 50, "line one\r\nline two\n\n" * 200, "  lead", "123 456,789", "​﻿", "😀" * 500 + " end", "<|endoftext|> x"]
-
-
-@pytest.mark.parametrize("chunk", [7, 64, 1000])
-def test_bpe(spark, chunk):
-    df = spark.createDataFrame([(k, t, "clash") for k, t in enumerate(TEXTS)] + [(2, "hello  world", "again"), (None, "null id " * 40, "")], "doc_id long, text string, ids string")
-    _, ids = brute.encoded("", byte_bpe.RANKS, byte_bpe.PATTERN)
-    got = byte_bpe.decode(byte_bpe.encode(df, chunk=chunk)).collect()
-    want = sorted((-1 if k is None else k, ids(t)) for k, t in [*enumerate(TEXTS), (2, "hello  world"), (None, "null id " * 40)])
-    assert sorted((-1 if r.doc_id is None else r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in got) == want
-    texts = dict(enumerate(TEXTS)) | {None: "null id " * 40}
-    assert all(r.decoded == (texts[r.doc_id] or "").encode() and r.n_tokens == len(r.ids) // 4 for r in got)
-
-
-def test_chunks_resynchronise():
-    pattern = byte_bpe.vocabulary(byte_bpe.RANKS, byte_bpe.PATTERN)[1]
-    for text in TEXTS:
-        if text:
-            whole = [m.group() for m in pattern.finditer(text)]
-            parts = [p for k, (a, b) in enumerate(byte_bpe.chunk_spans(text, 9)) for p in byte_bpe.chunk_pieces(text[a:b], k == 0, pattern)]
-            assert parts == whole
-
-
 def test_queries_have_their_names():
     assert [n.split("_")[0] for n in registry.QUERIES] == [f"op{k}" for k in range(1, 11)] or {n.split("_")[0] for n in registry.QUERIES} == {f"op{k}" for k in range(1, 11)}
     assert set(registry.SQL) <= set(registry.QUERIES)
