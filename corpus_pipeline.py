@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderweave.llm.byte_bpe import decode, encode
+from orderweave.llm.byte_bpe import encode
 from orderweave.llm.line_quality import fit, score
 from orderweave.llm.mixing import WORD, mix_sources, times
 from orderweave.llm.near_dedup import near_dedup
@@ -63,7 +63,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, as little-endian unsigned 32-bit integers, and digests of them and of the bytes that they decode to."""
-    both = decode(encode(docs))
+    both = encode(docs, decoded=True)
     return both.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
