@@ -10,7 +10,8 @@ and, along the pointers, those that it extends: each takes the next free place o
 group. No names are recomputed and nothing recurses.
 
 The texts don't depend on each other, so one step processes the highest open group of every
-text, and one step of the second phase settles the next place of every text.
+text. A suffix settles only larger ones, so a step of the second phase takes, of every text, all
+places that are settled without a gap, over as many groups as they span: some sqrt(n) steps.
 """
 
 from __future__ import annotations
@@ -108,19 +109,35 @@ def suffix_arrays(symbols: np.ndarray, lo: np.ndarray) -> np.ndarray:
         low, end = low[on], end[on]
 
     out = np.full(n + 1, -1, np.int64)
-    out[lo] = hi - 1
+    out[0], out[lo] = 0, hi - 1
     place = np.arange(n + 1)  # at a group's start its next free place
     done = stop.copy()
-    by_size = np.argsort(lo - hi, kind="stable")
-    heads, lengths = lo[by_size], (hi - lo)[by_size]
-    for r in range(int(lengths[0])):
-        s = out[heads[: int(np.searchsorted(-lengths, -r, "left"))] + r] - 1
-        s = s[~done[s]]
+    claim = np.full(n + 1, n + 1)  # the first settled place whose chain reaches a suffix
+    holes, at = np.flatnonzero(out < 0), lo
+    while len(at):
+        # All that is settled without a gap, of every text; what follows from it lies behind it.
+        holes = holes[out[holes] < 0]
+        upto = np.minimum(hi, np.append(holes, n + 1)[np.searchsorted(holes, at)])
+        settled = _ranges(at, upto - at)
+        s, r, reached = out[settled] - 1, settled, []
         while len(s):
-            g = group[s]
-            out[place[g]] = s
-            place[g] += 1
-            done[s] = True
+            open_ = ~done[s]
+            s, r = s[open_], r[open_]
+            before = claim[s]
+            np.minimum.at(claim, s, r)
+            first = (claim[s] == r) & (r < before)
+            s, r = s[first], r[first]
+            reached.append(s)
             s = prev[s]
-            s = s[~done[s]]
+        s = np.unique(np.concatenate(reached)) if reached else out[:0]
+        s = s[np.lexsort((claim[s], group[s]))]
+        if len(s):
+            begin = np.flatnonzero(_firsts(group[s]))
+            count = np.diff(np.append(begin, len(s)))
+            own = group[s[begin]]
+            out[_ranges(place[own], count)] = s
+            place[own] += count
+            done[s] = True
+        on = upto < hi
+        at, hi = upto[on], hi[on]
     return out[1:] - 1

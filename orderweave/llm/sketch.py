@@ -92,53 +92,67 @@ def repeated(hashes: np.ndarray, replies: pa.Table, slices: int) -> np.ndarray:
     return yes[np.minimum(np.searchsorted(yes, cells), len(yes) - 1)] == cells
 
 
-OWNER_SCHEMA = "part long, block long, hashes binary, ids binary"
-LEAST_SCHEMA = "block long, hashes binary, ids binary"
+OWNER_SCHEMA = "part long, block long, hashes binary, others binary, ids binary"
+LEAST_SCHEMA = "block long, hashes binary, others binary, ids binary"
 
 
-def least_by_hash(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes in order, each with the smallest id."""
-    if not len(hashes):
-        return hashes, ids
-    order = np.argsort(hashes, kind="stable")
-    h = hashes[order]
-    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    return h[at], np.minimum.reduceat(ids[order], at)
+def by_key(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal pairs (h, g) are neighbours, and which places of it begin a new pair."""
+    order = np.argsort(h, kind="stable")
+    new = np.ones(len(h), bool)
+    if len(h) > 1:
+        a, b = h[order], g[order]
+        same = a[1:] == a[:-1]
+        if (same & (b[1:] != b[:-1])).any():  # equal first halves with several second halves
+            order = np.lexsort((g, h))
+            a, b = h[order], g[order]
+            same = a[1:] == a[:-1]
+        new[1:] = ~same | (b[1:] != b[:-1])
+    return order, new
 
 
-def offers(block: int, hashes: np.ndarray, ids: np.ndarray, slices: int) -> pa.Table:
-    """A block's distinct hashes with their smallest ids, by slice: what is grouped exactly."""
-    h, d = least_by_hash(hashes, ids)
-    part = cells_of(h, slices) >> SLICE_BITS
-    order = np.argsort(part, kind="stable")
-    part, h, d = part[order], h[order], d[order]
-    rows = ranges(part)
-    return pa.table({"part": pa.array([p for p, _, _ in rows], pa.int64()), "block": pa.array([block] * len(rows), pa.int64()), "hashes": pa.array([h[a:b].tobytes() for _, a, b in rows], pa.binary()), "ids": pa.array([d[a:b].tobytes() for _, a, b in rows], pa.binary())})
+def least_ids(h: np.ndarray, g: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each place the smallest id of the places with its pair."""
+    if not len(h):
+        return ids
+    order, new = by_key(h, g)
+    out = np.empty_like(ids)
+    out[order] = np.minimum.reduceat(ids[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    return out
+
+
+def _binary(parts: list) -> pa.Array:
+    return pa.array([x.tobytes() for x in parts], pa.binary())
+
+
+def offers(block: int, h: np.ndarray, g: np.ndarray, ids: np.ndarray, slices: int) -> pa.Table:
+    """A block's distinct 128-bit hashes with their smallest ids, by slice: what is grouped exactly."""
+    order, new = by_key(h, g)
+    least = least_ids(h, g, ids)
+    own = order[new]
+    part = cells_of(h[own], slices) >> SLICE_BITS
+    by_part = np.argsort(part, kind="stable")
+    own, rows = own[by_part], ranges(part[by_part])
+    columns = {c: _binary([v[own[a:b]] for _, a, b in rows]) for c, v in (("hashes", h), ("others", g), ("ids", least))}
+    return pa.table({"part": pa.array([p for p, _, _ in rows], pa.int64()), "block": pa.array([block] * len(rows), pa.int64())} | columns)
+
+
+def joined(rows: pa.Table, column: str, kind) -> np.ndarray:
+    found = [np.frombuffer(x, kind) for x in rows[column].to_pylist() if x]
+    return np.concatenate(found) if found else np.zeros(0, kind)
 
 
 def least(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     """Groups the hashes of a slice exactly; answers each block with the smaller ids that it hasn't got."""
-    hs = [np.frombuffer(x, np.uint64) for x in rows["hashes"].to_pylist()]
-    ds = [np.frombuffer(x, np.int64) for x in rows["ids"].to_pylist()]
-    h, d = least_by_hash(np.concatenate(hs), np.concatenate(ds))
-    out = []
-    for block, mine, own in zip(rows["block"].to_pylist(), hs, ds, strict=True):
-        best = d[np.searchsorted(h, mine)]
-        less = best < own
-        if less.any():
-            out.append((block, mine[less].tobytes(), best[less].tobytes()))
-    return pa.table({"block": pa.array([x[0] for x in out], pa.int64()), "hashes": pa.array([x[1] for x in out], pa.binary()), "ids": pa.array([x[2] for x in out], pa.binary())})
+    h, g, ids = joined(rows, "hashes", np.uint64), joined(rows, "others", np.uint64), joined(rows, "ids", np.int64)
+    best = least_ids(h, g, ids)
+    less = best < ids
+    ends = np.cumsum([len(x) // 8 for x in rows["ids"].to_pylist()]).astype(int)
+    out = [(block, *(v[a:b][less[a:b]] for v in (h, g, best))) for block, a, b in zip(rows["block"].to_pylist(), [0, *ends[:-1]], ends, strict=True) if less[a:b].any()]
+    return pa.table({"block": pa.array([x[0] for x in out], pa.int64())} | {c: _binary([x[k] for x in out]) for k, c in ((1, "hashes"), (2, "others"), (3, "ids"))})
 
 
-def least_of(hashes: np.ndarray, ids: np.ndarray, replies: pa.Table) -> np.ndarray:
+def least_of(h: np.ndarray, g: np.ndarray, ids: np.ndarray, replies: pa.Table) -> np.ndarray:
     """For each hash the smallest id in the corpus: the block's own, or what a reply says."""
-    h, d = least_by_hash(hashes, ids)
-    best = d[np.searchsorted(h, hashes)]
-    if replies.num_rows and len(hashes):
-        rh = np.concatenate([np.frombuffer(x, np.uint64) for x in replies["hashes"].to_pylist()])
-        rd = np.concatenate([np.frombuffer(x, np.int64) for x in replies["ids"].to_pylist()])
-        order = np.argsort(rh)
-        rh, rd = rh[order], rd[order]
-        at = np.minimum(np.searchsorted(rh, hashes), len(rh) - 1)
-        best = np.where(rh[at] == hashes, np.minimum(best, rd[at]), best)
-    return best
+    told = (joined(replies, "hashes", np.uint64), joined(replies, "others", np.uint64), joined(replies, "ids", np.int64))
+    return least_ids(*(np.concatenate([own, other]) for own, other in zip((h, g, ids), told, strict=True)))[: len(h)]

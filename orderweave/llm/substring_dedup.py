@@ -4,14 +4,17 @@ Count-min prefilter: a first pass over the texts sketches all windows (sketch.py
 merged sketches overestimate each window's count, and the second pass groups exactly
 only those windows whose estimate is two or more. A third pass removes words.
 
-Windows are compared by a 64-bit hash of their words. The texts are dealt once, into
-blocks of about `BLOCK` bytes by a hash of id and text; all three passes read that one
-exchange. What is sent between passes holds each distinct window of a block once, so a
-passage that a third of all documents share costs one entry a block.
+Windows are grouped by hashes of 128 bits over their words' hashes of 64. The texts are
+dealt once, into blocks of about `BLOCK` bytes by a hash of id and text, salted so that
+repeated rows spread; all three passes read that one exchange. What is sent between
+passes holds each distinct window of a block once, so a passage that a third of all
+documents share costs one entry a block.
 
 Cases: a null text has no words; a null id counts as larger than any other, so such a
 row loses what others have and takes nothing from them; rows with one id never take
-from each other; texts with fewer words than a window stay as they are.
+from each other, and repeated rows are all returned; texts with fewer words than a
+window stay as they are; a very long text is a block of its own; an empty table gives
+none; other columns are passed through only if they are carried, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -23,27 +26,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orderweave.llm import sketch, textnp
-from orderweave.llm.shared import modest_batches, pieces, text_bytes
+from orderweave.llm.shared import block_of, modest_batches, pieces, text_bytes
 
 BLOCK = 2_000_000
 _LAST = np.iinfo(np.int64).max
 
 
 def _windows(table: pa.Table, window: int):
-    """Of a block: bytes, word starts, ends, first words; window hashes, first windows; ids."""
+    """Of a block: bytes, word starts, ends, first words; both halves of window hashes, first windows, ids."""
     data, offsets = textnp.column(table["text"])
     starts, ends, first = textnp.spans(data, offsets)
-    h, at = textnp.runs(textnp.span_hashes(data, starts, ends), first, window)
+    h, g, at = textnp.long_runs(textnp.span_hashes(data, starts, ends), first, window)
     ids = table["id"].fill_null(_LAST).to_numpy() if table["id"].null_count else table["id"].to_numpy()
-    return data, offsets, starts, ends, first, h, at, np.repeat(ids, np.diff(at)), ids
+    return data, offsets, starts, ends, first, h, g, at, np.repeat(ids, np.diff(at))
 
 
 def removed_words(first: np.ndarray, at: np.ndarray, hit: np.ndarray, window: int) -> np.ndarray:
     """Which words lie in a window that is hit."""
     where = textnp.run_starts(first, np.diff(at))[hit]
     n = int(first[-1])
-    change = np.bincount(where, minlength=n + 1) - np.bincount(np.minimum(where + window, n), minlength=n + 1) if len(where) else np.zeros(n + 1, np.int64)
-    return np.cumsum(change)[:n] > 0
+    change = np.zeros(n + 1, np.int8)
+    change[where] += 1
+    change[where + window] -= 1
+    return np.cumsum(change[:n], dtype=np.int32) > 0
 
 
 def kept_texts(data, offsets, starts, ends, first, gone) -> list[bytes]:
@@ -55,8 +60,10 @@ def kept_texts(data, offsets, starts, ends, first, gone) -> list[bytes]:
     stay = ~gone
     a, b = starts[stay], ends[stay]
     b = b + ~(last[b] | (b >= n))  # with the white space after the word, unless the text ends there
-    change = np.bincount(a, minlength=n + 1) - np.bincount(b, minlength=n + 1)
-    mask = np.cumsum(change)[:n] > 0
+    change = np.zeros(n + 1, np.int8)
+    change[a] += 1
+    change[b] -= 1
+    mask = np.cumsum(change[:n], dtype=np.int8) > 0
     return [text[lo:hi][mask[lo:hi]].tobytes().rstrip(b" ") for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
@@ -66,7 +73,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     _, size = text_bytes(docs, text_col)
     blocks, slices = pieces(size, BLOCK), sketch.n_slices(size // 5 + 1)
     rows = docs.select(
-        F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(blocks)).alias("block"),
+        block_of(F.col(id_col), F.col(text_col), blocks).alias("block"),
         F.col(id_col).cast("long").alias("id"),
         F.col(text_col).cast("string").alias("text"),
         F.struct(F.lit(0).alias("_"), *(F.col(c) for c in carry)).alias("other"),
@@ -74,17 +81,16 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     carried = rows.schema["other"].dataType
 
     def sketched(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        h = _windows(table, window)[5]
-        return sketch.sketch(key[0].as_py(), h, slices)
+        return sketch.sketch(key[0].as_py(), _windows(table, window)[5], slices)
 
     def offered(key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table) -> pa.Table:
-        *_, h, _, ids, _ = _windows(table, window)
+        *_, h, g, _, ids = _windows(table, window)
         maybe = sketch.repeated(h, replies, slices)
-        return sketch.offers(key[0].as_py(), h[maybe], ids[maybe], slices)
+        return sketch.offers(key[0].as_py(), h[maybe], g[maybe], ids[maybe], slices)
 
     def removed(key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table) -> pa.Table:
-        data, offsets, starts, ends, first, h, at, ids, _ = _windows(table, window)
-        gone = removed_words(first, at, sketch.least_of(h, ids, replies) < ids, window)
+        data, offsets, starts, ends, first, h, g, at, ids = _windows(table, window)
+        gone = removed_words(first, at, sketch.least_of(h, g, ids, replies) < ids, window)
         sums = np.concatenate([[0], np.cumsum(gone)])
         return pa.table({
             "id": table["id"], "n_words": pa.array(np.diff(first), pa.int64()), "n_removed": pa.array(np.diff(sums[first]), pa.int64()),

@@ -5,34 +5,36 @@ its grams. Neighbouring windows with one anchor form a run, a stretch of text so
 long; equal windows have equal anchors, so all that can match lies in runs of one anchor.
 
 1. Blocks of texts sketch their anchors (sketch.py); runs whose anchor can't repeat drop out.
-2. Equal runs form a class, by a 64-bit hash, which its smallest id stands for: in the others
-   every window is covered. A class whose anchor no other class has is done.
-3. The smallest owners of the other classes sketch the windows of these, and send those
-   windows that may repeat, as stretches of bytes, to their anchor's task.
-4. There the stretches of each anchor are one text, whose suffix array is built by linear
-   grouping (lyndon.py). Neighbouring suffixes that agree in `length` bytes are one string;
-   its smallest id goes back to the blocks, which remove bytes in a last pass.
-
-Matches within classes rest on 64-bit hashes, all others on the bytes themselves. The
-texts are dealt once by a hash of id and text; all passes read that exchange. A stretch
-that many documents share is sent once a block, and to be sorted once in all.
+   An anchor that many blocks have, or that has many different runs in one, is hot.
+2. Blocks sketch the windows of hot anchors. Those that can't repeat drop out too, so that
+   what each document has beside a passage that many share isn't sent.
+3. The rest is sent as stretches of bytes to the anchor's task, each distinct one once a block.
+4. There, stretches that are equal byte for byte become one, with the smallest id. The
+   stretches of each anchor are one text, whose suffix array is built by linear grouping
+   (lyndon.py). Neighbouring suffixes that agree in `length` bytes are one string; which
+   windows have a smaller id elsewhere goes back to the blocks, which remove bytes in a last pass.
+
+Hashes choose what meets; what is removed is decided by the bytes alone. The texts are dealt
+once, by a hash of id and text, salted so that repeated rows spread; all passes read that
+exchange, each block in one order, so that places in it mean the same in all of them.
 
 Cases: a null text is empty; texts shorter than `length` stay as they are; a null id counts
-as larger than any other; rows with one id never take from each other; rows may repeat.
+as larger than any other; rows with one id never take from each other; rows may repeat and
+are all returned; a very long text is a block of its own; an empty table gives none; other
+columns are passed through only if they are carried, so their names can't clash.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orderweave.llm import sketch, textnp
 from orderweave.llm.lyndon import suffix_arrays
-from orderweave.llm.shared import modest_batches, pieces, text_bytes
+from orderweave.llm.shared import block_of, modest_batches, pieces, text_bytes
 
 BLOCK = 2_000_000
 #: Bytes of an anchor's gram.
@@ -41,31 +43,29 @@ GRAM = 24
 PIECE = 1 << 20
 #: Bytes whose suffixes are sorted together.
 SORTED = 1 << 20
+#: Windows of a stretch, at most: in a text that repeats itself a run may be long.
+MOST = 64
+#: An anchor is hot from so many blocks, or distinct runs in a block, on.
+HOT_BLOCKS, HOT_RUNS = 32, 8
 _LAST = np.iinfo(np.int64).max
-_LENGTH = np.uint64(0xD6E8FEB86659FD93)
+_STEP = textnp._STEP[40:44]
 
-CLASS_SCHEMA = "part long, block long, anchors binary, runs binary, ids binary"
-STRETCH_SCHEMA = "part long, block long, anchors binary, runs binary, offsets binary, ids binary, sizes binary, data binary"
-REPLY_SCHEMA = "block long, part long, cells binary, runs binary, ids binary, contested binary, spans binary"
+CELL_SCHEMA = "part long, block long, cells binary, hot binary"
+ANSWER_SCHEMA = "block long, part long, cells binary, hot binary"
+STRETCH_SCHEMA = "part long, block long, anchors binary, sizes binary, data binary, counts binary, places binary, ids binary"
+SPAN_SCHEMA = "block long, spans binary"
 
+#: Hashes of byte spans that choose which stretches are compared.
+hashed = textnp.span_hashes
 
-def _reply(block=(), part=None, cells=None, runs=None, ids=None, contested=None, spans=None) -> pa.Table:
-    n = len(block)
-    kinds = {"part": pa.int64()}
-    columns = {"part": part, "cells": cells, "runs": runs, "ids": ids, "contested": contested, "spans": spans}
-    return pa.table({"block": pa.array(block, pa.int64())} | {c: pa.array(v if v is not None else [None] * n, kinds.get(c, pa.binary())) for c, v in columns.items()})
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    at = np.cumsum(sizes) - sizes
+    return np.repeat(starts - at, sizes) + np.arange(int(sizes.sum()))
 
-def _joined(replies: pa.Table, column: str, kind) -> np.ndarray:
-    found = [np.frombuffer(x, kind) for x in replies[column].to_pylist() if x]
-    return np.concatenate(found) if found else np.zeros(0, kind)
 
-
-def _sums(data: np.ndarray):
-    p, q = textnp.powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(textnp._CODES[data] * p[:-1], out=total[1:])
-    return total, q
+def _binary(parts: list) -> pa.Array:
+    return pa.array([x.tobytes() for x in parts], pa.binary())
 
 
 def _valid(n: int, cuts: np.ndarray, length: int) -> np.ndarray:
@@ -81,10 +81,12 @@ def _piece(data: np.ndarray, cuts: np.ndarray, length: int, gram: int):
     n = len(data) - length + 1
     if n <= 0:
         none = np.zeros(0, np.int64)
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
-    total, q = _sums(data)
-    m = total[gram:] - total[:-gram]
-    m *= q[: len(m)]
+        return none, none, none.astype(np.uint64)
+    eight = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), strides=(1,)).copy()
+    width = len(data) - gram + 1
+    m = np.zeros(width, np.uint64)
+    for k, at in enumerate(sorted({*range(0, gram - 7, 8), gram - 8})):
+        m += eight[at : at + width] * _STEP[k % 4]
     m = textnp.mix(m)
     width, span = length - gram + 1, 1
     while 2 * span <= width:
@@ -98,12 +100,11 @@ def _piece(data: np.ndarray, cuts: np.ndarray, length: int, gram: int):
     last = valid.copy()
     last[:-1] &= ~valid[1:] | (m[1:] != m[:-1])
     a, b = np.flatnonzero(first), np.flatnonzero(last)
-    h = (total[b + length] - total[a]) * q[a] + (b - a).astype(np.uint64) * _LENGTH
-    return a, b - a + 1, m[a], textnp.mix(h)
+    return a, b - a + 1, m[a]
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int = GRAM, most: int = PIECE):
-    """Of all texts: the runs' starts, numbers of windows, anchors, hashes."""
+    """Of all texts: the runs' starts, numbers of windows, anchors."""
     found = []
     for lo, hi in textnp.slices(offsets, most):
         a, b = int(offsets[lo]), int(offsets[hi])
@@ -119,124 +120,152 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int = GRAM, m
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
+def _ordered(table: pa.Table) -> pa.Table:
+    """The rows of a block in an order that depends on nothing but the rows."""
+    return table.sort_by([("id", "ascending"), ("text", "ascending")])
+
+
 def _block(table: pa.Table, length: int):
     data, offsets = textnp.column(table["text"])
-    start, count, anchor, h = runs(data, offsets, length)
+    return data, offsets, *runs(data, offsets, length)
+
+
+def _ids(table: pa.Table, offsets: np.ndarray, starts: np.ndarray) -> np.ndarray:
     ids = table["id"].fill_null(_LAST).to_numpy() if table["id"].null_count else table["id"].to_numpy()
-    return data, offsets, start, count, anchor, h, ids[np.searchsorted(offsets, start, "right") - 1]
+    return ids[np.searchsorted(offsets, starts, "right") - 1]
 
 
 def _slice_of(anchors: np.ndarray, slices: int) -> np.ndarray:
     return sketch.cells_of(anchors, slices) >> sketch.SLICE_BITS
 
 
-def _offered(block: int, anchor, h, ids, slices: int) -> pa.Table:
-    """The distinct runs of a block with their smallest ids, by the anchor's slice."""
-    order = np.lexsort((ids, h))
-    new = np.ones(len(order), bool)
-    new[1:] = h[order][1:] != h[order][:-1]
-    order = order[new]
-    order = order[np.argsort(_slice_of(anchor[order], slices), kind="stable")]
-    anchor, h, ids = anchor[order], h[order], ids[order]
-    rows = sketch.ranges(_slice_of(anchor, slices))
-    return pa.table({"part": pa.array([p for p, _, _ in rows], pa.int64()), "block": pa.array([block] * len(rows), pa.int64())} | {c: pa.array([v[a:b].tobytes() for _, a, b in rows], pa.binary()) for c, v in (("anchors", anchor), ("runs", h), ("ids", ids))})
-
-
-def _classes(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    """Groups equal runs. Tells each block the smaller ids that it hasn't got, and which of its runs have other runs with their anchor and no smaller id."""
-    sizes = [len(x) // 8 for x in rows["runs"].to_pylist()]
-    anchor, h, ids = _joined(rows, "anchors", np.uint64), _joined(rows, "runs", np.uint64), _joined(rows, "ids", np.int64)
-    distinct, at, back = np.unique(h, return_index=True, return_inverse=True)
-    least = np.full(len(distinct), _LAST)
-    np.minimum.at(least, back, ids)
-    _, which, count = np.unique(anchor[at], return_inverse=True, return_counts=True)
-    contested = (count[which] > 1)[back] & (ids == least[back])
-    less = least[back] < ids
-    ends = np.cumsum(sizes)
-    out = []
-    for block, a, b in zip(rows["block"].to_pylist(), ends - sizes, ends, strict=True):
-        own, sent = less[a:b], contested[a:b]
-        if own.any() or sent.any():
-            out.append((block, h[a:b][own].tobytes(), least[back[a:b]][own].tobytes(), h[a:b][sent].tobytes()))
-    return _reply([x[0] for x in out], runs=[x[1] for x in out], ids=[x[2] for x in out], contested=[x[3] for x in out])
-
-
-def _contested(block, replies: pa.Table, length: int):
-    """The block's contested runs, one of each: anchors, hashes, ids, their bytes with offsets, windows' hashes and each window's place in its run."""
-    data, _, start, count, anchor, h, ids = block
-    wanted = np.sort(_joined(replies, "contested", np.uint64))
-    own = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h) if len(wanted) else np.zeros(0, np.int64)
-    order = own[np.lexsort((start[own], ids[own], h[own]))]
+def _busy(data: np.ndarray, start: np.ndarray, count: np.ndarray, anchor: np.ndarray, length: int) -> np.ndarray:
+    """Anchors with HOT_RUNS distinct runs in the block."""
+    distinct, which, number = np.unique(anchor, return_inverse=True, return_counts=True)
+    own = np.flatnonzero(number[which] >= HOT_RUNS)
+    which, h = which[own], hashed(data, start[own], start[own] + count[own] + length - 1)
+    order = np.lexsort((h, which))
+    which, h = which[order], h[order]
+    new = np.ones(len(own), bool)
+    new[1:] = (which[1:] != which[:-1]) | (h[1:] != h[:-1])
+    return distinct[np.bincount(which[new], minlength=len(distinct)) >= HOT_RUNS]
+
+
+def _anchored(block: int, data, start, count, anchor, slices: int, length: int) -> pa.Table:
+    """The block's sketch of anchors, with the cells of busy ones."""
+    cells = sketch.sketch(block, anchor, slices)
+    busy = np.unique(sketch.cells_of(_busy(data, start, count, anchor, length), slices))
+    hot = {p: sketch.encode(busy[a:b] & ((1 << sketch.SLICE_BITS) - 1)) for p, a, b in sketch.ranges(busy >> sketch.SLICE_BITS)}
+    return cells.append_column("hot", pa.array([hot.get(p) for p in cells["part"].to_pylist()], pa.binary()))
+
+
+def _judged(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    """Adds the sketches of a slice; answers each block with those of its cells that repeat, and with the hot ones among them."""
+    own = [np.unique(sketch.decode(x)) for x in rows["cells"].to_pylist()]
+    answers = sketch.merged(key, rows.select(["part", "block", "cells"]))
+    cells, blocks = np.unique(np.concatenate(own), return_counts=True)
+    busy = [sketch.decode(x) for x in rows["hot"].to_pylist() if x]
+    hot = np.union1d(cells[blocks >= HOT_BLOCKS], np.concatenate(busy) if busy else cells[:0])
+    found = [np.intersect1d(sketch.decode(x), hot, assume_unique=True) for x in answers["cells"].to_pylist()]
+    return answers.append_column("hot", pa.array([sketch.encode(x) if len(x) else None for x in found], pa.binary()))
+
+
+def _among(h: np.ndarray, replies: pa.Table, column: str, slices: int) -> np.ndarray:
+    """Which hashes lie in cells that a column of the replies names."""
+    said = replies.filter(replies[column].is_valid())
+    return sketch.repeated(h, pa.table({"part": said["part"], "cells": said[column]}), slices)
+
+
+def _hot_windows(data, start, count, anchor, replies: pa.Table, slices: int, length: int):
+    """Which runs may repeat, which of them are hot; starts and hashes of the windows of hot runs, and their runs."""
+    maybe = np.flatnonzero(_among(anchor, replies, "cells", slices))
+    hot = maybe[_among(anchor[maybe], replies, "hot", slices)]
+    at = _ranges(start[hot], count[hot])
+    return maybe, hot, at, hashed(data, at, at + length), np.repeat(hot, count[hot])
+
+
+def classes(data: np.ndarray, start: np.ndarray, size: np.ndarray, anchor: np.ndarray, together: int = 1 << 15) -> np.ndarray:
+    """For each stretch the first one that has its anchor and the same bytes; hashes choose what is compared."""
+    order, new = sketch.by_key(hashed(data, start, start + size), anchor)
+    out = np.arange(len(start))
+    first = order[new][np.cumsum(new) - 1] if len(order) else order
+    other = first != order
+    a, b = order[other], first[other]
+    fits = size[a] == size[b]
+    a, b = a[fits], b[fits]
+    for lo in range(0, len(a), together):
+        x, y = a[lo : lo + together], b[lo : lo + together]
+        differs = data[_ranges(start[x], size[x])] != data[_ranges(start[y], size[y])]
+        same = ~np.logical_or.reduceat(differs, np.cumsum(size[x]) - size[x])
+        out[x[same]] = y[same]
+    return out
+
+
+def _stretches(block: int, table: pa.Table, data, offsets, start, count, anchor, replies: pa.Table, slices: int, length: int) -> pa.Table:
+    """The runs, or windows joined to stretches, that may repeat, by the anchor's slice: each distinct one with its places and ids."""
+    maybe, hot, at, h, of = _hot_windows(data, start, count, anchor, replies, slices, length)
+    whole = np.setdiff1d(maybe, hot, assume_unique=True)
+    again = _among(h, replies, "windows", slices)
+    at, of = at[again], of[again]
+    new = np.ones(len(at), bool)
+    new[1:] = (of[1:] != of[:-1]) | (at[1:] != at[:-1] + 1)
+    begin = np.flatnonzero(new)
+    a = np.concatenate([start[whole], at[begin]])
+    windows = np.concatenate([count[whole], np.diff(np.append(begin, len(at)))])
+    own = np.concatenate([anchor[whole], anchor[of[begin]]])
+    # No stretch has more than MOST windows.
+    cuts = -(-windows // MOST)
+    a, own, left = np.repeat(a, cuts), np.repeat(own, cuts), np.repeat(windows, cuts)
+    k = np.arange(len(a)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+    a, windows = a + k * MOST, np.minimum(left - k * MOST, MOST)
+
+    size = windows + length - 1
+    rep = classes(data, a, size, own)
+    order = np.lexsort((rep, _slice_of(own, slices)))
+    rep = rep[order]
     new = np.ones(len(order), bool)
-    new[1:] = h[order][1:] != h[order][:-1]
-    own = order[new]
-    sizes = count[own] + length - 1
-    at = np.concatenate([[0], np.cumsum(sizes)])
-    bytes_ = data[np.repeat(start[own] - at[:-1], sizes) + np.arange(at[-1])] if len(own) else np.zeros(0, np.uint8)
-    which = np.repeat(np.arange(len(own)), count[own])
-    place = np.arange(len(which)) - np.repeat(np.cumsum(count[own]) - count[own], count[own])
-    w = np.zeros(0, np.uint64)
-    if len(own):
-        total, q = _sums(bytes_)
-        p = at[which] + place
-        w = textnp.mix((total[p + length] - total[p]) * q[p])
-    return anchor[own], h[own], ids[own], bytes_, at, w, which, place
-
-
-def _stretches(block: int, contested, maybe: np.ndarray, slices: int, length: int) -> pa.Table:
-    """The windows that may repeat, joined to stretches, by the anchor's slice."""
-    anchor, h, ids, data, at, _, which, place = contested
-    which, place = which[maybe], place[maybe]
-    new = np.ones(len(which), bool)
-    new[1:] = (which[1:] != which[:-1]) | (place[1:] != place[:-1] + 1)
-    a = np.flatnonzero(new)
-    b = np.concatenate([a[1:], [len(which)]]) if len(a) else a
-    run, offset, sizes = which[a], place[a], b - a + length - 1
-    order = np.argsort(_slice_of(anchor[run], slices), kind="stable")
-    run, offset, sizes = run[order], offset[order], sizes[order]
-    rows, out = sketch.ranges(_slice_of(anchor[run], slices)), []
-    for p, lo, hi in rows:
-        s = sizes[lo:hi]
-        begin = at[run[lo:hi]] + offset[lo:hi]
-        text = data[np.repeat(begin - (np.cumsum(s) - s), s) + np.arange(int(s.sum()))]
-        out.append((p, block, anchor[run[lo:hi]].tobytes(), h[run[lo:hi]].tobytes(), offset[lo:hi].astype(np.int64).tobytes(), ids[run[lo:hi]].tobytes(), s.astype(np.int64).tobytes(), text.tobytes()))
+    new[1:] = rep[1:] != rep[:-1]
+    begin = np.flatnonzero(new)
+    number = np.diff(np.append(begin, len(order)))
+    one, ids = rep[begin], _ids(table, offsets, a[order]) if len(order) else order
+    part, places, out = _slice_of(own[one], slices), a[order], []
+    for p, lo, hi in sketch.ranges(part):
+        r = one[lo:hi]
+        x, y = begin[lo], begin[hi - 1] + number[hi - 1]
+        out.append((p, block, own[r].tobytes(), size[r].astype("<i4").tobytes(), data[_ranges(a[r], size[r])].tobytes(), number[lo:hi].astype("<i4").tobytes(), places[x:y].astype(np.int64).tobytes(), ids[x:y].tobytes()))
     kinds = {"part": pa.int64(), "block": pa.int64()}
-    names = ("part", "block", "anchors", "runs", "offsets", "ids", "sizes", "data")
+    names = ("part", "block", "anchors", "sizes", "data", "counts", "places", "ids")
     return pa.table({c: pa.array([r[k] for r in out], kinds.get(c, pa.binary())) for k, c in enumerate(names)})
 
 
 def least_ids(anchor: np.ndarray, data: np.ndarray, at: np.ndarray, ids: np.ndarray, length: int) -> list[np.ndarray]:
     """For each stretch the smallest id of each of its windows, among the stretches with its anchor, by suffix arrays."""
     sizes = np.diff(at)
-    _, same, inverse = np.unique(np.stack([textnp.span_hashes(data, at[:-1], at[1:]), anchor]), axis=1, return_index=True, return_inverse=True)
-    inverse = inverse.ravel()
-    best = np.full(len(same), _LAST)
-    np.minimum.at(best, inverse, ids)
-    order = np.lexsort((same, anchor[same]))
-    found: list = [None] * len(same)
+    order = np.argsort(anchor, kind="stable")
+    found: list = [None] * len(order)
     lo = 0
     while lo < len(order):
         # Whole anchors, up to SORTED bytes or one anchor.
-        total = np.cumsum(sizes[same[order[lo:]]] + 2)
+        total = np.cumsum(sizes[order[lo:]] + 2)
         hi = lo + max(1, int(np.searchsorted(total, SORTED, "right")))
-        while hi < len(order) and anchor[same[order[hi]]] == anchor[same[order[hi - 1]]]:
+        while hi < len(order) and anchor[order[hi]] == anchor[order[hi - 1]]:
             hi += 1
         part = order[lo:hi]
-        own, s = same[part], sizes[same[part]]
+        s = sizes[part]
         new = np.ones(len(part), bool)
-        new[1:] = anchor[own][1:] != anchor[own][:-1]
+        new[1:] = anchor[part][1:] != anchor[part][:-1]
         closing = np.concatenate([new[1:], [True]]).astype(np.int64)
         begin = np.cumsum(s + 1 + closing) - (s + 1 + closing)
         n = int((s + 1 + closing).sum())
         symbols = np.ones(n, np.int64)  # 1 ends a stretch, 0 all those of an anchor
-        inside = np.repeat(begin - (np.cumsum(s) - s), s) + np.arange(int(s.sum()))
-        symbols[inside] = data[np.repeat(at[own] - (np.cumsum(s) - s), s) + np.arange(int(s.sum()))].astype(np.int64) + 2
+        inside = _ranges(begin, s)
+        symbols[inside] = data[_ranges(at[part], s)].astype(np.int64) + 2
         symbols[(begin + s + 1)[closing == 1]] = 0
         sa = suffix_arrays(symbols, begin[new])
         # Suffixes that begin with a window, in order; those that agree in a window are neighbours.
         stretch = np.full(n, -1, np.int64)
         windows = s - length + 1
-        starts = np.repeat(begin - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
+        starts = _ranges(begin, windows)
         stretch[starts] = np.repeat(np.arange(len(part)), windows)
         sa = sa[stretch[sa] >= 0]
         view = np.lib.stride_tricks.sliding_window_view(symbols.astype(np.int16), length)
@@ -244,60 +273,65 @@ def least_ids(anchor: np.ndarray, data: np.ndarray, at: np.ndarray, ids: np.ndar
         for c in range(1, len(sa), 1 << 16):
             d = min(len(sa), c + (1 << 16))
             fresh[c:d] = (view[sa[c:d]] != view[sa[c - 1 : d - 1]]).any(axis=1)
-        fresh[1:] |= anchor[own][stretch[sa[1:]]] != anchor[own][stretch[sa[:-1]]]
-        least = np.minimum.reduceat(best[part][stretch[sa]], np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
+        fresh[1:] |= anchor[part][stretch[sa[1:]]] != anchor[part][stretch[sa[:-1]]]
+        least = np.minimum.reduceat(ids[part][stretch[sa]], np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
         at_place = np.empty(n, np.int64)
         at_place[sa] = least
         for k, b, w in zip(part, begin, windows, strict=True):
             found[k] = at_place[b : b + w]
         lo = hi
-    return [found[k] for k in inverse]
+    return found
 
 
-def _sorted_spans(length: int):
+def _covered(length: int):
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        """Tells each block which windows of its stretches have a smaller id elsewhere: run, first window, number."""
-        counts = [len(x) // 8 for x in rows["runs"].to_pylist()]
-        if not sum(counts):
-            return _reply()
-        anchor, h = _joined(rows, "anchors", np.uint64), _joined(rows, "runs", np.uint64)
-        offset, ids, sizes = (_joined(rows, c, np.int64) for c in ("offsets", "ids", "sizes"))
-        least = least_ids(anchor, _joined(rows, "data", np.uint8), np.concatenate([[0], np.cumsum(sizes)]), ids, length)
-        out, k = [], 0
-        for block, n in zip(rows["block"].to_pylist(), counts, strict=True):
-            spans = []
-            for i in range(k, k + n):
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], (least[i] < ids[i]).view(np.int8), [0]])))
-                spans += [(int(h[i].view(np.int64)), int(offset[i] + a), int(b - a)) for a, b in zip(edge[::2], edge[1::2], strict=True)]
-            k += n
-            if spans:
-                out.append((block, np.array(spans, np.int64).tobytes()))
-        return _reply([b for b, _ in out], spans=[s for _, s in out])
+        """Tells each block which windows of its stretches have a smaller id elsewhere: place of the first, number."""
+        anchor, size, data = sketch.joined(rows, "anchors", np.uint64), sketch.joined(rows, "sizes", "<i4").astype(np.int64), sketch.joined(rows, "data", np.uint8)
+        number, place, ids = sketch.joined(rows, "counts", "<i4").astype(np.int64), sketch.joined(rows, "places", np.int64), sketch.joined(rows, "ids", np.int64)
+        n_places = [sum(np.frombuffer(x, "<i4").tolist()) for x in rows["counts"].to_pylist()]
+        start = np.cumsum(size) - size
+        one, which = np.unique(classes(data, start, size, anchor), return_inverse=True)
+        of = np.repeat(which, number)  # the class of each place
+        best = np.full(len(one), _LAST)
+        np.minimum.at(best, of, ids)
+        _, back, several = np.unique(anchor[one], return_inverse=True, return_counts=True)
+        # For each class the smallest ids of its windows: those of the class, if no other has its anchor.
+        windows = size[one] - length + 1
+        at = np.cumsum(windows) - windows
+        least = np.repeat(best, windows)
+        sorted_ = np.flatnonzero(several[back] > 1)
+        if len(sorted_):
+            k = one[sorted_]
+            found = least_ids(anchor[k], data[_ranges(start[k], size[k])], np.concatenate([[0], np.cumsum(size[k])]), best[sorted_], length)
+            least[_ranges(at[sorted_], windows[sorted_])] = np.concatenate(found)
+        out, lo = [], 0
+        for block, m in zip(rows["block"].to_pylist(), n_places, strict=True):
+            c = of[lo : lo + m]
+            w = windows[c]
+            gone = least[_ranges(at[c], w)] < np.repeat(ids[lo : lo + m], w)
+            edge = np.cumsum(w)
+            begin, end = gone.copy(), gone.copy()
+            begin[1:] &= ~gone[:-1]
+            end[:-1] &= ~gone[1:]
+            begin[edge[:-1]] = gone[edge[:-1]]
+            end[edge - 1] = gone[edge - 1]
+            where = (_ranges(place[lo : lo + m], w))[begin]
+            spans = np.stack([where, np.flatnonzero(end) - np.flatnonzero(begin) + 1], axis=1)
+            if len(spans):
+                out.append((block, spans.astype(np.int64)))
+            lo += m
+        return pa.table({"block": pa.array([b for b, _ in out], pa.int64()), "spans": _binary([x for _, x in out])})
 
     return run
 
 
-def _gone(block, replies: pa.Table, length: int) -> np.ndarray:
+def _gone(data: np.ndarray, replies: pa.Table, length: int) -> np.ndarray:
     """Which bytes of a block are removed."""
-    data, _, start, count, _, h, ids = block
-    change = np.zeros(len(data) + 1, np.int64)
-    if len(h):
-        said = replies.filter(pc.greater(pc.binary_length(replies["runs"]), 0))
-        told = pa.table({"hashes": said["runs"], "ids": said["ids"]})
-        hit = sketch.least_of(h, ids, told) < ids
-        np.add.at(change, start[hit], 1)
-        np.add.at(change, (start + count + length - 1)[hit], -1)
-        spans = _joined(replies, "spans", np.int64).reshape(-1, 3)
-        if len(spans):
-            spans = spans[np.argsort(spans[:, 0], kind="stable")]
-            rest = np.flatnonzero(~hit)
-            key = h[rest].view(np.int64)
-            a, b = np.searchsorted(spans[:, 0], key, "left"), np.searchsorted(spans[:, 0], key, "right")
-            which = np.repeat(a - (np.cumsum(b - a) - (b - a)), b - a) + np.arange(int((b - a).sum()))
-            base = np.repeat(start[rest], b - a) + spans[which, 1]
-            np.add.at(change, base, 1)
-            np.add.at(change, base + spans[which, 2] + length - 1, -1)
-    return np.cumsum(change)[:-1] > 0
+    change = np.zeros(len(data) + 1, np.int32)
+    spans = sketch.joined(replies, "spans", np.int64).reshape(-1, 2)
+    np.add.at(change, spans[:, 0], 1)
+    np.add.at(change, spans[:, 0] + spans[:, 1] + length - 1, -1)
+    return np.cumsum(change[:-1], dtype=np.int32) > 0
 
 
 def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -306,34 +340,28 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     _, size = text_bytes(docs, text_col)
     blocks, slices = pieces(size, BLOCK), sketch.n_slices(size // 12 + 1)
     rows = docs.select(
-        F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(blocks)).alias("block"),
+        block_of(F.col(id_col), F.col(text_col), blocks).alias("block"),
         F.col(id_col).cast("long").alias("id"),
         F.col(text_col).cast("string").alias("text"),
         F.struct(F.lit(0).alias("_"), *(F.col(c) for c in carry)).alias("other"),
     )
 
     def anchored(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        return sketch.sketch(key[0].as_py(), _block(table, length)[4], slices)
-
-    def offered(key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table) -> pa.Table:
-        *_, anchor, h, ids = _block(table, length)
-        maybe = sketch.repeated(anchor, replies, slices)
-        return _offered(key[0].as_py(), anchor[maybe], h[maybe], ids[maybe], slices)
+        data, _, start, count, anchor = _block(table, length)
+        return _anchored(key[0].as_py(), data, start, count, anchor, slices, length)
 
     def windowed(key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return sketch.sketch(0, np.zeros(0, np.uint64), slices)
-        return sketch.sketch(key[0].as_py(), _contested(_block(table, length), replies, length)[5], slices)
+        data, _, start, count, anchor = _block(table, length)
+        return sketch.sketch(key[0].as_py(), _hot_windows(data, start, count, anchor, replies, slices, length)[3], slices)
 
     def stretched(key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table) -> pa.Table:
-        found = _contested(_block(table, length), replies, length)
-        cells = replies.filter(pc.is_valid(replies["cells"]))
-        return _stretches(key[0].as_py(), found, sketch.repeated(found[5], cells, slices), slices, length)
+        table = _ordered(table)
+        return _stretches(key[0].as_py(), table, *_block(table, length), replies, slices, length)
 
     def removed(key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table) -> pa.Table:
-        block = _block(table, length)
-        data, offsets = block[:2]
-        gone = _gone(block, replies, length)
+        table = _ordered(table)
+        data, offsets = textnp.column(table["text"])
+        gone = _gone(data, replies, length)
         sums = np.concatenate([[0], np.cumsum(gone)])[offsets]
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
@@ -346,16 +374,14 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table({"id": table["id"], "n_bytes": pa.array(np.diff(offsets), pa.int64()), "n_removed": pa.array(np.diff(sums), pa.int64()), "n_spans": pa.array(np.diff(spans), pa.int64()), "kept": pa.array(kept, pa.binary()), "other": table["other"]})
 
     out = T.StructType([T.StructField("id", T.LongType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType()), T.StructField("other", rows.schema["other"].dataType)])
-    none = (F.lit(None).cast("binary").alias(c) for c in ("runs", "ids", "contested", "spans"))
+    none = F.lit(None).cast("binary")
     dealt = rows.groupBy("block")
-    replies = dealt.applyInArrow(anchored, sketch.CELL_SCHEMA).groupBy("part").applyInArrow(sketch.merged, sketch.REPLY_SCHEMA)
-    offers = dealt.cogroup(replies.groupBy("block")).applyInArrow(offered, CLASS_SCHEMA)
-    classes = offers.groupBy("part").applyInArrow(_classes, REPLY_SCHEMA)
-    cells = dealt.cogroup(classes.groupBy("block")).applyInArrow(windowed, sketch.CELL_SCHEMA).groupBy("part").applyInArrow(sketch.merged, sketch.REPLY_SCHEMA)
-    both = classes.union(cells.select("block", "part", "cells", *none))
+    cells = dealt.applyInArrow(anchored, CELL_SCHEMA).groupBy("part").applyInArrow(_judged, ANSWER_SCHEMA)
+    windows = dealt.cogroup(cells.groupBy("block")).applyInArrow(windowed, sketch.CELL_SCHEMA).groupBy("part").applyInArrow(sketch.merged, sketch.REPLY_SCHEMA)
+    both = cells.select("block", "part", "cells", "hot", none.alias("windows")).union(windows.select("block", "part", none, none, F.col("cells")))
     sent = dealt.cogroup(both.groupBy("block")).applyInArrow(stretched, STRETCH_SCHEMA)
-    spans = sent.groupBy("part").applyInArrow(_sorted_spans(length), REPLY_SCHEMA)
-    done = dealt.cogroup(classes.union(spans).groupBy("block")).applyInArrow(removed, out)
+    spans = sent.groupBy("part").applyInArrow(_covered(length), SPAN_SCHEMA)
+    done = dealt.cogroup(spans.groupBy("block")).applyInArrow(removed, out)
     return done.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept", *(F.col("other")[c].alias(c) for c in carry))
 
 

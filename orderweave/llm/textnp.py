@@ -7,23 +7,27 @@ of bytes other than 0x20 and 0x09-0x0D. Null texts count as empty.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes hashed at a time; the buffers of a piece take some 40 times as much.
+#: Bytes of texts looked at together; the arrays about a piece take some 40 times as much.
 PIECE = 1 << 21
+#: Spans of more bytes than this are hashed one by one.
+LONG = 1024
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 9, 10, 11, 12, 13]] = True
 
 _RNG = np.random.RandomState(20240229)
-_CODES = _RNG.randint(1, 2**63 - 1, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_FOLDED = _CODES.copy()
-_FOLDED[65:91] = _CODES[97:123]
-_BASE = 0x9E3779B97F4A7C17  # odd, and 3 modulo 4, so that swapped bytes differ
-_STEP = _RNG.randint(1, 2**63 - 1, 64, dtype=np.int64).astype(np.uint64) | np.uint64(1)
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_STEP, _OTHER_STEP = (_RNG.randint(1, 2**63 - 1, 64, dtype=np.int64).astype(np.uint64) | np.uint64(1) for _ in range(2))
+_LENGTH = np.uint64(0xD6E8FEB86659FD93)
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+#: The first n of eight bytes.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -36,16 +40,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base and of its inverse modulo 2**64."""
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            _POWERS[k] = np.multiply.accumulate(p)
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
 def column(values) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column and its len + 1 offsets; null is empty."""
     if isinstance(values, pa.ChunkedArray):
@@ -86,36 +80,49 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
-    """64-bit hashes of the given byte spans, which are in order and don't overlap; fold: A-Z as a-z."""
-    out = np.empty(len(starts), np.uint64)
-    codes, lo = _FOLDED if fold else _CODES, 0
-    while lo < len(starts):
-        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + PIECE, "right")))
-        base = int(starts[lo])
-        piece = codes[data[base : int(ends[hi - 1])]]
-        p, q = powers(len(piece) + 1)
-        piece *= p[:-1]
-        total = np.zeros(len(piece) + 1, np.uint64)
-        np.cumsum(piece, out=total[1:])
-        a, b = starts[lo:hi] - base, ends[lo:hi] - base
-        out[lo:hi] = (total[b] - total[a]) * q[a] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        lo = hi
-    return mix(out)
-
-
-def runs(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the given byte spans; fold: A-Z as a-z.
+
+    Eight bytes at a time go into a state that is mixed in between, so no structure of the bytes cancels out.
+    """
+    size = (ends - starts).astype(np.int64)
+    out = mix(size.astype(np.uint64) * _LENGTH + np.uint64(1))
+    if not len(starts):
+        return out
+    if fold:
+        data = _FOLD[data]
+    for i in np.flatnonzero(size > LONG):
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest()
+        out[i] = np.frombuffer(digest, "<u8")[0]
+    eight = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    live = np.flatnonzero((size > 0) & (size <= LONG))
+    at, left, h = starts[live], size[live], out[live]
+    while len(live):
+        h = mix(h ^ (eight[at] & _FIRST[np.minimum(left, 8)]))
+        out[live] = h
+        more = left > 8
+        live, at, left, h = live[more], at[more] + 8, left[more] - 8, h[more]
+    return out
+
+
+def runs(words: np.ndarray, first: np.ndarray, k: int, step: np.ndarray = _STEP) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each text's runs of k words and the first run's index of each text; texts with fewer words have none."""
     n = len(words) - k + 1
     counts = np.maximum(np.diff(first) - k + 1, 0)
+    at = np.concatenate([[0], np.cumsum(counts)])
     if n <= 0 or not counts.any():
-        return np.zeros(0, np.uint64), np.zeros(len(first), np.int64)
-    h = words[:n] * _STEP[0]
+        return np.zeros(0, np.uint64), at
+    h = words[:n] * step[0]
     for j in range(1, k):
-        h += (words[j : j + n] * _STEP[j % 64]) ^ np.uint64(j // 64)
-    at = np.concatenate([[0], np.cumsum(counts)])
+        h += (words[j : j + n] * step[j % 64]) ^ np.uint64(j // 64)
     return mix(h[run_starts(first, counts)]), at
 
 
+def long_runs(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As `runs`, with hashes of 128 bits: their two halves."""
+    h, at = runs(words, first, k)
+    return h, runs(words, first, k, _OTHER_STEP)[0], at
+
+
 def run_starts(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Index of the first word of each run, for counts runs a text."""
     at = np.cumsum(counts) - counts

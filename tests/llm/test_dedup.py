@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 from orderweave.llm import near_dedup as near
-from orderweave.llm import sketch
+from orderweave.llm import sketch, textnp
 from orderweave.llm.components import components, near_labels
 from orderweave.llm.near_dedup import near_dedup
 from orderweave.llm.substring_dedup import dedup_substrings
@@ -68,6 +71,37 @@ def test_suffixes_over_many_blocks(spark, monkeypatch, seed):
     assert sorted(map(tuple, got)) == sorted(brute.byte_dedup(rows))
 
 
+def test_suffixes_with_few_hashes(spark, monkeypatch):
+    """Hashes only choose what is compared: with three bits of them the rows are the same."""
+    from orderweave.llm import suffix_dedup
+
+    def few(*a, **k):
+        return textnp.span_hashes(*a, **k) & np.uint64(7)
+
+    rows = corpus(4, 40)
+    got = []
+    for h, hot in ((textnp.span_hashes, 2), (textnp.span_hashes, 4), (few, 2)):
+        monkeypatch.setattr(suffix_dedup, "hashed", h)
+        monkeypatch.setattr(suffix_dedup, "HOT_RUNS", hot)
+        tables = {}
+        for b in range(3):
+            own = pa.table({"id": pa.array([i for i, _ in rows[b::3]], pa.int64()), "text": pa.array([t for _, t in rows[b::3]])})
+            tables[b] = suffix_dedup._ordered(own)
+        slices = 2
+        found = {b: suffix_dedup._block(t, 50) for b, t in tables.items()}
+        sent = pa.concat_tables([suffix_dedup._anchored(b, f[0], *f[2:], slices, 50) for b, f in found.items()])
+        by_part = lambda t, f: [f((pa.scalar(p),), t.filter(pc.equal(t["part"], p))) for p in sorted(set(t["part"].to_pylist()))]
+        cells = pa.concat_tables(by_part(sent, suffix_dedup._judged))
+        own = lambda t, b: t.filter(pc.equal(t["block"], b))
+        windows = pa.concat_tables([sketch.sketch(b, suffix_dedup._hot_windows(f[0], *f[2:], own(cells, b), slices, 50)[3], slices) for b, f in found.items()])
+        windows = pa.concat_tables(by_part(windows, sketch.merged)).rename_columns(["block", "part", "windows"])
+        both = pa.concat_tables([cells, windows], promote_options="default")
+        stretches = pa.concat_tables([suffix_dedup._stretches(b, tables[b], *f, own(both, b), slices, 50) for b, f in found.items()])
+        spans = pa.concat_tables(by_part(stretches, suffix_dedup._covered(50)))
+        got.append({i: int(g.sum()) for b, f in found.items() for i, g in zip(tables[b]["id"].to_pylist(), np.split(suffix_dedup._gone(f[0], own(spans, b), 50), f[1][1:-1]), strict=True)})
+    assert got[0] == got[1] == got[2] == {i: n for i, _, n, *_ in brute.byte_dedup(rows)}
+
+
 @pytest.mark.parametrize("shingle, percent", [(3, 85), (5, 80)])
 def test_near(docs, shingle, percent):
     rows, df = docs
@@ -103,14 +137,10 @@ def test_empty_tables_and_null_ids(spark):
 
 
 def test_sketch_loses_nothing():
-    import numpy as np
-
     h = np.random.RandomState(0).randint(0, 2**63, 5000).astype(np.uint64)
     blocks = [np.concatenate([h[:300], h[1000:2000]]), np.concatenate([h[200:400], h[3000:4000]])]
     slices = 3
     tables = [sketch.sketch(b, x, slices) for b, x in enumerate(blocks)]
-    import pyarrow as pa
-
     rows = pa.concat_tables(tables)
     replies = pa.concat_tables([sketch.merged((pa.scalar(p),), rows.filter(pa.compute.equal(rows["part"], p))) for p in set(rows["part"].to_pylist())])
     for b, x in enumerate(blocks):
@@ -118,6 +148,31 @@ def test_sketch_loses_nothing():
         assert yes[np.isin(x, h[200:300])].all() and yes.mean() < 0.5
 
 
+def turned(n: int) -> tuple[str, str]:
+    """Two words of 2**n letters that hashes by powers of an odd base, modulo a power of two, can't tell apart."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_polynomials_confuse(spark):
+    a, b = turned(10)
+    six = " ".join(f"w{k}" for k in range(6))
+    rows = [(1, f"{six} {a} {six} q"), (2, f"{six} {b} {six} q"), (3, f"{six} {a} {six} q"), (4, f"{a} x y"), (5, f"{b} x y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in dedup_substrings(df).collect()} == {1: 0, 2: 0, 3: 14, 4: 0, 5: 0}
+    got = {r.doc_id: r.component_id for r in near_dedup(df, shingle=3, percent=85).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+    found = dedup_suffixes(df).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    assert sorted(map(tuple, found)) == sorted(brute.byte_dedup(rows))
+
+
+def test_equal_first_halves_stay_apart():
+    h, g, ids = np.array([5, 5, 5, 9], np.uint64), np.array([1, 2, 1, 1], np.uint64), np.array([7, 3, 4, 1])
+    assert sketch.least_ids(h, g, ids).tolist() == [4, 3, 4, 1]
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (9, 3), (10, 11), (20, 20)] + [(k, k + 1) for k in range(100, 140)]
     df = spark.createDataFrame(links, "u long, v long")
