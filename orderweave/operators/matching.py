@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderweave.functions import text as X
 
-#: A menu of up to so many names, each of up to 200 characters, is broadcast.
-MENU = 5000
-
 
 def by_prefix(texts: DataFrame, names: DataFrame, n: int = 2) -> DataFrame:
     """text, matched (if a single name has its length and first n characters), candidates. Names are grouped first, so a text meets one row."""
@@ -18,14 +17,48 @@ def by_prefix(texts: DataFrame, names: DataFrame, n: int = 2) -> DataFrame:
     return joined.select("text", F.when(F.col("c") == 1, F.col("only")).alias("matched"), F.coalesce("c", F.lit(0)).alias("candidates"))
 
 
+def _few(text: Column, least: float) -> Column:
+    """Characters, numbered where they repeat, of which a text shares at least one with every text that is alike enough.
+
+    Above `least` two texts of n and m characters share more than s = least / 200 * (n + m) of them, so each is at most
+    1 / s' - 1 times as long as the other, s' = least / 200. A text of n then shares more than n * s' / (1 - s') characters,
+    and of both texts' characters, in one order, the first that are shared lie within the first n less so many.
+    """
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    sorted_ = F.array_sort(chars)
+    numbered = F.transform(sorted_, lambda c, i: F.concat(c, (i - F.array_position(sorted_, c) + 1).cast("string")))
+    part = least / 200 / (1 - least / 200)
+    return F.slice(F.reverse(numbered), 1, F.greatest(F.size(numbered) - F.floor(F.size(numbered) * part).cast("int"), F.lit(0)))
+
+
 def most_similar(texts: DataFrame, menu: DataFrame, least: float = 40.0) -> DataFrame:
     """text, name, score of each distinct text's most similar name above `least`; ties go to the name that the menu lists first. menu: name, pos.
 
-    The distinct texts are a query set that is held against the whole menu; each pair's
-    similarity is computed once, and a maximum is kept before the shuffle.
+    Only pairs that share a character which they must share, and whose lengths allow it, are scored; none that is above `least` is lost.
     """
-    small = menu.limit(MENU + 1).count() <= MENU and not menu.where(F.length("name") > 200).limit(1).count()
-    pairs = texts.select("text").distinct().crossJoin(F.broadcast(menu) if small else menu)
+    least = max(least, 1e-9)
+    t = texts.where("text is not null").select("text").distinct().withColumn("_key", F.explode(F.array_distinct(_few(F.col("text"), least))))
+    m = menu.where("name is not null").groupBy("name").agg(F.min("pos").alias("pos")).withColumn("_key", F.explode(F.array_distinct(_few(F.col("name"), least))))
+    short, long = F.least(F.length("text"), F.length("name")), F.greatest(F.length("text"), F.length("name"))
+    pairs = t.join(m, "_key").where(short * 200 > (short + long) * least).select("text", "name", "pos").distinct()
     scored = pairs.withColumn("score", X.indel_ratio(F.col("text"), F.col("name"))).where(F.col("score") > least)
     best = scored.groupBy("text").agg(F.max_by(F.struct("name", "score"), F.struct(F.col("score"), -F.col("pos"))).alias("b"))
     return best.select("text", "b.name", "b.score")
+
+
+def best_name(texts: DataFrame, menu: DataFrame, prefixes: Sequence[str], n: int = 2, least_special: float = 35.0, least: float = 40.0) -> DataFrame:
+    """text, name, score of each distinct text. Texts that begin with one of prefixes look alike: of names of their length and with
+    their first n characters the only one scores 100, of several the most similar counts above least_special. What that
+    leaves open, and all other texts, take the most similar name above least. Texts and names are normalised already.
+    """
+    distinct = texts.select("text").distinct()
+    special = F.lit(False)
+    for p in prefixes:
+        special = special | F.col("text").startswith(p)
+    names = menu.groupBy("name").agg(F.min("pos").alias("pos"))
+    like = distinct.where(special).withColumn("_len", F.length("text")).withColumn("_pre", F.substring("text", 1, n))
+    pairs = like.join(names.withColumn("_len", F.length("name")).withColumn("_pre", F.substring("name", 1, n)), ["_len", "_pre"])
+    pairs = pairs.withColumn("score", X.indel_ratio(F.col("text"), F.col("name")))
+    best = pairs.groupBy("text").agg(F.count(F.lit(1)).alias("c"), F.max_by(F.struct("name", "score"), F.struct(F.col("score"), -F.col("pos"))).alias("b"))
+    found = best.select("text", "b.name", F.when(F.col("c") == 1, 100.0).otherwise(F.col("b.score")).alias("score"), "c").where((F.col("c") == 1) | (F.col("score") > least_special)).drop("c")
+    return found.union(most_similar(distinct.join(found.select("text"), "text", "left_anti"), menu, least))

@@ -1,6 +1,6 @@
 """The queries of the order verification operators, by name, and their SQL."""
 
-from orderweave.plans import flows, frames, orders, texts  # noqa: F401  they register their queries
+from orderweave.plans import flows, frames, orders, texts, tickets  # noqa: F401  they register their queries
 from orderweave.plans.base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
