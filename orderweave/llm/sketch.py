@@ -4,7 +4,7 @@ Texts lie in blocks of bounded size. Each block sketches the hashes of its windo
 as a count-min row: a hash adds one to its cell, of which there are `CELLS` for each
 window of the corpus, so the row grows with the input and keeps its error. A block
 touches few cells, so it sends only those, cut into slices of the row and coded as
-gaps of two bytes; counts stop at two. Merging the sketches of a slice adds counts:
+gaps of two bytes, or of four once a block's cells lie far apart; counts stop at two. Merging the sketches of a slice adds counts:
 a cell's sum is at least the count of each hash in it. The answer to a block is
 which of its cells reached two. No window that occurs twice is ever lost, and a
 window that occurs once passes with a chance of about 1 / CELLS.
@@ -29,18 +29,22 @@ def n_slices(windows: int) -> int:
 
 
 def encode(cells: np.ndarray) -> bytes:
-    """Sorted cells of a slice as gaps in two bytes; a gap of 65535 or more takes several."""
+    """Sorted cells of a slice as gaps, in four bytes each where they lie far apart, else in two, of which a gap of 65535 or more takes several; the first byte says which."""
     gaps = np.diff(cells, prepend=0)
+    if len(gaps) and gaps.mean() > _ESCAPE / 2:
+        return b"\4" + gaps.astype("<u4").tobytes()
     over, rest = gaps // _ESCAPE, gaps % _ESCAPE
     if not over.any():
-        return rest.astype("<u2").tobytes()
+        return b"\2" + rest.astype("<u2").tobytes()
     out = np.full(int(over.sum()) + len(cells), _ESCAPE, "<u2")
     out[np.cumsum(over + 1) - 1] = rest
-    return out.tobytes()
+    return b"\2" + out.tobytes()
 
 
 def decode(raw: bytes) -> np.ndarray:
-    gaps = np.frombuffer(raw, "<u2")
+    if raw[0] == 4:
+        return np.cumsum(np.frombuffer(raw, "<u4", offset=1), dtype=np.int64)
+    gaps = np.frombuffer(raw, "<u2", offset=1)
     return np.cumsum(gaps, dtype=np.int64)[gaps != _ESCAPE]
 
 

@@ -8,7 +8,7 @@ long; equal windows have equal anchors, so all that can match lies in runs of on
    An anchor that many blocks have, or that has many different runs in one, is hot.
 2. Blocks sketch the windows of hot anchors. Those that can't repeat drop out too, so that
    what each document has beside a passage that many share isn't sent.
-3. The rest is sent as stretches of bytes to the anchor's task, each distinct one once a block.
+3. The rest is sent as stretches of bytes, compressed, to the anchor's task, each distinct one once a block.
 4. There, stretches that are equal byte for byte become one, with the smallest id. The
    stretches of each anchor are one text, whose suffix array is built by linear grouping
    (lyndon.py). Neighbouring suffixes that agree in `length` bytes are one string; which
@@ -232,7 +232,7 @@ def _stretches(block: int, table: pa.Table, data, offsets, start, count, anchor,
     for p, lo, hi in sketch.ranges(part):
         r = one[lo:hi]
         x, y = begin[lo], begin[hi - 1] + number[hi - 1]
-        out.append((p, block, own[r].tobytes(), size[r].astype("<i4").tobytes(), data[_ranges(a[r], size[r])].tobytes(), number[lo:hi].astype("<i4").tobytes(), places[x:y].astype(np.int64).tobytes(), ids[x:y].tobytes()))
+        out.append((p, block, own[r].tobytes(), size[r].astype("<i4").tobytes(), pa.compress(data[_ranges(a[r], size[r])].tobytes(), "zstd", asbytes=True), number[lo:hi].astype("<i4").tobytes(), places[x:y].astype(np.int64).tobytes(), ids[x:y].tobytes()))
     kinds = {"part": pa.int64(), "block": pa.int64()}
     names = ("part", "block", "anchors", "sizes", "data", "counts", "places", "ids")
     return pa.table({c: pa.array([r[k] for r in out], kinds.get(c, pa.binary())) for k, c in enumerate(names)})
@@ -286,7 +286,8 @@ def least_ids(anchor: np.ndarray, data: np.ndarray, at: np.ndarray, ids: np.ndar
 def _covered(length: int):
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         """Tells each block which windows of its stretches have a smaller id elsewhere: place of the first, number."""
-        anchor, size, data = sketch.joined(rows, "anchors", np.uint64), sketch.joined(rows, "sizes", "<i4").astype(np.int64), sketch.joined(rows, "data", np.uint8)
+        anchor, size = sketch.joined(rows, "anchors", np.uint64), sketch.joined(rows, "sizes", "<i4").astype(np.int64)
+        data = np.concatenate([np.frombuffer(pa.decompress(x, int(np.frombuffer(n, "<i4").sum()), "zstd"), np.uint8) for x, n in zip(rows["data"].to_pylist(), rows["sizes"].to_pylist(), strict=True)])
         number, place, ids = sketch.joined(rows, "counts", "<i4").astype(np.int64), sketch.joined(rows, "places", np.int64), sketch.joined(rows, "ids", np.int64)
         n_places = [sum(np.frombuffer(x, "<i4").tolist()) for x in rows["counts"].to_pylist()]
         start = np.cumsum(size) - size

@@ -168,6 +168,11 @@ def test_words_that_polynomials_confuse(spark):
     assert sorted(map(tuple, found)) == sorted(brute.byte_dedup(rows))
 
 
+def test_cells_are_coded_without_loss():
+    for cells in ([0], [5, 6, 7], [1, 70000, 200000], [65535, 131070], [1 << 23, (1 << 24) - 1], [], list(range(0, 1 << 24, 100_000))):
+        assert sketch.decode(sketch.encode(np.array(cells, np.int64))).tolist() == cells
+
+
 def test_equal_first_halves_stay_apart():
     h, g, ids = np.array([5, 5, 5, 9], np.uint64), np.array([1, 2, 1, 1], np.uint64), np.array([7, 3, 4, 1])
     assert sketch.least_ids(h, g, ids).tolist() == [4, 3, 4, 1]
