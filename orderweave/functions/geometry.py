@@ -148,6 +148,19 @@ def _areas(p: np.ndarray) -> np.ndarray:
     return np.abs((m[..., 0] * nxt[..., 1] - nxt[..., 0] * m[..., 1]).sum(axis=1)) / 2
 
 
+def quad_overlaps(p: list, q: list) -> np.ndarray:
+    """Overlap of each of p with each of q, over their union; pairs whose circles don't meet aren't clipped."""
+    out = np.zeros((len(p), len(q)))
+    if len(p) and len(q):
+        a, b = np.asarray(p, float), np.asarray(q, float)
+        ca, cb = (m.reshape(-1, 4, 2).mean(axis=1) for m in (a, b))
+        ra, rb = (np.sqrt(((m.reshape(-1, 4, 2) - c[:, None]) ** 2).sum(axis=2)).max(axis=1) for m, c in ((a, ca), (b, cb)))
+        i, j = np.nonzero(((ca[:, None] - cb[None]) ** 2).sum(axis=2) < (ra[:, None] + rb[None]) ** 2)
+        both = clipped_area(a[i], b[j])
+        out[i, j] = both / (_areas(a[i]) + _areas(b[j]) - both + 1e-9)
+    return out
+
+
 @F.pandas_udf(T.DoubleType())
 def quad_iou(p: pd.Series, q: pd.Series) -> pd.Series:
     """Overlap of convex quadrilaterals over their union; null where one is null."""

@@ -46,6 +46,19 @@ class Tables:
         boxed = G.box(F.col("cell") % 10 * 10, F.floor(F.col("cell") / 10) * 10, F.col("value") % 20 + 5, F.col("det") % 15 + 5, F.col("det") % 8 * (F.lit(3.141592653589793) / 16))
         return e.withColumn("box", boxed)
 
+    @property
+    def frame_detections(self) -> DataFrame:
+        """Detections of a table under a camera, four events a frame: session, frame, det, cls, quad. Things stay about where they are, and shake a little."""
+        e = self.events.select("event_id", "user_id", "ts", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
+        n = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+        kind = F.create_map(*(F.lit(v) for p in {"view": "tray", "signup": "order_ticket", "click": "order_sticker", "purchase": "sesame_front", "error": "sesame_back"}.items() for v in p))
+        e = e.withColumn("frame", F.floor(n / 4)).withColumn("cls", kind[F.col("event_type")])
+        shake, place = F.col("value") % 8, F.col("k") % 2
+        cx = F.when(F.col("cls") == "tray", 100 + place * 200).when(F.col("cls") == "order_ticket", 60 + place * 200).otherwise(140 + place * 200) + shake
+        w = F.when(F.col("cls") == "tray", 160.0).otherwise(40.0)
+        box = G.box(cx, 100 + shake / 2, w, F.when(F.col("cls") == "tray", 120.0).otherwise(30.0), F.lit(0.1))
+        return e.select(F.col("user_id").alias("session"), "frame", F.col("event_id").alias("det"), "cls", G.corners(box).alias("quad"))
+
     @property
     def ticket_lines(self) -> DataFrame:
         """Lines of tickets, numbered from 0: ticket, line, name, quantity, kind (0: the number leads, 1: it stands beside, 2: it is left out, 3: too faint to be read)."""
