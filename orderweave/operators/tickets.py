@@ -87,7 +87,7 @@ def read(boxes: DataFrame, layout: Layout = Layout()) -> DataFrame:
     for p in layout.prefixes:
         prefixed = prefixed | F.col("text").startswith(p)
     scored = F.col("score") >= F.when(prefixed, layout.prefix_score).otherwise(layout.box_score)
-    inside = F.coalesce((F.col("cy") >= top) & F.col("cx").between(left - layout.left, right + layout.right), F.lit(True))
+    inside = top.isNull() | ((F.col("cy") >= top) & F.col("cx").between(left - layout.left, right + layout.right))
     return rows.where(scored & inside).withColumn("order_number", F.col("_first._number")).drop("_clean", "_number", "_area", "_count", "_first", "_header")
 
 
