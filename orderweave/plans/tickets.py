@@ -11,12 +11,12 @@ from orderweave.plans.base import query
 from orderweave.sources.tables import Tables
 
 #: The lines that the boxes were written from: reading a ticket gives them back.
-_LINES = """l AS (SELECT l_orderkey AS ticket, l_partkey, CAST(l_quantity AS INTEGER) AS quantity,
+LINES = """l AS (SELECT l_orderkey AS ticket, l_partkey, CAST(l_quantity AS INTEGER) AS quantity,
   CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) - 1 AS INTEGER) AS line FROM lineitem),
-k AS (SELECT ticket, line, quantity, replace(p_name, ' ', '') AS item, CASE WHEN (ticket + line) % 11 = 0 THEN 3 ELSE (ticket + line) % 3 END AS kind FROM l JOIN part ON l_partkey = p_partkey)"""
+k AS (SELECT ticket, line, quantity, p_name AS name, replace(p_name, ' ', '') AS item, CASE WHEN (ticket + line) % 11 = 0 THEN 3 ELSE (ticket + line) % 3 END AS kind FROM l JOIN part ON l_partkey = p_partkey)"""
 
 
-@query("ticket_parse", f"""WITH {_LINES} SELECT ticket, CAST(row_number() OVER (PARTITION BY ticket ORDER BY line) AS INTEGER) AS text_row, item,
+@query("ticket_parse", f"""WITH {LINES} SELECT ticket, CAST(row_number() OVER (PARTITION BY ticket ORDER BY line) AS INTEGER) AS text_row, item,
   CASE WHEN kind = 2 THEN 1 ELSE quantity END AS quantity, lpad(CAST(ticket % 1000 AS VARCHAR), 3, '0') AS order_number, kind = 2 OR (kind = 1 AND quantity = 1) AS wants_crop FROM k WHERE kind < 3""")
 def ticket_parse(t: Tables) -> DataFrame:
     """Items and quantities of each ticket, from its turned boxes; the SQL has the lines that they were written from."""
@@ -32,7 +32,7 @@ def ticket_skew(t: Tables) -> DataFrame:
 
 
 @query("text_box_sizes", """SELECT CAST(x1 - x0 AS DOUBLE) AS width, count(*) AS n FROM (SELECT unnest([100, 180, 500]) AS x0, unnest([170, 260, 560]) AS x1 FROM lineitem UNION ALL SELECT 300, 320 FROM l1
-  UNION ALL SELECT unnest([100, 100, 300]), unnest([200, 280, 320]) FROM (SELECT DISTINCT l_orderkey FROM lineitem)) GROUP BY 1""".replace("l1", f"(WITH {_LINES} SELECT * FROM k WHERE kind = 1)"))
+  UNION ALL SELECT unnest([100, 100, 300]), unnest([200, 280, 320]) FROM (SELECT DISTINCT l_orderkey FROM lineitem)) GROUP BY 1""".replace("l1", f"(WITH {LINES} SELECT * FROM k WHERE kind = 1)"))
 def text_box_sizes(t: Tables) -> DataFrame:
     """How many boxes of each width there are, of those that are large enough, corners put in order first."""
     p = t.ticket_boxes.withColumn("p", K.clockwise(F.col("quad")))

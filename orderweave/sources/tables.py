@@ -59,6 +59,30 @@ class Tables:
         box = G.box(cx, 100 + shake / 2, w, F.when(F.col("cls") == "tray", 120.0).otherwise(30.0), F.lit(0.1))
         return e.select(F.col("user_id").alias("session"), "frame", F.col("event_id").alias("det"), "cls", G.corners(box).alias("quad"))
 
+    @property
+    def observations(self) -> DataFrame:
+        """What is read of orders, a second a frame: order, frame, seq, at, kind, ref, number, items. Odd lines stand on a first
+        ticket, even ones on a second, which in every fourth order has another number; every line of a ticket that counts is a
+        sticker, every seventh one of a wrong item that is taken away two frames later; two thirds of the orders leave at the end."""
+        lines = self.ticket_lines.select("ticket", "line", "name")
+        one, several = lambda k: F.lit(k).cast("long"), lambda v: F.array(v).cast("array<string>")
+        number = F.lpad((F.col("ticket") % 1000).cast("string"), 3, "0")
+        none, nothing = F.lit(None).cast("string"), F.array().cast("array<string>")
+
+        def row(frame, seq, kind, ref, num=none, items=nothing):
+            return F.struct(frame.cast("long").alias("frame"), one(seq).alias("seq"), F.lit(kind).alias("kind"), ref.cast("long").alias("ref"), num.alias("number"), items.alias("items"))
+
+        frame = (F.col("line") + 2) * 4
+        odd = (F.col("ticket") * 3 + F.col("line")) % 7 == 0
+        stickers = lines.where("ticket % 4 > 0 or line % 2 = 0").select("ticket", F.explode(F.when(odd, F.array(row(frame, 0, "sticker", F.col("line") + 100, items=several(F.lit("other"))), row(frame + 2, 0, "sticker_gone", F.col("line") + 100), row(frame + 3, 0, "sticker", F.col("line"), items=several(F.col("name"))))).otherwise(F.array(row(frame, 0, "sticker", F.col("line"), items=several(F.col("name")))))).alias("r"))
+        bags = lines.groupBy("ticket").agg(*(F.array_sort(F.collect_list(F.when(F.col("line") % 2 == k, F.col("name")))).alias(n) for k, n in ((0, "a"), (1, "b"))), F.max("line").alias("last"))
+        other = F.when(F.col("ticket") % 4 == 0, F.lit("999")).otherwise(number)
+        end = (F.col("last") + 3) * 4
+        heads = F.array(row(F.lit(0), 0, "seen", F.lit(0)), row(F.lit(1), 0, "ticket", F.lit(1), number, F.col("a")), row(F.lit(9), 0, "ticket", F.lit(2), other, F.col("b")), row(end, 0, "tick", F.lit(0)))
+        ends = F.when(F.col("ticket") % 3 > 0, F.array(row(end + 1, 0, "gone", F.lit(0)))).otherwise(F.slice(heads, 1, 0))
+        rows = stickers.union(bags.select("ticket", F.explode(F.concat(heads, ends)).alias("r")))
+        return rows.select(F.col("ticket").alias("order"), "r.*", F.col("r.frame").cast("double").alias("at"))
+
     @property
     def ticket_lines(self) -> DataFrame:
         """Lines of tickets, numbered from 0: ticket, line, name, quantity, kind (0: the number leads, 1: it stands beside, 2: it is left out, 3: too faint to be read)."""

@@ -26,11 +26,11 @@ def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
     folder = scratch(stream.sparkSession)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/number={number}")
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/orderweave_batch={number}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    rows = stream.sparkSession.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out").drop("number")
+    rows = stream.sparkSession.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out").drop("orderweave_batch")
     if mode == "complete":
         rows = rows.join(rows.agg(F.max("_batch").alias("_batch")), "_batch")
     return rows.drop("_batch")
