@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 RECORD = ("tray_id", "order_number", "start_time", "end_time", "expected_item", "expected_item_count", "checked_item")
+#: With the captures, base64 of pictures that others take.
+FULL_RECORD = (*RECORD, "ticket_capture", "final_tray_capture")
 
 
 def record_field(column: Column, kind: T.DataType) -> Column:
@@ -33,6 +35,17 @@ def write_records(orders: DataFrame, folder: str, day: Column) -> None:
     rows.select("dt", *(c if c in rows.columns else F.lit("").alias(c) for c in kinds.columns)).write.mode("append").partitionBy("dt").option("header", True).csv(folder)
 
 
+def frame_stamps(frames: DataFrame, ts: Column, first_hour: int = 11, last_hour: int = 19) -> DataFrame:
+    """With dt, period (1 for the first working hour) and stamp; frames out of working hours go."""
+    rows = frames.withColumns({"dt": F.date_format(ts, "yyyyMMdd"), "period": (F.hour(ts) - (first_hour - 1)).cast("long"), "stamp": F.date_format(ts, "HH:mm:ss")})
+    return rows.where(F.hour(ts).between(first_hour, last_hour))
+
+
+def write_stamps(frames: DataFrame, folder: str, ts: Column) -> None:
+    """Appends stamps in a folder for each day and period."""
+    frame_stamps(frames, ts).select("dt", "period", "stamp").write.mode("append").partitionBy("dt", "period").csv(folder)
+
+
 def event_messages(events: DataFrame, root: str, topic: str) -> DataFrame:
     """topic, value (JSON of all columns): as message queues take them."""
     return events.select(F.lit(f"{root}/{topic}").alias("topic"), F.to_json(F.struct(*events.columns)).alias("value"))

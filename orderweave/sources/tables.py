@@ -127,6 +127,26 @@ def natural_key(name: Column) -> Column:
     return F.regexp_replace(padded, r"0*(\d{20})(?!\d)", "$1")
 
 
+def next_file_name(stem: Column) -> Column:
+    """The name after a taken one: `_p2`, or the next number if it has one."""
+    number = F.regexp_extract(stem, r"_p(\d+)$", 1)
+    return F.when(number == "", F.concat(stem, F.lit("_p2"))).otherwise(F.concat(F.regexp_replace(stem, r"\d+$", ""), (number.try_cast("int") + 1).cast("string")))
+
+
+def dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """Characters of a recogniser: token, ch. A file with one for each line; 0 is the blank, the last one a space."""
+    whole = spark.read.text(path, wholetext=True)
+    lines = F.split(F.regexp_replace(F.regexp_replace("value", "\r", ""), "\n$", ""), "\n")
+    return whole.select(F.posexplode(F.concat(F.array(F.lit("")), lines, F.array(F.lit(" ")))).alias("token", "ch"))
+
+
+def menu_file(spark: SparkSession, path: str) -> DataFrame:
+    """A menu: pos, name, sub_items, from a JSON array of names with their parts."""
+    schema = "array<struct<name:string,sub_items:array<string>>>"
+    whole = spark.read.text(path, wholetext=True)
+    return whole.select(F.posexplode(F.from_json("value", schema)).alias("pos", "m")).select("pos", "m.name", "m.sub_items")
+
+
 def commands(feed: DataFrame, root: str) -> DataFrame:
     """A feed of topic, payload (JSON) under `root`: cmd, and the fields that are understood; other topics and broken JSON go."""
     cmd = F.lower(F.substring_index("topic", "/", -1))

@@ -225,3 +225,16 @@ def test_late_tickets(spark, tmp_path):
             os.utime(folder / f"{k}.json", (10**9 + k, 10**9 + k))  # files come by their time
         got = runner.finished(order_state.status_events(tables.replay(spark, str(folder), schema))).collect()
         assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_small_sources_and_sinks(spark, tmp_path):
+    (tmp_path / "dict.txt").write_bytes("a\r\nb\nあ\n".encode())
+    assert [(r.token, r.ch) for r in tables.dictionary(spark, str(tmp_path / "dict.txt")).collect()] == [(0, ""), (1, "a"), (2, "b"), (3, "あ"), (4, " ")]
+    (tmp_path / "menu.json").write_text(json.dumps([{"name": "set", "sub_items": ["tea", "rice"]}, {"name": "tea", "sub_items": ["tea"]}]))
+    assert [tuple(r) for r in tables.menu_file(spark, str(tmp_path / "menu.json")).collect()] == [(0, "set", ["tea", "rice"]), (1, "tea", ["tea"])]
+    frames = spark.sql("SELECT timestamp'2024-01-02 11:05:06' AS ts UNION ALL SELECT timestamp'2024-01-02 20:00:00'")
+    sinks.write_stamps(frames, str(tmp_path / "stamps"), F.col("ts"))
+    back = spark.read.schema("stamp string, dt string, period int").csv(str(tmp_path / "stamps")).collect()
+    assert [(r.stamp, r.dt, r.period) for r in back] == [("11:05:06", "20240102", 1)]
+    rows = sinks.order_records(spark.createDataFrame([("7", "abc")], "tray_id string, ticket_capture string"), sinks.FULL_RECORD).collect()
+    assert rows[0].ticket_capture == "abc" and rows[0].final_tray_capture == "" and len(rows[0]) == 9
