@@ -82,9 +82,18 @@ def covariance(b: Column) -> tuple[Column, Column, Column]:
     return p * c * c + q * s * s, p * s * s + q * c * c, (p - q) * c * s
 
 
-def prob_iou(one: Column, two: Column, eps: float = 1e-7) -> Column:
+def gaussian(b: Column) -> Column:
+    """Struct cx, cy, a, b, c: centre and covariance of the Gaussian that a box stands for; computed once a box, where it meets many."""
+    return F.struct(b["cx"].alias("cx"), b["cy"].alias("cy"), *(v.alias(n) for v, n in zip(covariance(b), "abc", strict=True)))
+
+
+def prob_iou(one: Column, two: Column) -> Column:
+    return gaussian_iou(gaussian(one), gaussian(two))
+
+
+def gaussian_iou(one: Column, two: Column, eps: float = 1e-7) -> Column:
     """One less the Hellinger distance of the boxes' Gaussians, by their Bhattacharyya distance."""
-    (a, b, c), (d, e, f) = covariance(one), covariance(two)
+    a, b, c, d, e, f = (g[n] for g in (one, two) for n in "abc")
     va, vb, vc = a + d, b + e, c + f
     det = va * vb - vc * vc
     dx, dy = one["cx"] - two["cx"], one["cy"] - two["cy"]

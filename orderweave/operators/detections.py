@@ -28,7 +28,29 @@ def best(rows: DataFrame, frame: list[str], order: list[Column], k: int) -> Data
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(*frame).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def suppressed(rows: DataFrame, frame: list[str], threshold: float, group: Column, ident: str = "det", score: str = "score", box: str = "box", overlap=G.prob_iou) -> DataFrame:
+def near_pairs(rows: DataFrame, frame: list[str], ident: str = "det", box: str = "box", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of a frame's boxes whose circles meet: frame, ident, box, carry and, of the one with the larger ident, other, other_box and other_ of carry.
+
+    Boxes are sorted into cells as wide as the frame's longest diagonal; those that meet lie in the same cell or in
+    neighbouring ones, of which each pair is looked for in one: a box looks right of, below and at its own.
+    """
+    reach = F.sqrt(F.col(box)["w"] * F.col(box)["w"] + F.col(box)["h"] * F.col(box)["h"])
+    own = rows.select(*frame, ident, box, *carry, reach.alias("_reach"))
+    wide = own.groupBy(*frame).agg(F.greatest(F.max("_reach"), F.lit(1e-9)).alias("_cell"))
+    own = own.join(wide, frame)
+    own = own.withColumn("_x", F.floor(F.col(box)["cx"] / F.col("_cell"))).withColumn("_y", F.floor(F.col(box)["cy"] / F.col("_cell"))).drop("_reach", "_cell")
+    ahead = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1))))
+    seek = own.withColumn("_d", F.explode(ahead)).withColumn("_x", F.col("_x") + F.col("_d.x")).withColumn("_y", F.col("_y") + F.col("_d.y"))
+    other = own.select(*frame, "_x", "_y", F.col(ident).alias("other"), F.col(box).alias("other_box"), *(F.col(c).alias(f"other_{c}") for c in carry))
+    pairs = seek.join(other, [*frame, "_x", "_y"]).where((F.col("other") != F.col(ident)) & ((F.col("other") > F.col(ident)) | (F.col("_d.x") != 0) | (F.col("_d.y") != 0)) & G.in_reach(F.col(box), F.col("other_box")))
+    swap = F.col(ident) > F.col("other")
+    turned = {ident: "other", box: "other_box"} | {c: f"other_{c}" for c in carry}
+    first = [F.when(swap, F.col(o)).otherwise(F.col(c)).alias(c) for c, o in turned.items()]
+    second = [F.when(swap, F.col(c)).otherwise(F.col(o)).alias(o) for c, o in turned.items()]
+    return pairs.select(*frame, *first, *second)
+
+
+def suppressed(rows: DataFrame, frame: list[str], threshold: float, group: Column, ident: str = "det", score: str = "score", box: str = "box") -> DataFrame:
     """Rows without those that a row of the same group with a higher score (ties: smaller ident) overlaps by the threshold or more.
 
     A suppressed row still suppresses others, so it is one anti join within frame and group.
@@ -36,20 +58,20 @@ def suppressed(rows: DataFrame, frame: list[str], threshold: float, group: Colum
     the cell of its centre, and is compared with boxes of the cells around it. A cell is four
     times the longest diagonal of the frame's boxes; beyond that any overlap is below 1e-9.
     """
-    own = rows.withColumn("_group", group).withColumn("_reach", F.sqrt(F.col(box)["w"] * F.col(box)["w"] + F.col(box)["h"] * F.col(box)["h"]))
+    own = rows.withColumn("_group", group).withColumn("_gauss", G.gaussian(F.col(box))).withColumn("_reach", F.sqrt(F.col(box)["w"] * F.col(box)["w"] + F.col(box)["h"] * F.col(box)["h"]))
     wide = own.groupBy(*frame).agg(F.max("_reach").alias("_cell"))
     own = own.join(wide, frame).withColumn("_cell", F.greatest(F.col("_cell") * 4, F.lit(1e-9)))
     own = own.withColumn("_x", F.floor(F.col(box)["cx"] / F.col("_cell"))).withColumn("_y", F.floor(F.col(box)["cy"] / F.col("_cell")))
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    other = own.select(*(F.col(c).alias(f"o_{c}") for c in frame), F.col("_group").alias("o_group"), F.col(ident).alias("o_ident"), F.col(score).alias("o_score"), F.col(box).alias("o_box"), "_x", F.col("_y").alias("o_y"))
+    other = own.select(*(F.col(c).alias(f"o_{c}") for c in frame), F.col("_group").alias("o_group"), F.col(ident).alias("o_ident"), F.col(score).alias("o_score"), F.col("_gauss").alias("o_gauss"), "_x", F.col("_y").alias("o_y"))
     other = other.withColumn("o_x", F.explode(F.transform(near, lambda d: F.col("_x") + d))).drop("_x")
     other = other.withColumn("o_y", F.explode(F.transform(near, lambda d: F.col("o_y") + d)))
     same = F.lit(True)
     for c in frame:
         same = same & (F.col(c) == F.col(f"o_{c}"))
     higher = (F.col("o_score") > F.col(score)) | ((F.col("o_score") == F.col(score)) & (F.col("o_ident") < F.col(ident)))
-    hit = same & (F.col("_group") == F.col("o_group")) & (F.col("_x") == F.col("o_x")) & (F.col("_y") == F.col("o_y")) & higher & (overlap(F.col("o_box"), F.col(box)) >= threshold)
-    return own.join(other, hit, "left_anti").drop("_group", "_reach", "_cell", "_x", "_y")
+    hit = same & (F.col("_group") == F.col("o_group")) & (F.col("_x") == F.col("o_x")) & (F.col("_y") == F.col("o_y")) & higher & (G.gaussian_iou(F.col("o_gauss"), F.col("_gauss")) >= threshold)
+    return own.join(other, hit, "left_anti").drop("_group", "_gauss", "_reach", "_cell", "_x", "_y")
 
 
 def vote(rows: DataFrame, key: list[str], holds: Column, share: float, strict: bool) -> DataFrame:

@@ -48,14 +48,21 @@ def folded(rows: DataFrame, key: list[str], order: list[str], values: list[str],
 
 
 def throttled(rows: DataFrame, key: list[str], at: str, interval: float) -> DataFrame:
-    """Of each key's rows those that come at least `interval` seconds after the last one that was let through; `at`: seconds, in order."""
+    """Of each key's rows those that come at least `interval` seconds after the last one that was let through; `at`: seconds, in order.
 
-    def step(state, row):
-        due = state["last"].isNull() | (row[at] - state["last"] >= interval)
-        return F.struct(F.when(due, row[at]).otherwise(state["last"]).alias("last"), F.when(due, F.concat(state["let"], F.array(row[at]))).otherwise(state["let"]).alias("let"))
+    After a gap of the interval a row is always let through, whatever was before, so the rows are cut there first, and a fold
+    sees only those between two gaps.
+    """
+    w = W.partitionBy(*key).orderBy(at)
+    cut = rows.select(*key, at).withColumn("_new", F.when(F.col(at) - F.lag(at).over(w) < interval, 0).otherwise(1)).withColumn("_cut", F.sum("_new").over(w))
+    times = cut.groupBy(*key, "_cut").agg(F.array_sort(F.collect_list(at)).alias("_at"))
+
+    def step(state, time):
+        due = state["last"].isNull() | (time - state["last"] >= interval)
+        return F.struct(F.when(due, time).otherwise(state["last"]).alias("last"), F.concat(state["let"], F.when(due, F.array(time)).otherwise(F.array().cast("array<double>"))).alias("let"))
 
     start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("let"))
-    return folded(rows, key, [at], [], start, step).select(*key, F.explode("state.let").alias(at))
+    return times.select(*key, F.explode(F.aggregate("_at", start, step)["let"]).alias(at))
 
 
 def row_clusters(rows: DataFrame, key: list[str], order: list[str], at: str, height: str, share: float = 0.5, carry: list[str] | None = None) -> DataFrame:

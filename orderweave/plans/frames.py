@@ -92,23 +92,24 @@ _PAIR = "a.tray = b.tray AND a.day = b.day AND a.det < b.det"
 
 
 def _pairs(t: Tables) -> DataFrame:
-    d = t.detections.select("tray", "day", "det", "box")
-    other = d.select("tray", "day", F.col("det").alias("other"), F.col("box").alias("other_box"))
+    """All pairs of a frame, which holds a few hundred boxes at most: Gaussians have no bounds beyond which they share nothing."""
+    d = t.detections.select("tray", "day", "det", G.gaussian(F.col("box")).alias("gauss"))
+    other = d.select("tray", "day", F.col("det").alias("other"), F.col("gauss").alias("other_gauss"))
     return d.join(other, ["tray", "day"]).where("det < other")
 
 
 @query("aabb_iou", f"""WITH {DETS}, p AS (SELECT a.det, b.det AS other, greatest(least(a.cx + a.w / 2, b.cx + b.w / 2) - greatest(a.cx - a.w / 2, b.cx - b.w / 2), 0) * greatest(least(a.cy + a.h / 2, b.cy + b.h / 2) - greatest(a.cy - a.h / 2, b.cy - b.h / 2), 0) AS i, a.w * a.h + b.w * b.h AS s FROM boxes a JOIN boxes b ON {_PAIR})
 SELECT det, other, round(i / (s - i + 1e-9), 6) AS iou FROM p WHERE i > 0""")
 def aabb_iou(t: Tables) -> DataFrame:
-    rows = _pairs(t).withColumn("iou", G.aligned_iou(F.col("box"), F.col("other_box")))
+    rows = D.near_pairs(t.detections, ["tray", "day"]).withColumn("iou", G.aligned_iou(F.col("box"), F.col("other_box")))
     return rows.where("iou > 0").select("det", "other", F.round("iou", 6).alias("iou"))
 
 
 @query("rotated_iou")
 def rotated_iou(t: Tables) -> DataFrame:
     """Overlap of turned boxes: SQL has no polygon clipping, so tests hold it against a sampled area."""
-    rows = _pairs(t).where(G.in_reach(F.col("box"), F.col("other_box")))
-    rows = rows.select("det", "other", G.quad_iou(G.corners(F.col("box")), G.corners(F.col("other_box"))).alias("iou"))
+    d = t.detections.withColumn("quad", G.corners(F.col("box")))
+    rows = D.near_pairs(d, ["tray", "day"], carry=("quad",)).select("det", "other", G.quad_iou(F.col("quad"), F.col("other_quad")).alias("iou"))
     return rows.where("iou > 0").select("det", "other", F.round("iou", 6).alias("iou"))
 
 
@@ -124,7 +125,7 @@ def _prob_sql(a: str, b: str) -> str:
 
 @query("probiou_pairs", f"WITH {DETS} SELECT det, other, iou FROM (SELECT a.det, b.det AS other, round({_prob_sql('a', 'b')}, 5) AS iou FROM boxes a JOIN boxes b ON {_PAIR}) WHERE iou > 0.01")
 def probiou_pairs(t: Tables) -> DataFrame:
-    rows = _pairs(t).select("det", "other", F.round(G.prob_iou(F.col("box"), F.col("other_box")), 5).alias("iou"))
+    rows = _pairs(t).select("det", "other", F.round(G.gaussian_iou(F.col("gauss"), F.col("other_gauss")), 5).alias("iou"))
     return rows.where("iou > 0.01")
 
 
@@ -316,14 +317,11 @@ def heartbeat(t: Tables) -> DataFrame:
 
 @query("drift_snaps", f"WITH RECURSIVE {_NUMBERED}, f AS (SELECT tray, n, CASE WHEN score < 0.5 THEN 1 ELSE 0 END AS drift, 0 AS snaps FROM o WHERE n = 1 UNION ALL SELECT o.tray, o.n, CASE WHEN o.score >= 0.5 OR f.drift = 2 THEN 0 ELSE f.drift + 1 END, f.snaps + CASE WHEN o.score < 0.5 AND f.drift = 2 THEN 1 ELSE 0 END FROM f JOIN o ON o.tray = f.tray AND o.n = f.n + 1) SELECT tray, CAST(max(snaps) AS INTEGER) AS snaps FROM f GROUP BY 1")
 def drift_snaps(t: Tables) -> DataFrame:
-    """A place is taken over after three sightings off it in a row; then counting begins again."""
-    start = F.struct(F.lit(0).alias("drift"), F.lit(0).alias("snaps"))
-
-    def step(s, row):
-        drift = F.when(row["score"] < 0.5, s["drift"] + 1).otherwise(0)
-        return F.struct(F.when(drift >= 3, 0).otherwise(drift).alias("drift"), (s["snaps"] + F.when(drift >= 3, 1).otherwise(0)).alias("snaps"))
-
-    return R.folded(t.detections, KEY, ORDER, ["score"], start, step).select("tray", F.col("state.snaps").alias("snaps"))
+    """A place is taken over after three sightings off it in a row; then counting begins again: of a run of n, n / 3 times."""
+    off = F.col("score") < 0.5
+    d = t.detections.select("tray", "ts", "det", "score").withColumn("_before", R.prev("score", KEY, ORDER))
+    islands = R.runs(d, KEY, ORDER, off == (F.col("_before") < 0.5)).groupBy("tray", "run").agg(F.any_value("score").alias("score"), F.count(F.lit(1)).alias("n"))
+    return islands.groupBy("tray").agg(F.coalesce(F.sum(F.when(off, F.floor(F.col("n") / 3))), F.lit(0)).cast("int").alias("snaps"))
 
 
 @query("greedy_assignment")

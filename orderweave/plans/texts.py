@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orderweave.functions import decode as C
 from orderweave.functions import text as X
 from orderweave.operators import matching as M
+from orderweave.operators.ranking import numbered
 from orderweave.plans.base import DETS, TOKENS, query
 from orderweave.sources.sinks import event_messages
 from orderweave.sources.tables import Tables, commands, natural_key
@@ -71,7 +71,8 @@ def fuzzy_best_part(t: Tables) -> DataFrame:
 def natural_order(t: Tables) -> DataFrame:
     """File names in the order in which they are replayed."""
     names = t.part.select(F.concat("p_type", F.col("p_size").cast("string")).alias("name")).distinct()
-    return names.withColumn("place", F.row_number().over(W.orderBy(natural_key(F.col("name")), "name")))
+    keyed = names.withColumn("key", natural_key(F.col("name")))
+    return numbered(keyed, [F.col("key"), F.col("name")], "place").select("name", F.col("place").cast("int").alias("place"))
 
 
 @query("command_feed", f"WITH {DETS} SELECT ts, cls AS cmd, CAST(tray AS VARCHAR) AS tray_id, cls AS type, score > 0.5 AS enable FROM dets WHERE cls <> 'error'")
