@@ -1,13 +1,15 @@
 """Quality classifier: a conditional random field labels lines, and their marginals make up a document's score.
 
-It is fitted on the driver from at most `SAMPLE` labelled documents of at most `SAMPLE_BYTES`
-each, taken by a hash of their ids; of those only the line features are collected. Scoring is
-a map over the documents with the fitted weights and shuffles nothing.
+It is fitted on the driver from at most `SAMPLE` labelled documents, taken by a hash of their
+ids until they hold `SAMPLE_BYTES` together; whatever a text's length, it may be among them. Of
+those only the line features are collected, one text for each id. Scoring is a map over the
+documents with the fitted weights and shuffles nothing.
 
 Cases: a null or empty text, or one of white space alone, has no lines and scores the share
 of label 1 in the sample; a null label counts as none; an id with several labels takes the
 smallest; without labels of both kinds all scores are that share; rows may repeat and ids
-may be null; other columns of the input aren't read unless they are carried.
+may be null; a very long text is scored as a whole, alone; an empty table gives none; other
+columns of the input aren't read unless they are carried, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ from pyspark.sql import types as T
 
 from orderweave.llm import crf, textnp
 from orderweave.llm import line_features as lf
-from orderweave.llm.shared import modest_batches, one_text
+from orderweave.llm.shared import modest_batches, one_text, sampled, sparing
 
 SAMPLE = 4000
-SAMPLE_BYTES = 1 << 16
+SAMPLE_BYTES = 1 << 24
 #: Bytes of text looked at together.
 PIECE = 1 << 19
 GOOD = 0.3
@@ -33,11 +35,11 @@ def remainder(id_col: str, mod: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % mod
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int, longest: int = SAMPLE_BYTES) -> DataFrame:
-    """Columns text, label of at most `most` labelled ids, a text for each."""
-    some = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("label"))
-    some = some.orderBy(F.xxhash64("_id"), "_id").limit(most)
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") <= longest)
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """Columns _id, text, label of a sample of labelled ids, a text for each."""
+    ids = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("label"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
+    some = sampled(texts, ids, F.xxhash64("_id"), most, most_bytes)
     return one_text(texts.join(F.broadcast(some), "_id")).select("_id", "text", "label")
 
 
@@ -56,7 +58,7 @@ def _featured(batches):
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = SAMPLE) -> crf.Model:
     """labels: id_col and label_col, 0 or 1. Only the labels given are learnt from."""
     modest_batches(docs.sparkSession)
-    got = labelled_sample(docs, labels, id_col, text_col, label_col, most).mapInArrow(_featured, "id string, label int, lines binary").toArrow()
+    got = labelled_sample(docs, labels, id_col, text_col, label_col, most).mapInArrow(sparing(_featured), "id string, label int, lines binary").toArrow()
     rows = sorted(zip(*(got[c].to_pylist() for c in ("id", "label", "lines")), strict=True))
     x = [np.frombuffer(r[2], np.float32).reshape(-1, lf.RAW + 1) for r in rows]
     first = np.concatenate([[0], np.cumsum([len(a) for a in x])]).astype(np.int64)
@@ -87,7 +89,7 @@ def score(docs: DataFrame, model: crf.Model, text_col: str = "text", carry: tupl
     rows = docs.select(F.col(text_col).cast("string").alias("_text"), F.struct(F.lit(0).alias("_"), *(F.col(c) for c in carry)).alias("_other"))
     line = T.StructType([T.StructField("start", T.LongType()), T.StructField("bytes", T.LongType()), T.StructField("good", T.DoubleType())])
     out = T.StructType([rows.schema["_other"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("lines", T.ArrayType(line)), *([T.StructField("original_text", T.StringType())] if original else [])])
-    scored = rows.mapInArrow(run, out)
+    scored = rows.mapInArrow(sparing(run), out)
     return scored.select(*(F.col("_other")[c].alias(c) for c in carry), "score", "predicted", "lines", *(["original_text"] if original else []))
 
 

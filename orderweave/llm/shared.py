@@ -65,6 +65,22 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def sampled(texts: DataFrame, ids: DataFrame, order: Column, most: int, most_bytes: int) -> DataFrame:
+    """ids (column _id and others), the first `most` in the given order whose texts together don't go beyond `most_bytes`; the text
+    that does so is the last one. No text is left out for its length. texts: _id, text. `most` bounds what the driver sees.
+    """
+    some = ids.orderBy(order, "_id").limit(most)
+    sizes = texts.join(F.broadcast(some), "_id").groupBy("_id").agg(F.max(F.octet_length("text")).alias("size"))
+    total, chosen = 0, []
+    for row in sizes.select("_id", F.coalesce("size", F.lit(0)).alias("size"), order.alias("_order")).toArrow().sort_by([("_order", "ascending"), ("_id", "ascending")]).to_pylist():
+        if total >= most_bytes:
+            break
+        total += row["size"]
+        chosen.append((row["_id"],))
+    keep = ids.sparkSession.createDataFrame(chosen, ids.select("_id").schema)
+    return some.join(F.broadcast(keep), "_id")
+
+
 def one_text(rows: DataFrame) -> DataFrame:
     """Of the rows of an _id one, that with the smallest hash of the text; combined before the shuffle."""
     others = [c for c in rows.columns if c not in ("_id", "text")]

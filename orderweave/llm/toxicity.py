@@ -4,16 +4,19 @@ Positives are confirmed toxic documents, unlabelled is any other text; what is l
 clean counts as unlabelled. A document's features are which words and word beginnings it
 has, hashed. Those that mostly toxic texts have, as far as the two samples tell, are chosen, and linear numpy classifiers are trained on them by the risk
     prior * R(positives as toxic) + max(0, R(unlabelled as clean) - prior * R(positives as clean)),
-where prior is the share of toxic among all labels. When the second term falls below zero,
+where prior is the share of toxic among all labels, taken as at least `LEAST_PRIOR` and at most `MOST_PRIOR`. When the second term falls below zero,
 which shows overfitting, a step is taken against it instead. Several classifiers, each on its
 own part of the unlabelled sample, are averaged.
 
-They are trained on the driver from at most `POSITIVES` and `UNLABELLED` documents of at most
-`SAMPLE_BYTES` each, taken by a hash. Scoring is a map and shuffles nothing.
+They are trained on the driver from at most `POSITIVES` and `UNLABELLED` documents, taken by a
+hash of their ids until they hold `SAMPLE_BYTES` together, one text for each id; whatever a
+text's length, it may be among them. Scoring is a map and shuffles nothing.
 
 Cases: null and empty texts have no features and score what the intercepts give; without
 positives all scores are the prior, or 0 without labels; an id with several labels is toxic
-if one says so; null labels count as none; rows may repeat; ids may be null.
+if one says so; null labels count as none; rows may repeat; ids may be null; a very long text is
+scored as a whole, alone; an empty table gives none; other columns of the input aren't read
+unless they are carried, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -28,11 +31,13 @@ from pyspark.sql import types as T
 
 from orderweave.llm import textnp
 from orderweave.llm.line_quality import remainder
-from orderweave.llm.shared import modest_batches, one_text
+from orderweave.llm.shared import modest_batches, one_text, sampled, sparing
 
 POSITIVES = 2000
 UNLABELLED = 5000
-SAMPLE_BYTES = 1 << 15
+SAMPLE_BYTES = 1 << 25
+#: A share of toxic texts beyond these is taken as one of them: without it the risk has no slope, or no clean side.
+LEAST_PRIOR, MOST_PRIOR = 0.01, 0.5
 CHOSEN = 1024
 #: Bytes of a word's beginning that count as features, besides the whole word.
 BEGINNINGS = (4, 5, 6, 7)
@@ -80,7 +85,7 @@ def _distinct(batches):
 
 
 def _collected(texts: DataFrame) -> list[np.ndarray]:
-    got = texts.mapInArrow(_distinct, "id string, features binary").toArrow()
+    got = texts.mapInArrow(sparing(_distinct), "id string, features binary").toArrow()
     rows = sorted(zip(*(got[c].to_pylist() for c in ("id", "features")), strict=True), key=lambda r: (r[0] or "", r[1]))
     return without_copies([np.frombuffer(r[1], np.uint32) for r in rows])
 
@@ -126,21 +131,27 @@ def chosen(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: flo
     return np.sort(keys[best])
 
 
+def risk(theta: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """With logistic loss: the positives' part prior * R(p as toxic), the rest R(u as clean) - prior * R(p as clean), and their slopes."""
+
+    def part(x, as_toxic: bool):
+        z = np.clip(x @ theta[:-1].astype(np.float32) + theta[-1], -30, 30)
+        loss, slope = (np.logaddexp(0, -z), 1 / (1 + np.exp(-z)) - 1) if as_toxic else (np.logaddexp(0, z), 1 / (1 + np.exp(-z)))
+        n = max(1, len(x))
+        return loss.sum() / n, np.concatenate([slope.astype(np.float32) @ x, [slope.sum()]]) / n
+
+    (toxic, g_toxic), (clean_p, g_clean_p), (clean_u, g_clean_u) = part(p, True), part(p, False), part(u, False)
+    return prior * toxic, clean_u - prior * clean_p, prior * g_toxic, g_clean_u - prior * g_clean_p
+
+
 def train(p: np.ndarray, u: np.ndarray, prior: float, rounds: int = 300, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and intercept by Adam over the non-negative risk with logistic loss."""
+    """Weights and intercept by Adam over the non-negative risk."""
     theta = np.zeros(p.shape[1] + 1)
     theta[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-
-    def mean_slope(x, s):
-        return np.concatenate([s.astype(np.float32) @ x, [s.sum()]]) / max(1, len(x))
-
     for t in range(1, rounds + 1):
-        zp, zu = (np.clip(x @ theta[:-1].astype(np.float32) + theta[-1], -30, 30) for x in (p, u))
-        as_clean = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean() if len(u) else 0.0
-        sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
-        clean = mean_slope(u, su) - prior * mean_slope(p, sp)
-        g = prior * mean_slope(p, sp - 1) + clean if as_clean >= 0 else -clean
+        _, rest, g_toxic, g_rest = risk(theta, p, u, prior)
+        g = g_toxic + g_rest if rest >= 0 or not len(u) else -g_rest
         g[:-1] += decay * theta[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta -= 0.1 * (0.5 + 0.5 * np.cos(np.pi * t / rounds)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -153,15 +164,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     modest_batches(docs.sparkSession)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("label"))
     share = known.agg(F.avg((F.col("label") == 1).cast("double"))).first()[0]
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
-    toxic = known.where("label = 1").orderBy(F.xxhash64("_id"), "_id").limit(positives).select("_id")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
+    toxic = sampled(texts, known.where("label = 1").select("_id"), F.xxhash64("_id"), positives, SAMPLE_BYTES)
     p = _collected(one_text(texts.join(F.broadcast(toxic), "_id")).select(F.col("_id").cast("string").alias("id"), "text"))
     none = Model(np.zeros(0, np.uint32), np.zeros(0), float(np.log(max(share or 0, 1e-6) / (1 - min(share or 0, 1 - 1e-6)))))
     if not p:
         return none
-    some = texts.where("_id is not null").select("_id").distinct().orderBy(F.xxhash64(F.lit(6), "_id"), "_id").limit(unlabelled)
+    some = sampled(texts, texts.where("_id is not null").select("_id").distinct(), F.xxhash64(F.lit(6), "_id"), unlabelled, SAMPLE_BYTES)
     u = _collected(one_text(texts.join(F.broadcast(some), "_id")).select(F.col("_id").cast("string").alias("id"), "text"))
-    prior = float(np.clip(share, 0.01, 0.5))
+    prior = float(np.clip(share, LEAST_PRIOR, MOST_PRIOR))
     keys = chosen(p, u, prior)
     if not len(keys):
         return none
@@ -197,7 +208,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", carry: tuple[st
 
     rows = docs.select(F.col(text_col).cast("string").alias("_text"), F.struct(F.lit(0).alias("_"), *(F.col(c) for c in carry)).alias("_other"))
     out = T.StructType([rows.schema["_other"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("n_marks", T.LongType())])
-    return rows.mapInArrow(run, out).select(*(F.col("_other")[c].alias(c) for c in carry), "score", "predicted", "n_marks")
+    return rows.mapInArrow(sparing(run), out).select(*(F.col("_other")[c].alias(c) for c in carry), "score", "predicted", "n_marks")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

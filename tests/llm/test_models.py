@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from orderweave.llm import crf, line_quality, toxicity
+from orderweave.llm import crf, line_features, line_quality, textnp, toxicity
 
 SCHEMA = "doc_id long, text string, score string, lines string, _other string"
 
@@ -122,3 +124,80 @@ def test_samples_of_repeated_ids(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "_collected", lambda texts: taken.append([tuple(r) for r in texts.collect()]) or [np.arange(3, dtype=np.uint32)] * 3)
     toxicity.fit(docs, labels, unlabelled=21)
     assert [sorted(int(i) for i, _ in part) for part in taken] == [[1, 3, 5, 7, 9], list(range(1, 22))]
+
+
+def test_samples_take_long_texts(spark):
+    """Texts are taken until they hold enough together; a long one isn't passed over."""
+    docs = spark.createDataFrame([(k, "x " * (50000 if k % 3 else 10)) for k in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1) for k in range(30)], "doc_id long, quality int")
+    got = line_quality.labelled_sample(docs, labels, "doc_id", "text", "quality", 100, 500_000).collect()
+    sizes = [len(r.text) for r in got]
+    assert 5 <= sum(s > 1000 for s in sizes) <= 6 and sum(sizes) - 100_000 < 500_000
+    assert len(line_quality.labelled_sample(docs, labels, "doc_id", "text", "quality", 7).collect()) == 7
+
+
+def plain_score(model, text):
+    """A text's score with a line's features from that text alone, and messages one after another."""
+    data = np.frombuffer((text or "").encode(), np.uint8)
+    starts, ends, first = line_features.lines(data, np.array([0, len(data)]))
+    if not len(starts):
+        return model.prior
+    x = line_features.design(line_features.raw(data, starts, ends, first), first)
+    odds = [float(np.dot(row.astype(float), model.weights[:-1].astype(float)) + float(model.weights[-1])) for row in x]
+    own = [np.array([math.exp(-max(-40, min(40, o)) / 2), math.exp(max(-40, min(40, o)) / 2)]) for o in odds]
+    t = np.exp(model.steps)
+    forward = [own[0] / own[0].sum()]
+    for o in own[1:]:
+        a = (forward[-1] @ t) * o
+        forward.append(a / a.sum())
+    backward = [np.ones(2)]
+    for o in own[:0:-1]:
+        b = t @ (o * backward[-1])
+        backward.append(b / b.sum())
+    good = [(f * b)[1] / (f * b).sum() for f, b in zip(forward, backward[::-1], strict=True)]
+    size = ends - starts
+    mean = min(max(float((np.array(good) * size).sum() / size.sum()), 1e-3), 1 - 1e-3)
+    return 1 / (1 + math.exp(-(model.slope * math.log(mean / (1 - mean)) + model.shift)))
+
+
+def test_scores_as_a_plain_version(spark):
+    docs, labels = documents(spark)
+    model = line_quality.fit(docs, labels)
+    got = line_quality.score(docs.select("doc_id", "text"), model, carry=("doc_id", "text")).collect()
+    assert len(got) == 245 and max(abs(r.score - plain_score(model, r.text)) for r in got) < 1e-4
+
+
+def test_toxicity_as_a_plain_version(spark):
+    docs, labels = documents(spark, 400)
+    model = toxicity.fit(docs, labels)
+    weight = dict(zip(model.keys.tolist(), model.weights.tolist(), strict=True))
+
+    def key(piece: str, k: int) -> int:
+        raw = np.frombuffer(piece.lower().encode(), np.uint8)
+        h = textnp.span_hashes(raw, np.array([0]), np.array([len(raw)]))
+        return int((textnp.mix(h + np.uint64(k)) >> np.uint64(32)).astype(np.uint32)[0]) & 0xFFFFFFFE | (k == 0)
+
+    got = toxicity.score(docs, model, carry=("doc_id", "text")).collect()
+    for r in got[:: len(got) // 60]:
+        words = re.findall(r"[A-Za-z0-9]+", r.text or "")
+        found = {key(w, 0) for w in words} | {key(w[:k], k) for w in words for k in toxicity.BEGINNINGS if len(w) > k}
+        z = model.shift + sum(weight.get(k, 0.0) for k in found)
+        assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-9 and r.n_marks == sum(k in weight for k in found)
+
+
+def test_risk_and_its_slope():
+    """The risk is the mean of single losses, and its slope that of small steps."""
+    rng = np.random.RandomState(1)
+    p, u, theta, prior = rng.rand(7, 3).astype(np.float32), rng.rand(11, 3).astype(np.float32), rng.randn(4), 0.2
+    z = lambda x: [float(v) for v in x @ theta[:-1] + theta[-1]]
+    as_toxic = prior * np.mean([math.log1p(math.exp(-v)) for v in z(p)])
+    rest = np.mean([math.log1p(math.exp(v)) for v in z(u)]) - prior * np.mean([math.log1p(math.exp(v)) for v in z(p)])
+    a, b, ga, gb = toxicity.risk(theta, p, u, prior)
+    assert abs(a - as_toxic) < 1e-6 and abs(b - rest) < 1e-6
+    for k in range(4):
+        step = np.eye(4)[k] * 1e-3
+        up, down = toxicity.risk(theta + step, p, u, prior), toxicity.risk(theta - step, p, u, prior)
+        assert abs((up[0] - down[0]) / 2e-3 - ga[k]) < 1e-3 and abs((up[1] - down[1]) / 2e-3 - gb[k]) < 1e-3
+    # Where the rest is negative, a step is taken against it: training ends with a risk that isn't far below zero.
+    w, shift = toxicity.train(p, u[:0], prior)
+    assert np.isfinite(w).all() and np.isfinite(shift)
