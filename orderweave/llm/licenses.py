@@ -10,16 +10,19 @@ text, in order, are matched against `RULES`: a rule names a license, the identif
 must follow each other, others allowed in between, and those that must not occur. Rules are
 ordered; a text's first license is the first rule that it matches, and all are listed.
 
-All this happens within a row, so nothing is shuffled. Only sentences with one of `HINTS`,
-one of which is in every known sentence, are normalised.
+All this happens within a row, so nothing is shuffled. Only sentences with a hint are
+normalised: a few words are chosen from the table given, one of which is in each of its sentences.
 
 Cases: null and empty texts have no identifiers and no license (null); a text with
-identifiers but no matching rule has the license `unknown`; rows may repeat.
+identifiers but no matching rule has the license `unknown`; rows may repeat: a row for each row;
+a very long text is read as a whole; an empty table gives none; other columns of the input
+aren't read, so their names can't clash.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -63,10 +66,50 @@ SENTENCES: dict[str, str] = {
     "licensed under cc0 1.0": "CC0ref",
     "this is free and unencumbered software released into the public domain": "Unlicense",
     "all rights reserved under copyright law": "Reserved",
+    "spdx-license-identifier isc": "ISCref",
+    "spdx-license-identifier 0bsd": "0BSDref",
+    "permission to use copy modify and/or distribute this software for any purpose with or without fee is hereby granted": "0BSDgrant",
+    "spdx-license-identifier gpl-2.0-or-later": "GPL2plus",
+    "spdx-license-identifier gpl-3.0-or-later": "GPL3plus",
+    "spdx-license-identifier lgpl-2.1-only": "LGPL21ref",
+    "spdx-license-identifier lgpl-2.1-or-later": "LGPL21plus",
+    "spdx-license-identifier lgpl-3.0-only": "LGPL3ref",
+    "spdx-license-identifier lgpl-3.0-or-later": "LGPL3plus",
+    "spdx-license-identifier agpl-3.0-only": "AGPL3ref",
+    "spdx-license-identifier agpl-3.0-or-later": "AGPL3plus",
+    "spdx-license-identifier epl-2.0": "EPL2ref",
+    "spdx-license-identifier bsl-1.0": "BSL1ref",
+    "spdx-license-identifier zlib": "Zlibref",
+    "spdx-license-identifier unlicense": "Unlicense",
+    "spdx-license-identifier cc0-1.0": "CC0ref",
+    "spdx-license-identifier mit or apache-2.0": "MITorApache2",
+    "spdx-license-identifier apache-2.0 or mit": "MITorApache2",
+    "this library is free software you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version": "LGPL21plus",
+    "this library is free software you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "LGPL3plus",
+    "this program is free software you can redistribute it and/or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "AGPL3plus",
+    "this program is free software you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation version 2 of the license": "GPL2ref",
+    "this program is free software you can redistribute it and/or modify it under the terms of the gnu general public license version 2 as published by the free software foundation": "GPL2ref",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is available at": "EPL2ref",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v2.0 which accompanies this distribution and is available at": "EPL2ref",
+    "distributed under the boost software license version 1.0": "BSL1ref",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third-parties to whom the software is furnished to do so all subject to the following": "BSL1grant",
+    "this software is provided as-is without any express or implied warranty": "Zlibwarranty",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "Zlibgrant",
+    "altered source versions must be plainly marked as such and must not be misrepresented as being the original software": "Zlibaltered",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "Apache2warranty",
+    "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed": "FSFcopy",
+    "this general public license does not permit incorporating your program into proprietary programs": "GPL2text",
+    "the gnu general public license is a free copyleft license for software and other kinds of works": "GPL3preamble",
+    "the gnu affero general public license is a free copyleft license for software and other kinds of works specifically designed to ensure cooperation with the community in the case of network server software": "AGPL3preamble",
+    "license shall mean the terms and conditions for use reproduction and distribution as defined by sections 1 through 9 of this document": "Apache2text",
 }
 
 #: License, identifiers that follow each other, identifiers that must not occur.
 RULES: list[tuple[str, list[str], list[str]]] = [
+    ("AGPL-3.0-only", ["FSFcopy", "AGPL3preamble"], []),
+    ("GPL-3.0-only", ["FSFcopy", "GPL3preamble"], []),
+    ("GPL-2.0-only", ["FSFcopy", "GPL2text"], []),
+    ("Apache-2.0", ["Apache2text"], []),
     ("MIT", ["MITgrant", "MITnotice", "MITwarranty"], []),
     ("MIT", ["MITgrant", "MITnotice"], ["MITwarranty"]),
     ("ISC", ["ISCgrant"], []),
@@ -91,9 +134,24 @@ RULES: list[tuple[str, list[str], list[str]]] = [
     ("CC0-1.0", ["CC0ref"], []),
     ("Unlicense", ["Unlicense"], []),
     ("all-rights-reserved", ["Reserved"], []),
+    ("ISC", ["ISCref"], ["ISCgrant"]),
+    ("0BSD", ["0BSDgrant"], []),
+    ("0BSD", ["0BSDref"], ["0BSDgrant"]),
+    ("MIT OR Apache-2.0", ["MITorApache2"], []),
+    ("AGPL-3.0-or-later", ["AGPL3plus"], []),
+    ("AGPL-3.0-only", ["AGPL3ref"], []),
+    ("LGPL-3.0-or-later", ["LGPL3plus"], []),
+    ("LGPL-3.0-only", ["LGPL3ref"], []),
+    ("LGPL-2.1-or-later", ["LGPL21plus"], []),
+    ("LGPL-2.1-only", ["LGPL21ref"], []),
+    ("EPL-2.0", ["EPL2ref"], []),
+    ("BSL-1.0", ["BSL1grant"], []),
+    ("BSL-1.0", ["BSL1ref"], ["BSL1grant"]),
+    ("Zlib", ["Zlibwarranty", "Zlibgrant", "Zlibaltered"], []),
+    ("Zlib", ["Zlibgrant"], ["Zlibaltered"]),
+    ("Zlib", ["Zlibref"], ["Zlibgrant"]),
 ]
 
-HINTS = ("licen", "permi", "distrib", "warrant", "copyright", "software", "advertising")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: For both dialects of regular expressions.
 _END = r"([.!?])[ \t\r\n]+|\n[ \t\r]*\n"
@@ -114,6 +172,22 @@ def _normal(sentence: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(low, _OTHER, " "), " +", " "), _EDGES, "")
 
 
+def hints(sentences: dict[str, str]) -> list[str]:
+    """Words of which each sentence has one: again and again the word that most of those without one have, longer ones first."""
+    rest, out = {frozenset(k.split(" ")) for k in sentences}, []
+    while rest:
+        found = Counter(w for words in rest for w in words if w)
+        if not found:
+            break
+        out.append(max(found, key=lambda w: (len(w) > 4, found[w], len(w), w)))
+        rest = {words for words in rest if out[-1] not in words}
+    return out
+
+
+def _hinted(text: Column, sentences: dict[str, str]) -> Column:
+    return text.rlike("(?i)" + "|".join(map(re.escape, hints(sentences)))) if sentences else F.lit(False)
+
+
 def _must(names: list[str]) -> str:
     return "".join(f",{n}(,.*)?" for n in names) + ","
 
@@ -124,8 +198,9 @@ def _may_not(names: list[str]) -> str:
 
 def identifiers(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
     """Array of the identifiers of a text's known sentences, in order."""
+    if not sentences:
+        return F.array().cast("array<string>")
     known = F.create_map(*(x for k, v in sentences.items() for x in (F.lit(re.sub(_VERSION, "v ", k)), F.array(F.lit(v)))))
-    hint = "(?i)" + "|".join(HINTS)
     units = F.split(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, _COMMENT, ""), _VERSION, "v "), _END, "$1\u0001"), "\u0001")
 
     # A sentence is looked up whole and, if unknown, in ever smaller divisions.
@@ -134,7 +209,7 @@ def identifiers(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
         return F.coalesce(found, over(cuts[0](s), *cuts[1:]) if cuts else F.array().cast("array<string>"))
 
     def over(divided: Column, *cuts: Callable[[Column], Column]) -> Column:
-        return F.flatten(F.transform(F.filter(divided, lambda s: s.rlike(hint)), lambda s: looked_up(s, *cuts)))
+        return F.flatten(F.transform(F.filter(divided, lambda s: _hinted(s, sentences)), lambda s: looked_up(s, *cuts)))
 
     pieces = lambda s: F.split(F.regexp_replace(s, _PIECE, "$0\u0001"), "\u0001")
     found = over(units, pieces, lambda s: F.split(s, _PART), lambda s: F.split(s, "\n"))
@@ -144,7 +219,7 @@ def identifiers(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] = SENTENCES, rules: list = RULES) -> DataFrame:
     """Columns id_col, n_sentences (known ones), identifiers and licenses (joined by commas), license (the first). A row for each row of docs."""
     text = F.col(text_col).cast("string")
-    maybe = F.when(text.rlike("(?i)" + "|".join(HINTS)), text)
+    maybe = F.when(_hinted(text, sentences), text)
     rows = docs.select(F.col(id_col).alias("id"), identifiers(maybe, sentences).alias("found"))
     rows = rows.select("id", F.size("found").cast("long").alias("n"), F.array_join("found", ",").alias("found"))
     seq = F.concat(F.lit(","), F.regexp_replace("found", ",", ",,"), F.lit(","))

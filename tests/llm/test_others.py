@@ -121,7 +121,10 @@ def test_licenses(spark):
     df = spark.createDataFrame([(k, t, "clash") for k, t in enumerate(texts)], "doc_id long, text string, license string")
     got = {r.doc_id: (r.identifiers, r.licenses, r.license) for r in licenses.scan(df).collect()}
     assert got == {0: ("MITref", "MIT", "MIT"), 1: ("CCBYNC4ref", "CC-BY-NC-4.0", "CC-BY-NC-4.0"), 2: ("MITgrant,MITnotice", "MIT", "MIT"), 3: ("GPL3ref,MITref", "GPL-3.0-only,MIT", "GPL-3.0-only"), 4: ("BSDgrant", "", "unknown"), 5: ("", "", None), 6: ("", "", None), 7: ("", "", None), 8: ("Apache2ref", "Apache-2.0", "Apache-2.0"), 9: ("MITref", "MIT", "MIT")}
-    assert all(any(h in s for h in licenses.HINTS) for s in licenses.SENTENCES if not s.startswith("spdx")) and all("licen" in s for s in licenses.SENTENCES if s.startswith("spdx"))
+    assert all(any(h in s for h in licenses.hints(licenses.SENTENCES)) for s in licenses.SENTENCES)
+    own = licenses.scan(df.limit(0).union(spark.createDataFrame([(1, "Take it! Or don't.", "")], df.schema)), sentences={"take it": "Take"}, rules=[("Mine", ["Take"], [])]).collect()
+    assert [(r.identifiers, r.license) for r in own] == [("Take", "Mine")]
+    assert licenses.scan(df.where("false")).count() == 0 and [r.license for r in licenses.scan(df.where("doc_id = 0"), sentences={}, rules=[]).collect()] == [None]
     assert {n for _, must, never in licenses.RULES for n in must + never} <= set(licenses.SENTENCES.values())
 
 
@@ -168,6 +171,8 @@ BSD_ADVERT = "3. All advertising materials mentioning features or use of this so
 APACHE_TEXT = ["Copyright 2020 Somebody", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at", "    http://www.apache.org/licenses/LICENSE-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS."]
 GPL = "This program is free software{} you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
 GPL_WARRANTY = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+LESSER = "This {} is free software{} you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+FSF = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
 NOTICES = [
     (MIT_TEXT, "MITgrant,MITnotice,MITwarranty", "MIT"),
     (["Copyright (c) 2020 Somebody", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."], "ISCgrant", "ISC"),
@@ -184,6 +189,20 @@ NOTICES = [
     *(([f"Licensed under {x}."], y, z) for x, y, z in (("CC BY 4.0", "CCBY4ref", "CC-BY-4.0"), ("CC BY-SA 4.0", "CCBYSA4ref", "CC-BY-SA-4.0"), ("CC BY-NC 4.0", "CCBYNC4ref", "CC-BY-NC-4.0"), ("CC BY-ND 4.0", "CCBYND4ref", "CC-BY-ND-4.0"), ("CC0 1.0", "CC0ref", "CC0-1.0"), ("the Apache License, Version 2.0", "Apache2ref", "Apache-2.0"), ("the MIT License", "MITref", "MIT"))),
     *(([f"SPDX-License-Identifier: {x}", "int main() {}"], y, z) for x, y, z in (("MIT", "MITref", "MIT"), ("BSD-2-Clause", "BSD2ref", "BSD-2-Clause"), ("BSD-3-Clause", "BSD3ref", "BSD-3-Clause"), ("Apache-2.0", "Apache2ref", "Apache-2.0"), ("GPL-2.0-only", "GPL2ref", "GPL-2.0-only"), ("GPL-3.0-only", "GPL3ref", "GPL-3.0-only"), ("MPL-2.0", "MPL2ref", "MPL-2.0"))),
     (["All rights reserved under copyright law."], "Reserved", "all-rights-reserved"),
+    *(([f"SPDX-License-Identifier: {x}", "int main() {}"], y, z) for x, y, z in (("ISC", "ISCref", "ISC"), ("0BSD", "0BSDref", "0BSD"), ("GPL-2.0-or-later", "GPL2plus", "GPL-2.0-or-later"), ("LGPL-2.1-only", "LGPL21ref", "LGPL-2.1-only"), ("LGPL-3.0-only", "LGPL3ref", "LGPL-3.0-only"), ("LGPL-3.0-or-later", "LGPL3plus", "LGPL-3.0-or-later"), ("AGPL-3.0-only", "AGPL3ref", "AGPL-3.0-only"), ("EPL-2.0", "EPL2ref", "EPL-2.0"), ("BSL-1.0", "BSL1ref", "BSL-1.0"), ("Zlib", "Zlibref", "Zlib"), ("MIT OR Apache-2.0", "MITorApache2", "MIT OR Apache-2.0"))),
+    (["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."], "0BSDgrant", "0BSD"),
+    ([LESSER.format("library", ";", "Lesser ", ";", "2.1"), "This library is distributed in the hope that it will be useful."], "LGPL21plus", "LGPL-2.1-or-later"),
+    ([LESSER.format("program", ":", "Affero ", ",", "3")], "AGPL3plus", "AGPL-3.0-or-later"),
+    (["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."], "GPL2ref", "GPL-2.0-only"),
+    (["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"], "EPL2ref", "EPL-2.0"),
+    (["Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt)"], "BSL1ref", "BSL-1.0"),
+    (["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"], "BSL1grant", "BSL-1.0"),
+    (["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages.", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:", "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software."], "Zlibwarranty,Zlibgrant,Zlibaltered", "Zlib"),
+    ([*APACHE_TEXT[:3], "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."], "Apache2head,Apache2copy,Apache2warranty", "Apache-2.0"),
+    (["\"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document."], "Apache2text", "Apache-2.0"),
+    ([FSF, "The GNU General Public License is a free, copyleft license for software and other kinds of works.", GPL.format(":", 3)], "FSFcopy,GPL3preamble,GPL3plus", "GPL-3.0-only"),
+    ([FSF, "This General Public License does not permit incorporating your program into proprietary programs."], "FSFcopy,GPL2text", "GPL-2.0-only"),
+    ([FSF, "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software."], "FSFcopy,AGPL3preamble", "AGPL-3.0-only"),
 ]
 
 
@@ -193,7 +212,7 @@ def test_published_notices(spark):
     for paragraphs, found, license in NOTICES:
         for width in (40, 60, 72, 79, 10000):
             for blank in (True, False):
-                lines = [line for p in paragraphs for line in [*(x for part in p.split("\n") for x in textwrap.wrap(part, width, break_on_hyphens=False, break_long_words=False)), *([""] if blank else [])]]
+                lines = [line for p in paragraphs for line in [*(x for part in p.split("\n") for x in [part] * part.startswith("SPDX") or textwrap.wrap(part, width, break_on_hyphens=False, break_long_words=False)), *([""] if blank else [])]]
                 for first, mark, last in (("", "", ""), ("/*", " * ", " */"), ("#", "# ", "#"), ("", "//", ""), ("--", "-- ", "--"), ("", ";; ", "")):
                     want[len(rows)] = (found, license)
                     rows.append((len(rows), "\n".join([first, *((mark + x).rstrip() for x in lines), last])))
