@@ -13,7 +13,8 @@ neighbour is missed in a few cases of a hundred. Every vector is indexed. The
 projections are seeded, so reruns agree; measured recall is in the README.
 
 Cases: see vectors.py; zero vectors take no part; ids that rows share are not told apart;
-only vectors of the query's dimension are candidates; equal distances go to smaller ids.
+only vectors of the query's dimension are candidates; equal distances go to smaller ids; an
+empty table gives none; other columns of the input aren't read, so their names can't clash.
 """
 
 from __future__ import annotations

@@ -7,10 +7,12 @@ shard, and the k-th score found there goes with it to all shards. Shards return
 k rows a query, of which the best k are ranked.
 
 Components are floor(256 x), so scores are exact integers: they are computed in doubles
-where no sum can pass 2**53, else in 64-bit integers. Bounds have room for rounding.
+where no sum can pass 2**53, else in 64-bit integers, else in Python's; a score beyond 64 bits
+is given as the nearest value of 64 bits. Bounds have room for rounding.
 
 Cases: see vectors.py; ids that rows share are not told apart, so neither is the other's
-candidate; only vectors of the query's dimension are candidates; ties go to smaller ids.
+candidate; only vectors of the query's dimension are candidates; ties go to smaller ids; an
+empty table gives none; other columns of the input aren't read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -58,7 +60,8 @@ class Search:
         self.score = np.full((len(q), k), _LEAST)
         self.found = np.full((len(q), k), np.iinfo(np.int64).max)
         top = max(np.abs(x).max(initial=0), np.abs(q).max(initial=0))
-        self.whole = top * top * max(1, x.shape[1]) < 2**53
+        most = float(top) * float(top) * max(1, x.shape[1])
+        self.whole, self.fits = most < 2**53, most < 2**62
 
     def visit(self, node: Ball, who: np.ndarray) -> None:
         who = who[node.bound(self.q[who], self.norms[who]) >= self.least[who]]
@@ -78,8 +81,11 @@ class Search:
             return
         if self.whole:
             s = (self.q[who] @ self.x[rows].T).astype(np.int64)
-        else:
+        elif self.fits:
             s = self.q[who].astype(np.int64) @ self.x[rows].astype(np.int64).T
+        else:
+            a, b = (np.vectorize(int, otypes=[object])(m) for m in (self.q[who], self.x[rows]))
+            s = np.clip(a @ b.T, _LEAST + 1, np.iinfo(np.int64).max).astype(np.int64)
         ids = np.broadcast_to(self.ids[rows], s.shape)
         own = ids == self.q_ids[who][:, None]
         s = np.concatenate([self.score[who], np.where(own, _LEAST, s)], axis=1)
@@ -130,7 +136,7 @@ def op1(spark, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-WITH v AS (SELECT vec_id, embedding FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),
+WITH v AS (SELECT vec_id, embedding FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 e AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM v),
 c AS (SELECT vec_id, i, CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM e),
 s AS (SELECT q.vec_id AS query_id, r.vec_id, CAST(sum(q.x * r.x) AS BIGINT) AS score FROM c q JOIN c r ON q.i = r.i AND q.vec_id % 50 = 0 AND r.vec_id <> q.vec_id GROUP BY 1, 2),

@@ -58,6 +58,13 @@ def test_collision_search(spark, monkeypatch):
     assert hits >= 0.9 * total
 
 
+def test_scores_beyond_64_bits(spark):
+    """Large components are multiplied exactly; what 64 bits can't hold is given as the nearest that they can."""
+    rows = [(0, [3e12, 1.0]), (1, [2e12, 5.0]), (2, [1.0, 1.0]), (3, [-4e12, 0.0])]
+    got = [(r["rank"], r.vec_id, r.score) for r in exact_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    assert sorted(got) == [(1, 1, 2**63 - 1), (2, 2, 256 * 3 * 10**12 * 256 + 65536), (3, 3, -(2**63) + 1)]
+
+
 def test_empty_searches(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert exact_search.top_k(none).count() == collision_search.nearest(none).count() == 0
