@@ -1,6 +1,12 @@
 """From raw documents to token ids: five stages, each over all that the one before kept.
 
-Columns other than doc_id, text, source and n_chars are passed through as they are.
+Columns other than doc_id, text, source and n_chars are passed through as they are, whatever their names.
+
+Cases, in every stage: a null text counts as empty. `quality` keeps a text without lines if the share of label 1 among
+the labels is at least the mark; `near_duplicates` keeps all rows without words or id, and of rows that share an id all or none;
+`substrings` leaves short texts as they are, a null id counts as the largest, so its row loses what others have; `mixture`
+drops rows without words, as nothing is taken of them; `tokens` gives null and empty texts no ids. Ties go to the smaller id.
+Repeated rows are judged alike. Very long texts are read as a whole. An empty table leads to an empty one.
 """
 
 from __future__ import annotations
@@ -58,7 +64,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     extra = F.when(some, F.array_join(F.filter(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), more), " "))
     texts = F.array_compact(F.concat(F.array_repeat("text", whole), F.array(extra)))
-    return _with_text(rows.select("_row.*", F.explode(texts).alias("text")).where("text <> ''"), docs)
+    return _with_text(rows.select("_row", F.explode(texts).alias("text")).select("_row.*", "text").where("text <> ''"), docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
