@@ -171,6 +171,36 @@ def test_pipeline(spark, tmp_path):
     assert sorted((r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in tokens.collect()) == sorted((i, ids(t)) for i, t in read("mixture"))
 
 
+def test_pipeline_with_awkward_rows(spark, tmp_path):
+    """Nulls in every column, repeated rows and ids, a very long text, clashing names, and no rows at all."""
+    import corpus_pipeline as cp
+
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(300)]
+    text = lambda n: " ".join(rng.choices(words, k=n)).capitalize() + "."
+    one = text(60)
+    rows = [(k, text(80), "en", f"s{k % 3}", 1) for k in range(30)] + [(1000, one, "en", "s0", 1)] * 3 + [(1001, one, "en", "s1", 1), (3, text(50), None, None, None), (None, text(70), "en", "s1", 2), (None, None, None, None, None), (40, None, "en", "s0", 0), (41, "", None, "s0", 0), (42, " \n", "en", None, 3), (43, text(90_000), "en", "s2", 4)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(*r, "clash", 1, "clash", True, 2) for r in rows], schema + ", block string, score int, row string, kept boolean, size int")
+    labels = [(k, int(k % 2 == 0), 0) for k in range(30)] + [(None, 1, 1), (5, None, None)]
+    folder = tmp_path / "sf"
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+    for name, start in (("some", docs), ("none", docs.where("false"))):
+        at, columns = start, start.columns
+        for k, (stage, f) in enumerate(cp.STAGES):
+            f(spark, at, str(folder)).write.parquet(str(tmp_path / name / stage))
+            at = spark.read.parquet(str(tmp_path / name / stage))
+            assert at.columns == columns or k == len(cp.STAGES) - 1
+            assert name == "none" or at.count() > 20, stage
+        if name == "none":
+            assert at.count() == 0
+    near = spark.read.parquet(str(tmp_path / "some" / "near_duplicates"))
+    kept = {r.doc_id for r in near.collect()}
+    assert 1001 not in kept and {1000, 43} <= kept and near.where("doc_id is null").count() >= 1
+    tokens = spark.read.parquet(str(tmp_path / "some" / "tokens")).collect()
+    assert all(r.n_tokens > 0 and len(r.ids) == 4 * r.n_tokens for r in tokens)
+
+
 MIT_TEXT = ["MIT License", "Copyright (c) 2020 Somebody", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM."]
 BSD_TEXT = ["Copyright (c) 2020, Somebody", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."]
 BSD_ENDORSE = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
