@@ -27,7 +27,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from orderweave.functions.geometry import quad_overlaps
+from orderweave.functions import geometry as G
+from orderweave.functions.geometry import quad_iou, quad_overlaps
 
 #: Classes that are told apart by sight, and the item that each stands for.
 KNOWN_ITEMS = {
@@ -312,6 +313,23 @@ def stream_tracked(detections: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return _rows(detections).groupBy("session").applyInPandasWithState(run, OUT, "view binary", "append", GroupStateTimeout.NoTimeout)
 
 
+def tickets_by_place(detections: DataFrame, roi: list[float], inside: bool, tickets: tuple[str, ...] = Rules.tickets) -> DataFrame:
+    """Without the tickets whose centre lies on the wrong side of a convex area: with a preset area they must lie in it, with a single order outside; all else stays."""
+    centre = G.centroid(F.col("quad"))
+    holds = G.contains(F.array(*map(F.lit, roi)), centre["x"], centre["y"])
+    return detections.where(~F.coalesce(F.col("cls").isin(*tickets), F.lit(False)) | F.coalesce(holds if inside else ~holds, F.lit(False)))
+
+
+def results_of(results: DataFrame, rows: DataFrame, detections: DataFrame, least: float = 0.1) -> DataFrame:
+    """results (session, frame, quad, others) with the thing of that frame that each belongs to: the first one by track, of tickets,
+    extra tickets and stickers, that the box of the result overlaps enough; results without one go."""
+    seen = rows.where(F.col("kind").isin("ticket", "extra", "sticker") & F.col("det").isNotNull()).select("session", "frame", "kind", "track", "holder", "det")
+    boxes = seen.join(detections.select("session", "frame", "det", F.col("quad").alias("_quad")), ["session", "frame", "det"]).drop("det")
+    numbered = results.withColumn("_of", F.struct(*results.columns))
+    near = numbered.join(boxes, ["session", "frame"]).withColumn("_iou", quad_iou(F.col("quad"), F.col("_quad"))).where(F.col("_iou") > least)
+    return near.groupBy("_of").agg(F.min(F.struct("track", "kind", "holder")).alias("t")).select("_of.*", "t.track", "t.kind", "t.holder")
+
+
 def _rows(detections: DataFrame) -> DataFrame:
     return detections.select(F.col("session").cast("long").alias("session"), F.col("frame").cast("long").alias("frame"), F.col("det").cast("long").alias("det"), "cls", "quad")
 

@@ -25,6 +25,12 @@ def tracked_single(t: Tables) -> DataFrame:
     return K.tracked(t.frame_detections, SINGLE)
 
 
+@query("tracked_in_area")
+def tracked_in_area(t: Tables) -> DataFrame:
+    """One order at a time, whose tickets lie within a preset area."""
+    return K.tracked(K.tickets_by_place(t.frame_detections, [0.0, 0.0, 200.0, 0.0, 200.0, 300.0, 0.0, 300.0], True), SINGLE)
+
+
 @query("recognition_tasks")
 def recognition_tasks(t: Tables) -> DataFrame:
     """What may be read, one thing a frame."""

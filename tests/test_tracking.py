@@ -111,3 +111,16 @@ def test_no_frames(spark):
     shown = [(1, k, 0, "order_ticket", quad(0, 0, 40, 30)) for k in range(9)]
     got = K.tasks(K.tracked(spark.createDataFrame(shown, schema), Rules(mode="single"))).collect()
     assert [(r.frame, r.kind) for r in got] == [(6, "ticket")]
+
+
+def test_places_of_tickets_and_of_results(spark):
+    schema = "session long, frame long, det long, cls string, quad array<double>"
+    a, b, far = quad(0, 0, 40, 30), quad(100, 0, 40, 30), quad(300, 300, 10, 10)
+    dets = spark.createDataFrame([(1, 0, 0, "order_ticket", a), (1, 0, 1, "order_ticket", b), (1, 0, 2, "order_sticker", b), (1, 1, 0, None, far)], schema)
+    roi = [-10.0, -10.0, 60.0, -10.0, 60.0, 60.0, -10.0, 60.0]
+    assert {(r.frame, r.det) for r in K.tickets_by_place(dets, roi, True).collect()} == {(0, 0), (0, 2), (1, 0)}
+    assert {(r.frame, r.det) for r in K.tickets_by_place(dets, roi, False).collect()} == {(0, 1), (0, 2), (1, 0)}
+    rows = K.tracked(dets, Rules(mode="single"))
+    results = spark.createDataFrame([(1, 0, quad(5, 0, 40, 30), "x"), (1, 0, quad(98, 0, 40, 30), "y"), (1, 0, far, "z")], "session long, frame long, quad array<double>, text string")
+    got = {r.text: r.kind for r in K.results_of(results, rows, dets).collect()}
+    assert got == {"x": "ticket", "y": "extra"}
