@@ -132,15 +132,26 @@ def parsed(boxes: DataFrame, menu: DataFrame, layout: Layout = Layout(), counts:
     return rows.select("ticket", "text_row", "item", F.col("quantity").cast("int").alias("quantity"), F.coalesce("order_number", F.lit("000")).alias("order_number"), "crop")
 
 
+def _bound(value: Column, of) -> Column:
+    """of(value), where value is computed once, however often it occurs."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def clockwise(quad: Column) -> Column:
     """Four corners from the upper left on: the least and the largest sum of coordinates are opposite; of the other two the one with the lesser y - x comes second."""
-    p = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.struct((F.get(quad, 2 * i) + F.get(quad, 2 * i + 1)).alias("sum"), i.alias("i"), F.get(quad, 2 * i).alias("x"), F.get(quad, 2 * i + 1).alias("y")))
-    ordered = F.array_sort(p)
-    last = F.array_max(F.transform(p, lambda v: F.struct(v["sum"].alias("sum"), (-v["i"]).alias("i"), v["x"].alias("x"), v["y"].alias("y"))))
-    a, c = F.get(ordered, F.lit(0)), last
-    rest = F.array_sort(F.transform(F.filter(p, lambda v: (v["i"] != a["i"]) & (v["i"] != -c["i"])), lambda v: F.struct((v["y"] - v["x"]).alias("d"), v["i"].alias("i"), v["x"].alias("x"), v["y"].alias("y"))))
-    b, d = F.get(rest, F.lit(0)), F.get(rest, F.lit(1))
-    return F.array(*(v[k] for v in (a, b, c, d) for k in ("x", "y")))
+    corner = lambda q, i: F.struct((F.get(q, 2 * i) + F.get(q, 2 * i + 1)).alias("sum"), i.alias("i"), F.get(q, 2 * i).alias("x"), F.get(q, 2 * i + 1).alias("y"))
+    corners = _bound(quad, lambda q: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: corner(q, i)))
+
+    def ordered(p: Column) -> Column:
+        last = F.aggregate(p, F.get(p, F.lit(0)), lambda best, v: F.when(v["sum"] > best["sum"], v).otherwise(best))
+        return _bound(F.struct(F.array_min(p).alias("a"), last.alias("c"), p.alias("p")), middle)
+
+    def middle(v: Column) -> Column:
+        others = F.filter(v["p"], lambda q: (q["i"] != v["a"]["i"]) & (q["i"] != v["c"]["i"]))
+        rest = F.array_sort(F.transform(others, lambda q: F.struct((q["y"] - q["x"]).alias("d"), q["i"].alias("i"), q["x"].alias("x"), q["y"].alias("y"))))
+        return _bound(rest, lambda r: F.array(*(k[n] for k in (v["a"], F.get(r, F.lit(0)), v["c"], F.get(r, F.lit(1))) for n in ("x", "y"))))
+
+    return _bound(corners, ordered)
 
 
 def clipped(quad: Column, width: Column, height: Column) -> Column:
