@@ -28,21 +28,21 @@ def best(rows: DataFrame, frame: list[str], order: list[Column], k: int) -> Data
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(*frame).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def near_pairs(rows: DataFrame, frame: list[str], ident: str = "det", box: str = "box", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs of a frame's boxes whose circles meet: frame, ident, box, carry and, of the one with the larger ident, other, other_box and other_ of carry.
+def near_pairs(rows: DataFrame, frame: list[str], ident: str = "det", box: str = "box", carry: tuple[str, ...] = (), wide: float = 1.0, meets=G.in_reach) -> DataFrame:
+    """Pairs of a frame's boxes that meet: frame, ident, box, carry and, of the one with the larger ident, other, other_box and other_ of carry.
 
-    Boxes are sorted into cells as wide as the frame's longest diagonal; those that meet lie in the same cell or in
-    neighbouring ones, of which each pair is looked for in one: a box looks right of, below and at its own.
+    Boxes are sorted into cells as wide as `wide` times the frame's longest diagonal, beyond which nothing may meet; those that
+    meet lie in the same cell or in neighbouring ones, of which each pair is looked for in one: a box looks right of, below and at its own.
     """
     reach = F.sqrt(F.col(box)["w"] * F.col(box)["w"] + F.col(box)["h"] * F.col(box)["h"])
     own = rows.select(*frame, ident, box, *carry, reach.alias("_reach"))
-    wide = own.groupBy(*frame).agg(F.greatest(F.max("_reach"), F.lit(1e-9)).alias("_cell"))
-    own = own.join(wide, frame)
+    cells = own.groupBy(*frame).agg(F.greatest(F.max("_reach") * wide, F.lit(1e-9)).alias("_cell"))
+    own = own.join(cells, frame)
     own = own.withColumn("_x", F.floor(F.col(box)["cx"] / F.col("_cell"))).withColumn("_y", F.floor(F.col(box)["cy"] / F.col("_cell"))).drop("_reach", "_cell")
     ahead = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1))))
     seek = own.withColumn("_d", F.explode(ahead)).withColumn("_x", F.col("_x") + F.col("_d.x")).withColumn("_y", F.col("_y") + F.col("_d.y"))
     other = own.select(*frame, "_x", "_y", F.col(ident).alias("other"), F.col(box).alias("other_box"), *(F.col(c).alias(f"other_{c}") for c in carry))
-    pairs = seek.join(other, [*frame, "_x", "_y"]).where((F.col("other") != F.col(ident)) & ((F.col("other") > F.col(ident)) | (F.col("_d.x") != 0) | (F.col("_d.y") != 0)) & G.in_reach(F.col(box), F.col("other_box")))
+    pairs = seek.join(other, [*frame, "_x", "_y"]).where((F.col("other") != F.col(ident)) & ((F.col("other") > F.col(ident)) | (F.col("_d.x") != 0) | (F.col("_d.y") != 0)) & meets(F.col(box), F.col("other_box")))
     swap = F.col(ident) > F.col("other")
     turned = {ident: "other", box: "other_box"} | {c: f"other_{c}" for c in carry}
     first = [F.when(swap, F.col(o)).otherwise(F.col(c)).alias(c) for c, o in turned.items()]
@@ -50,6 +50,15 @@ def near_pairs(rows: DataFrame, frame: list[str], ident: str = "det", box: str =
     return pairs.select(*frame, *first, *second)
 
 
+def near_both(rows: DataFrame, frame: list[str], kind: str, holder: Column, ident: str = "det", box: str = "box") -> DataFrame:
+    """Of the near pairs those of a holder and something else: frame, holder, holder_box, ident, box."""
+    flagged = rows.select(*frame, ident, box, F.coalesce(holder, F.lit(False)).alias(kind))
+    pairs = near_pairs(flagged, frame, ident, box, (kind,)).where(F.col(kind) != F.col(f"other_{kind}"))
+    mine = [F.when(F.col(kind), F.col(c)).otherwise(F.col(o)) for c, o in ((ident, "other"), (box, "other_box"))]
+    theirs = [F.when(F.col(kind), F.col(o)).otherwise(F.col(c)) for c, o in ((ident, "other"), (box, "other_box"))]
+    return pairs.select(*frame, mine[0].alias("holder"), mine[1].alias("holder_box"), theirs[0].alias(ident), theirs[1].alias(box))
+
+
 def suppressed(rows: DataFrame, frame: list[str], threshold: float, group: Column, ident: str = "det", score: str = "score", box: str = "box") -> DataFrame:
     """Rows without those that a row of the same group with a higher score (ties: smaller ident) overlaps by the threshold or more.
 

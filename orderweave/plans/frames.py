@@ -91,13 +91,6 @@ def shoelace_area(t: Tables) -> DataFrame:
 _PAIR = "a.tray = b.tray AND a.day = b.day AND a.det < b.det"
 
 
-def _pairs(t: Tables) -> DataFrame:
-    """All pairs of a frame, which holds a few hundred boxes at most: Gaussians have no bounds beyond which they share nothing."""
-    d = t.detections.select("tray", "day", "det", G.gaussian(F.col("box")).alias("gauss"))
-    other = d.select("tray", "day", F.col("det").alias("other"), F.col("gauss").alias("other_gauss"))
-    return d.join(other, ["tray", "day"]).where("det < other")
-
-
 @query("aabb_iou", f"""WITH {DETS}, p AS (SELECT a.det, b.det AS other, greatest(least(a.cx + a.w / 2, b.cx + b.w / 2) - greatest(a.cx - a.w / 2, b.cx - b.w / 2), 0) * greatest(least(a.cy + a.h / 2, b.cy + b.h / 2) - greatest(a.cy - a.h / 2, b.cy - b.h / 2), 0) AS i, a.w * a.h + b.w * b.h AS s FROM boxes a JOIN boxes b ON {_PAIR})
 SELECT det, other, round(i / (s - i + 1e-9), 6) AS iou FROM p WHERE i > 0""")
 def aabb_iou(t: Tables) -> DataFrame:
@@ -125,8 +118,11 @@ def _prob_sql(a: str, b: str) -> str:
 
 @query("probiou_pairs", f"WITH {DETS} SELECT det, other, iou FROM (SELECT a.det, b.det AS other, round({_prob_sql('a', 'b')}, 5) AS iou FROM boxes a JOIN boxes b ON {_PAIR}) WHERE iou > 0.01")
 def probiou_pairs(t: Tables) -> DataFrame:
-    rows = _pairs(t).select("det", "other", F.round(G.gaussian_iou(F.col("gauss"), F.col("other_gauss")), 5).alias("iou"))
-    return rows.where("iou > 0.01")
+    """Pairs above 0.01: their centres are less than 1.7 longest diagonals apart, as a quarter of the squared distance in units
+    of both covariances is below -ln(1 - 0.99 ** 2), and no variance is above a twelfth of the squared diagonal."""
+    d = t.detections.withColumn("gauss", G.gaussian(F.col("box")))
+    pairs = D.near_pairs(d, ["tray", "day"], carry=("gauss",), wide=1.7, meets=lambda a, b: F.lit(True))
+    return pairs.select("det", "other", F.round(G.gaussian_iou(F.col("gauss"), F.col("other_gauss")), 5).alias("iou")).where("iou > 0.01")
 
 
 _ROI = [15.0, 12.0, 72.0, 18.0, 66.0, 73.0, 11.0, 64.0]
@@ -147,10 +143,10 @@ def point_in_roi(t: Tables) -> DataFrame:
   AND abs((b.cx - a.cx) * cos(a.r) + (b.cy - a.cy) * sin(a.r)) < a.w / 2 - 1e-6 AND abs((b.cy - a.cy) * cos(a.r) - (b.cx - a.cx) * sin(a.r)) < a.h / 2 - 1e-6""")
 def items_in_tray(t: Tables) -> DataFrame:
     """Which items have their centre within which tray of the frame; an item may lie in several."""
-    d = t.detections
-    trays = d.where("cls = 'view'").select("tray", "day", F.col("det").alias("holder"), G.corners(F.struct(F.col("box.cx").alias("cx"), F.col("box.cy").alias("cy"), (F.col("box.w") - 2e-6).alias("w"), (F.col("box.h") - 2e-6).alias("h"), F.col("box.r").alias("r"))).alias("p"))
-    items = d.where("cls <> 'view'").select("tray", "day", "det", "box")
-    return trays.join(items, ["tray", "day"]).where(G.contains(F.col("p"), F.col("box.cx"), F.col("box.cy"))).select("holder", "det")
+    pairs = D.near_both(t.detections, ["tray", "day"], "is_tray", F.col("cls") == "view")
+    b = F.col("holder_box")
+    inner = F.struct(b["cx"].alias("cx"), b["cy"].alias("cy"), (b["w"] - 2e-6).alias("w"), (b["h"] - 2e-6).alias("h"), b["r"].alias("r"))
+    return pairs.withColumn("p", G.corners(inner)).where(G.contains(F.col("p"), F.col("box.cx"), F.col("box.cy"))).select("holder", "det")
 
 
 @query("new_trays", f"""WITH {DETS}, v AS (SELECT * FROM boxes WHERE cls = 'view'), o AS (SELECT * FROM boxes WHERE cls = 'signup'),
@@ -330,9 +326,7 @@ def greedy_assignment(t: Tables) -> DataFrame:
 
     Each tray brings the detections that it overlaps enough, best first, so the fold only keeps what is taken.
     """
-    d = t.detections.select("tray", "day", "det", "cls", "box")
-    known = d.where("cls = 'view'").select("tray", "day", F.col("det").alias("holder"), F.col("box").alias("holder_box"))
-    pairs = known.join(d.where("cls <> 'view'"), ["tray", "day"]).where(G.in_reach(F.col("holder_box"), F.col("box")))
+    pairs = D.near_both(t.detections, ["tray", "day"], "is_tray", F.col("cls") == "view")
     pairs = pairs.withColumn("iou", G.quad_iou(G.corners(F.col("holder_box")), G.corners(F.col("box")))).where("iou >= 0.3")
     offers = pairs.groupBy("tray", "day", "holder").agg(F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("less"), "det"))).alias("offers"))
     start = F.array().cast("array<struct<holder:bigint,det:bigint>>")
