@@ -65,12 +65,12 @@ def throttled(rows: DataFrame, key: list[str], at: str, interval: float) -> Data
     return times.select(*key, F.explode(F.aggregate("_at", start, step)["let"]).alias(at))
 
 
-def row_clusters(rows: DataFrame, key: list[str], order: list[str], at: str, height: str, share: float = 0.5, carry: list[str] | None = None) -> DataFrame:
+def row_clusters(rows: DataFrame, key: list[str], order: list[str], at: str, height: str, share: float = 0.5, carry: list[str] | None = None, whole: list[str] | None = None) -> DataFrame:
     """Puts each box, in order, into the first row of text whose mean place is nearer than a share of the row's mean height; else begins a new row.
 
-    The key is a ticket or a frame, which holds a few hundred boxes at most. carry: further columns of the result.
+    The key is a ticket or a frame, which holds a few hundred boxes at most. carry: further columns of the result; whole: those that are the same over all of a key.
     """
-    carry = carry or []
+    carry, whole = carry or [], whole or []
 
     def step(state, row):
         near = lambda g: F.abs(row[at] - g["at"] / g["n"]) < share * g["height"] / g["n"]
@@ -82,6 +82,6 @@ def row_clusters(rows: DataFrame, key: list[str], order: list[str], at: str, hei
 
     start = F.struct(F.array().cast("array<struct<n:int,at:double,height:double>>").alias("rows"), F.array().cast("array<int>").alias("of"))
     sorted_rows = F.array_sort(F.collect_list(F.struct(*order, F.col(at).cast("double").alias(at), F.col(height).cast("double").alias(height), *carry)))
-    grouped = rows.groupBy(*key).agg(sorted_rows.alias("_rows")).withColumn("_of", F.aggregate("_rows", start, step)["of"])
-    pairs = grouped.select(*key, F.explode(F.arrays_zip("_rows", "_of")).alias("_p"))
-    return pairs.select(*key, *(F.col("_p._rows")[c].alias(c) for c in [*order, at, height, *carry]), F.col("_p._of").alias("text_row"))
+    grouped = rows.groupBy(*key).agg(sorted_rows.alias("_rows"), *(F.first(c).alias(c) for c in whole)).withColumn("_of", F.aggregate("_rows", start, step)["of"])
+    pairs = grouped.select(*key, *whole, F.explode(F.arrays_zip("_rows", "_of")).alias("_p"))
+    return pairs.select(*key, *whole, *(F.col("_p._rows")[c].alias(c) for c in [*order, at, height, *carry]), F.col("_p._of").alias("text_row"))

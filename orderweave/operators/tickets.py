@@ -91,12 +91,13 @@ def read(boxes: DataFrame, layout: Layout = Layout()) -> DataFrame:
     return rows.where(scored & inside).withColumn("order_number", F.col("_first._number")).drop("_clean", "_number", "_area", "_count", "_first", "_header")
 
 
-def rows_of(boxes: DataFrame) -> DataFrame:
-    """A row for each row of text: ticket, text_row, text (from left to right), cy, h, longest (height and place of its longest text)."""
-    placed = runs.row_clusters(boxes, ["ticket"], ["pos"], "cy", "h", carry=["cx", "text"])
+def rows_of(boxes: DataFrame, whole: list[str] | None = None) -> DataFrame:
+    """A row for each row of text: ticket, text_row, text (from left to right), cy, h, longest (height and place of its longest text), and columns that hold for a whole ticket."""
+    whole = whole or []
+    placed = runs.row_clusters(boxes, ["ticket"], ["pos"], "cy", "h", carry=["cx", "text"], whole=whole)
     parts = F.array_sort(F.collect_list(F.struct("cx", "pos", "text")))
     longest = F.max_by(F.struct("cy", "h"), F.struct(F.length("text"), -F.col("pos")))
-    out = placed.groupBy("ticket", "text_row").agg(parts.alias("_parts"), F.avg("cy").alias("cy"), F.avg("h").alias("h"), longest.alias("longest"))
+    out = placed.groupBy("ticket", "text_row").agg(parts.alias("_parts"), F.avg("cy").alias("cy"), F.avg("h").alias("h"), longest.alias("longest"), *(F.first(c).alias(c) for c in whole))
     return out.withColumn("text", F.array_join(F.col("_parts.text"), "")).drop("_parts")
 
 
@@ -110,10 +111,9 @@ def parsed(boxes: DataFrame, menu: DataFrame, layout: Layout = Layout(), counts:
     menu: name, pos, names in normal form.
     """
     seen = read(boxes, layout)
-    said = seen.groupBy("ticket").agg(*(F.first(c).alias(c) for c in ("order_number", "digits", "count_at", "theta", "px", "py")))
-    rows = rows_of(seen).withColumn("_text", X.normalized(F.col("text")))
+    rows = rows_of(seen, ["order_number", "digits", "count_at", "theta", "px", "py"]).withColumn("_text", X.normalized(F.col("text")))
     names = matching.best_name(rows.select(F.col("_text").alias("text")), menu, layout.prefixes)
-    rows = rows.join(names.select(F.col("text").alias("_text"), F.col("name").alias("item")), "_text").join(said, "ticket")
+    rows = rows.join(names.select(F.col("text").alias("_text"), F.col("name").alias("item")), "_text")
 
     has_digits, leading = F.col("item").rlike("[1-9]"), X.leading_number(F.col("text"))
     near = F.array_min(F.transform("digits", lambda d: F.struct(F.abs(d["cy"] - F.col("cy")).alias("away"), d["pos"].alias("pos"), d["number"].alias("number"), d["raw"].alias("raw"))))
