@@ -14,11 +14,17 @@ Components are alternating large-star and small-star.
 
 Cases: a text without words is empty and linked with nothing; null texts are empty; a null
 id is linked with nothing and keeps a null component; where rows share an id, each row's
-component is that of its own text. Classes are told apart by a 64-bit digest of the set.
+component is that of its own text; repeated rows are one class, and each is returned; other columns aren't read, so their
+names can't clash; an empty table gives none; a very long text is hashed alone, and takes some 40 times its size meanwhile.
+
+Shingles are 64 bits under a key that is drawn anew in each run (textnp.word_keys), so no texts can be made to share them.
+Classes are told apart by 128 bits of a digest (BLAKE2b) of the set: the first half is the key by which they are grouped, and
+where sets of one key differ in the second half, which is looked for, the key is split.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -60,19 +66,18 @@ def minima(sets: list[np.ndarray], count: int) -> np.ndarray:
     return out
 
 
-def _digest(s: np.ndarray) -> int:
-    """Of a set, whatever its order: the class of the texts that have it."""
-    total = np.sum(textnp.mix(s ^ np.uint64(0x5851F42D4C957F2D)), keepdims=True)
-    total ^= np.bitwise_xor.reduce(textnp.mix(s + np.uint64(0x14057B7EF767814F)))
-    return int(textnp.mix(total + np.full(1, len(s), np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)[0])
+def _digest(s: np.ndarray, bits: int) -> tuple[int, int]:
+    """Of a sorted set: both halves of 128 bits, the first cut to so many."""
+    a, b = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), "<i8").tolist()
+    return a >> (64 - bits), b
 
 
-def _signatures(shingle: int, bands: int):
+def _signatures(shingle: int, bands: int, secret: bytes, bits: int):
     def run(batches):
         for batch in (b.slice(lo, SETS) for b in batches for lo in range(0, b.num_rows, SETS)):
-            sets = list(textnp.shingle_sets(batch["text"], shingle))
+            sets = list(textnp.shingle_sets(batch["text"], shingle, secret))
             full = [i for i, s in enumerate(sets) if len(s)]
-            nodes: list = [None] * len(sets)
+            nodes: list = [(None, None)] * len(sets)
             keys: list = [None] * len(sets)
             sigs: list = [None] * len(sets)
             if full:
@@ -83,20 +88,21 @@ def _signatures(shingle: int, bands: int):
                 h = textnp.mix(h + np.arange(bands, dtype=np.uint64) * textnp._STEP[60]).view(np.int64)
                 low = m.astype(np.uint8)
                 for r, i in enumerate(full):
-                    nodes[i], keys[i], sigs[i] = _digest(sets[i]), h[r], low[r].tobytes()
+                    nodes[i], keys[i], sigs[i] = _digest(sets[i], bits), h[r], low[r].tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch["id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-                ["id", "n", "node", "bands", "sig"],
+                [batch["id"], pa.array([len(s) for s in sets], pa.int64()), *(pa.array([v[k] for v in nodes], pa.int64()) for k in (0, 1)), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
+                ["id", "n", "node", "other", "bands", "sig"],
             )
 
     return run
 
 
-def _sets(shingle: int):
+def _sets(shingle: int, secret: bytes, bits: int):
     def run(batches):
         for batch in (b.slice(lo, SETS) for b in batches for lo in range(0, b.num_rows, SETS)):
-            sets = list(textnp.shingle_sets(batch["text"], shingle))
-            yield pa.RecordBatch.from_arrays([pa.array([_digest(s) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "members"])
+            sets = list(textnp.shingle_sets(batch["text"], shingle, secret))
+            nodes = [_digest(s, bits) if len(s) else (None, None) for s in sets]
+            yield pa.RecordBatch.from_arrays([*(pa.array([v[k] for v in nodes], pa.int64()) for k in (0, 1)), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "other", "members"])
 
     return run
 
@@ -177,19 +183,32 @@ def _open_pairs(percent: int):
     return run
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bits: int = 64) -> DataFrame:
     """Columns id_col, n_shingles, component_id, kept: a row for each row of docs.
 
-    Two documents are linked if 100 * common shingles >= percent * shingles of either.
+    Two documents are linked if 100 * common shingles >= percent * shingles of either. bits: of the key by which classes
+    are grouped before they are split; it changes no row.
     """
     modest_batches(docs.sparkSession)
     bands = bands_for(percent)
     t = percent / 100
     doubt = t - 5 * math.sqrt(t * (1 - t) / (bands * ROWS)) - 0.01
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = kept(texts.mapInArrow(_signatures(shingle, bands), "id long, n long, node long, bands array<long>, sig binary"))
+    secret = textnp.secret()
+    rows = kept(texts.mapInArrow(_signatures(shingle, bands, secret, bits), "id long, n long, node long, other long, bands array<long>, sig binary"))
+    mixed: list[int] = []
+
+    def told_apart(sets: DataFrame) -> DataFrame:
+        return sets.withColumn("node", F.when(F.col("node").isin(mixed), F.xxhash64("node", "other")).otherwise(F.col("node"))) if mixed else sets
+
     linkable = rows.where("node is not null and id is not null")
-    classes = kept(linkable.groupBy("node").agg(F.min("id").alias("first_id")))
+    classes = kept(linkable.groupBy("node").agg(F.min("id").alias("first_id"), (F.min("other") < F.max("other")).alias("mixed")))
+    mixed += [r["node"] for r in classes.where("mixed").collect()]  # of 10 billion sets some three
+    if mixed:
+        rows = told_apart(rows)
+        linkable = rows.where("node is not null and id is not null")
+        classes = kept(linkable.groupBy("node").agg(F.min("id").alias("first_id")))
+    classes = classes.select("node", "first_id")
     reps = kept(linkable.select("node", "bands", "sig").dropDuplicates(["node"]))
 
     member = reps.select("node", F.explode("bands").alias("bucket"))
@@ -205,7 +224,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # The full sets of all that may be linked; texts are hashed against the smaller side, not sorted.
     near = kept(stars.select("node").union(stars.select("hub")).distinct().join(classes, "node"))
     texts = texts.join(near.select("first_id").distinct().hint("shuffle_hash"), F.col("id") == F.col("first_id"), "left_semi")
-    full = kept(texts.select("text").mapInArrow(_sets(shingle), "node long, members binary").join(near.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    full = kept(told_apart(texts.select("text").mapInArrow(_sets(shingle, secret, bits), "node long, other long, members binary")).drop("other").join(near.select("node"), "node", "left_semi").dropDuplicates(["node"]))
 
     best = stars.where("close").groupBy("node").agg(F.max(F.struct("share", "hub")).alias("b")).select("node", F.col("b.hub").alias("hub"))
     links = kept(_confirmed(best, full, percent))

@@ -4,7 +4,8 @@ Count-min prefilter: a first pass over the texts sketches all windows (sketch.py
 merged sketches overestimate each window's count, and the second pass groups exactly
 only those windows whose estimate is two or more. A third pass removes words.
 
-Windows are grouped by hashes of 128 bits over their words' hashes of 64. The texts are
+Windows are grouped by 128 bits over 128 bits of each word, under a key that is drawn anew in each run (textnp.word_keys), so
+two different windows are taken for one with a chance of about 2**-128, whatever their texts. The texts are
 dealt once, into blocks of about `BLOCK` bytes by a hash of id and text, salted so that
 repeated rows spread; all three passes read that one exchange. What is sent between
 passes holds each distinct window of a block once, so a passage that a third of all
@@ -32,11 +33,11 @@ BLOCK = 2_000_000
 _LAST = np.iinfo(np.int64).max
 
 
-def _windows(table: pa.Table, window: int):
+def _windows(table: pa.Table, window: int, key: bytes):
     """Of a block: bytes, word starts, ends, first words; both halves of window hashes, first windows, ids."""
     data, offsets = textnp.column(table["text"])
     starts, ends, first = textnp.spans(data, offsets)
-    h, g, at = textnp.long_runs(textnp.span_hashes(data, starts, ends), first, window)
+    h, g, at = textnp.long_runs(textnp.word_keys(data, starts, ends, key), first, window)
     ids = table["id"].fill_null(_LAST).to_numpy() if table["id"].null_count else table["id"].to_numpy()
     return data, offsets, starts, ends, first, h, g, at, np.repeat(ids, np.diff(at))
 
@@ -78,18 +79,18 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.col(text_col).cast("string").alias("text"),
         F.struct(F.lit(0).alias("_"), *(F.col(c) for c in carry)).alias("other"),
     )
-    carried = rows.schema["other"].dataType
+    carried, secret = rows.schema["other"].dataType, textnp.secret()
 
     def sketched(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        return sketch.sketch(key[0].as_py(), _windows(table, window)[5], slices)
+        return sketch.sketch(key[0].as_py(), _windows(table, window, secret)[5], slices)
 
     def offered(key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table) -> pa.Table:
-        *_, h, g, _, ids = _windows(table, window)
+        *_, h, g, _, ids = _windows(table, window, secret)
         maybe = sketch.repeated(h, replies, slices)
         return sketch.offers(key[0].as_py(), h[maybe], g[maybe], ids[maybe], slices)
 
     def removed(key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table) -> pa.Table:
-        data, offsets, starts, ends, first, h, g, at, ids = _windows(table, window)
+        data, offsets, starts, ends, first, h, g, at, ids = _windows(table, window, secret)
         gone = removed_words(first, at, sketch.least_of(h, g, ids, replies) < ids, window)
         sums = np.concatenate([[0], np.cumsum(gone)])
         return pa.table({

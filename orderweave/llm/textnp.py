@@ -7,7 +7,9 @@ of bytes other than 0x20 and 0x09-0x0D. Null texts count as empty.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -104,6 +106,47 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bo
     return out
 
 
+def secret() -> bytes:
+    """A key for one run of an operator, drawn by the driver; tasks get it with their code, so a task that runs again has the same."""
+    return os.urandom(32)
+
+
+@functools.lru_cache(4)
+def _factors(key: bytes) -> np.ndarray:
+    """Four rows of secret factors: one for a word's length, one for each four bytes up to LONG, and what is added."""
+    return np.frombuffer(hashlib.shake_256(key).digest(4 * 8 * (LONG // 4 + 2)), "<u8").reshape(4, -1)
+
+
+def word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: bytes, fold: bool = False, halves: int = 2) -> list[np.ndarray]:
+    """128 bits of each of the given byte spans, as two arrays of 64 (or the first of them); fold: A-Z as a-z.
+
+    Each quarter is the upper half of a sum of secret factors times the length and every four bytes, which any two
+    different spans share with a chance of 2**-32 over the key, whatever they are: so all 128 bits with 2**-128. As the key
+    is secret and new in each run, no text can be made for it.
+    """
+    size = (ends - starts).astype(np.int64)
+    factors = _factors(key)[: 2 * halves]
+    if fold:
+        data = _FOLD[data]
+    sums = [f[0] + size.astype(np.uint64) * f[1] for f in factors]
+    four = np.ndarray((len(data) + 1,), "<u4", np.concatenate([data, np.zeros(4, np.uint8)]), strides=(1,))
+    live = np.flatnonzero((size > 0) & (size <= LONG))
+    at, left, k = starts[live], size[live], 2
+    while len(live):
+        part = four[at].astype(np.uint64) & _FIRST[np.minimum(left, 4)]
+        for total, f in zip(sums, factors, strict=True):
+            total[live] += part * f[k]
+        more = left > 4
+        live, at, left, k = live[more], at[more] + 4, left[more] - 4, k + 1
+    top = np.uint64(0xFFFFFFFF00000000)
+    out = [mix((a >> np.uint64(32)) | (b & top)) for a, b in zip(sums[::2], sums[1::2], strict=True)]
+    for i in np.flatnonzero(size > LONG):
+        digest = np.frombuffer(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=16, key=key).digest(), "<u8")
+        for half, v in zip(out, digest, strict=False):
+            half[i] = v
+    return out
+
+
 def runs(words: np.ndarray, first: np.ndarray, k: int, step: np.ndarray = _STEP) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each text's runs of k words and the first run's index of each text; texts with fewer words have none."""
     n = len(words) - k + 1
@@ -117,10 +160,10 @@ def runs(words: np.ndarray, first: np.ndarray, k: int, step: np.ndarray = _STEP)
     return mix(h[run_starts(first, counts)]), at
 
 
-def long_runs(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As `runs`, with hashes of 128 bits: their two halves."""
-    h, at = runs(words, first, k)
-    return h, runs(words, first, k, _OTHER_STEP)[0], at
+def long_runs(words: list[np.ndarray], first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As `runs`, of words of 128 bits, with hashes of 128 bits: their two halves."""
+    h, at = runs(words[0], first, k)
+    return h, runs(words[1], first, k, _OTHER_STEP)[0], at
 
 
 def run_starts(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -134,13 +177,13 @@ def owners(at: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(at) - 1), np.diff(at))
 
 
-def shingle_sets(values, k: int, fold: bool = True):
-    """For each text its sorted distinct k-word shingle hashes: all words as one shingle if there are fewer, none without words."""
+def shingle_sets(values, k: int, key: bytes, fold: bool = True):
+    """For each text its sorted distinct k-word shingle hashes (under a secret key): all words as one shingle if there are fewer, none without words."""
     data, offsets = column(values)
     for lo, hi in slices(offsets):
         part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         starts, ends, first = spans(part, at)
-        words = span_hashes(part, starts, ends, fold)
+        (words,) = word_keys(part, starts, ends, key, fold, 1)
         h, of = runs(words, first, k)
         for i in range(hi - lo):
             n = int(first[i + 1] - first[i])

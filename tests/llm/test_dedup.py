@@ -168,6 +168,34 @@ def test_words_that_polynomials_confuse(spark):
     assert sorted(map(tuple, found)) == sorted(brute.byte_dedup(rows))
 
 
+def test_words_made_to_share_a_public_hash(spark):
+    """Each of these pairs has one hash if eight bytes at a time go through public constants."""
+    (a, b), (c, d) = ("%.;{._b3{(]h4p8!", "_71>[w*e&mm)l|oj"), ("4&,^&]cP^6@kQwWZ", "LIQRsd~xzD{7wUT>")
+    rows = [(1, " ".join([a] * 13)), (2, " ".join([b] * 13)), (3, " ".join([c] * 13)), (4, " ".join([d] * 13)), (5, " ".join([c] * 14))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in dedup_substrings(df).collect()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 14}
+    assert {r.doc_id: r.component_id for r in near_dedup(df, shingle=3, percent=85).collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 3}
+
+
+def test_classes_under_few_bits_are_told_apart(docs):
+    rows, df = docs
+    got = near_dedup(df, shingle=3, percent=85, bits=2).collect()
+    assert sorted(map(tuple, got)) == sorted(brute.near_dedup(rows, 3, 85))
+
+
+def test_word_keys_are_of_the_bytes_alone():
+    words = [b"", b"a", b"a\0", b"ab", b"abcd", b"abcde", b"x" * 1024, b"x" * 1025, b"x" * 1026, "é".encode(), b"AB", b"a"]
+    data, ends = np.frombuffer(b"".join(words), np.uint8), np.cumsum([len(w) for w in words])
+    starts = ends - [len(w) for w in words]
+    for key in (b"1" * 32, b"2" * 32):
+        lo, hi = textnp.word_keys(data, starts, ends, key)
+        both = list(zip(lo.tolist(), hi.tolist(), strict=True))
+        assert len(set(both)) == len(words) - 1 and both[1] == both[-1]
+        (folded,) = textnp.word_keys(data, starts, ends, key, True, 1)
+        assert folded[3] == folded[10] == lo[3]
+    assert textnp.word_keys(data, starts, ends, b"1" * 32)[0][3] != lo[3]
+
+
 def test_cells_are_coded_without_loss():
     for cells in ([0], [5, 6, 7], [1, 70000, 200000], [65535, 131070], [1 << 23, (1 << 24) - 1], [], list(range(0, 1 << 24, 100_000))):
         assert sketch.decode(sketch.encode(np.array(cells, np.int64))).tolist() == cells
