@@ -79,6 +79,17 @@ class Thing:
     frozen: int = 0
     missing: int = 0
     drift: int = 0
+    # What recognition knows of it; see service.py.
+    busy: bool = False  # it is being read
+    checked: bool = False
+    wrong: bool = False
+    merged: bool = False  # a ticket whose items count
+    gone: bool = False
+    told: bool = False  # what follows from that has been done
+    item: str | None = None
+    said: float = 0.0  # when it was last said to be wrong
+    given: list[str] = field(default_factory=list)  # a ticket's items
+    read: tuple | None = None  # what a recogniser would read of it: number, items
     ticket: Thing | None = None
     extras: list[Thing] = field(default_factory=list)
     stickers: list[Thing] = field(default_factory=list)
@@ -125,6 +136,14 @@ class _Frame:
     def say(self, kind: str, thing: Thing, holder: Thing | None, det: int | None, status: str) -> None:
         self.rows.append((kind, thing.track, holder.track if holder else None, det, status, thing.stable, thing.frozen, thing.missing))
 
+    def met(self, thing: Thing) -> None:
+        """A sticker that is in view."""
+        thing.missing = 0
+
+    def unseen(self, sticker: Thing) -> None:
+        """A sticker that isn't."""
+        sticker.stable, sticker.frozen, sticker.missing = 0, 0, sticker.missing + 1
+
     def fresh(self, cls: str, quad: list[float]) -> Thing:
         self.view.named += 1
         return Thing(self.view.named, cls, quad)
@@ -167,7 +186,7 @@ class _Frame:
     def tickets(self, tray: Thing, found: list) -> None:
         """With trays: the first ticket goes on where it was, or is another one."""
         if not found:
-            if tray.ticket:
+            if tray.ticket and not tray.ticket.busy:
                 tray.ticket.stable = 0
             return
         det, cls, quad = found[0]
@@ -236,7 +255,8 @@ class _Frame:
                 free.discard(k)
                 s = tray.stickers[k]
                 s.frozen = s.frozen + 1 if overlaps[k] >= r.frozen else 0
-                s.quad, s.stable, s.missing = quad, s.stable + 1, 0
+                s.quad, s.stable = quad, s.stable + 1
+                self.met(s)
                 self.say("sticker", s, tray, det, "seen")
             elif cls not in r.known or self.confirmed(tray, det, cls, quad, open_):
                 tray.stickers.append(self.fresh(cls, quad))
@@ -245,7 +265,7 @@ class _Frame:
         tray.pending = [p for k, p in enumerate(tray.pending) if k not in open_ and p.count < r.confirm_frames]
         for k in sorted(k for k in free if k < old):
             s = tray.stickers[k]
-            s.stable, s.frozen, s.missing = 0, 0, s.missing + 1
+            self.unseen(s)
             if s.missing == r.sticker_missing + 1:
                 self.say("sticker", s, tray, None, "lost")
 
