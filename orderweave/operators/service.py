@@ -45,6 +45,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from orderweave.functions.geometry import quad_overlaps
+from orderweave.operators import tracking
 from orderweave.operators.tracking import Rules, Thing, View, _best, _Frame, _holds
 
 BAG = "array<struct<item:string,n:long>>"
@@ -544,59 +545,22 @@ def events(feed: DataFrame, service: Service = Service(), until: float | None =
 # The same as a stream
 
 _HEAD = "mode string, named long, n long, frame long, at double, task_order long, task_what string, task_quad array<double>, task_due long, task_asked double, task_number string, task_items array<string>"
-_ORDER = "place int, state string, number string, started long, expected array<string>, checked array<string>"
-_THING = (
-    "role string, holder long, place int, class string, quad array<double>, count int, stable int, frozen int, missing int, drift int, busy boolean, checked boolean, wrong boolean, merged boolean, "
-    "gone boolean, told boolean, item string, said double, given array<string>, has_read boolean, read_number string, read_items array<string>"
-)
-_PLAIN = ("cls", "quad", "count", "stable", "frozen", "missing", "drift", "busy", "checked", "wrong", "merged", "gone", "told", "item", "said", "given")
-_ROLES = {"extra": "extras", "sticker": "stickers", "pending": "pending"}
+_ORDER = "state string, number string, started long, expected array<string>, checked array<string>"
 
 
 def packed(line: Line) -> tuple[tuple, dict[int, tuple], dict[int, tuple]]:
-    """A session's rows of _HEAD, and of _ORDER and _THING by number."""
-    t = line.task or Task(0, "", [])
-    head = (line.mode, line.view.named, line.n, line.frame, line.at, *((t.order, t.what, t.quad, t.due, t.asked, t.number, t.items) if line.task else (None,) * 7))
-    orders, things = {}, {}
-
-    def put(role: str, holder: int | None, place: int, x: Thing) -> None:
-        things[x.track] = (role, holder, place, *(getattr(x, c) for c in _PLAIN), x.read is not None, *(x.read or (None, None)))
-
-    for place, tray in enumerate(line.view.trays):
-        put("tray", None, place, tray)
-        if tray.ticket:
-            put("ticket", tray.track, 0, tray.ticket)
-        for role, name in _ROLES.items():
-            for k, x in enumerate(getattr(tray, name)):
-                put(role, tray.track, k, x)
-        if o := line.orders.get(tray.track):
-            orders[tray.track] = (place, o.state, o.number, o.started, o.expected, o.checked)
-    for place, c in enumerate(line.view.candidates):
-        put("candidate", None, place, c)
-    return head, orders, things
+    """A session's rows of _HEAD, and of _ORDER and tracking.THING by number."""
+    t = line.task
+    head = (line.mode, line.view.named, line.n, line.frame, line.at, *((t.order, t.what, t.quad, t.due, t.asked, t.number, t.items) if t else (None,) * 7))
+    return head, {k: (o.state, o.number, o.started, o.expected, o.checked) for k, o in line.orders.items()}, tracking.packed(line.view)
 
 
 def unpacked(head: tuple, orders: dict[int, tuple], things: dict[int, tuple]) -> Line:
     mode, named, n, frame, at, *task = head
-    line = Line(mode, View(named=named), {k: Order(state, number, started, list(expected), list(checked)) for k, (_, state, number, started, expected, checked) in orders.items()}, None, n, frame, at)
+    known = {k: Order(state, number, started, list(expected), list(checked)) for k, (state, number, started, expected, checked) in orders.items()}
+    line = Line(mode, tracking.unpacked(named, things), known, None, n, frame, at)
     if task[0] is not None:
         line.task = Task(task[0], task[1], list(task[2]), *task[3:6], None if task[6] is None else list(task[6]))
-    made, trays = {}, {}
-    for track, (role, holder, place, *values) in things.items():
-        plain, (has_read, number, items) = dict(zip(_PLAIN, values, strict=False)), values[len(_PLAIN) :]
-        plain["quad"], plain["given"] = list(plain["quad"]), list(plain["given"])
-        made[track] = (role, holder, place, Thing(track, **plain, read=(number, None if items is None else list(items)) if has_read else None))
-    for role, _, _, x in sorted(made.values(), key=lambda m: m[2]):
-        if role == "tray":
-            line.view.trays.append(x)
-            trays[x.track] = x
-        elif role == "candidate":
-            line.view.candidates.append(x)
-    for role, holder, _, x in sorted(made.values(), key=lambda m: m[2]):
-        if role == "ticket":
-            trays[holder].ticket = x
-        elif role in _ROLES:
-            getattr(trays[holder], _ROLES[role]).append(x)
     return line
 
 
@@ -610,12 +574,12 @@ class Processor(StatefulProcessor):
         self.handle = handle
         self.head = handle.getValueState("head", _HEAD)
         self.orders = handle.getMapState("orders", "track long", _ORDER)
-        self.things = handle.getMapState("things", "track long", _THING)
+        self.things = handle.getMapState("things", "track long", tracking.THING)
 
     def _load(self) -> tuple[Line, tuple]:
         if not self.head.exists():
             return Line(), (None, {}, {})
-        old = (tuple(self.head.get()), *({k[0]: tuple(v) for k, v in m.iterator()} for m in (self.orders, self.things)))
+        old = (tuple(self.head.get()), tracking.loaded(self.orders), tracking.loaded(self.things))
         return unpacked(*old), old
 
     def _save(self, line: Line, old: tuple) -> None:
@@ -628,12 +592,8 @@ class Processor(StatefulProcessor):
         else:
             self.head.update(head)
             self.handle.registerTimer(int(-(-line.due(self.service) * 1000 // 1)))
-        for state, before, after in ((self.orders, old[1], orders), (self.things, old[2], things)):
-            for k in before.keys() - after.keys():
-                state.removeKey((k,))
-            for k, v in after.items():
-                if before.get(k) != v:
-                    state.updateValue((k,), v)
+        tracking.replaced(self.orders, old[1], orders)
+        tracking.replaced(self.things, old[2], things)
 
     def _rows(self, session: int, found: list[tuple]) -> Iterator[Row]:
         row, bag = Row(*self.names), lambda b: [Row(**e) for e in b]

@@ -14,18 +14,17 @@ pending thing that has been seen often enough), lost (missing for too long), mis
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import MapState, StatefulProcessor, StatefulProcessorHandle
 
 from orderweave.functions import geometry as G
 from orderweave.functions.geometry import quad_iou, quad_overlaps
@@ -320,17 +319,91 @@ def tracked(detections: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return _rows(detections).repartition("session").sortWithinPartitions("session", "frame", "det").mapInArrow(walked, types)
 
 
-def stream_tracked(detections: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The same over a stream. All detections of a frame come in one batch; within a batch frames are put in order, batches follow each other."""
+#: A thing as a row of state, by its number.
+THING = (
+    "role string, holder long, place int, class string, quad array<double>, count int, stable int, frozen int, missing int, drift int, busy boolean, checked boolean, wrong boolean, merged boolean, "
+    "gone boolean, told boolean, item string, said double, given array<string>, has_read boolean, read_number string, read_items array<string>"
+)
+_PLAIN = ("cls", "quad", "count", "stable", "frozen", "missing", "drift", "busy", "checked", "wrong", "merged", "gone", "told", "item", "said", "given")
+_ROLES = {"extra": "extras", "sticker": "stickers", "pending": "pending"}
+
+
+def packed(view: View) -> dict[int, tuple]:
+    """All things in view as rows of THING."""
+    things = {}
+
+    def put(role: str, holder: int | None, place: int, x: Thing) -> None:
+        things[x.track] = (role, holder, place, *(getattr(x, c) for c in _PLAIN), x.read is not None, *(x.read or (None, None)))
+
+    for place, tray in enumerate(view.trays):
+        put("tray", None, place, tray)
+        if tray.ticket:
+            put("ticket", tray.track, 0, tray.ticket)
+        for role, name in _ROLES.items():
+            for k, x in enumerate(getattr(tray, name)):
+                put(role, tray.track, k, x)
+    for place, c in enumerate(view.candidates):
+        put("candidate", None, place, c)
+    return things
+
+
+def unpacked(named: int, things: dict[int, tuple]) -> View:
+    view, made, trays = View(named=named), [], {}
+    for track, (role, holder, place, *values) in things.items():
+        plain, (has_read, number, items) = dict(zip(_PLAIN, values, strict=False)), values[len(_PLAIN) :]
+        plain["quad"], plain["given"] = list(plain["quad"]), list(plain["given"])
+        made.append((role, holder, place, Thing(track, **plain, read=(number, None if items is None else list(items)) if has_read else None)))
+    made.sort(key=lambda m: m[2])
+    for role, _, _, x in made:
+        if role == "tray":
+            view.trays.append(x)
+            trays[x.track] = x
+        elif role == "candidate":
+            view.candidates.append(x)
+    for role, holder, _, x in made:
+        if role == "ticket":
+            trays[holder].ticket = x
+        elif role in _ROLES:
+            getattr(trays[holder], _ROLES[role]).append(x)
+    return view
+
+
+def loaded(state: MapState) -> dict[int, tuple]:
+    return {k[0]: tuple(v) for k, v in state.iterator()}
+
+
+def replaced(state: MapState, before: dict[int, tuple], after: dict[int, tuple]) -> None:
+    """Writes what has changed, and removes what has left."""
+    for k in before.keys() - after.keys():
+        state.removeKey((k,))
+    for k, v in after.items():
+        if before.get(k) != v:
+            state.updateValue((k,), v)
+
+
+class _Tracker(StatefulProcessor):
+    def __init__(self, rules: Rules):
+        self.rules, self.names = rules, T.StructType.fromDDL(OUT).names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.named = handle.getValueState("named", "named long")
+        self.things = handle.getMapState("things", "track long", THING)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        before = loaded(self.things)
+        view = unpacked(self.named.get()[0] if self.named.exists() else 0, before)
+        out, row = [], Row(*self.names)
+        for frame, own in groupby(sorted(rows, key=lambda r: (r["frame"], r["det"] or 0)), key=lambda r: r["frame"]):
+            out += [row(key[0], frame, *e) for e in advance(view, self.rules, [(r["det"], r["class"], r["quad"]) for r in own])]
+        self.named.update((view.named,))
+        replaced(self.things, before, packed(view))
+        return iter(out)
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        view = pickle.loads(state.get[0]) if state.exists else View()
-        rows = pd.concat(list(batches)).sort_values(["frame", "det"])
-        out = [(key[0], frame, *row) for frame, dets in rows.groupby("frame") for row in advance(view, rules, list(dets[["det", "cls", "quad"]].itertuples(index=False, name=None)))]
-        state.update((pickle.dumps(view),))
-        yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in OUT.split(", ")]).astype({"holder": "Int64", "det": "Int64"})
 
-    return _rows(detections).groupBy("session").applyInPandasWithState(run, OUT, "view binary", "append", GroupStateTimeout.NoTimeout)
+def stream_tracked(detections: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The same over a stream, with a row of state for each thing in view. All detections of a frame come in one batch; within a
+    batch frames are put in order, batches follow each other. Needs a state store that has several states (streaming/runner.py)."""
+    return _rows(detections).withColumnRenamed("cls", "class").groupBy("session").transformWithState(_Tracker(rules), OUT, "append", "None")
 
 
 def tickets_by_place(detections: DataFrame, roi: list[float], inside: bool, tickets: tuple[str, ...] = Rules.tickets) -> DataFrame:
@@ -352,11 +425,3 @@ def results_of(results: DataFrame, rows: DataFrame, detections: DataFrame, least
 
 def _rows(detections: DataFrame) -> DataFrame:
     return detections.select(F.col("session").cast("long").alias("session"), F.col("frame").cast("long").alias("frame"), F.col("det").cast("long").alias("det"), "cls", "quad")
-
-
-def tasks(rows: DataFrame, settled: int = 6) -> DataFrame:
-    """What may be read: the first row of each ticket, extra ticket or sticker that was seen often enough. Of a frame the first, by holder, tickets before stickers."""
-    ready = rows.where(F.col("kind").isin("ticket", "extra", "sticker") & (F.col("stable") >= settled))
-    first = ready.groupBy("session", "kind", "track").agg(F.min(F.struct("frame", "det", "holder")).alias("f"))
-    rank = F.when(F.col("kind") == "ticket", 0).when(F.col("kind") == "sticker", 1).otherwise(2)
-    return first.groupBy("session", F.col("f.frame").alias("frame")).agg(F.min(F.struct(F.col("f.holder").alias("holder"), rank.alias("rank"), "track", "kind")).alias("t")).select("session", "frame", "t.holder", "t.kind", "t.track")

@@ -31,12 +31,6 @@ def tracked_in_area(t: Tables) -> DataFrame:
     return K.tracked(K.tickets_by_place(t.frame_detections, [0.0, 0.0, 200.0, 0.0, 200.0, 300.0, 0.0, 300.0], True), SINGLE)
 
 
-@query("recognition_tasks")
-def recognition_tasks(t: Tables) -> DataFrame:
-    """What may be read, one thing a frame."""
-    return K.tasks(K.tracked(t.frame_detections, RULES), 2)
-
-
 @query("tray_lives")
 def tray_lives(t: Tables) -> DataFrame:
     """When each tray came and left, how often its place was taken over anew, and how many tickets and stickers it held."""

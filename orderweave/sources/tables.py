@@ -49,15 +49,44 @@ class Tables:
     @property
     def frame_detections(self) -> DataFrame:
         """Detections of a table under a camera, four events a frame: session, frame, det, cls, quad. Things stay about where they are, and shake a little."""
-        e = self.events.select("event_id", "user_id", "ts", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
+        return self._frames(1, 4).drop("place")
+
+    def _frames(self, users: int, each: int) -> DataFrame:
+        """As frame_detections, of cameras for so many users and so many events a frame, with the place (0 or 1) where a thing lies."""
+        e = self.events.select("event_id", F.floor(F.col("user_id") / users).alias("user_id"), "ts", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
         n = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1
         kind = F.create_map(*(F.lit(v) for p in {"view": "tray", "signup": "order_ticket", "click": "order_sticker", "purchase": "sesame_front", "error": "sesame_back"}.items() for v in p))
-        e = e.withColumn("frame", F.floor(n / 4)).withColumn("cls", kind[F.col("event_type")])
+        e = e.withColumn("frame", F.floor(n / each)).withColumn("cls", kind[F.col("event_type")])
         shake, place = F.col("value") % 8, F.col("k") % 2
         cx = F.when(F.col("cls") == "tray", 100 + place * 200).when(F.col("cls") == "order_ticket", 60 + place * 200).otherwise(140 + place * 200) + shake
         w = F.when(F.col("cls") == "tray", 160.0).otherwise(40.0)
         box = G.box(cx, 100 + shake / 2, w, F.when(F.col("cls") == "tray", 120.0).otherwise(30.0), F.lit(0.1))
-        return e.select(F.col("user_id").alias("session"), "frame", F.col("event_id").alias("det"), "cls", G.corners(box).alias("quad"))
+        return e.select(F.col("user_id").alias("session"), "frame", F.col("event_id").alias("det"), "cls", G.corners(box).alias("quad"), place.alias("place"))
+
+    @property
+    def camera_frames(self) -> DataFrame:
+        """Detections of cameras that ten users pass, eight events a frame, with what lies there: session, frame, det, cls, quad, ticket, text.
+        ticket: whose boxes (ticket_boxes) a ticket's crop shows. text: what is read of a sticker, the name of a line of the ticket at
+        its place without its last letter; every seventh one is a line of another ticket, every eleventh one can't be read."""
+        seen = self._frames(10, 8)
+        ticket = F.col("session") * 2 + F.col("place")
+        label = F.col("cls") == "order_sticker"
+        whose = F.when(label & (F.col("det") % 7 == 0), ticket + 1).otherwise(ticket)
+        seen = seen.withColumns({"ticket": F.when(F.col("cls") == "order_ticket", ticket), "_of": F.when(label & (F.col("det") % 11 > 0), whose)})
+        names = self.ticket_lines.groupBy("ticket").agg(F.array_sort(F.collect_list("name")).alias("_names"))
+        lines = seen.where("_of is not null").select("_of").distinct().join(names.withColumnRenamed("ticket", "_of"), "_of")
+        name = F.get("_names", F.col("det") % F.size("_names"))
+        return seen.join(lines, "_of", "left").withColumn("text", F.substring(name, F.lit(1), F.length(name) - 1)).drop("_of", "_names", "place")
+
+    @property
+    def camera_commands(self) -> DataFrame:
+        """Commands, one a nation, to a single camera or (session is null) to all: session, frame, what, cls, order."""
+        kind = F.element_at(F.array(*map(F.lit, ("a", "b", "all"))), F.col("n_nationkey").cast("int") % 3 + 1)
+        mode = F.col("n_nationkey") % 4 == 3
+        return self.nation.select(
+            F.when(F.col("n_regionkey") > 0, F.col("n_nationkey").cast("long")).alias("session"), (F.col("n_nationkey") * 3 + 4).cast("long").alias("frame"),
+            F.when(mode, "mode").otherwise("reset").alias("what"), F.when(mode, F.when(F.col("n_nationkey") % 8 == 3, "tray").otherwise("single")).otherwise(kind).alias("cls"), F.lit(1).cast("long").alias("order"),
+        )
 
     @property
     def observations(self) -> DataFrame:
