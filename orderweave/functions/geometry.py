@@ -48,6 +48,12 @@ def centroid(p: Column) -> Column:
     return F.struct((_total(e, lambda k: (k["ax"] + k["bx"]) * _cross(k)) / six).alias("x"), (_total(e, lambda k: (k["ay"] + k["by"]) * _cross(k)) / six).alias("y"))
 
 
+def within(box: Column, x: Column, y: Column, edge: float = 0.0) -> Column:
+    """Whether a point lies within a turned box, at least so far from its sides; sides don't count. Measured along the box's own axes."""
+    dx, dy, c, s = x - box["cx"], y - box["cy"], F.cos(box["r"]), F.sin(box["r"])
+    return (F.abs(dx * c + dy * s) < box["w"] / 2 - edge) & (F.abs(dy * c - dx * s) < box["h"] / 2 - edge)
+
+
 def contains(p: Column, x: Column, y: Column) -> Column:
     """Whether a convex polygon holds a point; its boundary doesn't count."""
     side = lambda e: (e["bx"] - e["ax"]) * (y - e["ay"]) - (e["by"] - e["ay"]) * (x - e["ax"])

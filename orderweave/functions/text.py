@@ -51,19 +51,48 @@ def only_digits(text: Column) -> Column:
     return digits(stripped(text)).rlike(r"^[1-9][0-9]*$")
 
 
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Characters of all texts one after another, the text that each belongs to, and its place there."""
+    size = np.array([len(t) for t in texts], np.int64)
+    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return chars, np.repeat(np.arange(len(texts)), size), np.arange(len(chars)) - np.repeat(np.cumsum(size) - size, size)
+
+
 def common_length(a: list[str], b: list[str]) -> np.ndarray:
-    """Lengths of the longest common subsequences of pairs, a row of each table for all pairs at a time."""
+    """Lengths of the longest common subsequences of pairs.
+
+    Bit-parallel: a bit of a word stands for a place of the first text, 64 places a word, and is unset once it takes part; a
+    step takes one character of all second texts at a time.
+    """
     n, m = max(map(len, a), default=0), max(map(len, b), default=0)
-    x, y = np.full((len(a), n), -1), np.full((len(b), m), -2)
-    for i, (s, t) in enumerate(zip(a, b, strict=True)):
-        x[i, : len(s)], y[i, : len(t)] = [ord(c) for c in s], [ord(c) for c in t]
-    row = np.zeros((len(a), m + 1), np.int32)
-    for k in range(n):
-        # A cell is the best of: above; left; above left and one more where the characters agree.
-        take = np.zeros_like(row)
-        take[:, 1:] = np.where(x[:, k : k + 1] == y, row[:, :-1] + 1, row[:, 1:])
-        row = np.maximum.accumulate(np.maximum(take, row), axis=1)
-    return row[:, -1]
+    texts, of = np.unique(np.array(a, object), return_inverse=True) if len(a) else (np.array([], object), np.zeros(0, int))
+    chars, owner, place = _codes(texts.tolist())
+    others, row, at = _codes(b)
+    known = np.unique(chars)
+    words = max(1, -(-n // 64))
+    masks = np.zeros((words, len(texts), len(known) + 1), np.uint64)  # the last column is of all other characters
+    np.bitwise_or.at(masks, (place // 64, owner, np.searchsorted(known, chars)), np.uint64(1) << (place % 64).astype(np.uint64))
+    second = np.full((len(b), m), len(known))
+    if len(known):
+        found = np.minimum(np.searchsorted(known, others), len(known) - 1)
+        second[row, at] = np.where(known[found] == others, found, len(known))
+    left = np.full((words, len(a)), ~np.uint64(0))
+    for j in range(m):
+        carry = np.zeros(len(a), np.uint64)
+        for w in range(words):
+            v = left[w]
+            u = v & masks[w, of, second[:, j]]
+            total = v + u
+            more = total + carry
+            carry = ((total < v) | (more < total)).astype(np.uint64)
+            left[w] = more | (v & ~u)
+    size = np.array([len(t) for t in a], np.int64)
+    out = np.zeros(len(a), np.int64)
+    for w in range(words):
+        bits = np.clip(size - 64 * w, 0, 64)
+        within = np.where(bits == 64, ~np.uint64(0), (np.uint64(1) << np.minimum(bits, 63).astype(np.uint64)) - np.uint64(1))
+        out += np.bitwise_count(~left[w] & within)
+    return out
 
 
 @F.pandas_udf(T.DoubleType())
@@ -73,27 +102,11 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     some = pairs.dropna().drop_duplicates()
     some = some.assign(n=some.a.str.len() + some.b.str.len()).sort_values("n")
     parts = []
-    for lo in range(0, len(some), 4096):
-        part = some.iloc[lo : lo + 4096]
+    for lo in range(0, len(some), 1024):
+        part = some.iloc[lo : lo + 1024]
         lcs = common_length(part.a.to_list(), part.b.to_list())
         parts.append(pd.Series(np.where(part.n > 0, 200.0 * lcs / np.maximum(part.n, 1), 100.0), index=pd.MultiIndex.from_frame(part[["a", "b"]])))
     if not parts:
         return pd.Series([None] * len(pairs), index=pairs.index, dtype="float64")
     known = pd.concat(parts).to_dict()
     return pd.Series([known.get(p) for p in zip(pairs.a, pairs.b, strict=True)], index=pairs.index, dtype="float64")
-
-
-def native_common_length(a: Column, b: Column) -> Column:
-    """As common_length, as a fold within the JVM: for short texts that are few."""
-    chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
-    zero = F.transform(F.concat(F.array(F.lit("")), chars(b)), lambda _: F.lit(0))
-
-    def step(row, ch):
-        def cell(done, i):
-            up = F.get(row, i + 1)
-            diagonal = F.get(row, i) + F.when(F.get(chars(b), i) == ch, 1).otherwise(0)
-            return F.concat(done, F.array(F.greatest(up, diagonal, F.get(done, i))))
-
-        return F.when(F.size(row) > 1, F.aggregate(F.sequence(F.lit(0), F.size(row) - 2), F.array(F.lit(0)), cell)).otherwise(row)
-
-    return F.get(F.aggregate(chars(a), zero, step), F.length(b))

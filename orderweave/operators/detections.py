@@ -50,13 +50,56 @@ def near_pairs(rows: DataFrame, frame: list[str], ident: str = "det", box: str =
     return pairs.select(*frame, *first, *second)
 
 
-def near_both(rows: DataFrame, frame: list[str], kind: str, holder: Column, ident: str = "det", box: str = "box") -> DataFrame:
-    """Of the near pairs those of a holder and something else: frame, holder, holder_box, ident, box."""
-    flagged = rows.select(*frame, ident, box, F.coalesce(holder, F.lit(False)).alias(kind))
-    pairs = near_pairs(flagged, frame, ident, box, (kind,)).where(F.col(kind) != F.col(f"other_{kind}"))
-    mine = [F.when(F.col(kind), F.col(c)).otherwise(F.col(o)) for c, o in ((ident, "other"), (box, "other_box"))]
-    theirs = [F.when(F.col(kind), F.col(o)).otherwise(F.col(c)) for c, o in ((ident, "other"), (box, "other_box"))]
-    return pairs.select(*frame, mine[0].alias("holder"), mine[1].alias("holder_box"), theirs[0].alias(ident), theirs[1].alias(box))
+def aligned(box: Column) -> tuple[Column, Column, Column, Column]:
+    """Left, right, top and bottom of a box, its angle ignored."""
+    return box["cx"] - box["w"] / 2, box["cx"] + box["w"] / 2, box["cy"] - box["h"] / 2, box["cy"] + box["h"] / 2
+
+
+def turned(box: Column) -> tuple[Column, Column, Column, Column]:
+    """Left, right, top and bottom of what a turned box covers."""
+    c, s = F.abs(F.cos(box["r"])), F.abs(F.sin(box["r"]))
+    x, y = (box["w"] * c + box["h"] * s) / 2, (box["w"] * s + box["h"] * c) / 2
+    return box["cx"] - x, box["cx"] + x, box["cy"] - y, box["cy"] + y
+
+
+def _celled(rows: DataFrame, extent, box: str, cell: float) -> DataFrame:
+    """With _x0, _y0 (left, top) and a row for each cell (_x, _y) that the box covers."""
+    x0, x1, y0, y1 = extent(F.col(box))
+    columns, lines = (F.sequence(F.floor(a / cell), F.floor(b / cell)) for a, b in ((x0, x1), (y0, y1)))
+    return rows.withColumns({"_x0": x0, "_y0": y0, "_x": F.explode(columns)}).withColumn("_y", F.explode(lines))
+
+
+def _once(cell: float, *lefts: tuple[str, str]) -> Column:
+    """Of the cells that two boxes share the one in which their intersection begins."""
+    x, y = (F.floor(F.greatest(*c) / cell) for c in zip(*lefts, strict=True))
+    return (F.col("_x") == x) & (F.col("_y") == y)
+
+
+def overlapping(rows: DataFrame, frame: list[str], ident: str = "det", box: str = "box", carry: tuple[str, ...] = (), extent=aligned, cell: float = 256.0) -> DataFrame:
+    """Pairs of a frame's boxes whose extents touch: frame, ident, box, carry, other, other_box and other_ of carry, other being the larger ident.
+
+    A box meets those of the cells that it covers, over one exchange; cell: a side of about that of a large box.
+    """
+    own = _celled(rows.select(*frame, ident, box, *carry), extent, box, cell)
+    names = {ident: "other", box: "other_box", "_x0": "_ox", "_y0": "_oy"} | {c: f"other_{c}" for c in carry}
+    pairs = own.join(own.withColumnsRenamed(names), [*frame, "_x", "_y"]).where((F.col(ident) < F.col("other")) & _once(cell, ("_x0", "_y0"), ("_ox", "_oy")))
+    return pairs.drop("_x", "_y", "_x0", "_y0", "_ox", "_oy")
+
+
+def near_both(rows: DataFrame, frame: list[str], holder: Column, ident: str = "det", box: str = "box", inside: bool = True, extent=turned, cell: float = 256.0) -> DataFrame:
+    """Pairs of a holder and something else of the frame: frame, holder, holder_box, ident, box. Those whose centre lies within the
+    holder's extent (inside), or whose extents touch. Holders and the rest are parted first; only holders, which are few, go to
+    several cells if centres are asked for.
+    """
+    held = F.coalesce(holder, F.lit(False))
+    own = _celled(rows.where(held).select(*frame, F.col(ident).alias("holder"), F.col(box).alias("holder_box")), extent, "holder_box", cell)
+    rest = rows.where(~held).select(*frame, ident, box)
+    if inside:
+        centre = {f"_{c}": F.floor(F.col(box)[f"c{c}"] / cell) for c in "xy"}
+        return own.join(rest.withColumns(centre), [*frame, "_x", "_y"]).select(*frame, "holder", "holder_box", ident, box)
+    rest = _celled(rest, extent, box, cell).withColumnsRenamed({"_x0": "_ox", "_y0": "_oy"})
+    pairs = own.join(rest, [*frame, "_x", "_y"]).where(_once(cell, ("_x0", "_y0"), ("_ox", "_oy")))
+    return pairs.select(*frame, "holder", "holder_box", ident, box)
 
 
 def suppressed(rows: DataFrame, frame: list[str], threshold: float, group: Column, ident: str = "det", score: str = "score", box: str = "box") -> DataFrame:

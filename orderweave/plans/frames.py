@@ -94,7 +94,7 @@ _PAIR = "a.tray = b.tray AND a.day = b.day AND a.det < b.det"
 @query("aabb_iou", f"""WITH {DETS}, p AS (SELECT a.det, b.det AS other, greatest(least(a.cx + a.w / 2, b.cx + b.w / 2) - greatest(a.cx - a.w / 2, b.cx - b.w / 2), 0) * greatest(least(a.cy + a.h / 2, b.cy + b.h / 2) - greatest(a.cy - a.h / 2, b.cy - b.h / 2), 0) AS i, a.w * a.h + b.w * b.h AS s FROM boxes a JOIN boxes b ON {_PAIR})
 SELECT det, other, round(i / (s - i + 1e-9), 6) AS iou FROM p WHERE i > 0""")
 def aabb_iou(t: Tables) -> DataFrame:
-    rows = D.near_pairs(t.detections, ["tray", "day"]).withColumn("iou", G.aligned_iou(F.col("box"), F.col("other_box")))
+    rows = D.overlapping(t.detections, ["tray", "day"], cell=32.0).withColumn("iou", G.aligned_iou(F.col("box"), F.col("other_box")))
     return rows.where("iou > 0").select("det", "other", F.round("iou", 6).alias("iou"))
 
 
@@ -102,7 +102,7 @@ def aabb_iou(t: Tables) -> DataFrame:
 def rotated_iou(t: Tables) -> DataFrame:
     """Overlap of turned boxes: SQL has no polygon clipping, so tests hold it against a sampled area."""
     d = t.detections.withColumn("quad", G.corners(F.col("box")))
-    rows = D.near_pairs(d, ["tray", "day"], carry=("quad",)).select("det", "other", G.quad_iou(F.col("quad"), F.col("other_quad")).alias("iou"))
+    rows = D.overlapping(d, ["tray", "day"], carry=("quad",), extent=D.turned, cell=32.0).select("det", "other", G.quad_iou(F.col("quad"), F.col("other_quad")).alias("iou"))
     return rows.where("iou > 0").select("det", "other", F.round("iou", 6).alias("iou"))
 
 
@@ -143,10 +143,8 @@ def point_in_roi(t: Tables) -> DataFrame:
   AND abs((b.cx - a.cx) * cos(a.r) + (b.cy - a.cy) * sin(a.r)) < a.w / 2 - 1e-6 AND abs((b.cy - a.cy) * cos(a.r) - (b.cx - a.cx) * sin(a.r)) < a.h / 2 - 1e-6""")
 def items_in_tray(t: Tables) -> DataFrame:
     """Which items have their centre within which tray of the frame; an item may lie in several."""
-    pairs = D.near_both(t.detections, ["tray", "day"], "is_tray", F.col("cls") == "view")
-    b = F.col("holder_box")
-    inner = F.struct(b["cx"].alias("cx"), b["cy"].alias("cy"), (b["w"] - 2e-6).alias("w"), (b["h"] - 2e-6).alias("h"), b["r"].alias("r"))
-    return pairs.withColumn("p", G.corners(inner)).where(G.contains(F.col("p"), F.col("box.cx"), F.col("box.cy"))).select("holder", "det")
+    pairs = D.near_both(t.detections, ["tray", "day"], F.col("cls") == "view", cell=32.0)
+    return pairs.where(G.within(F.col("holder_box"), F.col("box.cx"), F.col("box.cy"), 1e-6)).select("holder", "det")
 
 
 @query("new_trays", f"""WITH {DETS}, v AS (SELECT * FROM boxes WHERE cls = 'view'), o AS (SELECT * FROM boxes WHERE cls = 'signup'),
@@ -326,7 +324,7 @@ def greedy_assignment(t: Tables) -> DataFrame:
 
     Each tray brings the detections that it overlaps enough, best first, so the fold only keeps what is taken.
     """
-    pairs = D.near_both(t.detections, ["tray", "day"], "is_tray", F.col("cls") == "view")
+    pairs = D.near_both(t.detections, ["tray", "day"], F.col("cls") == "view", inside=False, cell=32.0)
     pairs = pairs.withColumn("iou", G.quad_iou(G.corners(F.col("holder_box")), G.corners(F.col("box")))).where("iou >= 0.3")
     offers = pairs.groupBy("tray", "day", "holder").agg(F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("less"), "det"))).alias("offers"))
     start = F.array().cast("array<struct<holder:bigint,det:bigint>>")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderweave.functions import text as X
+from orderweave.operators import matching
 from orderweave.operators import tickets as K
 from orderweave.plans.base import query
 from orderweave.sources.tables import Tables
@@ -25,6 +26,16 @@ def ticket_parse(t: Tables) -> DataFrame:
     return rows.select("ticket", "text_row", "item", "quantity", "order_number", F.col("crop").isNotNull().alias("wants_crop"))
 
 
+@query("sticker_match", f"""WITH {LINES}, r AS (SELECT DISTINCT ticket, item FROM k WHERE line % 3 > 0 AND ticket % 5 > 0),
+s AS (SELECT ticket * 8 + line AS sticker, ticket, item, (ticket + line) % 11 > 0 AND ticket IN (SELECT ticket FROM r) AS known, (ticket, item) IN (SELECT (ticket, item) FROM r) AS there FROM k)
+SELECT sticker, CASE WHEN known THEN item END AS item, CASE WHEN NOT known THEN 'UNRECOGNIZED' WHEN there THEN 'MATCHED' ELSE 'WRONG_ITEM' END AS status FROM s""")
+def sticker_match(t: Tables) -> DataFrame:
+    """Each sticker's item, by its upper text box, and whether it is among what remains of its order."""
+    menu = t.part.groupBy(X.normalized(F.col("p_name"), compatible=False).alias("name")).agg(F.min("p_partkey").cast("long").alias("pos"))
+    left = t.ticket_lines.where("line % 3 > 0 and ticket % 5 > 0").groupBy(F.col("ticket").alias("order"), X.normalized(F.col("name"), compatible=False).alias("item")).agg(F.count(F.lit(1)).alias("n"))
+    return matching.sticker_matches(t.sticker_boxes, left, menu).select("sticker", "item", "status")
+
+
 @query("ticket_skew", """SELECT DISTINCT l_orderkey AS ticket, CAST((l_orderkey % 5 - 2) * 2 AS DOUBLE) AS degrees FROM lineitem""")
 def ticket_skew(t: Tables) -> DataFrame:
     """How far each ticket is turned, from its boxes alone."""

@@ -143,6 +143,17 @@ class Tables:
         quad = F.array(*(v for x, y in corners for v in G.rotate(x, y, F.col("r"), F.lit(0.0), F.lit(0.0))))
         return rows.select("ticket", "pos", quad.alias("quad"), "text", "score")
 
+    @property
+    def sticker_boxes(self) -> DataFrame:
+        """Text boxes of stickers, one for each line of a ticket: sticker, order, pos, quad, text, score. The upper one has the line's
+        name and a mark, if it isn't too faint."""
+        high = lambda y: F.array(*(F.lit(float(v)) for v in (0, y, 80, y, 80, y + 10, 0, y + 10)))
+        faint = (F.col("ticket") + F.col("line")) % 11 == 0
+        upper = F.struct(F.lit(1).alias("pos"), high(5).alias("quad"), F.concat("name", F.lit("!")).alias("text"), F.when(faint, 0.4).otherwise(0.9).alias("score"))
+        lower = F.struct(F.lit(0).alias("pos"), high(25).alias("quad"), F.lit("hot").alias("text"), F.lit(0.9).alias("score"))
+        rows = self.ticket_lines.select((F.col("ticket") * 8 + F.col("line")).alias("sticker"), F.col("ticket").alias("order"), F.explode(F.array(upper, lower)).alias("b"))
+        return rows.select("sticker", "order", "b.*")
+
     @property
     def tokens(self) -> DataFrame:
         """Token sequences: crop, tokens (0 is blank), best (scores)."""

@@ -80,6 +80,39 @@ def test_no_similar_name_is_lost(spark):
         assert got == want
 
 
+def test_few_pairs_are_scored_among_many_names(spark):
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyzäöüéè"
+    names = ["".join(rng.choices(letters, k=rng.randint(6, 14))) for _ in range(10_000)]
+    texts = []
+    for name in rng.sample(names, 200):
+        k = rng.randrange(len(name))
+        texts.append(rng.choice([name, name[:k] + rng.choice(letters) + name[k + 1 :], name[:k] + name[k + 1 :]]))
+    menu = spark.createDataFrame([(w, k) for k, w in enumerate(names)], "name string, pos int")
+    words = spark.createDataFrame([(t,) for t in texts], "text string")
+    often = menu.select(F.explode(matching._numbered(F.col("name"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("often"))
+    pairs = matching.candidates(matching._ranked(words.distinct(), "text", often), matching._ranked(menu.select("name").distinct(), "name", often), 80.0)
+    assert pairs.count() < len(texts) * len(names) / 10
+    got = {r.text: r["name"] for r in matching.most_similar(words, menu).collect()}
+    assert got == {t: max(((ratio(t, w), -k, w) for k, w in enumerate(names) if abs(len(w) - len(t)) < 3))[2] for t in texts}
+
+
+def test_stickers_against_what_remains(spark):
+    menu = [("cola", 0), ("green tea", 1), ("soup", 2)]
+    box = lambda y: [0.0, y, 50.0, y + 2, 50.0, y + 10, 0.0, y + 9]
+    rows = [
+        (1, 1, 0, box(30.0), "soup", 0.9), (1, 1, 1, box(10.0), "Ｃola ", 0.9),  # the upper box alone counts
+        (2, 1, 0, box(10.0), "soup", 0.9), (3, 1, 0, box(10.0), "coal!!", 0.4), (4, 1, 0, box(10.0), "xyz", 0.9),
+        (5, 2, 0, box(10.0), "cola", 0.9), (6, 3, 0, box(10.0), "cola", 0.9), (7, 1, 0, box(10.0), None, 0.9),
+        (8, 1, 1, box(10.0), "greentea", 0.9), (8, 1, 0, box(10.0), "soups", 0.9),  # equally high: the first one
+    ]
+    boxes = spark.createDataFrame(rows, "sticker int, order int, pos int, quad array<double>, text string, score double")
+    remaining = spark.createDataFrame([(1, "cola", 2), (1, "greentea", 1), (1, "soup", 0), (2, "soup", 1)], "order int, item string, n int")
+    names = spark.createDataFrame([(n.replace(" ", ""), k) for n, k in menu], "name string, pos int")
+    got = {r.sticker: (r.item, r.status) for r in matching.sticker_matches(boxes, remaining, names).collect()}
+    assert got == {1: ("cola", "MATCHED"), 2: ("soup", "WRONG_ITEM"), 3: (None, "UNRECOGNIZED"), 4: (None, "UNRECOGNIZED"), 5: ("cola", "WRONG_ITEM"), 6: (None, "UNRECOGNIZED"), 7: (None, "UNRECOGNIZED"), 8: ("soup", "WRONG_ITEM")}
+
+
 def test_corners_and_sizes(spark):
     df = spark.createDataFrame([([20.0, 10.0, 0.0, 0.0, 20.0, 0.0, 0.0, 10.0],), ([0.0, 0.0, 5.0, 0.0, 5.0, 30.0, 0.0, 30.0],)], "quad array<double>")
     rows = df.select(tickets.clockwise(F.col("quad")).alias("p")).select("p", tickets.sides(F.col("p")).alias("s"), tickets.large_enough(F.col("p")).alias("ok"), tickets.clipped(F.col("p"), F.lit(15), F.lit(8)).alias("c")).collect()
