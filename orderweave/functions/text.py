@@ -110,3 +110,23 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None] * len(pairs), index=pairs.index, dtype="float64")
     known = pd.concat(parts).to_dict()
     return pd.Series([known.get(p) for p in zip(pairs.a, pairs.b, strict=True)], index=pairs.index, dtype="float64")
+
+
+def ratio_to(text: Column, other: str) -> Column:
+    """indel_ratio to one text of at most 62 characters, within the JVM: the bits of a number stand for its places (see common_length)."""
+    n = len(other)
+    if not 0 < n <= 62:
+        raise ValueError("a text of 1 to 62 characters")
+    places: dict[str, int] = {}
+    for k, c in enumerate(other):
+        places[c] = places.get(c, 0) | 1 << k
+    whole = (1 << n) - 1
+    masks = F.create_map(*(F.lit(v) for c, mask in places.items() for v in (c, F.lit(mask).cast("long"))))
+
+    def step(left: Column, c: Column) -> Column:
+        mask = F.coalesce(F.try_element_at(masks, c), F.lit(0).cast("long"))
+        u = left.bitwiseAND(mask)
+        return (left + u).bitwiseOR(left.bitwiseAND(F.bitwise_not(mask))).bitwiseAND(F.lit(whole).cast("long"))
+
+    left = F.aggregate(F.split(text, ""), F.lit(whole).cast("long"), step)
+    return 200.0 * (n - F.bit_count(left)) / (n + F.length(text))

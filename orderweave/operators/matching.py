@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orderweave.functions import text as X
+from orderweave.operators.interim import written
 
 
 def by_prefix(texts: DataFrame, names: DataFrame, n: int = 2) -> DataFrame:
@@ -60,11 +61,12 @@ def most_similar(texts: DataFrame, menu: DataFrame, least: float = 40.0, steps:
     least = max(least, 1e-9)
     names = menu.where("name is not null").groupBy("name").agg(F.min("pos").alias("pos"))
     often = names.select(F.explode(_numbered(F.col("name"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("often"))
-    known, rest = _ranked(names, "name", often), _ranked(texts.where("text is not null").select("text").distinct(), "text", often)
+    known, rest = written(_ranked(names, "name", often)), written(_ranked(texts.where("text is not null").select("text").distinct(), "text", often))
     out = None
     for mark in (*(s for s in steps if s > least), least):
         scored = candidates(rest, known, mark).withColumn("score", X.indel_ratio(F.col("text"), F.col("name"))).where(F.col("score") > mark)
         best = scored.join(names, "name").groupBy("text").agg(F.max_by(F.struct("name", "score"), F.struct(F.col("score"), -F.col("pos"))).alias("b")).select("text", "b.name", "b.score")
+        best = written(best) if mark > least else best
         out = best if out is None else out.union(best)
         rest = rest.join(best.select("text"), "text", "left_anti")
     return out

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def runs(rows: DataFrame, key: list[str], order: list[str], same: Column, name: str = "run") -> DataFrame:
@@ -65,23 +67,38 @@ def throttled(rows: DataFrame, key: list[str], at: str, interval: float) -> Data
     return times.select(*key, F.explode(F.aggregate("_at", start, step)["let"]).alias(at))
 
 
+def _row_numbers(share: float):
+    """For each list of places and heights, which go in order, the row of text that each belongs to."""
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def run(at: pa.Array, height: pa.Array) -> pa.Array:
+        ends, of = at.offsets.to_pylist(), []
+        at, height = at.values.to_pylist(), height.values.to_pylist()
+        for lo, hi in zip(ends, ends[1:], strict=False):
+            rows: list[list] = []  # boxes, sum of places, sum of heights
+            for a, h in zip(at[lo:hi], height[lo:hi], strict=True):
+                if a is None or h is None:
+                    of.append(len(rows))
+                    rows.append([1, float("inf"), 0.0])  # near nothing
+                    continue
+                k = next((k for k, (n, x, y) in enumerate(rows) if abs(a - x / n) < share * y / n), len(rows))
+                if k == len(rows):
+                    rows.append([0, 0.0, 0.0])
+                rows[k] = [rows[k][0] + 1, rows[k][1] + a, rows[k][2] + h]
+                of.append(k)
+        return pa.ListArray.from_arrays(pa.array([e - ends[0] for e in ends], pa.int32()), pa.array(of, pa.int32()))
+
+    return run
+
+
 def row_clusters(rows: DataFrame, key: list[str], order: list[str], at: str, height: str, share: float = 0.5, carry: list[str] | None = None, whole: list[str] | None = None) -> DataFrame:
     """Puts each box, in order, into the first row of text whose mean place is nearer than a share of the row's mean height; else begins a new row.
 
     The key is a ticket or a frame, which holds a few hundred boxes at most. carry: further columns of the result; whole: those that are the same over all of a key.
     """
     carry, whole = carry or [], whole or []
-
-    def step(state, row):
-        near = lambda g: F.abs(row[at] - g["at"] / g["n"]) < share * g["height"] / g["n"]
-        places = F.filter(F.transform(state["rows"], lambda g, i: F.when(near(g), i)), lambda i: i.isNotNull())
-        where = F.coalesce(F.get(places, F.lit(0)), F.size(state["rows"]))
-        joined = F.transform(state["rows"], lambda g, i: F.when(i == where, F.struct((g["n"] + 1).alias("n"), (g["at"] + row[at]).alias("at"), (g["height"] + row[height]).alias("height"))).otherwise(g))
-        fresh = F.when(where == F.size(state["rows"]), F.array(F.struct(F.lit(1).alias("n"), row[at].alias("at"), row[height].alias("height")))).otherwise(F.array().cast("array<struct<n:int,at:double,height:double>>"))
-        return F.struct(F.concat(joined, fresh).alias("rows"), F.concat(state["of"], F.array(where)).alias("of"))
-
-    start = F.struct(F.array().cast("array<struct<n:int,at:double,height:double>>").alias("rows"), F.array().cast("array<int>").alias("of"))
     sorted_rows = F.array_sort(F.collect_list(F.struct(*order, F.col(at).cast("double").alias(at), F.col(height).cast("double").alias(height), *carry)))
-    grouped = rows.groupBy(*key).agg(sorted_rows.alias("_rows"), *(F.first(c).alias(c) for c in whole)).withColumn("_of", F.aggregate("_rows", start, step)["of"])
+    grouped = rows.groupBy(*key).agg(sorted_rows.alias("_rows"), *(F.first(c).alias(c) for c in whole))
+    grouped = grouped.withColumn("_of", _row_numbers(share)(F.col("_rows")[at], F.col("_rows")[height]))
     pairs = grouped.select(*key, *whole, F.explode(F.arrays_zip("_rows", "_of")).alias("_p"))
     return pairs.select(*key, *whole, *(F.col("_p._rows")[c].alias(c) for c in [*order, at, height, *carry]), F.col("_p._of").alias("text_row"))

@@ -1,6 +1,7 @@
 """Tickets: from recognised text boxes to ordered items.
 
-Input are boxes: ticket, pos (reading order), quad (x1, y1, ... x4, y4, clockwise from the upper left), text, score. All
+Input are boxes: ticket, pos (reading order), quad (x1, y1, ... x4, y4, clockwise from the upper left), text, score; for tickets that stand on their
+head also flipped, and width of the picture: their boxes are in reverse order, the item area lies above its anchors, and texts go from right to left. All
 that is said of a whole ticket (its skew, its headers, its order number) is a window over its boxes, which are few;
 everything runs over one exchange by ticket, and only distinct row texts meet the menu.
 """
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from orderweave.functions import geometry as G
 from orderweave.functions import text as X
 from orderweave.operators import matching, runs
+from orderweave.operators.interim import written
+
 
 @dataclass(frozen=True)
 class Layout:
@@ -60,7 +63,7 @@ def levelled(rows: DataFrame) -> DataFrame:
 
 def _says(text: Column, header: str, least: float) -> Column:
     """Whether a text is a header: as one of its words, or by its similarity."""
-    return F.array_contains(F.split(text, r"\s+"), header) | (X.indel_ratio(text, F.lit(header)) > least)
+    return F.array_contains(F.split(text, r"\s+"), header) | (X.ratio_to(text, header) > least)
 
 
 def read(boxes: DataFrame, layout: Layout = Layout()) -> DataFrame:
@@ -72,30 +75,36 @@ def read(boxes: DataFrame, layout: Layout = Layout()) -> DataFrame:
     sure = F.col("score") >= layout.box_score
     clean = X.stripped(F.col("text"))
     named = F.coalesce(F.try_element_at(F.create_map(*(F.lit(v) for p in layout.synonyms.items() for v in p)), clean), clean) if layout.synonyms else clean
+    boxes = boxes.withColumn("flipped", F.coalesce("flipped", F.lit(False)) if "flipped" in boxes.columns else F.lit(False))
+    boxes = boxes.withColumn("pos", F.when(F.col("flipped"), -F.col("pos")).otherwise(F.col("pos")))
+    width = F.col("width") if "width" in boxes.columns else F.lit(None).cast("double")
     rows = levelled(skew(boxes)).withColumn("_clean", clean).withColumn("_number", F.when(sure, X.order_number(F.col("text"))))
     rows = rows.withColumns({"_area": F.coalesce(sure & _says(named, layout.area_header, layout.header_score), F.lit(False)), "_count": F.coalesce(sure & _says(named, layout.count_header, layout.header_score), F.lit(False))})
-    first = _of_ticket(F.min(F.when(F.col("_number").isNotNull(), F.struct("pos", "_number", "x_max", "cy"))))
+    first = _of_ticket(F.min(F.when(F.col("_number").isNotNull(), F.struct("pos", "_number", "x_min", "x_max", "cy"))))
     header = _of_ticket(F.max(F.when(F.col("_area"), F.struct("pos", "x_min", "x_max", "cy"))))
     count = _of_ticket(F.max(F.when(F.col("_count"), F.struct("pos", "cx"))))
     digit = F.when(sure & X.only_digits(F.col("text")), F.struct("cy", "pos", X.first_number(F.col("_clean")).alias("number"), F.col("_clean").alias("raw")))
     rows = rows.withColumns({"_first": first, "_header": header, "count_at": count["cx"], "digits": F.array_sort(_of_ticket(F.collect_list(digit)))})
     by_header = F.col("_header").isNotNull() & (F.col("_first").isNull() | (F.col("_header.pos") >= F.col("_first.pos")))
-    top = F.when(by_header, F.col("_header.cy")).otherwise(F.col("_first.cy") + 100)
-    left = F.when(by_header, F.col("_header.x_min")).otherwise(F.lit(80.0))
-    right = F.when(by_header, F.col("_header.x_max")).otherwise(F.col("_first.x_max") - 60)
+    flipped = F.col("flipped")
+    top = F.when(by_header, F.col("_header.cy")).otherwise(F.col("_first.cy") + F.when(flipped, -100).otherwise(100))
+    left = F.when(by_header, F.col("_header.x_min")).when(flipped, F.col("_first.x_min") + 60).otherwise(F.lit(80.0))
+    right = F.when(by_header, F.col("_header.x_max")).when(flipped, width - 80).otherwise(F.col("_first.x_max") - 60)
+    before, after = F.when(flipped, layout.right).otherwise(layout.left), F.when(flipped, layout.left).otherwise(layout.right)
+    below = F.when(flipped, F.col("cy") <= top).otherwise(F.col("cy") >= top)
     prefixed = F.lit(False)
     for p in layout.prefixes:
         prefixed = prefixed | F.col("text").startswith(p)
     scored = F.col("score") >= F.when(prefixed, layout.prefix_score).otherwise(layout.box_score)
-    inside = top.isNull() | ((F.col("cy") >= top) & F.col("cx").between(left - layout.left, right + layout.right))
+    inside = top.isNull() | (below & (F.col("cx") >= left - before) & (right.isNull() | (F.col("cx") <= right + after)))
     return rows.where(scored & inside).withColumn("order_number", F.col("_first._number")).drop("_clean", "_number", "_area", "_count", "_first", "_header")
 
 
 def rows_of(boxes: DataFrame, whole: list[str] | None = None) -> DataFrame:
     """A row for each row of text: ticket, text_row, text (from left to right), cy, h, longest (height and place of its longest text), and columns that hold for a whole ticket."""
-    whole = whole or []
+    whole = [*(whole or []), "flipped"]
     placed = runs.row_clusters(boxes, ["ticket"], ["pos"], "cy", "h", carry=["cx", "text"], whole=whole)
-    parts = F.array_sort(F.collect_list(F.struct("cx", "pos", "text")))
+    parts = F.array_sort(F.collect_list(F.struct(F.when(F.col("flipped"), -F.col("cx")).otherwise(F.col("cx")).alias("at"), "pos", "text")))
     longest = F.max_by(F.struct("cy", "h"), F.struct(F.length("text"), -F.col("pos")))
     out = placed.groupBy("ticket", "text_row").agg(parts.alias("_parts"), F.avg("cy").alias("cy"), F.avg("h").alias("h"), longest.alias("longest"), *(F.first(c).alias(c) for c in whole))
     return out.withColumn("text", F.array_join(F.col("_parts.text"), "")).drop("_parts")
@@ -111,7 +120,7 @@ def parsed(boxes: DataFrame, menu: DataFrame, layout: Layout = Layout(), counts:
     menu: name, pos, names in normal form.
     """
     seen = read(boxes, layout)
-    rows = rows_of(seen, ["order_number", "digits", "count_at", "theta", "px", "py"]).withColumn("_text", X.normalized(F.col("text")))
+    rows = written(rows_of(seen, ["order_number", "digits", "count_at", "theta", "px", "py"]).withColumn("_text", X.normalized(F.col("text"))))
     names = matching.best_name(rows.select(F.col("_text").alias("text")), menu, layout.prefixes)
     rows = rows.join(names.select(F.col("text").alias("_text"), F.col("name").alias("item")), "_text")
 

@@ -132,3 +132,29 @@ def test_reading_order(spark):
                 at -= 1
             done.insert(at, b)
         assert [got[t, b[1]] for b in done] == list(range(len(done)))
+
+
+def test_a_ticket_on_its_head(spark):
+    """A ticket turned by half a circle, whose boxes are named from the upper left as they stand, in reverse order."""
+    heads = [((100, 50, 200, 70), "No 123", 0.9), ((100, 100, 280, 120), "ティクアウト", 0.9), ((300, 100, 320, 120), "枚", 0.9)]
+    lines = [((100, 140, 150, 160), "red", 0.9), ((160, 140, 200, 160), "widget", 0.9), ((300, 142, 310, 162), "3", 0.9), ((100, 180, 200, 200), "blue bolt", 0.9), ((100, 20, 200, 40), "blue bolt", 0.9), ((500, 140, 600, 160), "blue bolt", 0.9)]
+    whole = heads + lines
+    turned = [(box(600 - b[2], 400 - b[3], 600 - b[0], 400 - b[1]), text, score) for b, text, score in whole]
+    upright = [("t", k, box(*b), text, score, False, 600.0) for k, (b, text, score) in enumerate(whole)]
+    n = len(whole)
+    flipped = [("f", n - 1 - k, q, text, score, True, 600.0) for k, (q, text, score) in enumerate(turned)]
+    without = [("g", n - 1 - k, q, text, score, True, 600.0) for k, (q, text, score) in enumerate(turned) if "ティ" not in text]  # the number alone is the anchor
+    df = spark.createDataFrame(upright + flipped + without, f"{SCHEMA}, flipped boolean, width double")
+    got = tickets.parsed(df, spark.createDataFrame(MENU, "name string, pos int")).collect()
+    found = {t: sorted((r["item"], r["quantity"], r["order_number"]) for r in got if r["ticket"] == t) for t in "tfg"}
+    assert found["t"] == found["f"] == [("bluebolt", 1, "123"), ("redwidget", 3, "123")]
+    assert found["g"] == [("bluebolt", 1, "123")]  # its area begins 100 beyond the number
+
+
+def test_ratio_to_one_text(spark):
+    from orderweave.functions import text as X
+
+    texts = ["数", "数量", "枚数 ", "", "ティクアウト", "テイクアウト", "ティ", None, "アイウ数"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for header in ("数", "ティクアウト"):
+        assert [r[0] for r in df.select(X.ratio_to(F.col("t"), header)).collect()] == [None if t is None else ratio(t, header) for t in texts]
