@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def at(values: Column, i) -> Column:
@@ -61,16 +64,31 @@ def grown(area: Column, perimeter: Column, ratio: float = 1.5) -> Column:
 
 def change_ratio(before: Column, after: Column, width: int, differs: float = 30.0, content: float = 200.0) -> Column:
     """Share of values of a picture (rows of `width`) that changed by more than `differs`, of those at or next to content: values
-    below `content` in either picture. 1 where a picture is missing, 0 without content."""
-    n = F.size(before)
-    dark = F.transform(before, lambda v, i: (v < content) | (at(after, i) < content))
-    x, y = lambda i: i % width, lambda i: F.floor(i / width).cast("int")
-    near = F.array(*(F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
-
-    def content_near(i):
-        inside = lambda d: (x(i) + d["dx"]).between(0, width - 1) & (y(i) + d["dy"] >= 0) & (i + d["dy"] * width + d["dx"] < n)
-        return F.exists(near, lambda d: inside(d) & F.coalesce(at(dark, F.when(inside(d), i + d["dy"] * width + d["dx"])), F.lit(False)))
-
-    places = F.filter(F.sequence(F.lit(0), n - 1), content_near)
-    changed = F.size(F.filter(places, lambda i: F.abs(at(before, i) - at(after, i)) > differs))
-    return F.when(before.isNull() | after.isNull(), 1.0).when(F.size(places) == 0, 0.0).otherwise(changed / F.size(places))
+    below `content` in either picture. 1 where a picture is missing, 0 without content. Values that only one picture has didn't change."""
+
+    def one(a: np.ndarray, b: np.ndarray) -> float:
+        n = len(a)
+        b = np.pad(b[:n], (0, max(0, n - len(b))), constant_values=np.nan)
+        with np.errstate(invalid="ignore"):
+            dark = (a < content) | (b < content)
+            changed = np.abs(a - b) > differs
+        rows = -(-n // width)
+        room = np.zeros((rows + 2, width + 2), bool)
+        room[1:-1, 1:-1] = np.pad(dark, (0, rows * width - n)).reshape(rows, width)
+        near = np.zeros((rows, width), bool)
+        for y in range(3):
+            for x in range(3):
+                near |= room[y : y + rows, x : x + width]
+        near = near.ravel()[:n]
+        return float((changed & near).sum() / near.sum()) if near.any() else 0.0
+
+    @F.arrow_udf(T.DoubleType())
+    def run(before: pa.Array, after: pa.Array) -> pa.Array:
+        pictures = [(x.offsets.to_pylist(), x.values.to_numpy(zero_copy_only=False).astype(float), x.is_valid().to_pylist()) for x in (before, after)]
+        out = []
+        for k in range(len(before)):
+            a, b = (values[ends[k] : ends[k + 1]] if valid[k] else None for ends, values, valid in pictures)
+            out.append(1.0 if a is None or b is None else one(a, b))
+        return pa.array(out, pa.float64())
+
+    return run(before, after)

@@ -114,6 +114,30 @@ def rotate(x: Column, y: Column, theta: Column, px: Column, py: Column) -> tuple
     return px + (x - px) * c - (y - py) * s, py + (x - px) * s + (y - py) * c
 
 
+def offset(p: Column, distance: Column, arc: float = 0.25) -> Column:
+    """A convex polygon (x1, y1, ..., either way round) grown by a distance: its sum with a disc, whose arcs are cut into chords that lie at most
+    `arc` inside of it. Corners in the polygon's order, as x1, y1, ...; a polygon that isn't grown stays as it is."""
+    n = F.size(p) / 2
+    corner = lambda k: (F.get(p, (2 * (k % n)).cast("int")), F.get(p, (2 * (k % n) + 1).cast("int")))
+    twice = F.aggregate(F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda k: corner(k)[0] * corner(k + 1)[1] - corner(k + 1)[0] * corner(k)[1]), F.lit(0.0), lambda t, v: t + v)
+    way = F.when(twice < 0, -1.0).otherwise(1.0)
+
+    def heading(k: Column) -> Column:
+        """The angle at which the outer side of the edge from corner k looks."""
+        (x, y), (u, v) = corner(k), corner(k + 1)
+        return F.atan2(way * (x - u), way * (v - y))
+
+    def around(k: Column) -> Column:
+        x, y = corner(k)
+        first, turn = heading(k + n - 1), F.pmod(way * (heading(k) - heading(k + n - 1)), F.lit(2 * np.pi))
+        chord = 2 * F.acos(F.greatest(F.lit(0.0), 1 - F.lit(arc) / distance))
+        parts = F.greatest(F.lit(1), F.ceil(turn / chord - 1e-9).cast("int"))
+        angle = lambda i: first + way * turn * i / parts
+        return F.flatten(F.transform(F.sequence(F.lit(0), parts), lambda i: F.array(x + distance * F.cos(angle(i)), y + distance * F.sin(angle(i)))))
+
+    return F.when(distance > 0, F.flatten(F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), around))).otherwise(p)
+
+
 def clipped_area(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Areas that pairs of convex quadrilaterals share; p, q: n x 8.
 

@@ -10,10 +10,12 @@ from orderweave.functions import arrays as A
 from orderweave.functions import decode as C
 from orderweave.functions import geometry as G
 from orderweave.operators import detections as D
+from orderweave.operators import exposure as E
 from orderweave.operators import runs as R
 from orderweave.plans.base import DETS, EXPECTED, TOKENS, query
 from orderweave.sources.sinks import frame_stamps
 from orderweave.sources.tables import Tables, next_file_name
+from orderweave.streaming.runner import finished, scratch
 
 _HEAD = f"""{TOKENS}, h AS (SELECT crop, g AS anchor, v[8 * g + 1 : 8 * g + 8] AS x, (g % 4) * 8 + 4 AS ax, (g // 4) * 8 + 4 AS ay FROM toks, range(8) t(g)),
 b AS (SELECT crop, anchor, ax + cos(x[5]) * (abs(x[3]) - abs(x[1])) / 2 - sin(x[5]) * (abs(x[4]) - abs(x[2])) / 2 AS cx, ay + sin(x[5]) * (abs(x[3]) - abs(x[1])) / 2 + cos(x[5]) * (abs(x[4]) - abs(x[2])) / 2 AS cy,
@@ -83,6 +85,50 @@ def grown_boxes(t: Tables) -> DataFrame:
     return d.where((F.col("score") >= 0.6) & (short >= 3) & (short + 2 * F.col("distance") >= 5)).select("det", F.round("distance", 5).alias("distance"))
 
 
+_ARC = "2 * acos(greatest(0, 1 - 0.25 / d))"
+
+
+@query("grown_polygons", f"""WITH {DETS}, g AS (SELECT det, w, h, w * h * 1.5 / (2 * (w + h)) AS d FROM boxes), n AS (SELECT *, greatest(1, ceil(pi() / 2 / ({_ARC}) - 1e-9)) AS parts FROM g)
+SELECT det, CAST(4 * (parts + 1) AS BIGINT) AS corners, round(w * h + 2 * (w + h) * d + 2 * parts * d * d * sin(pi() / 2 / parts), 5) AS area FROM n""")
+def grown_polygons(t: Tables) -> DataFrame:
+    """Text boxes grown with round corners: how many corners they have then, and their area."""
+    b = F.col("box")
+    d = t.detections.withColumn("p", G.corners(b)).withColumn("distance", A.grown(G.area(F.col("p")), 2 * (b["w"] + b["h"])))
+    d = d.withColumn("p", G.offset(F.col("p"), F.col("distance")))
+    return d.select("det", (F.size("p") / 2).cast("long").alias("corners"), F.round(G.area(F.col("p")), 5).alias("area"))
+
+
+_STEER = E.Control(target=120.0, tolerance=40.0, most=20_000.0, most_gain=9.0, most_bright=0.5)
+
+
+def _lit(frames: DataFrame) -> DataFrame:
+    order = W.partitionBy("user_id").orderBy("ts", "event_id")
+    return frames.select(F.col("user_id").alias("camera"), F.row_number().over(order).cast("long").alias("frame"), F.col("value").alias("mean"), (F.col("event_id") % 4 / 5).alias("bright"), F.lit(0.0).alias("dark"))
+
+
+_STEERED = """WITH RECURSIVE l AS (SELECT user_id AS camera, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS frame, value AS mean, event_id % 4 / 5 AS bright FROM events),
+s AS (SELECT camera, 0::BIGINT AS frame, 10000::DOUBLE AS exposure, 0::DOUBLE AS gain, '' AS change FROM (SELECT DISTINCT camera FROM l)
+UNION ALL SELECT camera, frame, CASE WHEN change = 'exposure' THEN longer ELSE exposure END, CASE WHEN change = 'gain' THEN least(greatest(gain + 20 * log10(ratio), 0), 9) ELSE gain END, change FROM (
+  SELECT *, CASE WHEN abs(120 - mean) <= 40 THEN 'steady' WHEN mean < 120 AND bright > 0.5 THEN 'guarded' WHEN ratio > 1 AND (exposure >= 20000 OR longer = exposure) THEN 'gain' ELSE 'exposure' END AS change FROM (
+    SELECT s.camera, l.frame, s.exposure, s.gain, l.mean, l.bright, least(greatest(120 / greatest(l.mean, 1e-3), 0.5), 2) AS ratio, least(greatest(s.exposure * least(greatest(120 / greatest(l.mean, 1e-3), 0.5), 2), 100), 20000) AS longer FROM s JOIN l ON l.camera = s.camera AND l.frame = s.frame + 1)))
+SELECT camera, frame, round(exposure, 3) AS exposure, round(gain, 6) AS gain, change FROM s WHERE frame > 0"""
+
+
+@query("exposure_steps", _STEERED)
+def exposure_steps(t: Tables) -> DataFrame:
+    """Exposure and gain of each camera after each frame."""
+    return E.steered(_lit(t.events), _STEER).withColumns({"exposure": F.round("exposure", 3), "gain": F.round("gain", 6)})
+
+
+@query("stream_exposure_steps", _STEERED)
+def stream_exposure_steps(t: Tables) -> DataFrame:
+    """The same as a stream that keeps two numbers a camera."""
+    folder = scratch(t.spark)
+    _lit(t.events).write.parquet(f"{folder}/frames")
+    stream = t.spark.readStream.schema("camera long, frame long, mean double, bright double, dark double").parquet(f"{folder}/frames")
+    return finished(E.stream_steered(stream, _STEER)).withColumns({"exposure": F.round("exposure", 3), "gain": F.round("gain", 6)})
+
+
 @query("large_crops", f"WITH {DETS} SELECT det FROM boxes WHERE floor(w) >= 10 AND floor(h) >= 10")
 def large_crops(t: Tables) -> DataFrame:
     return t.detections.where((F.floor("box.w") >= 10) & (F.floor("box.h") >= 10)).select("det")
