@@ -13,8 +13,8 @@ neighbour is missed in a few cases of a hundred. Every vector is indexed. The
 projections are seeded, so reruns agree; measured recall is in the README.
 
 Cases: see vectors.py; zero vectors take no part; ids that rows share are not told apart;
-only vectors of the query's dimension are candidates; equal distances go to smaller ids; an
-empty table gives none; other columns of the input aren't read, so their names can't clash.
+only vectors of the query's dimension are candidates; a distance beyond the largest double is
+given as infinite and counts as such; equal distances go to smaller ids; an empty table gives none; other columns of the input aren't read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -59,7 +59,7 @@ class Lines:
         self.spread = float(np.sqrt(((x - x.mean(axis=0)) ** 2).sum(axis=1).mean())) or 1.0
 
     def search(self, q: np.ndarray, own: np.ndarray, k: int):
-        """For each query the verified rows and their distances; own: row that is the query itself, or -1."""
+        """For each query which rows were verified (or are the query itself), and their distances; own: row that is the query itself, or -1."""
         n, m = self.x.shape[0], PROJECTIONS
         at = q @ self.lines
         lo = np.stack([np.searchsorted(self.values[:, j], at[:, j]) for j in range(m)], axis=1)
@@ -82,11 +82,12 @@ class Lines:
             who, which = np.nonzero((counts[active] >= THRESHOLD) & ~done[active])
             who = active[who]
             done[who, which] = True
-            far[who, which] = np.sqrt(((q[who] - self.x[which]) ** 2).sum(axis=1))
+            with np.errstate(over="ignore"):
+                far[who, which] = np.sqrt(((q[who] - self.x[which]) ** 2).sum(axis=1))
             near = np.partition(far[active], min(k, n) - 1, axis=1)[:, min(k, n) - 1]
             active = active[~((near <= radius) | done[active].all(axis=1))]
             radius *= WIDEN
-        return far
+        return done, far
 
 
 def _found(k: int):
@@ -99,11 +100,10 @@ def _found(k: int):
             for lo in range(0, len(q), TOGETHER):
                 part = q_ids[lo : lo + TOGETHER]
                 same = ids[None, :] == part[:, None]
-                far = lines.search(q[lo : lo + TOGETHER], np.where(same.any(axis=1), same.argmax(axis=1), -1), k)
-                far[same] = np.inf
-                order = np.lexsort((np.broadcast_to(ids, far.shape), far), axis=1)[:, :k]
-                best = np.take_along_axis(far, order, 1)
-                there = np.isfinite(best)
+                there, far = lines.search(q[lo : lo + TOGETHER], np.where(same.any(axis=1), same.argmax(axis=1), -1), k)
+                there &= ~same
+                order = np.lexsort((np.broadcast_to(ids, far.shape), far, ~there), axis=1)[:, :k]
+                best, there = (np.take_along_axis(m, order, 1) for m in (far, there))
                 out[0].append(np.repeat(part, there.sum(axis=1)))
                 out[1].append(ids[order[there]])
                 out[2].append(best[there])

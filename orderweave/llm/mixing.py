@@ -14,7 +14,10 @@ Ranks over all sources or shards come from a range-partitioned sort: each part n
 its rows, and the parts' sizes give the offsets. Nothing is collected but a few sums.
 
 Cases: null or empty texts have size 0 and are never taken; null is a source of its own,
-the last; rows may repeat; without words every target is 0; an empty table gives none.
+the last; rows may repeat, and each has a place of its own; documents with equal hashes lie in
+the order of their ids and texts; a very long text is one row, of which only the number of words
+counts, however many shards' worth it has; without words every target is 0; an empty table gives
+none; other columns of the input aren't read, so their names can't clash.
 """
 
 from __future__ import annotations

@@ -65,6 +65,24 @@ def test_scores_beyond_64_bits(spark):
     assert sorted(got) == [(1, 1, 2**63 - 1), (2, 2, 256 * 3 * 10**12 * 256 + 65536), (3, 3, -(2**63) + 1)]
 
 
+def test_distances_beyond_doubles(spark):
+    df = spark.createDataFrame([(0, [1e300, 0.0]), (1, [-1e300, 1.0]), (2, [1.0, 1e200]), (3, [1e300, 0.0])], "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in collision_search.nearest(df).orderBy("rank").collect()]
+    assert got == [(0, 1, 3, 0.0), (0, 2, 1, float("inf")), (0, 3, 2, float("inf"))]
+
+
+def test_shards_follow_from_the_rows_alone(spark):
+    df = vectors.vectors(spark.range(9000).selectExpr("id as vec_id", "array(cast(id as double), 1.0D) as embedding"), "vec_id", "embedding")
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), set()
+    try:
+        for n in ("3", "200"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.add(vectors.dealt(df, 100)[2:])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found == {(5, 1)}
+
+
 def test_empty_searches(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert exact_search.top_k(none).count() == collision_search.nearest(none).count() == 0
