@@ -15,7 +15,7 @@ Observations: order, frame, at (seconds), kind, ref, number, items; several of a
 Events: order, frame, status, items (item, n), number. Of a later ticket with another number, or none, nothing is taken; one
 with the same number adds its items, also to a completed order, and takes them back when it leaves. A sticker that no
 item is left for is wrong, which is said again every `HEARTBEAT` seconds until it leaves; meanwhile the order isn't
-completed. What can't be read is read again. `gone` writes the record (RECORD, items: what was expected; checked in a row of its own).
+completed. What can't be read is read again. `gone` writes the record: RECORD, with items (what was expected), checked, and started (the frame of the first sight).
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 HEARTBEAT = 1.5
-OUT = "order long, frame long, status string, items array<struct<item:string,n:long>>, number string"
+OUT = "order long, frame long, status string, items array<struct<item:string,n:long>>, number string, checked array<struct<item:string,n:long>>, started long"
 _COLUMNS = ("frame", "at", "kind", "ref", "number", "items")
 
 
@@ -49,9 +49,11 @@ class Course:
     checked: dict[str, int] = field(default_factory=dict)
     known: list[str] = field(default_factory=list)  # stickers that are checked
     wrong: dict[str, list] = field(default_factory=dict)  # sticker: item, when it was said last
+    started: int | None = None
 
     def begin(self, state: str) -> None:
-        for name, value in vars(Course(state)).items():
+        started = self.started if state != "NONE" else None
+        for name, value in vars(Course(state, started=started)).items():
             setattr(self, name, value)
 
     def left(self, item: str) -> int:
@@ -70,19 +72,23 @@ def _added(counts: dict[str, int], more: dict[str, int], sign: int = 1) -> dict[
     return {i: n for i, n in both.items() if n > 0}
 
 
-def advance(c: Course, at: float, kind: str, ref: int | None, number: str | None, items: list[str] | None) -> list[tuple]:
-    """Events status, items, number of one observation."""
+def advance(c: Course, frame: int, at: float, kind: str, ref: int | None, number: str | None, items: list[str] | None) -> list[tuple]:
+    """Events status, items, number, checked, started of one observation."""
+    return [(*e, None, None)[:5] for e in _events(c, frame, at, kind, ref, number, items)]
+
+
+def _events(c: Course, frame: int, at: float, kind: str, ref: int | None, number: str | None, items: list[str] | None) -> list[tuple]:
     out: list[tuple] = []
     key, items = str(ref), [i for i in items or [] if i is not None]
     if kind == "reset" or kind == "gone":
         if kind == "gone" and c.state != "NONE":
-            out += [("RECORD", _listed(c.expected), c.number), ("RECORD_CHECKED", _listed(c.checked), c.number), ("TRAY_REMOVED", [], c.number)]
+            out += [("RECORD", _listed(c.expected), c.number, _listed(c.checked), c.started), ("TRAY_REMOVED", [], c.number)]
         if kind == "reset":
             out += [("TRAY_RESET", [], None), ("WAITING_TICKET", [], None)]
         c.begin("WAITING_TICKET" if kind == "reset" else "NONE")
         return out
     if kind == "seen" and c.state == "NONE":
-        c.state = "WAITING_TICKET"
+        c.state, c.started = "WAITING_TICKET", frame
         return [("NEW_TRAY_DETECTED", [], None)]
     if c.state == "NONE":  # a late result of an order that has left
         return out
@@ -128,10 +134,10 @@ def order_events(seen: DataFrame) -> DataFrame:
         now, course = None, Course()
         for batch in batches:
             out = []
-            for order, frame, *row in zip(*(batch[c].to_pylist() for c in ("order", *_COLUMNS)), strict=True):
+            for order, *row in zip(*(batch[c].to_pylist() for c in ("order", *_COLUMNS)), strict=True):
                 if order != now:
                     now, course = order, Course()
-                out += [(order, frame, *e) for e in advance(course, *row)]
+                out += [(order, row[0], *e) for e in advance(course, *row)]
             yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], f.type) for k, f in enumerate(arrow)], schema=arrow)
 
     rows = _rows(seen)
@@ -140,7 +146,7 @@ def order_events(seen: DataFrame) -> DataFrame:
 
 def stream_order_events(seen: DataFrame) -> DataFrame:
     """The same over a stream; within a batch rows are put in order, batches follow each other."""
-    names = ["order", "frame", "status", "items", "number"]
+    names = [c.split(" ")[0] for c in OUT.split(", ")]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         course = Course(**json.loads(state.get[0])) if state.exists else Course()
@@ -148,9 +154,9 @@ def stream_order_events(seen: DataFrame) -> DataFrame:
         out = []
         for frame, at, kind, ref, number, items in rows[list(_COLUMNS)].itertuples(index=False, name=None):
             ref = None if pd.isna(ref) else int(ref)
-            out += [(key[0], frame, *e) for e in advance(course, at, kind, ref, number, None if items is None else list(items))]
+            out += [(key[0], frame, *e) for e in advance(course, frame, at, kind, ref, number, None if items is None else list(items))]
         state.update((json.dumps(asdict(course)),))
-        yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame(out, columns=names).astype({"started": "Int64"})
 
     return _rows(seen).groupBy("order").applyInPandasWithState(run, OUT, "course string", "append", GroupStateTimeout.NoTimeout)
 
@@ -169,11 +175,5 @@ def final_states(events: DataFrame) -> DataFrame:
 
 def record_lines(events: DataFrame) -> DataFrame:
     """order, number, start_frame, end_frame, expected, expected_count (distinct items), checked: a row for each time that an order left."""
-    first = events.where("status = 'NEW_TRAY_DETECTED'").select("order", F.col("frame").alias("start_frame"))
-    out = events.where("status like 'RECORD%'").groupBy("order", "frame").agg(
-        F.any_value("number").alias("number"),
-        F.first(F.when(F.col("status") == "RECORD", F.col("items")), True).alias("expected"),
-        F.first(F.when(F.col("status") == "RECORD_CHECKED", F.col("items")), True).alias("checked"),
-    )
-    begun = out.join(first, (out["order"] == first["order"]) & (first["start_frame"] <= out["frame"])).groupBy(out["order"], out["frame"]).agg(F.max("start_frame").alias("start_frame"), *(F.first(c).alias(c) for c in ("number", "expected", "checked")))
-    return begun.select("order", "number", "start_frame", F.col("frame").alias("end_frame"), "expected", F.size("expected").cast("long").alias("expected_count"), "checked")
+    rows = events.where("status = 'RECORD'")
+    return rows.select("order", "number", F.col("started").alias("start_frame"), F.col("frame").alias("end_frame"), F.col("items").alias("expected"), F.size("items").cast("long").alias("expected_count"), "checked")

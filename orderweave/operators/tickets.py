@@ -141,6 +141,13 @@ def parsed(boxes: DataFrame, menu: DataFrame, layout: Layout = Layout(), counts:
     return rows.select("ticket", "text_row", "item", F.col("quantity").cast("int").alias("quantity"), F.coalesce("order_number", F.lit("000")).alias("order_number"), "crop")
 
 
+def crop_sides(crop: Column, width: Column, height: Column) -> Column:
+    """Struct left, top, right, bottom of a crop (see parsed) within the picture, in whole pixels; null where nothing of it is inside."""
+    within = lambda v, most: F.least(F.greatest(v, F.lit(0)), most).cast("int")
+    sides = {"left": within(crop["cx"] - crop["half_width"], width), "top": within(crop["cy"] - crop["half_height"], height), "right": within(crop["cx"] + crop["half_width"], width), "bottom": within(crop["cy"] + crop["half_height"], height)}
+    return F.when((sides["right"] > sides["left"]) & (sides["bottom"] > sides["top"]), F.struct(*(v.alias(k) for k, v in sides.items())))
+
+
 def _bound(value: Column, of) -> Column:
     """of(value), where value is computed once, however often it occurs."""
     return F.get(F.transform(F.array(value), of), F.lit(0))

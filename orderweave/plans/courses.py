@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderweave.operators import bags
 from orderweave.operators import course as C
 from orderweave.plans.base import query
 from orderweave.plans.tickets import LINES
@@ -15,7 +14,7 @@ from orderweave.sources.tables import Tables
 @query("machine_events")
 def machine_events(t: Tables) -> DataFrame:
     """Every event of every order."""
-    return C.order_events(t.observations).withColumn("items", F.to_json("items"))
+    return C.order_events(t.observations).withColumns({"items": F.to_json("items"), "checked": F.to_json("checked")})
 
 
 @query("machine_final_state", """SELECT DISTINCT l_orderkey AS "order", CASE WHEN l_orderkey % 3 > 0 THEN 'TRAY_REMOVED' ELSE 'TRAY_COMPLETED' END AS status FROM lineitem""")
@@ -28,6 +27,6 @@ def machine_final_state(t: Tables) -> DataFrame:
 def machine_records(t: Tables) -> DataFrame:
     """The records of the orders that left, a row for each item; the SQL has the lines of the tickets that count."""
     rows = C.record_lines(C.order_events(t.observations))
-    sides = [rows.select("order", F.explode(side).alias("i")).select("order", "i.item", F.col("i.n").alias("n")) for side in ("expected", "checked")]
-    both = bags.compared(*sides, ["order"])
-    return both.withColumnsRenamed({"n_left": "expected", "n_right": "checked"})
+    side = lambda c, there: F.transform(c, lambda i: F.struct(i["item"].alias("item"), *((i["n"] if there == k else F.lit(0).cast("long")).alias(k) for k in ("expected", "checked"))))
+    both = rows.select("order", F.explode(F.concat(side("expected", "expected"), side("checked", "checked"))).alias("i")).select("order", "i.*")
+    return both.groupBy("order", "item").agg(F.sum("expected").alias("expected"), F.sum("checked").alias("checked"))

@@ -13,6 +13,7 @@ from orderweave.operators import detections as D
 from orderweave.operators import exposure as E
 from orderweave.operators import runs as R
 from orderweave.plans.base import DETS, EXPECTED, TOKENS, query
+from orderweave.plans.frames import _prob_sql
 from orderweave.sources.sinks import frame_stamps
 from orderweave.sources.tables import Tables, next_file_name
 from orderweave.streaming.runner import finished, scratch
@@ -37,6 +38,17 @@ def head_boxes(t: Tables) -> DataFrame:
     return rows.select("crop", "anchor", "cls", F.round("score", 6).alias("score"), *(F.round(f"box.{c}", 6).alias(c) for c in ("cx", "cy", "w", "h")))
 
 
+@query("head_kept", f"""WITH {_HEAD}, c AS (SELECT *, CASE WHEN cls < 2 THEN 0 ELSE cls END AS grp FROM b WHERE score > 0.1)
+SELECT crop, anchor, cls, round(cx + w / 2 * cos(r) - h / 2 * sin(r), 5) AS x1, round(cy + w / 2 * sin(r) + h / 2 * cos(r), 5) AS y1 FROM c x
+WHERE NOT EXISTS (SELECT 1 FROM c y WHERE y.crop = x.crop AND y.grp = x.grp AND (y.score > x.score OR (y.score = x.score AND y.anchor < x.anchor)) AND {_prob_sql("y", "x")} >= 0.3)""")
+def head_kept(t: Tables) -> DataFrame:
+    """The whole chain after a detector: its head to boxes, those that are sure, without those that say the same, and their corners.
+    The first two classes count as one."""
+    kept = D.suppressed(D.confident(_head(t), 0.1), ["crop"], 0.3, F.when(F.col("cls") < 2, 0).otherwise(F.col("cls")), ident="anchor")
+    p = kept.select("crop", "anchor", "cls", G.corners(F.col("box")).alias("p"))
+    return p.select("crop", "anchor", "cls", F.round(A.at(F.col("p"), 0), 5).alias("x1"), F.round(A.at(F.col("p"), 1), 5).alias("y1"))
+
+
 @query("head_corners", f"""WITH {_HEAD}, s AS (SELECT crop, anchor, least(greatest((cx - 2) / 0.5, 0), 50) AS cx, least(greatest((cy - 1) / 0.5, 0), 50) AS cy, w / 0.5 AS w, h / 0.5 AS h, r FROM b WHERE score > 0.2)
 SELECT crop, anchor, round(cx + w / 2 * cos(r) - h / 2 * sin(r), 5) AS x1, round(cy + w / 2 * sin(r) + h / 2 * cos(r), 5) AS y1 FROM s""")
 def head_corners(t: Tables) -> DataFrame:

@@ -10,8 +10,10 @@ from orderweave.functions import text as X
 from orderweave.operators import matching as M
 from orderweave.operators.ranking import numbered
 from orderweave.plans.base import DETS, TOKENS, query
+from orderweave.sources.files import LineLogs
 from orderweave.sources.sinks import event_messages
 from orderweave.sources.tables import Tables, commands, natural_key
+from orderweave.streaming.runner import finished, scratch
 
 
 @query("normalize_text", r"SELECT conv_id, turn, replace(lower(regexp_replace(text, '^\s+|\s+$', '', 'g')), ' ', '') AS text FROM conversations")
@@ -75,12 +77,28 @@ def natural_order(t: Tables) -> DataFrame:
     return numbered(keyed, [F.col("key"), F.col("name")], "place").select("name", F.col("place").cast("int").alias("place"))
 
 
-@query("command_feed", f"WITH {DETS} SELECT ts, cls AS cmd, CAST(tray AS VARCHAR) AS tray_id, cls AS type, score > 0.5 AS enable FROM dets WHERE cls <> 'error'")
-def command_feed(t: Tables) -> DataFrame:
-    d = t.detections
+_COMMANDS = f"WITH {DETS} SELECT ts, cls AS cmd, CAST(tray AS VARCHAR) AS tray_id, cls AS type, score > 0.5 AS enable FROM dets WHERE cls <> 'error'"
+
+
+def _feed(t: Tables) -> DataFrame:
     payload = F.to_json(F.struct(F.col("tray").cast("string").alias("tray_id"), F.col("cls").alias("type"), F.when(F.col("score") > 0.5, "True").otherwise("no").alias("enable")))
-    feed = d.select("ts", F.when(F.col("cls") == "error", "site/other").otherwise(F.concat(F.lit("site/cmd/"), F.upper("cls"))).alias("topic"), payload.alias("payload"))
-    return commands(feed, "site")
+    return t.detections.select("ts", F.when(F.col("cls") == "error", F.lit("site/other")).otherwise(F.concat(F.lit("site/cmd/"), F.upper("cls"))).alias("topic"), payload.alias("payload"))
+
+
+@query("command_feed", _COMMANDS)
+def command_feed(t: Tables) -> DataFrame:
+    return commands(_feed(t), "site")
+
+
+@query("stream_command_log", _COMMANDS)
+def stream_command_log(t: Tables) -> DataFrame:
+    """The same commands, from logs that are read as streams of lines, whose offsets are bytes."""
+    folder = scratch(t.spark)
+    _feed(t).select(F.to_json(F.struct(F.col("ts").cast("string").alias("ts"), "topic", "payload"))).write.text(f"{folder}/log")
+    t.spark.dataSource.register(LineLogs)
+    lines = t.spark.readStream.format("line_logs").option("path", f"{folder}/log").load()
+    feed = lines.select(F.from_json("line", "ts timestamp_ntz, topic string, payload string").alias("m")).select("m.*")
+    return finished(commands(feed, "site"))
 
 
 @query("status_messages", "SELECT 'site/events' AS topic, CAST(json_object('tray', o_orderkey, 'status', o_orderstatus) AS VARCHAR) AS value FROM orders")
@@ -126,17 +144,13 @@ def dhash_bits(t: Tables) -> DataFrame:
     return t.tokens.select("crop", C.difference_bits(F.col("v")).alias("bits"))
 
 
-@query("hamming_pairs", f"WITH {TOKENS}, b AS (SELECT crop, CAST(list_sum(list_transform(range(1, 32), lambda i: CASE WHEN v[i + 1] > v[i] THEN 1::BIGINT << (i - 1) ELSE 0::BIGINT END)) AS BIGINT) AS h FROM toks) SELECT a.crop, b.crop AS next, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM b a JOIN b ON b.crop = a.crop + 1")
-def hamming_pairs(t: Tables) -> DataFrame:
-    """Differences between the first 31 bits of the hashes of crops that follow each other, as in the SQL; hamming_whole takes all bits."""
-    bit = lambda i: F.when(F.get("v", i) > F.get("v", i - 1), F.call_function("shiftleft", F.lit(1).cast("long"), (i - 1).cast("int"))).otherwise(F.lit(0).cast("long"))
-    h = t.tokens.select("crop", F.aggregate(F.sequence(F.lit(1), F.lit(31)), F.lit(0).cast("long"), lambda s, i: s + bit(i)).alias("h"))
-    return h.join(h.select((F.col("crop") - 1).alias("crop"), F.col("crop").alias("next"), F.col("h").alias("g")), "crop").select("crop", "next", C.hamming(F.col("h"), F.col("g")).alias("distance"))
+_HAMMING = f"""WITH {TOKENS} SELECT a.crop, b.crop AS next,
+  CASE WHEN a.v IS NOT NULL AND b.v IS NOT NULL THEN CAST(coalesce(list_sum(list_transform(range(1, greatest(len(a.v), len(b.v))), lambda i: CASE WHEN coalesce(a.v[i + 1] > a.v[i], false) <> coalesce(b.v[i + 1] > b.v[i], false) THEN 1 ELSE 0 END)), 0) AS INTEGER) END AS distance
+FROM toks a JOIN toks b ON b.crop = a.crop + 1"""
 
 
-@query("hamming_whole", f"""WITH {TOKENS} SELECT a.crop, b.crop AS next,
-  CASE WHEN a.v IS NOT NULL AND b.v IS NOT NULL THEN CAST(coalesce(list_sum(list_transform(range(1, greatest(len(a.v), len(b.v))), lambda i: CASE WHEN coalesce(a.v[i + 1] > a.v[i], false) <> coalesce(b.v[i + 1] > b.v[i], false) THEN 1 ELSE 0 END)), 0) AS INTEGER) END AS distance
-FROM toks a JOIN toks b ON b.crop = a.crop + 1""")
+@query("hamming_pairs", _HAMMING)
+@query("hamming_whole", _HAMMING)
 def hamming_whole(t: Tables) -> DataFrame:
     """Differences between the whole hashes, a bit for each pair of neighbours, of crops that follow each other."""
     h = t.tokens.select("crop", C.difference_words(F.col("v")).alias("h"))

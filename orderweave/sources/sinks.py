@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orderweave.sources.record_files import RecordFiles
+
 RECORD = ("tray_id", "order_number", "start_time", "end_time", "expected_item", "expected_item_count", "checked_item")
 #: With the captures, base64 of pictures that others take.
 FULL_RECORD = (*RECORD, "ticket_capture", "final_tray_capture")
@@ -28,11 +30,13 @@ def order_records(orders: DataFrame, columns: tuple[str, ...] = RECORD) -> DataF
     return orders.select(*((record_field(F.col(c), kinds[c]) if c in kinds else F.lit("")).alias(c) for c in columns))
 
 
-def write_records(orders: DataFrame, folder: str, day: Column) -> None:
-    """Appends CSV files with a header, in a folder for each day."""
-    kinds = order_records(orders)
-    rows = orders.select(F.date_format(day, "yyyyMMdd").alias("dt"), *(record_field(F.col(f.name), f.dataType).alias(f.name) for f in orders.schema if f.name in RECORD))
-    rows.select("dt", *(c if c in rows.columns else F.lit("").alias(c) for c in kinds.columns)).write.mode("append").partitionBy("dt").option("header", True).csv(folder)
+def write_records(orders: DataFrame, folder: str, day: Column, batch: str, columns: tuple[str, ...] = RECORD, host: str | None = None) -> None:
+    """Appends records as files for each day and host (record_files.py). batch: an id by which a write that is tried again is known."""
+    kinds = {f.name: f.dataType for f in orders.schema}
+    rows = orders.select(F.date_format(day, "yyyyMMdd").alias("dt"), *((record_field(F.col(c), kinds[c]) if c in kinds else F.lit("")).alias(c) for c in columns))
+    orders.sparkSession.dataSource.register(RecordFiles)
+    out = rows.repartition("dt").write.format("record_files").mode("append").option("path", folder).option("batch", batch)
+    (out.option("host", host) if host else out).save()
 
 
 def frame_stamps(frames: DataFrame, ts: Column, first_hour: int = 11, last_hour: int = 19) -> DataFrame:

@@ -16,7 +16,7 @@ SCHEMA = "order long, frame long, seq long, at double, kind string, ref long, nu
 def played(*steps):
     """steps: at, kind, ref, number, items. Status and items of the events."""
     c = Course()
-    return [(s, {x["item"]: x["n"] for x in items}) for step in steps for s, items, _ in advance(c, *step)]
+    return [(s, {x["item"]: x["n"] for x in items}) for step in steps for s, items, *_ in advance(c, 0, *step)]
 
 
 def ticket(at, ref, number, *items):
@@ -38,7 +38,7 @@ def test_from_sight_to_record():
     got = played(SEEN, ticket(1.0, 1, "123", "a", "a", "b"), sticker(2.0, 1, "a"), sticker(3.0, 2, "b"), sticker(3.5, 2, "b"), sticker(4.0, 3, "a"), simple(5.0, "gone"))
     assert got == [
         ("NEW_TRAY_DETECTED", {}), ("TICKET_READY", {"a": 2, "b": 1}), ("ITEM_CHECKED", {"a": 1}), ("ITEM_CHECKED", {"a": 1, "b": 1}), ("ITEM_CHECKED", {"a": 2, "b": 1}),
-        ("TRAY_COMPLETED", {"a": 2, "b": 1}), ("RECORD", {"a": 2, "b": 1}), ("RECORD_CHECKED", {"a": 2, "b": 1}), ("TRAY_REMOVED", {}),
+        ("TRAY_COMPLETED", {"a": 2, "b": 1}), ("RECORD", {"a": 2, "b": 1}), ("TRAY_REMOVED", {}),
     ]
 
 
@@ -65,7 +65,7 @@ def test_more_tickets():
 
 def test_reset_and_late_results():
     got = played(ticket(0.0, 1, "123", "a"), SEEN, ticket(1.0, 1, "123", "a"), simple(2.0, "reset"), sticker(3.0, 1, "a"), ticket(4.0, 1, "125", "b"), simple(5.0, "gone"), sticker(6.0, 1, "b"))
-    assert [s for s, _ in got] == ["NEW_TRAY_DETECTED", "TICKET_READY", "TRAY_RESET", "WAITING_TICKET", "TICKET_READY", "RECORD", "RECORD_CHECKED", "TRAY_REMOVED"]
+    assert [s for s, _ in got] == ["NEW_TRAY_DETECTED", "TICKET_READY", "TRAY_RESET", "WAITING_TICKET", "TICKET_READY", "RECORD", "TRAY_REMOVED"]
 
 
 def test_stream_gives_the_same_events(spark, tmp_path):
@@ -84,3 +84,10 @@ def test_stream_gives_the_same_events(spark, tmp_path):
     assert sorted(map(repr, got.collect())) == whole and len(whole) > 100
     events = spark.createDataFrame(rows, SCHEMA).transform(C.order_events)
     assert C.record_lines(events).count() == events.where("status = 'RECORD'").count()
+
+
+def test_a_record_has_both_bags_and_its_frames(spark):
+    rows = [(1, 3, 0, 0.0, "seen", None, None, None), (1, 5, 0, 1.0, "ticket", 1, "7", ["a", "a", "b"]), (1, 6, 0, 2.0, "reset", None, None, None), (1, 7, 0, 3.0, "ticket", 1, "8", ["a", "a", "b"]), (1, 8, 0, 4.0, "sticker", 1, None, ["a"]), (1, 9, 0, 5.0, "gone", None, None, None)]
+    (r,) = C.record_lines(C.order_events(spark.createDataFrame(rows, SCHEMA))).collect()
+    bag = lambda b: {x["item"]: x["n"] for x in b}
+    assert (r["number"], r["start_frame"], r["end_frame"], bag(r["expected"]), r["expected_count"], bag(r["checked"])) == ("8", 3, 9, {"a": 2, "b": 1}, 2, {"a": 1})

@@ -138,11 +138,11 @@ def test_sources(spark):
 
 def test_records(spark, tmp_path):
     orders = spark.sql("select 7 tray_id, timestamp_ntz'2024-01-02 03:04:05' start_time, map('x', 2) expected_item, 1.005d expected_item_count, cast(null as string) checked_item, 'lost' extra, date'2024-01-02' day")
-    sinks.write_records(orders, str(tmp_path / "csv"), F.col("day"))
-    sinks.write_records(orders, str(tmp_path / "csv"), F.col("day"))
-    files = list(Path(tmp_path / "csv" / "dt=20240102").glob("*.csv"))
-    rows = [r for f in files for r in csv.DictReader(f.open())]
-    assert len(rows) == 2 and rows[0]["expected_item"].replace("\\", "") .count("x") == 1 and rows[0]["start_time"] == "2024-01-02T03:04:05" and not rows[0]["checked_item"] and not rows[0]["order_number"] and "extra" not in rows[0]
+    for batch in ("1", "1", "2"):  # a batch that is written again counts once
+        sinks.write_records(orders, str(tmp_path / "csv"), F.col("day"), batch, sinks.FULL_RECORD, "kitchen7")
+    files = list(Path(tmp_path / "csv").glob("20240102_hen7_*.csv"))
+    rows = [r for f in files for r in csv.DictReader(f.open(encoding="utf-8-sig"))]
+    assert len(rows) == 2 and list(rows[0]) == list(sinks.FULL_RECORD) and rows[0]["expected_item"].replace("\\", "") .count("x") == 1 and rows[0]["start_time"] == "2024-01-02T03:04:05" and not rows[0]["checked_item"] and not rows[0]["order_number"] and "extra" not in rows[0]
     assert sinks.event_messages(spark.sql("select 1 a, 'b' c"), "r", "t").first() == ("r/t", '{"a":1,"c":"b"}')
 
 

@@ -158,3 +158,10 @@ def test_ratio_to_one_text(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for header in ("数", "ティクアウト"):
         assert [r[0] for r in df.select(X.ratio_to(F.col("t"), header)).collect()] == [None if t is None else ratio(t, header) for t in texts]
+
+
+def test_crops_stay_within_the_picture(spark):
+    rows = [((50, 40, 10, 11),), ((5, 95, 10, 11),), ((200, 40, 10, 11),), (None,)]
+    df = spark.createDataFrame(rows, "crop struct<cx:int,cy:int,half_width:int,half_height:int>")
+    got = [r[0] and tuple(r[0]) for r in df.select(tickets.crop_sides(F.col("crop"), F.lit(120), F.lit(100))).collect()]
+    assert got == [(40, 29, 60, 51), (0, 84, 15, 100), None, None]
