@@ -155,7 +155,10 @@ def stream_order_events(seen: DataFrame) -> DataFrame:
         for frame, at, kind, ref, number, items in rows[list(_COLUMNS)].itertuples(index=False, name=None):
             ref = None if pd.isna(ref) else int(ref)
             out += [(key[0], frame, *e) for e in advance(course, frame, at, kind, ref, number, None if items is None else list(items))]
-        state.update((json.dumps(asdict(course)),))
+        if course != Course():
+            state.update((json.dumps(asdict(course)),))
+        elif state.exists:  # the order has left: nothing is kept of it
+            state.remove()
         yield pd.DataFrame(out, columns=names).astype({"started": "Int64"})
 
     return _rows(seen).groupBy("order").applyInPandasWithState(run, OUT, "course string", "append", GroupStateTimeout.NoTimeout)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import random
 
 from orderweave.operators import course as C
@@ -86,6 +87,17 @@ def test_stream_gives_the_same_events(spark, tmp_path):
     assert C.record_lines(events).count() == events.where("status = 'RECORD'").count()
 
 
+def test_nothing_is_kept_of_an_order_that_left(spark, tmp_path):
+    names = [c.split(" ")[0] for c in SCHEMA.split(", ")]
+    rows = [(1, 0, 0, 0.0, "seen", None, None, None), (2, 0, 0, 0.0, "seen", None, None, None), (1, 1, 0, 1.0, "gone", None, None, None)]
+    for k in range(2):
+        (tmp_path / f"{k}.json").write_text("\n".join(json.dumps(dict(zip(names, r, strict=True))) for r in rows if r[1] == k))
+        os.utime(tmp_path / f"{k}.json", (1e9 + k, 1e9 + k))
+    stream = C.stream_order_events(tables.replay(spark, str(tmp_path), SCHEMA)).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    stream.awaitTermination()
+    assert [p.stateOperators[0].numRowsTotal for p in stream.recentProgress if p.stateOperators][:2] == [2, 1]
+
+
 def test_a_record_has_both_bags_and_its_frames(spark):
     rows = [(1, 3, 0, 0.0, "seen", None, None, None), (1, 5, 0, 1.0, "ticket", 1, "7", ["a", "a", "b"]), (1, 6, 0, 2.0, "reset", None, None, None), (1, 7, 0, 3.0, "ticket", 1, "8", ["a", "a", "b"]), (1, 8, 0, 4.0, "sticker", 1, None, ["a"]), (1, 9, 0, 5.0, "gone", None, None, None)]
     (r,) = C.record_lines(C.order_events(spark.createDataFrame(rows, SCHEMA))).collect()
