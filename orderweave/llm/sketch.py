@@ -147,16 +147,19 @@ def joined(rows: pa.Table, column: str, kind) -> np.ndarray:
 
 
 def least(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    """Groups the hashes of a slice exactly; answers each block with the smaller ids that it hasn't got."""
+    """Groups the hashes of a slice exactly, by all 128 bits; answers each block with the smaller ids that it hasn't got.
+
+    An answer has 96 bits of a hash, as it only has to say which of the block's own windows it is for.
+    """
     h, g, ids = joined(rows, "hashes", np.uint64), joined(rows, "others", np.uint64), joined(rows, "ids", np.int64)
     best = least_ids(h, g, ids)
     less = best < ids
     ends = np.cumsum([len(x) // 8 for x in rows["ids"].to_pylist()]).astype(int)
-    out = [(block, *(v[a:b][less[a:b]] for v in (h, g, best))) for block, a, b in zip(rows["block"].to_pylist(), [0, *ends[:-1]], ends, strict=True) if less[a:b].any()]
+    out = [(block, *(v[a:b][less[a:b]] for v in (h, g.astype(np.uint32), best))) for block, a, b in zip(rows["block"].to_pylist(), [0, *ends[:-1]], ends, strict=True) if less[a:b].any()]
     return pa.table({"block": pa.array([x[0] for x in out], pa.int64())} | {c: _binary([x[k] for x in out]) for k, c in ((1, "hashes"), (2, "others"), (3, "ids"))})
 
 
 def least_of(h: np.ndarray, g: np.ndarray, ids: np.ndarray, replies: pa.Table) -> np.ndarray:
     """For each hash the smallest id in the corpus: the block's own, or what a reply says."""
-    told = (joined(replies, "hashes", np.uint64), joined(replies, "others", np.uint64), joined(replies, "ids", np.int64))
-    return least_ids(*(np.concatenate([own, other]) for own, other in zip((h, g, ids), told, strict=True)))[: len(h)]
+    told = (joined(replies, "hashes", np.uint64), joined(replies, "others", np.uint32), joined(replies, "ids", np.int64))
+    return least_ids(*(np.concatenate([own, other]) for own, other in zip((h, g.astype(np.uint32), ids), told, strict=True)))[: len(h)]
