@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,25 +118,26 @@ def rotate(x: Column, y: Column, theta: Column, px: Column, py: Column) -> tuple
 def offset(p: Column, distance: Column, arc: float = 0.25) -> Column:
     """A convex polygon (x1, y1, ..., either way round) grown by a distance: its sum with a disc, whose arcs are cut into chords that lie at most
     `arc` inside of it. Corners in the polygon's order, as x1, y1, ...; a polygon that isn't grown stays as it is."""
-    n = F.size(p) / 2
-    corner = lambda k: (F.get(p, (2 * (k % n)).cast("int")), F.get(p, (2 * (k % n) + 1).cast("int")))
-    twice = F.aggregate(F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda k: corner(k)[0] * corner(k + 1)[1] - corner(k + 1)[0] * corner(k)[1]), F.lit(0.0), lambda t, v: t + v)
-    way = F.when(twice < 0, -1.0).otherwise(1.0)
-
-    def heading(k: Column) -> Column:
-        """The angle at which the outer side of the edge from corner k looks."""
-        (x, y), (u, v) = corner(k), corner(k + 1)
-        return F.atan2(way * (x - u), way * (v - y))
-
-    def around(k: Column) -> Column:
-        x, y = corner(k)
-        first, turn = heading(k + n - 1), F.pmod(way * (heading(k) - heading(k + n - 1)), F.lit(2 * np.pi))
-        chord = 2 * F.acos(F.greatest(F.lit(0.0), 1 - F.lit(arc) / distance))
-        parts = F.greatest(F.lit(1), F.ceil(turn / chord - 1e-9).cast("int"))
-        angle = lambda i: first + way * turn * i / parts
-        return F.flatten(F.transform(F.sequence(F.lit(0), parts), lambda i: F.array(x + distance * F.cos(angle(i)), y + distance * F.sin(angle(i)))))
-
-    return F.when(distance > 0, F.flatten(F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), around))).otherwise(p)
+
+    def one(flat: np.ndarray, d: float) -> np.ndarray:
+        at = flat.reshape(-1, 2)
+        edge = np.roll(at, -1, axis=0) - at
+        way = -1.0 if (at[:, 0] * edge[:, 1] - at[:, 1] * edge[:, 0]).sum() < 0 else 1.0
+        out = np.arctan2(-way * edge[:, 0], way * edge[:, 1])  # where the outer side of each edge looks
+        first = np.roll(out, 1)
+        turn = (way * (out - first)) % (2 * np.pi)
+        parts = np.maximum(1, np.ceil(turn / (2 * np.arccos(max(0.0, 1 - arc / d))) - 1e-9)).astype(int)
+        k = np.repeat(np.arange(len(at)), parts + 1)
+        i = np.arange(len(k)) - np.repeat(np.cumsum(parts + 1) - (parts + 1), parts + 1)
+        angle = first[k] + way * turn[k] * i / parts[k]
+        return (at[k] + d * np.stack([np.cos(angle), np.sin(angle)], axis=1)).ravel()
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def run(p: pa.Array, distance: pa.Array) -> pa.Array:
+        grown = [None if q is None or d is None else one(np.array(q), d) if d > 0 and len(q) else q for q, d in zip(p.to_pylist(), distance.to_pylist(), strict=True)]
+        return pa.array(grown, pa.list_(pa.float64()))
+
+    return run(p, distance.cast("double"))
 
 
 def clipped_area(p: np.ndarray, q: np.ndarray) -> np.ndarray:

@@ -101,13 +101,13 @@ _ARC = "2 * acos(greatest(0, 1 - 0.25 / d))"
 
 
 @query("grown_polygons", f"""WITH {DETS}, g AS (SELECT det, w, h, w * h * 1.5 / (2 * (w + h)) AS d FROM boxes), n AS (SELECT *, greatest(1, ceil(pi() / 2 / ({_ARC}) - 1e-9)) AS parts FROM g)
-SELECT det, CAST(4 * (parts + 1) AS BIGINT) AS corners, round(w * h + 2 * (w + h) * d + 2 * parts * d * d * sin(pi() / 2 / parts), 5) AS area FROM n""")
+SELECT det, CAST(4 * (parts + 1) AS BIGINT) AS corners, round(w * h + 2 * (w + h) * d + 2 * parts * d * d * sin(pi() / 2 / parts) + 1e-7, 3) AS area FROM n""")
 def grown_polygons(t: Tables) -> DataFrame:
     """Text boxes grown with round corners: how many corners they have then, and their area."""
     b = F.col("box")
     d = t.detections.withColumn("p", G.corners(b)).withColumn("distance", A.grown(G.area(F.col("p")), 2 * (b["w"] + b["h"])))
     d = d.withColumn("p", G.offset(F.col("p"), F.col("distance")))
-    return d.select("det", (F.size("p") / 2).cast("long").alias("corners"), F.round(G.area(F.col("p")), 5).alias("area"))
+    return d.select("det", (F.size("p") / 2).cast("long").alias("corners"), F.round(G.area(F.col("p")) + 1e-7, 3).alias("area"))
 
 
 _STEER = E.Control(target=120.0, tolerance=40.0, most=20_000.0, most_gain=9.0, most_bright=0.5)
