@@ -125,6 +125,7 @@ def test_course_as_batch_and_as_stream(spark, tmp_path):
         for k in range(parts):
             own = [r for r in rows if r[1] * parts // 12 == k or (k == parts - 1 and r[1] * parts // 12 > k)]
             (folder / f"{k}.json").write_text("\n".join(json.dumps(dict(zip(("order", "frame", "kind", "item"), r, strict=True))) for r in own))
+            os.utime(folder / f"{k}.json", (1e9 + k, 1e9 + k))  # streams take files by their age
         stream = tables.replay(spark, str(folder), schema)
         assert {tuple(r) for r in runner.finished(order_state.status_events(stream)).collect()} == want
 
@@ -222,6 +223,7 @@ def test_late_tickets(spark, tmp_path):
         for k in range(parts):
             own = [r for r in rows if r[1] % parts == k or parts == 1]
             (folder / f"{k}.json").write_text("\n".join(json.dumps(dict(zip(("order", "frame", "kind", "item"), r, strict=True))) for r in own))
+            os.utime(folder / f"{k}.json", (1e9 + k, 1e9 + k))  # streams take files by their age
             os.utime(folder / f"{k}.json", (10**9 + k, 10**9 + k))  # files come by their time
         got = runner.finished(order_state.status_events(tables.replay(spark, str(folder), schema))).collect()
         assert {tuple(r) for r in got} == want and len(got) == len(want)
