@@ -61,7 +61,11 @@ def fitting(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tup
 def grams(text: Column, order: int) -> Column:
     """For each character of a text, and for its end, that character after the `order` before it."""
     padded = F.concat(F.array(*[F.lit(_START)] * order), F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), F.array(F.lit(_END)))
-    return F.transform(F.sequence(F.lit(1), F.size(padded) - order), lambda i: F.array_join(F.slice(padded, i, order + 1), ""))
+
+    def each(chars: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(chars) - order - 1), lambda i: F.concat(*(F.get(chars, i + j) for j in range(order + 1))))
+
+    return F.get(F.transform(F.array(padded), each), F.lit(0))  # so that a text is taken apart once, not for each of its places
 
 
 def log_ratios(counted: DataFrame, order: int) -> DataFrame:
