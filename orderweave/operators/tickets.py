@@ -22,8 +22,9 @@ from orderweave.operators.interim import written
 
 @dataclass(frozen=True)
 class Layout:
-    """What a ticket's headers say and how far things may be apart; texts of the deployed forms, as parameters."""
+    """What a ticket's headers say and how far things may be apart."""
 
+    # Texts of the deployed forms.
     area_header: str = "ティクアウト"
     count_header: str = "数"
     synonyms: dict[str, str] = field(default_factory=lambda: {"枚": "数"})
