@@ -9,8 +9,8 @@ long; equal windows have equal anchors, so all that can match lies in runs of on
 2. Blocks sketch the windows of hot anchors. Those that can't repeat drop out too, so that
    what each document has beside a passage that many share isn't sent.
 3. The rest is sent as stretches of bytes, compressed, to the anchor's task, each distinct one once a block.
-4. There, stretches that are equal byte for byte become one, with the smallest id. The
-   stretches of each anchor are one text, whose suffix array is built by linear grouping
+4. There, stretches that are equal byte for byte become one, with the smallest id. Windows
+   whose hash no other has drop out. What is left of each anchor is one text, whose suffix array is built by linear grouping
    (lyndon.py). Neighbouring suffixes that agree in `length` bytes are one string; which
    windows have a smaller id elsewhere goes back to the blocks, which remove bytes in a last pass.
 
@@ -283,6 +283,21 @@ def least_ids(anchor: np.ndarray, data: np.ndarray, at: np.ndarray, ids: np.ndar
     return found
 
 
+def _shared(data: np.ndarray, start: np.ndarray, windows: np.ndarray, length: int, together: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What of the stretches has windows whose hash occurs again, window by window without a gap: the stretch, the number of windows,
+    the first one's place. Equal windows have equal hashes, so none that occurs twice is left out."""
+    at = _ranges(start, windows)
+    h = np.concatenate([hashed(data, at[lo : lo + together], at[lo : lo + together] + length) for lo in range(0, len(at), together)])
+    order = np.sort(h)
+    again = np.unique(order[1:][order[1:] == order[:-1]])
+    seen = np.flatnonzero(again[np.minimum(np.searchsorted(again, h), len(again) - 1)] == h) if len(again) else np.zeros(0, np.int64)
+    own = np.repeat(np.arange(len(start)), windows)[seen]
+    new = np.ones(len(seen), bool)
+    new[1:] = (seen[1:] != seen[:-1] + 1) | (own[1:] != own[:-1])
+    begin = np.flatnonzero(new)
+    return own[begin], np.diff(np.append(begin, len(seen))), at[seen[begin]] - start[own[begin]]
+
+
 def _covered(length: int):
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         """Tells each block which windows of its stretches have a smaller id elsewhere: place of the first, number."""
@@ -296,15 +311,23 @@ def _covered(length: int):
         best = np.full(len(one), _LAST)
         np.minimum.at(best, of, ids)
         _, back, several = np.unique(anchor[one], return_inverse=True, return_counts=True)
-        # For each class the smallest ids of its windows: those of the class, if no other has its anchor.
+        # For each class the smallest ids of its windows: those of the class, if no other has its anchor or none of them.
         windows = size[one] - length + 1
         at = np.cumsum(windows) - windows
         least = np.repeat(best, windows)
         sorted_ = np.flatnonzero(several[back] > 1)
         if len(sorted_):
-            k = one[sorted_]
-            found = least_ids(anchor[k], data[_ranges(start[k], size[k])], np.concatenate([[0], np.cumsum(size[k])]), best[sorted_], length)
-            least[_ranges(at[sorted_], windows[sorted_])] = np.concatenate(found)
+            k, w, places = _shared(data, start[one[sorted_]], windows[sorted_], length)
+            c, long = sorted_[k], w + length - 1
+            first = start[one[c]] + places
+            alike, which = np.unique(classes(data, first, long, anchor[one[c]]), return_inverse=True)
+            ids_of = np.full(len(alike), _LAST)
+            np.minimum.at(ids_of, which, best[c])
+            a, long, first = anchor[one[c[alike]]], long[alike], first[alike]
+            found = least_ids(a, data[_ranges(first, long)], np.concatenate([[0], np.cumsum(long)]), ids_of, length)
+            if found:
+                mine = w[alike]
+                least[_ranges(at[c] + places, w)] = np.concatenate(found)[_ranges((np.cumsum(mine) - mine)[which], w)]
         out, lo = [], 0
         for block, m in zip(rows["block"].to_pylist(), n_places, strict=True):
             c = of[lo : lo + m]

@@ -32,3 +32,25 @@ def test_least_ids(rows):
     got = least_ids(np.array([a for a, _, _ in rows], np.uint64), data, at, np.array([i for _, _, i in rows]), 5)
     for (a, t, _), least in zip(rows, got, strict=True):
         assert least.tolist() == [min(i for b, u, i in rows if b == a and t[k : k + 5] in u) for k in range(len(t) - 4)]
+
+
+def test_only_windows_that_may_repeat_are_sorted(monkeypatch):
+    """Stretches of one anchor share a passage, or nothing: of the first only the passage is sorted, of the others nothing."""
+    import pyarrow as pa
+
+    from orderweave.llm import suffix_dedup
+
+    rng = np.random.default_rng(3)
+    text = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes()
+    passage, other = text(60), text(55)
+    stretches = [text(6) + passage, text(4) + passage, passage[3:] + text(8), text(70), text(70), text(2) + other, other]
+    anchors = np.array([7, 7, 7, 7, 7, 9, 9], np.uint64)
+    sizes = np.array([len(s) for s in stretches], "<i4")
+    ids, places = np.arange(len(stretches)), np.cumsum(sizes) - sizes
+    row = {"part": 0, "block": 0, "anchors": anchors.tobytes(), "sizes": sizes.tobytes(), "data": pa.compress(b"".join(stretches), "zstd", asbytes=True), "counts": np.ones(len(ids), "<i4").tobytes(), "places": places.astype(np.int64).tobytes(), "ids": ids.astype(np.int64).tobytes()}
+    sorted_ = []
+    monkeypatch.setattr(suffix_dedup, "suffix_arrays", lambda symbols, lo: sorted_.append(len(symbols)) or suffix_arrays(symbols, lo))
+    spans = suffix_dedup._covered(50)((pa.scalar(0),), pa.Table.from_pylist([row]))
+    got = {tuple(x) for raw in spans["spans"].to_pylist() for x in np.frombuffer(raw, np.int64).reshape(-1, 2).tolist()}
+    assert got == {(int(places[1]) + 4, 11), (int(places[2]), 8), (int(places[6]), 6)}
+    assert sum(sorted_) <= 60 + 57 + 55 + 6
