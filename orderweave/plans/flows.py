@@ -16,6 +16,9 @@ _SEEN = """s AS (SELECT l_orderkey AS o, l_partkey AS p, l_linestatus AS st, l_r
 seen AS (SELECT o AS "order", CAST(k AS BIGINT) AS frame, 'ticket' AS kind, CAST(p AS VARCHAR) AS item FROM s UNION ALL SELECT o, 1000 + 4 * k, 'sticker', CAST(p AS VARCHAR) FROM s WHERE st = 'F' OR ln % 3 > 0
   UNION ALL SELECT o, 1001 + 4 * k, 'sticker', 'x' || p FROM s WHERE rf = 'R' UNION ALL SELECT o, 1002 + 4 * k, 'gone', 'x' || p FROM s WHERE rf = 'R' AND ln % 2 = 0)"""
 
+#: Rows of a group of orders in stream_status_events, about.
+ROWS = 2000
+
 
 def _observed(rows: DataFrame) -> DataFrame:
     kinds = F.array_compact(F.array(
@@ -59,7 +62,8 @@ def stream_status_events(t: Tables) -> DataFrame:
     folder = runner.scratch(t.spark) + "/seen"
     _observed(_numbered(t)).write.parquet(folder)
     stream = t.spark.readStream.schema("order long, frame long, kind string, item string").parquet(folder)
-    return runner.finished(order_state.status_events(stream))
+    groups = max(1, t.spark.read.parquet(folder).count() // ROWS)
+    return runner.finished(order_state.status_events(stream, groups))
 
 
 def _events(t: Tables) -> DataFrame:

@@ -7,6 +7,7 @@ import os
 import random
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from orderweave.functions import geometry
@@ -240,3 +241,25 @@ def test_small_sources_and_sinks(spark, tmp_path):
     assert [(r.stamp, r.dt, r.period) for r in back] == [("11:05:06", "20240102", 1)]
     rows = sinks.order_records(spark.createDataFrame([("7", "abc")], "tray_id string, ticket_capture string"), sinks.FULL_RECORD).collect()
     assert rows[0].ticket_capture == "abc" and rows[0].final_tray_capture == "" and len(rows[0]) == 9
+
+
+def test_status_events_as_a_stream_call_once_for_many_orders(spark, tmp_path, monkeypatch):
+    """Over several batches, with orders that share a group, without an order, and with numbers that fractions can't hold."""
+    from orderweave.operators import verification
+
+    big = 2**60
+    rows = [(o, f, k, i) for o in (1, 2, 3, big + 1, big + 3) for f, k, i in ((1, "ticket", "a"), (2, "ticket", "b"), (3, "sticker", "a"), (4, "sticker", "x"), (5, "gone", "x"), (6, "sticker", "b"))]
+    rows += [(None, 1, "ticket", "a"), (None, 2, "sticker", None), (None, 3, "sticker", "a")]
+    schema = "order long, frame long, kind string, item string"
+    want = sorted(map(tuple, verification.status_events(spark.createDataFrame(rows, schema)).collect()), key=repr)
+    for k, part in enumerate(([r for r in rows if r[1] < 3], [r for r in rows if 3 <= r[1] < 5], [r for r in rows if r[1] >= 5])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/part={k}"))
+    for groups in (1, 2):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+        got = runner.finished(order_state.status_events(stream, groups)).collect()
+        assert sorted(map(tuple, got), key=repr) == want
+
+    calls = []
+    state = type("S", (), {"exists": False, "update": lambda self, row: calls.append(row)})()
+    order_state._advance((0,), iter([pd.DataFrame(rows[:30], columns=["order", "frame", "kind", "item"])]), state).__next__()
+    assert len(calls) == 1 and calls[0][0] == [1, 2, 3, big + 1, big + 3]
