@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import atan2, sqrt
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -140,6 +142,10 @@ def offset(p: Column, distance: Column, arc: float = 0.25) -> Column:
     return run(p, distance.cast("double"))
 
 
+#: Pairs up to which overlaps are computed one by one.
+FEW = 12
+
+
 def clipped_area(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Areas that pairs of convex quadrilaterals share; p, q: n x 8.
 
@@ -189,16 +195,71 @@ def _areas(p: np.ndarray) -> np.ndarray:
     return np.abs((m[..., 0] * nxt[..., 1] - nxt[..., 0] * m[..., 1]).sum(axis=1)) / 2
 
 
+def _points(quad: list[float]) -> tuple[list[tuple[float, float]], float]:
+    """Corners of a quadrilateral, in turn about it in one sense, and twice its area."""
+    x0, y0, x1, y1, x2, y2, x3, y3 = quad
+    twice = (x0 * y1 - x1 * y0) + (x1 * y2 - x2 * y1) + (x2 * y3 - x3 * y2) + (x3 * y0 - x0 * y3)
+    p = [(x0, y0), (x1, y1), (x2, y2), (x3, y3)]
+    return p[::-1] if twice < 0 else p, abs(twice)
+
+
+def _shared(a: list[tuple[float, float]], b: list[tuple[float, float]]) -> float:
+    """clipped_area of one pair."""
+    edges = [[(x, y, u - x, v - y) for (x, y), (u, v) in zip(m, m[1:] + m[:1], strict=True)] for m in (a, b)]
+    found = []
+    for points, other in ((a, edges[1]), (b, edges[0])):
+        for px, py in points:
+            for x, y, dx, dy in other:
+                if not dx * (py - y) - dy * (px - x) >= -1e-9:
+                    break
+            else:
+                found.append((px, py))
+    for x, y, dx, dy in edges[0]:
+        for u, v, du, dv in edges[1]:
+            cross = dx * dv - dy * du
+            if abs(cross) > 1e-12:
+                gx, gy = u - x, v - y
+                t = (gx * dv - gy * du) / cross
+                if 0 <= t <= 1 and 0 <= (gx * dy - gy * dx) / cross <= 1:
+                    found.append((x + t * dx, y + t * dy))
+    n = len(found)
+    if n < 3:
+        return 0.0
+    mx, my = sum(x for x, _ in found) / n, sum(y for _, y in found) / n
+    ring = sorted(((x - mx, y - my) for x, y in found), key=lambda v: atan2(v[1], v[0]))
+    return abs(sum(x * v - u * y for (x, y), (u, v) in zip(ring, ring[1:] + ring[:1], strict=True))) / 2
+
+
+def _circle(quad: list[float]) -> tuple[float, float, float]:
+    """About the mean of the corners, through the farthest."""
+    x0, y0, x1, y1, x2, y2, x3, y3 = quad
+    cx, cy = (x0 + x1 + x2 + x3) / 4, (y0 + y1 + y2 + y3) / 4
+    return cx, cy, sqrt(max((x0 - cx) ** 2 + (y0 - cy) ** 2, (x1 - cx) ** 2 + (y1 - cy) ** 2, (x2 - cx) ** 2 + (y2 - cy) ** 2, (x3 - cx) ** 2 + (y3 - cy) ** 2))
+
+
+def quad_overlap(p: list[float], q: list[float]) -> float:
+    """Overlap of two boxes over their union; 0 if their circles don't meet. For few pairs: an array's overhead costs more than the overlap itself."""
+    if None in p or None in q:
+        return 0.0
+    (ax, ay, ar), (bx, by, br) = _circle(p), _circle(q)
+    if not (ax - bx) ** 2 + (ay - by) ** 2 < (ar + br) ** 2:
+        return 0.0
+    (a, twice_a), (b, twice_b) = _points(p), _points(q)
+    both = _shared(a, b)
+    return both / (twice_a / 2 + twice_b / 2 - both + 1e-9)
+
+
 def quad_overlaps(p: list, q: list) -> np.ndarray:
     """Overlap of each of p with each of q, over their union; pairs whose circles don't meet aren't clipped."""
+    if len(p) * len(q) <= FEW:
+        return np.array([[quad_overlap(a, b) for b in q] for a in p], float).reshape(len(p), len(q))
     out = np.zeros((len(p), len(q)))
-    if len(p) and len(q):
-        a, b = np.asarray(p, float), np.asarray(q, float)
-        ca, cb = (m.reshape(-1, 4, 2).mean(axis=1) for m in (a, b))
-        ra, rb = (np.sqrt(((m.reshape(-1, 4, 2) - c[:, None]) ** 2).sum(axis=2)).max(axis=1) for m, c in ((a, ca), (b, cb)))
-        i, j = np.nonzero(((ca[:, None] - cb[None]) ** 2).sum(axis=2) < (ra[:, None] + rb[None]) ** 2)
-        both = clipped_area(a[i], b[j])
-        out[i, j] = both / (_areas(a[i]) + _areas(b[j]) - both + 1e-9)
+    a, b = np.asarray(p, float), np.asarray(q, float)
+    ca, cb = (m.reshape(-1, 4, 2).mean(axis=1) for m in (a, b))
+    ra, rb = (np.sqrt(((m.reshape(-1, 4, 2) - c[:, None]) ** 2).sum(axis=2)).max(axis=1) for m, c in ((a, ca), (b, cb)))
+    i, j = np.nonzero(((ca[:, None] - cb[None]) ** 2).sum(axis=2) < (ra[:, None] + rb[None]) ** 2)
+    both = clipped_area(a[i], b[j])
+    out[i, j] = both / (_areas(a[i]) + _areas(b[j]) - both + 1e-9)
     return out
 
 

@@ -44,9 +44,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from orderweave.functions.geometry import quad_overlaps
+from orderweave.functions.geometry import quad_overlap, quad_overlaps
 from orderweave.operators import tracking
-from orderweave.operators.tracking import Rules, Thing, View, _best, _Frame, _holds
+from orderweave.operators.tracking import Rules, Thing, View, _best, _Frame, _holds, _overlaps
 
 BAG = "array<struct<item:string,n:long>>"
 OUT = f"session long, n long, frame long, at double, order long, status string, items {BAG}, checked {BAG}, number string, what string, quad array<double>, started long"
@@ -149,12 +149,12 @@ class _Seen(_Frame):
         place, and the first one goes on among the further ones. A ticket that is being read isn't missed."""
         r, seen, met = self.rules, False, set()
         for det, cls, quad in found:
-            if tray.ticket and quad_overlaps([quad], [tray.ticket.quad])[0, 0] > r.single_ticket:
+            if tray.ticket and quad_overlap(quad, tray.ticket.quad) > r.single_ticket:
                 tray.ticket.quad, tray.ticket.stable, tray.ticket.missing, seen = quad, tray.ticket.stable + 1, 0, True
                 self.say("ticket", tray.ticket, tray, det, "seen")
                 continue
             free = {k for k, e in enumerate(tray.extras) if e.track not in met}
-            k = _best(quad_overlaps([quad], [e.quad for e in tray.extras])[0], free, r.single_ticket, True)
+            k = _best(_overlaps(quad, tray.extras, free), free, r.single_ticket, True)
             if k is not None:
                 e = tray.extras[k]
                 e.quad, e.stable, e.missing = quad, e.stable + 1, 0

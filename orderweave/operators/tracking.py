@@ -27,7 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.stateful_processor import MapState, StatefulProcessor, StatefulProcessorHandle
 
 from orderweave.functions import geometry as G
-from orderweave.functions.geometry import quad_iou, quad_overlaps
+from orderweave.functions.geometry import quad_iou, quad_overlap, quad_overlaps
 
 #: Classes that are told apart by sight, and the item that each stands for.
 KNOWN_ITEMS = {
@@ -104,23 +104,34 @@ class View:
     named: int = 0
 
 
-def _best(overlaps: np.ndarray, free: set[int], least: float, strict: bool) -> int | None:
+def _overlaps(quad: list[float], others: list[Thing], free: set[int]) -> dict[int, float]:
+    """Overlaps of a box with the free ones of the others, by place."""
+    places = sorted(free)
+    return dict(zip(places, quad_overlaps([quad], [others[k].quad for k in places])[0].tolist(), strict=True))
+
+
+def _best(overlaps: np.ndarray | dict[int, float], free: set[int], least: float, strict: bool) -> int | None:
     """The free place with the largest overlap, the first of equal ones, if it is enough."""
     k = max(sorted(free), key=lambda i: overlaps[i], default=None)
     return k if k is not None and overlaps[k] > 0 and (overlaps[k] > least or not strict and overlaps[k] == least) else None
 
 
+def _centre(quad: list[float]) -> tuple[float, float]:
+    x0, y0, x1, y1, x2, y2, x3, y3 = quad
+    return (x0 + x1 + x2 + x3) / 4, (y0 + y1 + y2 + y3) / 4
+
+
 def _smaller(quad: list[float], share: float) -> list[float]:
-    p = np.reshape(quad, (4, 2))
-    return (p + (p.mean(axis=0) - p) * share).ravel().tolist()
+    c = _centre(quad)
+    return [v + (c[k % 2] - v) * share for k, v in enumerate(quad)]
 
 
 def _holds(quad: list[float], inner: list[float]) -> bool:
     """Whether the centroid of the inner box lies within the outer one; boundaries don't count. Boxes are rectangles, so corners average to it."""
-    p, c = np.reshape(quad, (4, 2)), np.reshape(inner, (4, 2)).mean(axis=0)
-    d, rel = np.roll(p, -1, axis=0) - p, c - p
-    side = d[:, 0] * rel[:, 1] - d[:, 1] * rel[:, 0]
-    return bool((side > 0).all() or (side < 0).all())
+    cx, cy = _centre(inner)
+    x0, y0, x1, y1, x2, y2, x3, y3 = quad
+    side = [(u - x) * (cy - y) - (v - y) * (cx - x) for x, y, u, v in ((x0, y0, x1, y1), (x1, y1, x2, y2), (x2, y2, x3, y3), (x3, y3, x0, y0))]
+    return all(s > 0 for s in side) or all(s < 0 for s in side)
 
 
 class _Frame:
@@ -189,7 +200,7 @@ class _Frame:
                 tray.ticket.stable = 0
             return
         det, cls, quad = found[0]
-        if tray.ticket and quad_overlaps([quad], [tray.ticket.quad])[0, 0] > self.rules.ticket:
+        if tray.ticket and quad_overlap(quad, tray.ticket.quad) > self.rules.ticket:
             tray.ticket.quad, tray.ticket.stable = quad, tray.ticket.stable + 1
             self.say("ticket", tray.ticket, tray, det, "seen")
         else:
@@ -201,11 +212,11 @@ class _Frame:
         """Without trays: a detection goes on with the first ticket, else with the best of the extra ones, else is a new one; a ticket that left ends the order."""
         r, seen, free = self.rules, False, set(range(len(tray.extras)))
         for det, cls, quad in found:
-            if tray.ticket and quad_overlaps([quad], [tray.ticket.quad])[0, 0] > r.single_ticket:
+            if tray.ticket and quad_overlap(quad, tray.ticket.quad) > r.single_ticket:
                 tray.ticket.quad, tray.ticket.stable, tray.ticket.missing, seen = quad, tray.ticket.stable + 1, 0, True
                 self.say("ticket", tray.ticket, tray, det, "seen")
                 continue
-            k = _best(quad_overlaps([quad], [e.quad for e in tray.extras])[0], free, r.single_ticket, True)
+            k = _best(_overlaps(quad, tray.extras, free), free, r.single_ticket, True)
             if k is not None:
                 free.discard(k)
                 e = tray.extras[k]
@@ -230,7 +241,7 @@ class _Frame:
         """A class known by sight counts once it was seen often enough in a row, front and back alike."""
         r, item = self.rules, self.rules.known[cls]
         near = {k for k in free if r.known[tray.pending[k].cls] == item}
-        k = _best(quad_overlaps([quad], [p.quad for p in tray.pending])[0], near, r.sticker, True)
+        k = _best(_overlaps(quad, tray.pending, near), near, r.sticker, True)
         if k is None:
             tray.pending.append(self.fresh(cls, quad))
             self.say("pending", tray.pending[-1], tray, det, "new")
@@ -248,7 +259,7 @@ class _Frame:
         free, open_ = set(range(old)), set(range(waiting))
         for det, cls, quad in found:
             mine = {k for k in free if r.mode == "single" or tray.stickers[k].cls == cls}
-            overlaps = quad_overlaps([quad], [s.quad for s in tray.stickers])[0]
+            overlaps = _overlaps(quad, tray.stickers, mine)
             k = _best(overlaps, mine, r.sticker, True)
             if k is not None:
                 free.discard(k)

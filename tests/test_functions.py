@@ -121,3 +121,29 @@ def test_whole_hashes(spark):
         v, o = vectors[r.k], other[r.k]
         assert r.one == (None if v is None else int(len(v) > 1))
         assert r.many == (None if v is None else sum(a != b for a, b in zip(bits(v), bits(o), strict=True)))
+
+
+def test_few_overlaps_are_those_of_arrays(monkeypatch):
+    """One by one without an array's overhead, whatever the turn and the sense of the corners."""
+    import numpy as np
+
+    from orderweave.functions import geometry as G
+
+    rng = np.random.default_rng(5)
+
+    def rectangle(k):
+        (w, h), t = rng.uniform(5, 60, 2) / 2, (0.0, 0.1, rng.uniform(0, 6))[k % 3]
+        turn = np.array([[np.cos(t), -np.sin(t)], [np.sin(t), np.cos(t)]])
+        p = np.array([[-w, -h], [w, -h], [w, h], [-w, h]]) @ turn.T + rng.integers(0, 7, 2) * 10
+        return (p[::-1] if k % 4 == 0 else p).ravel().tolist()
+
+    p, q = [rectangle(k) for k in range(60)], [rectangle(k) for k in range(59)]
+    q += [p[0]]
+    one_by_one = np.array([[G.quad_overlap(a, b) for b in q] for a in p])
+    monkeypatch.setattr(G, "FEW", 0)
+    assert np.abs(one_by_one - G.quad_overlaps(p, q)).max() < 1e-12
+    monkeypatch.setattr(G, "clipped_area", None)
+    monkeypatch.setattr(G, "FEW", 12)
+    assert G.quad_overlaps(p[:3], q[:4]).tolist() == one_by_one[:3, :4].tolist()
+    assert G.quad_overlaps(p[:0], q).shape == (0, 60)
+    assert G.quad_overlap([None, *p[0][1:]], p[0]) == G.quad_overlap([float("nan"), *p[0][1:]], p[0]) == 0
