@@ -10,9 +10,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orderweave.functions import geometry as G
 from orderweave.functions import text as X
@@ -154,8 +158,8 @@ def _bound(value: Column, of) -> Column:
     return F.get(F.transform(F.array(value), of), F.lit(0))
 
 
-def clockwise(quad: Column) -> Column:
-    """Four corners from the upper left on: the least and the largest sum of coordinates are opposite; of the other two the one with the lesser y - x comes second."""
+def _clockwise(quad: Column) -> Column:
+    """clockwise of any array."""
     corner = lambda q, i: F.struct((F.get(q, 2 * i) + F.get(q, 2 * i + 1)).alias("sum"), i.alias("i"), F.get(q, 2 * i).alias("x"), F.get(q, 2 * i + 1).alias("y"))
     corners = _bound(quad, lambda q: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: corner(q, i)))
 
@@ -171,6 +175,30 @@ def clockwise(quad: Column) -> Column:
     return _bound(corners, ordered)
 
 
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _in_turn(quad: pa.Array) -> pa.Array:
+    """clockwise of boxes of eight numbers, a batch at once; null for others."""
+    given = pc.equal(pc.list_value_length(quad), 8).fill_null(False)
+    q = quad.filter(given).flatten().to_numpy(zero_copy_only=False).reshape(-1, 4, 2)
+    n = np.arange(len(q))
+    total, d = q[..., 0] + q[..., 1], q[..., 1] - q[..., 0]
+    order = [total.argmin(axis=1), None, total.argmax(axis=1), None]
+    d[n, order[0]] = d[n, order[2]] = np.inf
+    order[1] = d.argmin(axis=1)
+    d[n, order[1]] = np.inf
+    order[3] = d.argmin(axis=1)
+    flat = q[n[:, None], np.stack(order, axis=1)].ravel() if len(q) else q.ravel()
+    given = given.to_numpy(zero_copy_only=False)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(given * 8)]), pa.int32()), pa.array(flat, pa.float64()), mask=pa.array(~given))
+
+
+def clockwise(quad: Column) -> Column:
+    """Four corners from the upper left on: the least and the largest sum of coordinates are opposite; of the other two the one with the lesser y - x comes second.
+    Boxes of finite numbers go in batches, as functions of an array's elements aren't compiled."""
+    total = sum((F.get(quad, F.lit(k)) for k in range(1, 8)), F.get(quad, F.lit(0)))
+    return F.when((F.size(quad) == 8) & (F.abs(total) < float("inf")), _in_turn(quad)).otherwise(_clockwise(quad))
+
+
 def clipped(quad: Column, width: Column, height: Column) -> Column:
     """Corners within the picture, in whole pixels."""
     inside = lambda v, i: F.floor(F.least(F.greatest(v, F.lit(0.0)), F.when(i % 2 == 0, width).otherwise(height) - 1)).cast("double")
@@ -197,12 +225,19 @@ def reading_order(boxes: DataFrame, near: float = 10.0) -> DataFrame:
     rows = boxes.select("*", F.struct(y.alias("y"), x.alias("x"), F.struct(*boxes.columns).alias("row")).alias("_b"))
     listed = rows.groupBy("ticket").agg(F.array_sort(F.collect_list("_b"), lambda a, b: F.when(F.struct(a["y"], a["x"]) < F.struct(b["y"], b["x"]), -1).when(F.struct(a["y"], a["x"]) > F.struct(b["y"], b["x"]), 1).otherwise(0)).alias("_l"))
 
+    # A box only goes before some of the last ones, if it goes before the last one or none; what is `near` above any box is closed for it and all that follow.
     def insert(done, b):
+        shut = ~F.coalesce(F.abs(b["y"] - done["y"]) < near, F.lit(False))
+        closed, open_ = F.when(shut, F.concat(done["closed"], done["open"])).otherwise(done["closed"]), F.when(shut, empty).otherwise(done["open"])
+        return F.struct(closed.alias("closed"), _bound(open_, lambda o: placed(o, b)).alias("open"), b["y"].alias("y"))
+
+    def placed(done, b):
         n = F.size(done)
         # How many of the last ones stand right of b and near its height, without a gap.
         back = F.aggregate(F.reverse(done), F.struct(F.lit(0).alias("k"), F.lit(True).alias("on")), lambda s, v: F.struct((s["k"] + F.when(s["on"] & (F.abs(b["y"] - v["y"]) < near) & (b["x"] < v["x"]), 1).otherwise(0)).alias("k"), (s["on"] & (F.abs(b["y"] - v["y"]) < near) & (b["x"] < v["x"])).alias("on")))["k"]
-        return F.concat(F.slice(done, F.lit(1), n - back), F.array(b), F.slice(done, n - back + 1, back))
+        return _bound(back, lambda k: F.concat(F.slice(done, F.lit(1), n - k), F.array(b), F.slice(done, n - k + 1, k)))
 
     empty = F.slice("_l", 1, 0)
-    ordered = listed.select(F.posexplode(F.aggregate("_l", empty, insert)).alias("pos", "_b"))
+    start = F.struct(empty.alias("closed"), empty.alias("open"), F.lit(None).cast("double").alias("y"))
+    ordered = listed.select(F.posexplode(F.aggregate("_l", start, insert, lambda s: F.concat(s["closed"], s["open"]))).alias("pos", "_b"))
     return ordered.select("_b.row.*", "pos")

@@ -46,8 +46,9 @@ def ticket_skew(t: Tables) -> DataFrame:
   UNION ALL SELECT unnest([100, 100, 300]), unnest([200, 280, 320]) FROM (SELECT DISTINCT l_orderkey FROM lineitem)) GROUP BY 1""".replace("l1", f"(WITH {LINES} SELECT * FROM k WHERE kind = 1)"))
 def text_box_sizes(t: Tables) -> DataFrame:
     """How many boxes of each width there are, of those that are large enough, corners put in order first."""
-    p = t.ticket_boxes.withColumn("p", K.clockwise(F.col("quad")))
-    return p.where(K.large_enough(F.col("p"))).groupBy(F.round(K.sides(F.col("p"))["width"], 4).alias("width")).agg(F.count(F.lit(1)).alias("n"))
+    p = t.ticket_boxes.select(K.clockwise(F.col("quad")).alias("p"))
+    width = F.when(K.large_enough(F.col("p")), F.round(K.sides(F.col("p"))["width"], 4))
+    return p.groupBy(width.alias("width")).agg(F.count(F.lit(1)).alias("n")).where("width is not null")
 
 
 @query("reading_order")

@@ -165,3 +165,29 @@ def test_crops_stay_within_the_picture(spark):
     df = spark.createDataFrame(rows, "crop struct<cx:int,cy:int,half_width:int,half_height:int>")
     got = [r[0] and tuple(r[0]) for r in df.select(tickets.crop_sides(F.col("crop"), F.lit(120), F.lit(100))).collect()]
     assert got == [(40, 29, 60, 51), (0, 84, 15, 100), None, None]
+
+
+def test_corners_in_batches_are_those_of_one_expression(spark):
+    """Also of boxes with equal sums or differences, without numbers, with what isn't one, or with fewer corners."""
+    r, odd = random.Random(4), [0.0, 1.0, 2.0, None, float("nan"), float("inf")]
+    quads = [[r.choice(odd[:3]) for _ in range(8)] for _ in range(300)] + [[r.choice(odd) for _ in range(8)] for _ in range(300)] + [[r.uniform(0, 99) for _ in range(8)] for _ in range(100)] + [None, [1.0] * 6, []]
+    rows = spark.createDataFrame([(q,) for q in quads], "quad array<double>")
+    found = rows.select(tickets.clockwise(F.col("quad")).alias("p"), tickets._clockwise(F.col("quad")).alias("q")).collect()
+    assert [repr(x.p) for x in found] == [repr(x.q) for x in found]
+
+
+def test_reading_order_closes_what_is_near_nothing(spark):
+    """Over many lines of chance boxes the fold gives the same as a pass over the whole ticket."""
+    r, rows, want = random.Random(6), [], set()
+    for t in range(40):
+        own = [(t, k, [float(r.randrange(60)), r.choice((1.0, 3.0, 10.0)) * r.randrange(12) + r.random() / 2] * 4) for k in range(r.randrange(1, 25))]
+        rows += own
+        done = []
+        for b in sorted(own, key=lambda b: (b[2][1], b[2][0])):
+            k = len(done)
+            while k and abs(b[2][1] - done[k - 1][2][1]) < 10 and b[2][0] < done[k - 1][2][0]:
+                k -= 1
+            done.insert(k, b)
+        want |= {(t, b[1], n) for n, b in enumerate(done)}
+    got = tickets.reading_order(spark.createDataFrame(rows, "ticket long, box long, quad array<double>"))
+    assert {(x.ticket, x.box, x.pos) for x in got.collect()} == want
