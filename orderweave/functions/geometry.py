@@ -203,21 +203,28 @@ def _points(quad: list[float]) -> tuple[list[tuple[float, float]], float]:
     return p[::-1] if twice < 0 else p, abs(twice)
 
 
-def _shared(a: list[tuple[float, float]], b: list[tuple[float, float]]) -> float:
+def _edges_of(points: list[tuple[float, float]]) -> list[tuple[float, float, float, float]]:
+    """Where each edge of a quadrilateral begins, and how far it goes."""
+    (x0, y0), (x1, y1), (x2, y2), (x3, y3) = points
+    return [(x0, y0, x1 - x0, y1 - y0), (x1, y1, x2 - x1, y2 - y1), (x2, y2, x3 - x2, y3 - y2), (x3, y3, x0 - x3, y0 - y3)]
+
+
+def _inside(points: list[tuple[float, float]], edges: list[tuple[float, float, float, float]]) -> list[tuple[float, float]]:
+    """Those of the points that lie on the inner side of all four edges. Written out, as this is where a fold over frames spends its time."""
+    (x0, y0, u0, v0), (x1, y1, u1, v1), (x2, y2, u2, v2), (x3, y3, u3, v3) = edges
+    return [
+        (x, y) for x, y in points
+        if u0 * (y - y0) - v0 * (x - x0) >= -1e-9 and u1 * (y - y1) - v1 * (x - x1) >= -1e-9 and u2 * (y - y2) - v2 * (x - x2) >= -1e-9 and u3 * (y - y3) - v3 * (x - x3) >= -1e-9
+    ]
+
+
+def _shared(a: list[tuple[float, float]], b: list[tuple[float, float]], edges_a: list[tuple], edges_b: list[tuple]) -> float:
     """clipped_area of one pair."""
-    edges = [[(x, y, u - x, v - y) for (x, y), (u, v) in zip(m, m[1:] + m[:1], strict=True)] for m in (a, b)]
-    found = []
-    for points, other in ((a, edges[1]), (b, edges[0])):
-        for px, py in points:
-            for x, y, dx, dy in other:
-                if not dx * (py - y) - dy * (px - x) >= -1e-9:
-                    break
-            else:
-                found.append((px, py))
-    for x, y, dx, dy in edges[0]:
-        for u, v, du, dv in edges[1]:
+    found = _inside(a, edges_b) + _inside(b, edges_a)
+    for x, y, dx, dy in edges_a:
+        for u, v, du, dv in edges_b:
             cross = dx * dv - dy * du
-            if abs(cross) > 1e-12:
+            if cross > 1e-12 or cross < -1e-12:
                 gx, gy = u - x, v - y
                 t = (gx * dv - gy * du) / cross
                 if 0 <= t <= 1 and 0 <= (gx * dy - gy * dx) / cross <= 1:
@@ -225,9 +232,11 @@ def _shared(a: list[tuple[float, float]], b: list[tuple[float, float]]) -> float
     n = len(found)
     if n < 3:
         return 0.0
-    mx, my = sum(x for x, _ in found) / n, sum(y for _, y in found) / n
-    ring = sorted(((x - mx, y - my) for x, y in found), key=lambda v: atan2(v[1], v[0]))
-    return abs(sum(x * v - u * y for (x, y), (u, v) in zip(ring, ring[1:] + ring[:1], strict=True))) / 2
+    mx, my = sum([x for x, _ in found]) / n, sum([y for _, y in found]) / n
+    rel = [(x - mx, y - my) for x, y in found]
+    turn = [atan2(y, x) for x, y in rel]
+    ring = [rel[k] for k in sorted(range(n), key=turn.__getitem__)]
+    return abs(sum([x * v - u * y for (x, y), (u, v) in zip(ring, ring[1:] + ring[:1], strict=True)])) / 2
 
 
 def _circle(quad: list[float]) -> tuple[float, float, float]:
@@ -237,22 +246,42 @@ def _circle(quad: list[float]) -> tuple[float, float, float]:
     return cx, cy, sqrt(max((x0 - cx) ** 2 + (y0 - cy) ** 2, (x1 - cx) ** 2 + (y1 - cy) ** 2, (x2 - cx) ** 2 + (y2 - cy) ** 2, (x3 - cx) ** 2 + (y3 - cy) ** 2))
 
 
-def quad_overlap(p: list[float], q: list[float]) -> float:
-    """Overlap of two boxes over their union; 0 if their circles don't meet. For few pairs: an array's overhead costs more than the overlap itself."""
-    if None in p or None in q:
+class _Box:
+    """What overlaps need of one box, found out once for all that it is held against; corners and edges only once a circle meets another."""
+
+    __slots__ = ("area", "circle", "edges", "points", "quad")
+
+    def __init__(self, quad: list[float]):
+        self.quad, self.circle, self.points = quad, None if None in quad else _circle(quad), None
+
+    def corners(self) -> None:
+        self.points, twice = _points(self.quad)
+        self.area, self.edges = twice / 2, _edges_of(self.points)
+
+
+def _overlap(p: _Box, q: _Box) -> float:
+    if p.circle is None or q.circle is None:
         return 0.0
-    (ax, ay, ar), (bx, by, br) = _circle(p), _circle(q)
+    (ax, ay, ar), (bx, by, br) = p.circle, q.circle
     if not (ax - bx) ** 2 + (ay - by) ** 2 < (ar + br) ** 2:
         return 0.0
-    (a, twice_a), (b, twice_b) = _points(p), _points(q)
-    both = _shared(a, b)
-    return both / (twice_a / 2 + twice_b / 2 - both + 1e-9)
+    for box in (p, q):
+        if box.points is None:
+            box.corners()
+    both = _shared(p.points, q.points, p.edges, q.edges)
+    return both / (p.area + q.area - both + 1e-9)
+
+
+def quad_overlap(p: list[float], q: list[float]) -> float:
+    """Overlap of two boxes over their union; 0 if their circles don't meet. For few pairs: an array's overhead costs more than the overlap itself."""
+    return _overlap(_Box(p), _Box(q))
 
 
 def quad_overlaps(p: list, q: list) -> np.ndarray:
     """Overlap of each of p with each of q, over their union; pairs whose circles don't meet aren't clipped."""
     if len(p) * len(q) <= FEW:
-        return np.array([[quad_overlap(a, b) for b in q] for a in p], float).reshape(len(p), len(q))
+        one, two = [_Box(a) for a in p], [_Box(b) for b in q]
+        return np.array([[_overlap(a, b) for b in two] for a in one], float).reshape(len(p), len(q))
     out = np.zeros((len(p), len(q)))
     a, b = np.asarray(p, float), np.asarray(q, float)
     ca, cb = (m.reshape(-1, 4, 2).mean(axis=1) for m in (a, b))

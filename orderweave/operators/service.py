@@ -46,6 +46,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from orderweave.functions.geometry import quad_overlap, quad_overlaps
 from orderweave.operators import tracking
+from orderweave.operators.interim import spread, values
 from orderweave.operators.tracking import Rules, Thing, View, _best, _Frame, _holds, _overlaps
 
 BAG = "array<struct<item:string,n:long>>"
@@ -381,7 +382,8 @@ class Line:
         self._say(out, tray.track, "TRAY_COMPLETED", _bag(order.checked), number=order.number)
 
     def _track(self, s: Service, dets: list[tuple], out: list[tuple]) -> None:
-        rules = replace(s.tracking, mode="single" if self._single() else "tray")
+        mode = "single" if self._single() else "tray"
+        rules = s.tracking if s.tracking.mode == mode else replace(s.tracking, mode=mode)
         if s.area and self._single():
             dets = [d for d in dets if d[1] not in rules.tickets or _holds(list(s.area), d[2]) == (self.mode == "preset_roi")]
         f = _Seen(self, rules, dets)
@@ -524,7 +526,7 @@ def events(feed: DataFrame, service: Service = Service(), until: float | None =
                 out.extend((now, *e) for e in line.until(service, until))
 
         for batch in batches:
-            for session, *row in zip(*(batch[c].to_pylist() for c in ("session", *_COLUMNS)), strict=True):
+            for session, *row in zip(*(values(batch[c]) for c in ("session", *_COLUMNS)), strict=True):
                 if (session, row[0]) != (now, at):
                     closed()
                     if session != now:
@@ -539,7 +541,7 @@ def events(feed: DataFrame, service: Service = Service(), until: float | None =
         yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], f.type) for k, f in enumerate(arrow)], schema=arrow)
 
     rows, order = _sorted_feed(feed)
-    return rows.repartition("session").sortWithinPartitions(*order).drop("rank").mapInArrow(walked, types)
+    return spread(rows, "session").sortWithinPartitions(*order).drop("rank").mapInArrow(walked, types)
 
 
 # The same as a stream

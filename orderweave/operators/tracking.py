@@ -28,6 +28,7 @@ from pyspark.sql.streaming.stateful_processor import MapState, StatefulProcessor
 
 from orderweave.functions import geometry as G
 from orderweave.functions.geometry import quad_iou, quad_overlap, quad_overlaps
+from orderweave.operators.interim import values
 
 #: Classes that are told apart by sight, and the item that each stands for.
 KNOWN_ITEMS = {
@@ -107,7 +108,7 @@ class View:
 def _overlaps(quad: list[float], others: list[Thing], free: set[int]) -> dict[int, float]:
     """Overlaps of a box with the free ones of the others, by place."""
     places = sorted(free)
-    return dict(zip(places, quad_overlaps([quad], [others[k].quad for k in places])[0].tolist(), strict=True))
+    return dict(zip(places, quad_overlaps([quad], [others[k].quad for k in places])[0].tolist(), strict=True)) if places else {}
 
 
 def _best(overlaps: np.ndarray | dict[int, float], free: set[int], least: float, strict: bool) -> int | None:
@@ -316,7 +317,7 @@ def tracked(detections: DataFrame, rules: Rules = Rules()) -> DataFrame:
                 out.extend((now, at, *row) for row in advance(view, rules, dets))
 
         for batch in batches:
-            for session, frame, *det in zip(*(batch[c].to_pylist() for c in ("session", "frame", "det", "cls", "quad")), strict=True):
+            for session, frame, *det in zip(*(values(batch[c]) for c in ("session", "frame", "det", "cls", "quad")), strict=True):
                 if (session, frame) != (now, at):
                     closed()
                     view = view if session == now else View()
