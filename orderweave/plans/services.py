@@ -25,7 +25,7 @@ def feed(t: Tables) -> DataFrame:
     seen = t.camera_frames
     menu = t.part.groupBy(X.normalized(F.col("p_name"), compatible=False).alias("name")).agg(F.min("p_partkey").cast("long").alias("pos"))
     shown = seen.where("ticket is not null").select("ticket").distinct()
-    rows = K.parsed(t.ticket_boxes.join(shown, "ticket", "left_semi"), menu)
+    rows = K.parsed(t.only(shown).ticket_boxes, menu)
     orders = rows.groupBy("ticket").agg(F.min("order_number").alias("_number"), F.array_sort(F.collect_list(F.struct("text_row", "item")))["item"].alias("_items"))
     words = seen.where("text is not null").select("text").distinct().withColumn("_clean", X.normalized(F.col("text")))
     names = matching.best_name(words.select(F.col("_clean").alias("text")), menu, ()).where("score > 60").select(F.col("text").alias("_clean"), F.col("name").alias("_name"))

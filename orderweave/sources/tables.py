@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orderweave.functions import geometry as G
+from orderweave.operators.interim import tasks
 
 
 class Tables:
@@ -18,6 +19,13 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def only(self, tickets: DataFrame) -> Tables:
+        """The same tables with the lines of these tickets (ticket) alone, so that windows, sorts and joins meet no others."""
+        some = Tables(self.spark, self.folder)
+        lines = self.lineitem.join(tickets.select(F.col("ticket").alias("l_orderkey")), "l_orderkey", "left_semi")
+        some.lineitem = lines.repartition(tasks(self.spark), "l_orderkey")
+        return some
+
     @property
     def expected(self) -> DataFrame:
         """Items of each order: tray, item, n."""
@@ -73,8 +81,8 @@ class Tables:
         label = F.col("cls") == "order_sticker"
         whose = F.when(label & (F.col("det") % 7 == 0), ticket + 1).otherwise(ticket)
         seen = seen.withColumns({"ticket": F.when(F.col("cls") == "order_ticket", ticket), "_of": F.when(label & (F.col("det") % 11 > 0), whose)})
-        names = self.ticket_lines.groupBy("ticket").agg(F.array_sort(F.collect_list("name")).alias("_names"))
-        lines = seen.where("_of is not null").select("_of").distinct().join(names.withColumnRenamed("ticket", "_of"), "_of")
+        shown = seen.where("_of is not null").select(F.col("_of").alias("ticket")).distinct()
+        lines = self.only(shown).ticket_lines.groupBy(F.col("ticket").alias("_of")).agg(F.array_sort(F.collect_list("name")).alias("_names"))
         name = F.get("_names", F.col("det") % F.size("_names"))
         return seen.join(lines, "_of", "left").withColumn("text", F.substring(name, F.lit(1), F.length(name) - 1)).drop("_of", "_names", "place")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from orderweave.functions import geometry as G
 from orderweave.operators import interim
@@ -42,3 +43,10 @@ def test_arrow_columns_unpack_as_to_pylist(spark):
 def test_walks_are_dealt_to_many_tasks_though_their_rows_are_few_bytes(small):
     rows = S.events(services.feed(small), services.SERVICE)
     assert rows.rdd.getNumPartitions() == interim.tasks(small.spark) >= 4 * small.spark.sparkContext.defaultParallelism
+
+
+def test_only_lines_of_the_tickets_shown_are_worked_on(small):
+    some = small.lineitem.select(F.col("l_orderkey").alias("ticket")).distinct().where("ticket % 5 = 0")
+    for view in ("ticket_lines", "ticket_boxes"):
+        got, want = getattr(small.only(some), view), getattr(small, view).where("ticket % 5 = 0")
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) != []
