@@ -33,6 +33,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from orderweave.operators.interim import spread, values
+
 HEARTBEAT = 1.5
 OUT = "order long, frame long, status string, items array<struct<item:string,n:long>>, number string, checked array<struct<item:string,n:long>>, started long"
 _COLUMNS = ("frame", "at", "kind", "ref", "number", "items")
@@ -60,7 +62,7 @@ class Course:
         return self.expected.get(item, 0) - self.checked.get(item, 0)
 
     def completed(self) -> bool:
-        return bool(self.expected) and not self.wrong and self.state == "WAITING_STICKERS" and sum(self.checked.values()) == sum(self.expected.values())
+        return self.state == "WAITING_STICKERS" and not self.wrong and bool(self.expected) and sum(self.checked.values()) == sum(self.expected.values())
 
 
 def _listed(counts: dict[str, int]) -> list[dict]:
@@ -74,54 +76,55 @@ def _added(counts: dict[str, int], more: dict[str, int], sign: int = 1) -> dict[
 
 def advance(c: Course, frame: int, at: float, kind: str, ref: int | None, number: str | None, items: list[str] | None) -> list[tuple]:
     """Events status, items, number, checked, started of one observation."""
-    return [(*e, None, None)[:5] for e in _events(c, frame, at, kind, ref, number, items)]
+    return [(status, _listed(bag), num, None if checked is None else _listed(checked), started) for status, bag, num, checked, started in _events(c, frame, at, kind, ref, number, items)]
 
 
 def _events(c: Course, frame: int, at: float, kind: str, ref: int | None, number: str | None, items: list[str] | None) -> list[tuple]:
+    """The same with counts for lists; some are the course's own, so they are to be read before it goes on."""
     out: list[tuple] = []
-    key, items = str(ref), [i for i in items or [] if i is not None]
     if kind == "reset" or kind == "gone":
         if kind == "gone" and c.state != "NONE":
-            out += [("RECORD", _listed(c.expected), c.number, _listed(c.checked), c.started), ("TRAY_REMOVED", [], c.number)]
+            out += [("RECORD", c.expected, c.number, c.checked, c.started), ("TRAY_REMOVED", {}, c.number, None, None)]
         if kind == "reset":
-            out += [("TRAY_RESET", [], None), ("WAITING_TICKET", [], None)]
+            out += [("TRAY_RESET", {}, None, None, None), ("WAITING_TICKET", {}, None, None, None)]
         c.begin("WAITING_TICKET" if kind == "reset" else "NONE")
         return out
     if kind == "seen" and c.state == "NONE":
         c.state, c.started = "WAITING_TICKET", frame
-        return [("NEW_TRAY_DETECTED", [], None)]
+        return [("NEW_TRAY_DETECTED", {}, None, None, None)]
     if c.state == "NONE":  # a late result of an order that has left
         return out
+    key, items = str(ref), [i for i in items if i is not None] if items else []
     if kind == "ticket" and items and c.state == "WAITING_TICKET":
         c.tickets[key] = dict(Counter(items))
         c.expected, c.number, c.state = dict(c.tickets[key]), number or "000", "WAITING_STICKERS"
-        out.append(("TICKET_READY", _listed(c.expected), c.number))
+        out.append(("TICKET_READY", c.expected, c.number, None, None))
     elif kind == "ticket" and c.state != "WAITING_TICKET" and key not in c.tickets and number is not None and number == c.number:
         c.tickets[key] = dict(Counter(items))
         c.expected, c.state = _added(c.expected, c.tickets[key]), "WAITING_STICKERS"
-        out.append(("TICKET_READY", _listed(c.expected), c.number))
+        out.append(("TICKET_READY", c.expected, c.number, None, None))
     elif kind == "ticket_gone" and len(c.tickets) > 1 and key in c.tickets:
         c.expected = _added(c.expected, c.tickets.pop(key), -1)
-        out.append(("TICKET_READY", _listed(c.expected), c.number))
+        out.append(("TICKET_READY", c.expected, c.number, None, None))
     elif kind in ("sticker", "known") and items and c.state == "WAITING_STICKERS" and key not in c.known:
         item = items[0]
         if c.left(item) > 0:
             c.wrong.pop(key, None)
             c.known.append(key)
             c.checked[item] = c.checked.get(item, 0) + 1
-            out.append(("ITEM_CHECKED", _listed(c.checked), c.number))
+            out.append(("ITEM_CHECKED", c.checked, c.number, None, None))
         elif kind == "known" or sum(c.checked.values()) < sum(c.expected.values()):
             c.wrong[key] = [item, at]
-            out.append(("WRONG_ITEM_DETECTED", [{"item": item, "n": 1}], c.number))
+            out.append(("WRONG_ITEM_DETECTED", {item: 1}, c.number, None, None))
     elif kind == "sticker_gone":
         c.wrong.pop(key, None)
     for said in c.wrong.values():
         if at - said[1] >= HEARTBEAT:
             said[1] = at
-            out.append(("WRONG_ITEM_DETECTED", [{"item": said[0], "n": 1}], c.number))
+            out.append(("WRONG_ITEM_DETECTED", {said[0]: 1}, c.number, None, None))
     if c.completed():
         c.state = "COMPLETED"
-        out.append(("TRAY_COMPLETED", _listed(c.checked), c.number))
+        out.append(("TRAY_COMPLETED", c.checked, c.number, None, None))
     return out
 
 
@@ -133,15 +136,37 @@ def order_events(seen: DataFrame) -> DataFrame:
     def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, course = None, Course()
         for batch in batches:
-            out = []
-            for order, *row in zip(*(batch[c].to_pylist() for c in ("order", *_COLUMNS)), strict=True):
+            plain, bags, records = [], _Bags(), _Bags()
+            for order, frame, *row in zip(*(values(batch[c]) for c in ("order", *_COLUMNS)), strict=True):
                 if order != now:
                     now, course = order, Course()
-                out += [(order, row[0], *e) for e in advance(course, *row)]
-            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], f.type) for k, f in enumerate(arrow)], schema=arrow)
+                for status, bag, number, checked, started in _events(course, frame, *row):
+                    plain.append((order, frame, status, number, started))
+                    bags.add(bag)
+                    records.add(checked)
+            columns = dict(zip(("order", "frame", "status", "number", "started"), zip(*plain, strict=True) if plain else [()] * 5, strict=True))
+            made = {"items": bags.array(), "checked": records.array()}
+            yield pa.RecordBatch.from_arrays([made[f.name].cast(f.type) if f.name in made else pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
+
+    return spread(_rows(seen), "order").sortWithinPartitions("order", "frame", "seq").mapInArrow(walked, types)
+
+
+class _Bags:
+    """A column of bags, filled without an object for each entry."""
+
+    def __init__(self):
+        self.items, self.n, self.ends, self.missing = [], [], [0], []
+
+    def add(self, bag: dict[str, int] | None) -> None:
+        if bag:
+            self.items += bag
+            self.n += bag.values()
+        self.ends.append(len(self.items))
+        self.missing.append(bag is None)
 
-    rows = _rows(seen)
-    return rows.repartition("order").sortWithinPartitions("order", "frame", "seq").mapInArrow(walked, types)
+    def array(self) -> pa.Array:
+        entries = pa.StructArray.from_arrays([pa.array(self.items, pa.string()), pa.array(self.n, pa.int64())], ["item", "n"])
+        return pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), entries, mask=pa.array(self.missing, pa.bool_()))
 
 
 def stream_order_events(seen: DataFrame) -> DataFrame:

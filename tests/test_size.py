@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orderweave.functions import geometry as G
+from orderweave.operators import course as C
 from orderweave.operators import interim
 from orderweave.operators import service as S
 from orderweave.plans import services
@@ -50,3 +51,14 @@ def test_only_lines_of_the_tickets_shown_are_worked_on(small):
     for view in ("ticket_lines", "ticket_boxes"):
         got, want = getattr(small.only(some), view), getattr(small, view).where("ticket % 5 = 0")
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) != []
+
+
+def test_walks_of_orders_are_dealt_to_many_tasks(small):
+    assert C.order_events(small.observations).rdd.getNumPartitions() == interim.tasks(small.spark)
+
+
+def test_bags_are_filled_without_an_object_for_each_entry(spark):
+    bags = C._Bags()
+    for bag in ({"a": 2, "b": 1}, None, {}, {"c": 3}):
+        bags.add(bag)
+    assert bags.array().to_pylist() == [[{"item": "a", "n": 2}, {"item": "b", "n": 1}], None, [], [{"item": "c", "n": 3}]]
