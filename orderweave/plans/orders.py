@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderweave.operators import bags
+from orderweave.operators.interim import tasks
 from orderweave.plans.base import CHECKED, EXPECTED, MENU, WRONG, query
 from orderweave.sources.sinks import order_records
 from orderweave.sources.tables import Tables
@@ -56,9 +57,11 @@ SELECT tray, item, CAST(sum(n) AS BIGINT) AS n FROM (SELECT tray, unnest(coalesc
 
 @query("menu_expand", _EXPAND)
 def menu_expand(t: Tables) -> DataFrame:
-    """Every second line names a menu, the others something that the menu doesn't list."""
+    """Every second line names a menu, the others something that the menu doesn't list. Lines are dealt by order once, to a number of tasks that isn't
+    lowered: both groupings keep that dealing, and the memory of one doesn't follow from how many partitions were joined."""
     name = F.when(F.col("l_linenumber") % 2 == 0, F.col("p_name")).otherwise(F.concat("p_name", F.lit(" *")))
-    items = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias("tray"), name.alias("item")).agg(F.sum(F.col("l_quantity").cast("long")).alias("n"))
+    lines = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("tray"), name.alias("item"), F.col("l_quantity").cast("long").alias("n"))
+    items = lines.repartition(tasks(t.spark), "tray").groupBy("tray", "item").agg(F.sum("n").alias("n"))
     return bags.counted(bags.expanded(items, t.menu), ["tray"], n=F.col("n"))
 
 

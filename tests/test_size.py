@@ -9,7 +9,7 @@ from orderweave.functions import geometry as G
 from orderweave.operators import course as C
 from orderweave.operators import interim
 from orderweave.operators import service as S
-from orderweave.plans import services
+from orderweave.plans import orders, services
 from orderweave.sources.tables import Tables
 
 SF = "/root/testdata/sf0.001"
@@ -62,3 +62,7 @@ def test_bags_are_filled_without_an_object_for_each_entry(spark):
     for bag in ({"a": 2, "b": 1}, None, {}, {"c": 3}):
         bags.add(bag)
     assert bags.array().to_pylist() == [[{"item": "a", "n": 2}, {"item": "b", "n": 1}], None, [], [{"item": "c", "n": 3}]]
+
+
+def test_menu_items_are_dealt_once_to_tasks_that_arent_joined(small):
+    assert orders.menu_expand(small).rdd.getNumPartitions() == interim.tasks(small.spark)
