@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WIDE_DIGITS, DIGITS = "０１２３４５６７８９", "0123456789"
+#: What Unicode says is white space.
+WHITE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 @F.pandas_udf(T.StringType())
@@ -20,7 +22,7 @@ def nfkc(text: pd.Series) -> pd.Series:
 
 def stripped(text: Column) -> Column:
     """Without white space of any script at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def normalized(text: Column, compatible: bool = True) -> Column:
@@ -47,6 +49,11 @@ def order_number(text: Column) -> Column:
     return F.nullif(F.regexp_extract(digits(stripped(text)), r"[0-9]{3}$", 0), F.lit(""))
 
 
+def ends_with_digit(text: Column) -> Column:
+    """Whether a stripped text may be, or end with, a number; much less work than to look for one."""
+    return F.substring(text, -1, 1).isin(*DIGITS, *WIDE_DIGITS)
+
+
 def only_digits(text: Column) -> Column:
     return digits(stripped(text)).rlike(r"^[1-9][0-9]*$")
 

@@ -67,6 +67,25 @@ def throttled(rows: DataFrame, key: list[str], at: str, interval: float) -> Data
     return times.select(*key, F.explode(F.aggregate("_at", start, step)["let"]).alias(at))
 
 
+def first_near(share: float) -> Callable[[float | None, float | None], int]:
+    """A function that takes places and heights of boxes one after another, in order, and says to which row of text each belongs."""
+    rows: list[list] = []  # boxes, sum of places, sum of heights
+
+    def of(a: float | None, h: float | None) -> int:
+        if a is None or h is None:
+            rows.append([1, float("inf"), 0.0])  # near nothing
+            return len(rows) - 1
+        for k, row in enumerate(rows):
+            n, x, y = row
+            if abs(a - x / n) < share * y / n:
+                row[0], row[1], row[2] = n + 1, x + a, y + h
+                return k
+        rows.append([1, a, h])
+        return len(rows) - 1
+
+    return of
+
+
 def _row_numbers(share: float):
     """For each list of places and heights, which go in order, the row of text that each belongs to."""
 
@@ -75,17 +94,7 @@ def _row_numbers(share: float):
         ends, of = at.offsets.to_pylist(), []
         at, height = at.values.to_pylist(), height.values.to_pylist()
         for lo, hi in zip(ends, ends[1:], strict=False):
-            rows: list[list] = []  # boxes, sum of places, sum of heights
-            for a, h in zip(at[lo:hi], height[lo:hi], strict=True):
-                if a is None or h is None:
-                    of.append(len(rows))
-                    rows.append([1, float("inf"), 0.0])  # near nothing
-                    continue
-                k = next((k for k, (n, x, y) in enumerate(rows) if abs(a - x / n) < share * y / n), len(rows))
-                if k == len(rows):
-                    rows.append([0, 0.0, 0.0])
-                rows[k] = [rows[k][0] + 1, rows[k][1] + a, rows[k][2] + h]
-                of.append(k)
+            of.extend(map(first_near(share), at[lo:hi], height[lo:hi]))
         return pa.ListArray.from_arrays(pa.array([e - ends[0] for e in ends], pa.int32()), pa.array(of, pa.int32()))
 
     return run

@@ -2,12 +2,13 @@
 
 Input are boxes: ticket, pos (reading order), quad (x1, y1, ... x4, y4, clockwise from the upper left), text, score; for tickets that stand on their
 head also flipped, and width of the picture: their boxes are in reverse order, the item area lies above its anchors, and texts go from right to left. All
-that is said of a whole ticket (its skew, its headers, its order number) is a window over its boxes, which are few;
-everything runs over one exchange by ticket, and only distinct row texts meet the menu.
+that is said of a whole ticket (its skew, its headers, its order number) is a window over its boxes, which are few, and rows of text
+are written in a walk over them; everything runs over one exchange by ticket, and only distinct row texts meet the menu.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import types as T
 from orderweave.functions import geometry as G
 from orderweave.functions import text as X
 from orderweave.operators import matching, runs
-from orderweave.operators.interim import written
+from orderweave.operators.interim import values, written
 
 
 @dataclass(frozen=True)
@@ -50,46 +51,68 @@ def skew(rows: DataFrame, most_spread: float = 15.0, most: float = 30.0) -> Data
     q = F.col("quad")
     dx, dy = F.get(q, F.lit(2)) - F.get(q, F.lit(0)), F.get(q, F.lit(3)) - F.get(q, F.lit(1))
     angle = F.when((dx != 0) | (dy != 0), F.atan2(dy, dx))
-    mean = lambda odd: F.aggregate(F.filter(q, lambda _, i: i % 2 == odd), F.lit(0.0), lambda t, v: t + v) / 4
-    rows = rows.withColumn("_angle", angle)
-    theta = _of_ticket(F.median("_angle"))
-    straight = (F.degrees(_of_ticket(F.stddev_pop("_angle"))) > most_spread) | (F.abs(F.degrees(theta)) > most)
-    rows = rows.withColumn("theta", F.when(straight, 0.0).otherwise(F.coalesce(theta, F.lit(0.0))))
-    return rows.withColumn("px", _of_ticket(F.avg(mean(0)))).withColumn("py", _of_ticket(F.avg(mean(1)))).drop("_angle")
+    rows = rows.withColumns({"_angle": angle, "_x": _middle(q, 0), "_y": _middle(q, 1)})
+    # All in one step, which is one window for Spark.
+    of = {"_median": F.median("_angle"), "_spread": F.stddev_pop("_angle"), "px": F.avg("_x"), "py": F.avg("_y")}
+    rows = rows.withColumns({k: _of_ticket(v) for k, v in of.items()})
+    straight = (F.degrees("_spread") > most_spread) | (F.abs(F.degrees("_median")) > most)
+    theta = F.when(straight, 0.0).otherwise(F.coalesce("_median", F.lit(0.0)))
+    return rows.withColumn("theta", theta).drop("_angle", "_x", "_y", "_median", "_spread")
+
+
+def _middle(quad: Column, odd: int) -> Column:
+    """The mean of a box's x (0) or y (1). Of eight numbers it is compiled, as functions of an array's elements aren't."""
+    whole = F.aggregate(F.filter(quad, lambda _, i: i % 2 == odd), F.lit(0.0), lambda t, v: t + v)
+    return F.when(F.size(quad) == 8, sum((F.get(quad, F.lit(k)) for k in range(odd, 8, 2)), F.lit(0.0))).otherwise(whole) / 4
 
 
 def levelled(rows: DataFrame) -> DataFrame:
     """With cx, cy, x_min, x_max, h of each box after its ticket's skew is taken out."""
-    at = [G.rotate(F.get("quad", F.lit(2 * k)), F.get("quad", F.lit(2 * k + 1)), -F.col("theta"), F.col("px"), F.col("py")) for k in range(4)]
-    x, y = [p[0] for p in at], [p[1] for p in at]
+    turn = rows.withColumns({"_cos": F.cos(-F.col("theta")), "_sin": F.sin(-F.col("theta"))})
+    c, s, px, py = F.col("_cos"), F.col("_sin"), F.col("px"), F.col("py")
+    at = [(F.get("quad", F.lit(2 * k)) - px, F.get("quad", F.lit(2 * k + 1)) - py) for k in range(4)]
+    at = {f"_{n}{k}": v for k, (dx, dy) in enumerate(at) for n, v in (("x", px + dx * c - dy * s), ("y", py + dx * s + dy * c))}
+    x, y = ([F.col(f"_{n}{k}") for k in range(4)] for n in "xy")
     high = F.abs(F.least(y[2], y[3]) - F.greatest(y[0], y[1]))
-    return rows.withColumns({"cx": sum(x[1:], x[0]) / 4, "cy": sum(y[1:], y[0]) / 4, "x_min": F.least(*x), "x_max": F.greatest(*x), "h": high})
+    out = turn.withColumns(at).withColumns({"cx": sum(x[1:], x[0]) / 4, "cy": sum(y[1:], y[0]) / 4, "x_min": F.least(*x), "x_max": F.greatest(*x), "h": high})
+    return out.drop("_cos", "_sin", *at)
 
 
 def _says(text: Column, header: str, least: float) -> Column:
-    """Whether a text is a header: as one of its words, or by its similarity."""
-    return F.array_contains(F.split(text, r"\s+"), header) | (X.ratio_to(text, header) > least)
+    """Whether a text is a header: as one of its words, or by its similarity. Most texts have none of its characters or are
+    too long or short to be alike, which is soon seen; only the others are split and folded, which isn't compiled."""
+    n, m = len(header), F.length(text)
+    shared = F.lit(least < 0)
+    for c in dict.fromkeys(header):
+        shared = shared | F.contains(text, F.lit(c))
+    alike = F.when(shared & (200.0 * F.least(F.lit(n), m) / (n + m) > least), X.ratio_to(text, header) > least)
+    word = F.when(F.contains(text, F.lit(header)), F.array_contains(F.split(text, r"\s+"), header))
+    return F.coalesce(word, F.lit(False)) | F.coalesce(alike, F.lit(False))
 
 
 def read(boxes: DataFrame, layout: Layout = Layout()) -> DataFrame:
-    """The boxes within the item area, levelled, with what their ticket says: order_number, digits (its boxes that are numbers:
-    cy, pos, number, raw), count_at (where the quantity column lies, null without one), theta, px, py.
+    """The boxes within the item area (inside) and, wherever they are, those that are numbers (number, raw: what they say), levelled, with what
+    their ticket says: order_number, count_at (where the quantity column lies, null without one), theta, px, py.
 
     The area begins below the last of two anchors: the first order number, and area headers.
     """
     sure = F.col("score") >= layout.box_score
-    clean = X.stripped(F.col("text"))
-    named = F.coalesce(F.try_element_at(F.create_map(*(F.lit(v) for p in layout.synonyms.items() for v in p)), clean), clean) if layout.synonyms else clean
+    clean, named = F.col("_clean"), F.col("_named")
+    synonym = F.coalesce(F.try_element_at(F.create_map(*(F.lit(v) for p in layout.synonyms.items() for v in p)), clean), clean) if layout.synonyms else clean
     boxes = boxes.withColumn("flipped", F.coalesce("flipped", F.lit(False)) if "flipped" in boxes.columns else F.lit(False))
     boxes = boxes.withColumn("pos", F.when(F.col("flipped"), -F.col("pos")).otherwise(F.col("pos")))
     width = F.col("width") if "width" in boxes.columns else F.lit(None).cast("double")
-    rows = levelled(skew(boxes)).withColumn("_clean", clean).withColumn("_number", F.when(sure, X.order_number(F.col("text"))))
-    rows = rows.withColumns({"_area": F.coalesce(sure & _says(named, layout.area_header, layout.header_score), F.lit(False)), "_count": F.coalesce(sure & _says(named, layout.count_header, layout.header_score), F.lit(False))})
+    # What is used several times is a column of its own, or Spark computes it again for each use.
+    rows = levelled(skew(boxes)).withColumn("_clean", X.stripped(F.col("text")))
+    rows = rows.withColumns({"_named": synonym, "_ends": sure & X.ends_with_digit(clean)})
+    number = F.when(F.col("_ends"), X.order_number(clean))
+    says = lambda h: F.coalesce(sure & _says(named, h, layout.header_score), F.lit(False))
+    rows = rows.withColumns({"_number": number, "_area": says(layout.area_header), "_count": says(layout.count_header)})
     first = _of_ticket(F.min(F.when(F.col("_number").isNotNull(), F.struct("pos", "_number", "x_min", "x_max", "cy"))))
     header = _of_ticket(F.max(F.when(F.col("_area"), F.struct("pos", "x_min", "x_max", "cy"))))
     count = _of_ticket(F.max(F.when(F.col("_count"), F.struct("pos", "cx"))))
-    digit = F.when(sure & X.only_digits(F.col("text")), F.struct("cy", "pos", X.first_number(F.col("_clean")).alias("number"), F.col("_clean").alias("raw")))
-    rows = rows.withColumns({"_first": first, "_header": header, "count_at": count["cx"], "digits": F.array_sort(_of_ticket(F.collect_list(digit)))})
+    digit = F.col("_ends") & X.only_digits(clean)
+    rows = rows.withColumns({"_first": first, "_header": header, "count_at": count["cx"], "number": F.when(digit, X.first_number(clean)), "raw": F.when(digit, clean)})
     by_header = F.col("_header").isNotNull() & (F.col("_first").isNull() | (F.col("_header.pos") >= F.col("_first.pos")))
     flipped = F.col("flipped")
     top = F.when(by_header, F.col("_header.cy")).otherwise(F.col("_first.cy") + F.when(flipped, -100).otherwise(100))
@@ -102,17 +125,122 @@ def read(boxes: DataFrame, layout: Layout = Layout()) -> DataFrame:
         prefixed = prefixed | F.col("text").startswith(p)
     scored = F.col("score") >= F.when(prefixed, layout.prefix_score).otherwise(layout.box_score)
     inside = top.isNull() | (below & (F.col("cx") >= left - before) & (right.isNull() | (F.col("cx") <= right + after)))
-    return rows.where(scored & inside).withColumn("order_number", F.col("_first._number")).drop("_clean", "_number", "_area", "_count", "_first", "_header")
+    rows = rows.withColumn("inside", F.coalesce(scored & inside, F.lit(False))).where(F.col("inside") | F.col("raw").isNotNull())
+    return rows.withColumn("order_number", F.col("_first._number")).drop("_clean", "_named", "_ends", "_number", "_area", "_count", "_first", "_header")
 
 
 def rows_of(boxes: DataFrame, whole: list[str] | None = None) -> DataFrame:
-    """A row for each row of text: ticket, text_row, text (from left to right), cy, h, longest (height and place of its longest text), and columns that hold for a whole ticket."""
-    whole = [*(whole or []), "flipped"]
-    placed = runs.row_clusters(boxes, ["ticket"], ["pos"], "cy", "h", carry=["cx", "text"], whole=whole)
-    parts = F.array_sort(F.collect_list(F.struct(F.when(F.col("flipped"), -F.col("cx")).otherwise(F.col("cx")).alias("at"), "pos", "text")))
-    longest = F.max_by(F.struct("cy", "h"), F.struct(F.length("text"), -F.col("pos")))
-    out = placed.groupBy("ticket", "text_row").agg(parts.alias("_parts"), F.avg("cy").alias("cy"), F.avg("h").alias("h"), longest.alias("longest"), *(F.first(c).alias(c) for c in whole))
-    return out.withColumn("text", F.array_join(F.col("_parts.text"), "")).drop("_parts")
+    """A row for each row of text: ticket, text_row, text (from left to right), cy, h, longest (height and place of its longest text), near (the number box of its ticket that is
+    nearest to cy: away, pos, number, raw), and columns that hold for a whole ticket. boxes: as read gives them."""
+    whole, types = [*(whole or []), "flipped"], boxes.schema
+    out = T.StructType([types["ticket"], *T._parse_datatype_string("text_row int, text string, cy double, h double, longest struct<cy double, h double>, near struct<away double, pos long, number int, raw string>").fields, *(types[c] for c in whole)])
+    number = [F.col(c).cast("double").alias(c) for c in ("cy", "h", "cx")]
+    rows = boxes.select("ticket", F.col("pos").cast("long").alias("pos"), *number, "text", "inside", "number", "raw", *whole)
+    # Boxes in order are walked through: lists of a ticket's boxes would be sorted twice more and dealt again for the groups of its rows.
+    return rows.repartition("ticket").sortWithinPartitions("ticket", "pos", "cy", "h", "cx", "text").mapInArrow(_written_rows(["ticket", *whole]), out)
+
+
+def _written_rows(whole: list[str], share: float = 0.5):
+    """Rows of text of sorted boxes, a batch at once; what is left of a batch's last ticket waits for the next one. A row has the place
+    in order of its ticket, as runs.row_clusters says, and takes what holds for the whole ticket from the ticket's first box."""
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            tickets = values(batch.column("ticket"))
+            if not tickets:
+                continue
+            last = len(tickets)  # where the batch's last ticket begins
+            while last and tickets[last - 1] == tickets[-1]:
+                last -= 1
+            if last or held and held[0].column("ticket")[0].as_py() != tickets[0]:
+                yield from finished([*held, batch.slice(0, last)])
+                held = []
+            held.append(batch.slice(last))
+        yield from finished(held)
+
+    def finished(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(parts).combine_chunks() if parts else None
+        if not table:
+            return
+        tickets, pos, cy, h, cx, text, raw = (values(table.column(c).chunk(0)) for c in ("ticket", "pos", "cy", "h", "cx", "text", "raw"))
+        inside, flipped = (values(table.column(c).chunk(0).cast(pa.int8())) for c in ("inside", "flipped"))
+        said = table.column("number").chunk(0)
+        at = [-x if f and x is not None else x for x, f in zip(cx, flipped, strict=True)]
+        # Tuples of what Spark would compare; where something is missing it needs a place in the order.
+        across, length = list(zip(at, pos, text, strict=True)), [(-1 if t is None else len(t), p and -p) for t, p in zip(text, pos, strict=True)]
+        if any(table.column(c).null_count for c in ("pos", "cx", "text")) or any(x != x for x in cx):
+            across, length = [[tuple(map(_ordered, key)) for key in keys] for keys in (across, length)]
+        across, length = across.__getitem__, length.__getitem__
+        first, number, texts, ys, heights, longest, near, before = [], [], [], [], [], [], [], object()
+        rows: list[list[int]] = []
+        digits: list[tuple] = []  # cy, pos, number, raw
+        start = 0
+
+        def close() -> None:
+            for k, members in enumerate(rows):
+                first.append(start)
+                number.append(k)
+                if len(members) == 1:
+                    i = members[0]
+                    texts.append(text[i] or "")
+                    ys.append(cy[i])
+                    heights.append(h[i])
+                    longest.append(i)
+                else:
+                    members.sort(key=across)
+                    texts.append("".join([text[i] for i in members if text[i] is not None]))
+                    ys.append(_mean([cy[i] for i in members]))
+                    heights.append(_mean([h[i] for i in members]))
+                    longest.append(max(members, key=length))
+                near.append(_nearest(digits, ys[-1]))
+
+        for i, ticket in enumerate(tickets):
+            if ticket != before:
+                close()
+                rows, digits, start, before, of = [], [], i, ticket, runs.first_near(share)
+            if raw[i] is not None:
+                digits.append((cy[i], pos[i], said[i].as_py(), raw[i]))
+            if not inside[i]:
+                continue
+            k = of(cy[i], h[i])
+            if k == len(rows):
+                rows.append([])
+            rows[k].append(i)
+        close()
+        there = pa.array(first, pa.int64())
+        longest = table.select(["cy", "h"]).take(pa.array(longest, pa.int64())).combine_chunks()
+        longest = pa.StructArray.from_arrays([longest.column(c).chunk(0) for c in ("cy", "h")], ["cy", "h"])
+        fields = zip(*(n or (None,) * 4 for n in near), strict=True) if near else ((),) * 4
+        kinds = (pa.float64(), pa.int64(), pa.int32(), pa.string())
+        near = pa.StructArray.from_arrays([pa.array(v, k) for v, k in zip(fields, kinds, strict=True)], ["away", "pos", "number", "raw"], mask=pa.array([n is None for n in near], pa.bool_()))
+        own = [table.column(c).chunk(0).take(there) for c in whole]
+        made = [pa.array(number, pa.int32()), pa.array(texts, pa.string()), pa.array(ys, pa.float64()), pa.array(heights, pa.float64()), longest, near]
+        yield pa.RecordBatch.from_arrays([own[0], *made, *own[1:]], [whole[0], "text_row", "text", "cy", "h", "longest", "near", *whole[1:]])
+
+    return walked
+
+
+def _ordered(value) -> tuple:
+    """To sort by as Spark does: null, values, what isn't a number."""
+    return (False, False, None) if value is None else (True, True, None) if value != value else (True, False, value)
+
+
+def _nearest(digits: list[tuple], at: float | None) -> tuple | None:
+    """away, pos, number, raw of the first of cy, pos, number, raw by how far it is from a place, and by the rest."""
+    if len(digits) < 2:
+        return (None if at is None or digits[0][0] is None else abs(digits[0][0] - at), *digits[0][1:]) if digits else None
+    away = [(None if at is None or d[0] is None else abs(d[0] - at), *d[1:]) for d in digits]
+    if all(a[0] is not None and a[0] == a[0] for a in away):
+        least = min([a[0] for a in away])
+        away = [a for a in away if a[0] == least]
+    return away[0] if len(away) == 1 else min(away, key=lambda a: tuple(map(_ordered, a)))
+
+
+def _mean(numbers: list) -> float | None:
+    """Of those that are there."""
+    there = [v for v in numbers if v is not None]
+    return sum(there) / len(there) if there else None
 
 
 def parsed(boxes: DataFrame, menu: DataFrame, layout: Layout = Layout(), counts: DataFrame | None = None) -> DataFrame:
@@ -125,15 +253,14 @@ def parsed(boxes: DataFrame, menu: DataFrame, layout: Layout = Layout(), counts:
     menu: name, pos, names in normal form.
     """
     seen = read(boxes, layout)
-    rows = written(rows_of(seen, ["order_number", "digits", "count_at", "theta", "px", "py"]).withColumn("_text", X.normalized(F.col("text"))))
-    names = matching.best_name(rows.select(F.col("_text").alias("text")), menu, layout.prefixes)
-    rows = rows.join(names.select(F.col("text").alias("_text"), F.col("name").alias("item")), "_text")
+    rows = written(rows_of(seen, ["order_number", "count_at", "theta", "px", "py"]))
+    texts = written(rows.select("text").distinct().withColumn("_text", X.normalized(F.col("text"))))
+    names = matching.best_name(texts.select(F.col("_text").alias("text")), menu, layout.prefixes)
+    rows = rows.join(texts.join(names.select(F.col("text").alias("_text"), F.col("name").alias("item")), "_text").select("text", "item"), "text")
 
     has_digits, leading = F.col("item").rlike("[1-9]"), X.leading_number(F.col("text"))
-    near = F.array_min(F.transform("digits", lambda d: F.struct(F.abs(d["cy"] - F.col("cy")).alias("away"), d["pos"].alias("pos"), d["number"].alias("number"), d["raw"].alias("raw"))))
-    rows = rows.withColumn("_near", near)
-    own = has_digits & F.contains(F.col("item"), F.col("_near.raw"))
-    beside = F.when((F.col("_near.away") < 0.8 * F.col("h")) & ~own, F.col("_near.number"))
+    own = has_digits & F.contains(F.col("item"), F.col("near.raw"))
+    beside = F.when((F.col("near.away") < 0.8 * F.col("h")) & ~own, F.col("near.number"))
     leads = leading.isNotNull() & ~has_digits
     rows = rows.withColumn("quantity", F.when(leads, leading).otherwise(F.coalesce(beside, F.lit(1)))).withColumn("_open", ~leads & (F.coalesce(beside, F.lit(1)) == 1))
     x, y = G.rotate(F.col("count_at"), F.col("longest.cy"), F.col("theta"), F.col("px"), F.col("py"))
