@@ -24,6 +24,11 @@ def corners(b: Column) -> Column:
     return F.array(x + ux + vx, y + uy + vy, x + ux - vx, y + uy - vy, x - ux - vx, y - uy - vy, x - ux + vx, y - uy + vy)
 
 
+def bound(value: Column, of) -> Column:
+    """of(value), where value is computed once, however often it occurs."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def _edges(p: Column) -> Column:
     """Array of structs ax, ay, bx, by."""
     n = (F.size(p) / 2).cast("int")
@@ -63,6 +68,12 @@ def contains(p: Column, x: Column, y: Column) -> Column:
     return F.forall(_edges(p), lambda e: side(e) > 0) | F.forall(_edges(p), lambda e: side(e) < 0)
 
 
+def contains_centre(p: Column, q: Column) -> Column:
+    """Whether a convex polygon holds the centroid of another one. That is bound, and so is the other one: written out, Spark would put what a corner
+    is computed from in for each time that an edge asks for it, some thousand times."""
+    return bound(q, lambda v: bound(centroid(v), lambda c: contains(p, c["x"], c["y"])))
+
+
 def shrink(p: Column, share: float) -> Column:
     """Each corner moved towards the corners' mean by a share of its distance."""
     n = F.size(p) / 2

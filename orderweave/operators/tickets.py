@@ -280,26 +280,21 @@ def crop_sides(crop: Column, width: Column, height: Column) -> Column:
     return F.when((sides["right"] > sides["left"]) & (sides["bottom"] > sides["top"]), F.struct(*(v.alias(k) for k, v in sides.items())))
 
 
-def _bound(value: Column, of) -> Column:
-    """of(value), where value is computed once, however often it occurs."""
-    return F.get(F.transform(F.array(value), of), F.lit(0))
-
-
 def _clockwise(quad: Column) -> Column:
     """clockwise of any array."""
     corner = lambda q, i: F.struct((F.get(q, 2 * i) + F.get(q, 2 * i + 1)).alias("sum"), i.alias("i"), F.get(q, 2 * i).alias("x"), F.get(q, 2 * i + 1).alias("y"))
-    corners = _bound(quad, lambda q: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: corner(q, i)))
+    corners = G.bound(quad, lambda q: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: corner(q, i)))
 
     def ordered(p: Column) -> Column:
         last = F.aggregate(p, F.get(p, F.lit(0)), lambda best, v: F.when(v["sum"] > best["sum"], v).otherwise(best))
-        return _bound(F.struct(F.array_min(p).alias("a"), last.alias("c"), p.alias("p")), middle)
+        return G.bound(F.struct(F.array_min(p).alias("a"), last.alias("c"), p.alias("p")), middle)
 
     def middle(v: Column) -> Column:
         others = F.filter(v["p"], lambda q: (q["i"] != v["a"]["i"]) & (q["i"] != v["c"]["i"]))
         rest = F.array_sort(F.transform(others, lambda q: F.struct((q["y"] - q["x"]).alias("d"), q["i"].alias("i"), q["x"].alias("x"), q["y"].alias("y"))))
-        return _bound(rest, lambda r: F.array(*(k[n] for k in (v["a"], F.get(r, F.lit(0)), v["c"], F.get(r, F.lit(1))) for n in ("x", "y"))))
+        return G.bound(rest, lambda r: F.array(*(k[n] for k in (v["a"], F.get(r, F.lit(0)), v["c"], F.get(r, F.lit(1))) for n in ("x", "y"))))
 
-    return _bound(corners, ordered)
+    return G.bound(corners, ordered)
 
 
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
@@ -356,13 +351,13 @@ def reading_order(boxes: DataFrame, near: float = 10.0) -> DataFrame:
     def insert(done, b):
         shut = ~F.coalesce(F.abs(b["y"] - done["y"]) < near, F.lit(False))
         closed, open_ = F.when(shut, F.concat(done["closed"], done["open"])).otherwise(done["closed"]), F.when(shut, empty).otherwise(done["open"])
-        return F.struct(closed.alias("closed"), _bound(open_, lambda o: placed(o, b)).alias("open"), b["y"].alias("y"))
+        return F.struct(closed.alias("closed"), G.bound(open_, lambda o: placed(o, b)).alias("open"), b["y"].alias("y"))
 
     def placed(done, b):
         n = F.size(done)
         # How many of the last ones stand right of b and near its height, without a gap.
         back = F.aggregate(F.reverse(done), F.struct(F.lit(0).alias("k"), F.lit(True).alias("on")), lambda s, v: F.struct((s["k"] + F.when(s["on"] & (F.abs(b["y"] - v["y"]) < near) & (b["x"] < v["x"]), 1).otherwise(0)).alias("k"), (s["on"] & (F.abs(b["y"] - v["y"]) < near) & (b["x"] < v["x"])).alias("on")))["k"]
-        return _bound(back, lambda k: F.concat(F.slice(done, F.lit(1), n - k), F.array(b), F.slice(done, n - k + 1, k)))
+        return G.bound(back, lambda k: F.concat(F.slice(done, F.lit(1), n - k), F.array(b), F.slice(done, n - k + 1, k)))
 
     empty = F.slice("_l", 1, 0)
     start = F.struct(empty.alias("closed"), empty.alias("open"), F.lit(None).cast("double").alias("y"))

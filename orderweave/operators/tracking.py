@@ -28,7 +28,7 @@ from pyspark.sql.streaming.stateful_processor import MapState, StatefulProcessor
 
 from orderweave.functions import geometry as G
 from orderweave.functions.geometry import quad_iou, quad_overlap, quad_overlaps
-from orderweave.operators.interim import values
+from orderweave.operators.interim import spread, values
 
 #: Classes that are told apart by sight, and the item that each stands for.
 KNOWN_ITEMS = {
@@ -328,7 +328,7 @@ def tracked(detections: DataFrame, rules: Rules = Rules()) -> DataFrame:
         closed()
         yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], f.type) for k, f in enumerate(arrow)], schema=arrow)
 
-    return _rows(detections).repartition("session").sortWithinPartitions("session", "frame", "det").mapInArrow(walked, types)
+    return spread(_rows(detections), "session").sortWithinPartitions("session", "frame", "det").mapInArrow(walked, types)
 
 
 #: A thing as a row of state, by its number.
@@ -420,8 +420,7 @@ def stream_tracked(detections: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 def tickets_by_place(detections: DataFrame, roi: list[float], inside: bool, tickets: tuple[str, ...] = Rules.tickets) -> DataFrame:
     """Without the tickets whose centre lies on the wrong side of a convex area: with a preset area they must lie in it, with a single order outside; all else stays."""
-    centre = G.centroid(F.col("quad"))
-    holds = G.contains(F.array(*map(F.lit, roi)), centre["x"], centre["y"])
+    holds = G.contains_centre(F.array(*map(F.lit, roi)), F.col("quad"))
     return detections.where(~F.coalesce(F.col("cls").isin(*tickets), F.lit(False)) | F.coalesce(holds if inside else ~holds, F.lit(False)))
 
 
