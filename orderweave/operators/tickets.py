@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from orderweave.functions import geometry as G
 from orderweave.functions import text as X
 from orderweave.operators import matching, runs
-from orderweave.operators.interim import values, written
+from orderweave.operators.interim import filed, values, written
 
 
 @dataclass(frozen=True)
@@ -129,15 +129,16 @@ def read(boxes: DataFrame, layout: Layout = Layout()) -> DataFrame:
     return rows.withColumn("order_number", F.col("_first._number")).drop("_clean", "_named", "_ends", "_number", "_area", "_count", "_first", "_header")
 
 
-def rows_of(boxes: DataFrame, whole: list[str] | None = None) -> DataFrame:
+def rows_of(boxes: DataFrame, whole: list[str] | None = None, ways: int | None = None) -> DataFrame:
     """A row for each row of text: ticket, text_row, text (from left to right), cy, h, longest (height and place of its longest text), near (the number box of its ticket that is
-    nearest to cy: away, pos, number, raw), and columns that hold for a whole ticket. boxes: as read gives them."""
+    nearest to cy: away, pos, number, raw), and columns that hold for a whole ticket. boxes: as read gives them; if they are dealt by ticket to so many `ways` already, they stay there."""
     whole, types = [*(whole or []), "flipped"], boxes.schema
     out = T.StructType([types["ticket"], *T._parse_datatype_string("text_row int, text string, cy double, h double, longest struct<cy double, h double>, near struct<away double, pos long, number int, raw string>").fields, *(types[c] for c in whole)])
     number = [F.col(c).cast("double").alias(c) for c in ("cy", "h", "cx")]
     rows = boxes.select("ticket", F.col("pos").cast("long").alias("pos"), *number, "text", "inside", "number", "raw", *whole)
     # Boxes in order are walked through: lists of a ticket's boxes would be sorted twice more and dealt again for the groups of its rows.
-    return rows.repartition("ticket").sortWithinPartitions("ticket", "pos", "cy", "h", "cx", "text").mapInArrow(_written_rows(["ticket", *whole]), out)
+    rows = rows.repartition(ways, "ticket") if ways else rows.repartition("ticket")
+    return rows.sortWithinPartitions("ticket", "pos", "cy", "h", "cx", "text").mapInArrow(_written_rows(["ticket", *whole]), out)
 
 
 def _written_rows(whole: list[str], share: float = 0.5):
@@ -243,36 +244,49 @@ def _mean(numbers: list) -> float | None:
     return sum(there) / len(there) if there else None
 
 
-def parsed(boxes: DataFrame, menu: DataFrame, layout: Layout = Layout(), counts: DataFrame | None = None) -> DataFrame:
+#: Bytes of row texts and their names up to which these go to all tasks, so that rows of text stay where they are.
+FEW_TEXTS = 16 << 20
+
+
+def parsed(boxes: DataFrame, menu: DataFrame, layout: Layout = Layout(), counts: DataFrame | None = None, ways: int | None = None) -> DataFrame:
     """ticket, text_row, item, quantity, order_number ('000' without one), crop: a row for each row of text that is like a name of the menu.
 
     The quantity is a number that leads the text, unless the name has digits of its own; else the nearest number box
     within 0.8 of the row's height, unless such a name holds that number; where that leaves 1, the number that was read
     from the crop, if counts (ticket, text_row, text) has one. crop: cx, cy, half width, half height of
     where to read it, as turned as the ticket; null where it isn't wanted or there is no quantity column.
-    menu: name, pos, names in normal form.
+    menu: name, pos, names in normal form. ways: to how many tasks boxes are dealt by ticket already, if they are.
     """
-    seen = read(boxes, layout)
-    rows = written(rows_of(seen, ["order_number", "count_at", "theta", "px", "py"]))
+    rows = filed(_placed(rows_of(read(boxes, layout), ["order_number", "count_at", "theta", "px", "py"], ways)))
     texts = written(rows.select("text").distinct().withColumn("_text", X.normalized(F.col("text"))))
     names = matching.best_name(texts.select(F.col("_text").alias("text")), menu, layout.prefixes)
-    rows = rows.join(texts.join(names.select(F.col("text").alias("_text"), F.col("name").alias("item")), "_text").select("text", "item"), "text")
+    names = texts.join(names.select(F.col("text").alias("_text"), F.col("name").alias("item")), "_text").select("text", "item")
+    size = texts.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 100)).first()[0] or 0
+    rows = rows.join(F.broadcast(names) if size <= FEW_TEXTS else names, "text")
 
     has_digits, leading = F.col("item").rlike("[1-9]"), X.leading_number(F.col("text"))
-    own = has_digits & F.contains(F.col("item"), F.col("near.raw"))
-    beside = F.when((F.col("near.away") < 0.8 * F.col("h")) & ~own, F.col("near.number"))
+    own = has_digits & F.contains(F.col("item"), F.col("raw"))
+    beside = F.when(~own, F.col("number"))
     leads = leading.isNotNull() & ~has_digits
     rows = rows.withColumn("quantity", F.when(leads, leading).otherwise(F.coalesce(beside, F.lit(1)))).withColumn("_open", ~leads & (F.coalesce(beside, F.lit(1)) == 1))
-    x, y = G.rotate(F.col("count_at"), F.col("longest.cy"), F.col("theta"), F.col("px"), F.col("py"))
-    half = F.col("longest.h") / 2
-    crop = F.struct((x.cast("int") + 10).alias("cx"), y.cast("int").alias("cy"), half.cast("int").alias("half_width"), (half * 1.1).cast("int").alias("half_height"))
-    rows = rows.withColumn("crop", F.when(F.col("_open") & F.col("count_at").isNotNull(), crop))
+    rows = rows.withColumn("crop", F.when(F.col("_open"), F.col("crop")))
     if counts is not None:
         number = counts.groupBy("ticket", "text_row").agg(X.first_number(F.min("text")).alias("_read"))
         rows = rows.join(number, ["ticket", "text_row"], "left").withColumn("quantity", F.when(F.col("crop").isNotNull(), F.coalesce("_read", "quantity")).otherwise(F.col("quantity")))
     return rows.select("ticket", "text_row", "item", F.col("quantity").cast("int").alias("quantity"), F.coalesce("order_number", F.lit("000")).alias("order_number"), "crop")
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    """Of rows_of what is left to know until a row has its name, as whole numbers: ticket, text_row, text, order_number, number and raw (of the number box beside
+    it, if one is near enough), crop (where to read its number; null without a quantity column; what lies beyond whole numbers is null)."""
+    beside = F.col("near.away") < 0.8 * F.col("h")
+    x, y = G.rotate(F.col("count_at"), F.col("longest.cy"), F.col("theta"), F.col("px"), F.col("py"))
+    half = F.col("longest.h") / 2
+    crop = {"cx": F.try_add(x.try_cast("int"), F.lit(10)), "cy": y.try_cast("int"), "half_width": half.try_cast("int"), "half_height": (half * 1.1).try_cast("int")}
+    crop = F.when(F.col("count_at").isNotNull(), F.struct(*(v.alias(k) for k, v in crop.items())))
+    return rows.select("ticket", "text_row", "text", "order_number", F.when(beside, F.col("near.number")).alias("number"), F.when(beside, F.col("near.raw")).alias("raw"), crop.alias("crop"))
+
+
 def crop_sides(crop: Column, width: Column, height: Column) -> Column:
     """Struct left, top, right, bottom of a crop (see parsed) within the picture, in whole pixels; null where nothing of it is inside."""
     within = lambda v, most: F.least(F.greatest(v, F.lit(0)), most).cast("int")

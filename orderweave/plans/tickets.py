@@ -22,7 +22,8 @@ k AS (SELECT ticket, line, quantity, p_name AS name, replace(p_name, ' ', '') AS
 def ticket_parse(t: Tables) -> DataFrame:
     """Items and quantities of each ticket, from its turned boxes; the SQL has the lines that they were written from."""
     menu = t.part.groupBy(X.normalized(F.col("p_name"), compatible=False).alias("name")).agg(F.min("p_partkey").cast("long").alias("pos"))
-    rows = K.parsed(t.ticket_boxes, menu)
+    boxes, ways = t.dealt_boxes()
+    rows = K.parsed(boxes, menu, ways=ways)
     return rows.select("ticket", "text_row", "item", "quantity", "order_number", F.col("crop").isNotNull().alias("wants_crop"))
 
 

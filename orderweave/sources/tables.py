@@ -7,7 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orderweave.functions import geometry as G
-from orderweave.operators.interim import tasks
+from orderweave.operators.interim import tasks, tasks_of
+
+#: Lines that a task gets of tickets; it makes some four boxes of each, and sorts them.
+LINES = 100_000
 
 
 class Tables:
@@ -123,16 +126,31 @@ class Tables:
     @property
     def ticket_lines(self) -> DataFrame:
         """Lines of tickets, numbered from 0: ticket, line, name, quantity, kind (0: the number leads, 1: it stands beside, 2: it is left out, 3: too faint to be read)."""
-        order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus")
-        lines = self.lineitem.withColumn("line", F.row_number().over(order) - 1).select("l_orderkey", "line", "l_partkey", F.col("l_quantity").cast("int").alias("quantity"))
+        return self._lines()
+
+    def _lines(self, ways: int | None = None) -> DataFrame:
+        """As ticket_lines; ways: dealt by ticket to so many tasks. Lines that are alike in these four columns are so in all that is made of them, whatever their order."""
+        order = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+        rows = self.lineitem.select("l_orderkey", *order)
+        rows = rows.repartition(ways, "l_orderkey") if ways else rows
+        lines = rows.withColumn("line", F.row_number().over(W.partitionBy("l_orderkey").orderBy(*order)) - 1).select("l_orderkey", "line", "l_partkey", F.col("l_quantity").cast("int").alias("quantity"))
         kind = F.when((F.col("l_orderkey") + F.col("line")) % 11 == 0, 3).otherwise((F.col("l_orderkey") + F.col("line")) % 3)
-        return lines.join(self.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("ticket"), "line", F.col("p_name").alias("name"), "quantity", kind.cast("int").alias("kind"))
+        lines = lines.join(self.part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "line", F.col("p_name").alias("name"), "quantity")
+        lines = lines.repartition(ways, "l_orderkey") if ways else lines
+        return lines.select(F.col("l_orderkey").alias("ticket"), "line", "name", "quantity", kind.cast("int").alias("kind"))
 
     @property
     def ticket_boxes(self) -> DataFrame:
         """Text boxes of tickets as they would be recognised: ticket, pos, quad, text, score. Every ticket is turned by -4 to 4 degrees;
         beside the lines stand a number, headers and, outside the item area, something else."""
+        return self._boxes()
+
+    def dealt_boxes(self) -> tuple[DataFrame, int]:
+        """ticket_boxes, and to how many tasks they are dealt by ticket: as lines, which are less than the boxes that are made of them."""
+        ways = tasks_of(self.spark, self.lineitem.count(), LINES)
+        return self._boxes(ways), ways
 
+    def _boxes(self, ways: int | None = None) -> DataFrame:
         def at(x0, x1, y, text, score, pos):
             return F.struct(*(v.cast("double").alias(n) for v, n in ((F.lit(x0), "x0"), (F.lit(x1), "x1"), (y, "y"), (score, "score"))), F.lit(pos).alias("k"), text.alias("text"))
 
@@ -142,10 +160,12 @@ class Tables:
         lead = F.when(F.col("kind") == 0, F.concat(number, word)).otherwise(word)
         boxes = F.array(at(100, 170, y, lead, sure, 0), at(180, 260, y + 1, rest, sure, 1), at(500, 560, y, word, F.lit(0.9), 2))
         beside = F.when(F.col("kind") == 1, F.array(at(300, 320, y + 2, number, F.lit(0.9), 3))).otherwise(F.slice(boxes, 1, 0))
-        lines = self.ticket_lines.select("ticket", ((F.col("line") + 1) * 4).alias("base"), F.explode(F.concat(boxes, beside)).alias("b"))
+        lines = self._lines(ways).select("ticket", ((F.col("line") + 1) * 4).alias("base"), F.explode(F.concat(boxes, beside)).alias("b"))
         code = F.lpad((F.col("l_orderkey") % 1000).cast("string"), 3, "0")
         heads = F.array(at(100, 200, F.lit(60), F.concat(F.lit("No "), code), F.lit(0.9), 0), at(100, 280, F.lit(150), F.lit("ティクアウト"), F.lit(0.9), 1), at(300, 320, F.lit(150), F.lit("数"), F.lit(0.9), 2))
-        heads = self.lineitem.select("l_orderkey").distinct().select(F.col("l_orderkey").alias("ticket"), F.lit(0).alias("base"), F.explode(heads).alias("b"))
+        orders = self.lineitem.select("l_orderkey")
+        orders = (orders.repartition(ways, "l_orderkey") if ways else orders).distinct()
+        heads = orders.select(F.col("l_orderkey").alias("ticket"), F.lit(0).alias("base"), F.explode(heads).alias("b"))
         rows = heads.union(lines).select("ticket", (F.col("base") + F.col("b.k")).alias("pos"), F.radians((F.col("ticket") % 5 - 2) * 2).alias("r"), "b.*")
         corners = ((F.col("x0"), F.col("y")), (F.col("x1"), F.col("y")), (F.col("x1"), F.col("y") + 20), (F.col("x0"), F.col("y") + 20))
         quad = F.array(*(v for x, y in corners for v in G.rotate(x, y, F.col("r"), F.lit(0.0), F.lit(0.0))))
