@@ -260,15 +260,14 @@ def parsed(boxes: DataFrame, menu: DataFrame, layout: Layout = Layout(), counts:
     rows = filed(_placed(rows_of(read(boxes, layout), ["order_number", "count_at", "theta", "px", "py"], ways)))
     texts = written(rows.select("text").distinct().withColumn("_text", X.normalized(F.col("text"))))
     names = matching.best_name(texts.select(F.col("_text").alias("text")), menu, layout.prefixes)
-    names = texts.join(names.select(F.col("text").alias("_text"), F.col("name").alias("item")), "_text").select("text", "item")
+    # What follows from a text and its name alone is found once for each distinct text.
+    has_digits, leading = F.col("item").rlike("[1-9]"), X.leading_number(F.col("text"))
+    names = texts.join(names.select(F.col("text").alias("_text"), F.col("name").alias("item")), "_text").select("text", "item", has_digits.alias("_digits"), F.when(~has_digits, leading).alias("_leading"))
     size = texts.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 100)).first()[0] or 0
     rows = rows.join(F.broadcast(names) if size <= FEW_TEXTS else names, "text")
 
-    has_digits, leading = F.col("item").rlike("[1-9]"), X.leading_number(F.col("text"))
-    own = has_digits & F.contains(F.col("item"), F.col("raw"))
-    beside = F.when(~own, F.col("number"))
-    leads = leading.isNotNull() & ~has_digits
-    rows = rows.withColumn("quantity", F.when(leads, leading).otherwise(F.coalesce(beside, F.lit(1)))).withColumn("_open", ~leads & (F.coalesce(beside, F.lit(1)) == 1))
+    beside = F.when(~(F.col("_digits") & F.contains(F.col("item"), F.col("raw"))), F.col("number"))
+    rows = rows.withColumns({"quantity": F.coalesce("_leading", beside, F.lit(1)), "_open": F.col("_leading").isNull() & (F.coalesce(beside, F.lit(1)) == 1)})
     rows = rows.withColumn("crop", F.when(F.col("_open"), F.col("crop")))
     if counts is not None:
         number = counts.groupBy("ticket", "text_row").agg(X.first_number(F.min("text")).alias("_read"))
