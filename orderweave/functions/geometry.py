@@ -70,7 +70,7 @@ def contains(p: Column, x: Column, y: Column) -> Column:
 
 def contains_centre(p: Column, q: Column) -> Column:
     """Whether a convex polygon holds the centroid of another one. That is bound, and so is the other one: written out, Spark would put what a corner
-    is computed from in for each time that an edge asks for it, some thousand times."""
+    is computed from in for each time that an edge asks for it, hundreds of times."""
     return bound(q, lambda v: bound(centroid(v), lambda c: contains(p, c["x"], c["y"])))
 
 
